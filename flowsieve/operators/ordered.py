@@ -219,11 +219,24 @@ def cut_keys(
     by their id in a second selection, so a hot instant costs no big sort.
     """
     ranks = [int(r) for r in ranks]
+    if not ranks:
+        return []
+    if df.limit(in_task_rows + 1).count() <= in_task_rows:
+        order = Window.orderBy(time_col, id_col)
+        rows = (
+            df.select((F.row_number().over(order) - 1).alias("rank"), time_col, id_col)
+            .where(F.col("rank").isin(ranks))
+            .collect()
+        )
+        found = {row["rank"]: (row[time_col], row[id_col]) for row in rows}
+        return [found[r] for r in ranks]
     instants = order_statistics(df.select(time_col), {time_col: ranks}, in_task_rows)[time_col]
+    row = df.agg(
+        *[F.count_if(F.col(time_col) < F.lit(t)).alias(f"n{i}") for i, t in enumerate(instants)]
+    ).first()
     keys = []
-    for rank, instant in zip(ranks, instants, strict=True):
-        earlier = df.where(F.col(time_col) < F.lit(instant)).count()
+    for i, (rank, instant) in enumerate(zip(ranks, instants, strict=True)):
         same = df.where(F.col(time_col) == F.lit(instant)).select(id_col)
-        ident = order_statistics(same, {id_col: [rank - earlier]}, in_task_rows)[id_col][0]
+        ident = order_statistics(same, {id_col: [rank - row[f"n{i}"]]}, in_task_rows)[id_col][0]
         keys.append((instant, ident))
     return keys

@@ -9,6 +9,7 @@ from flowsieve.plans.base import REGISTRY, Query
 MODULES = (
     "flow_queries",
     "prepare_queries",
+    "score_queries",
 )
 
 
