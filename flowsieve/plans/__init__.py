@@ -10,6 +10,7 @@ MODULES = (
     "flow_queries",
     "prepare_queries",
     "score_queries",
+    "alert_queries",
 )
 
 
