@@ -11,6 +11,8 @@ MODULES = (
     "prepare_queries",
     "score_queries",
     "alert_queries",
+    "vector_queries",
+    "stream_queries",
 )
 
 
