@@ -24,9 +24,10 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """L2-normalised vector; non-finite entries and the zero vector give zeros."""
-    length = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(
-        a, lambda x: F.coalesce(F.nanvl(x.cast("double") / length, F.lit(0.0)), F.lit(0.0))
+    # repeated as an array: an outer expression inside a lambda runs once per element
+    lengths = F.array_repeat(F.greatest(norm(a), F.lit(1e-12)), F.size(a))
+    return F.zip_with(
+        a, lengths, lambda x, n: F.coalesce(F.nanvl(x.cast("double") / n, F.lit(0.0)), F.lit(0.0))
     )
 
 
@@ -34,14 +35,6 @@ def literal(values: Sequence[float]) -> Column:
     return F.lit([float(v) for v in values])
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(
-        F.aggregate(
-            F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x
-        )
-    )
-
-
 def linear_attribution(values: Column, background: Column, weights: Column) -> Column:
     """weight * (value - background mean): exact Shapley values of a linear model."""
     return F.zip_with(
@@ -69,9 +62,9 @@ def top_features(names: Column, contributions: Column, values: Column, k: int) -
 
 def gradient_norm(probs: Column, weights: Sequence[Sequence[float]]) -> Column:
     """Length of W'(p - onehot(argmax p)) for a linear head with rows W[class]."""
-    best = F.array_position(probs, F.array_max(probs)) - F.lit(1)
-    residual = F.transform(probs, lambda p, i: p - (i == best).cast("double"))
-    columns = list(zip(*weights, strict=True))
-    squares = [dot(residual, literal(col)) for col in columns]
-    total = sum((s * s for s in squares[1:]), squares[0] * squares[0])
-    return F.sqrt(total)
+    best = F.array_repeat(F.array_position(probs, F.array_max(probs)), F.size(probs))
+    places = F.sequence(F.lit(1), F.size(probs))
+    chosen = F.zip_with(places, best, lambda i, b: (i == b).cast("double"))
+    residual = F.zip_with(probs, chosen, lambda p, hit: p - hit)
+    sides = [dot(residual, literal(column)) for column in zip(*weights, strict=True)]
+    return F.sqrt(sum((s * s for s in sides[1:]), sides[0] * sides[0]))

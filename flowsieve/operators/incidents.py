@@ -104,11 +104,12 @@ def cluster_starts(times: DataFrame, window_micros: int, spread_above: int = 20_
     sizes = distinct.groupBy(*[F.col(k).alias(f"_{k}") for k in KEYS]).agg(F.count(F.lit(1)).alias("_n"))
     same_key = (F.col("key") == F.col("_key")) & (F.col("group_type") == F.col("_group_type"))
     # keys with few times are one span; only big ones are spread over days
-    day = F.when(F.col("_n") > spread_above, F.floor(F.col("t") / F.lit(DAY))).otherwise(F.lit(0)).cast("long")
+    big = F.col("_n") > spread_above
+    day = F.when(big, F.floor(F.col("t") / F.lit(DAY))).otherwise(F.lit(0)).cast("long")
     distinct = durable(
-        distinct.join(sizes, same_key).select(*KEYS, "t", day.alias("day")), "cluster-times"
+        distinct.join(sizes, same_key).select(*KEYS, "t", day.alias("day"), big.alias("big")), "cluster-times"
     )
-    tables = distinct.select(*KEYS, "day", "t").groupBy(*KEYS, "day").applyInPandas(
+    tables = distinct.where("big").select(*KEYS, "day", "t").groupBy(*KEYS, "day").applyInPandas(
         _day_table(window_micros), "group_type string, key string, day long, upto long, last long"
     )
     entries = tables.groupBy(*KEYS).applyInPandas(

@@ -13,6 +13,7 @@ MODULES = (
     "alert_queries",
     "vector_queries",
     "stream_queries",
+    "io_queries",
 )
 
 

@@ -130,13 +130,17 @@ def ood_enrichment(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "queue_table",
     with_views(
-        f"""SELECT alert_id, timestamp AS time, status, 'session' AS source, severity, {RISK} AS risk, predicted_class AS class,
- round(round(hybrid_score, 3) + 1E-10, 6) + 0E0 AS hybrid_score, round(round(ae_score, 3) + 1E-10, 6) + 0E0 AS ae_score,
+        f"""SELECT alert_id, timestamp AS time, status, 'session' AS source, severity, {risk_sql('severity', '(hybrid_score + 1E-10)', '(ae_score + 1E-10)')} AS risk, predicted_class AS class,
+ round(round(hybrid_score + 1E-10, 3) + 1E-10, 6) + 0E0 AS hybrid_score, round(round(ae_score + 1E-10, 3) + 1E-10, 6) + 0E0 AS ae_score,
  CASE WHEN is_zeroday THEN 'YES' ELSE 'NO' END AS ood_candidate FROM alerts_v"""
     ),
 )
 def queue_table(spark: SparkSession, folder: str) -> DataFrame:
-    return alert_op.queue_table(alerts(spark, folder))
+    # shifted like every compared number, so that exact halves round alike
+    df = alerts(spark, folder).withColumns(
+        {"hybrid_score": F.col("hybrid_score") + 1e-10, "ae_score": F.col("ae_score") + 1e-10}
+    )
+    return alert_op.queue_table(df)
 
 
 @query(
