@@ -13,7 +13,7 @@ from flowsieve.plans.base import alerts, flows, judged, query, r6, table, with_v
 from flowsieve.plans.prepare_queries import FEATURE_INPUT, feature_input
 from flowsieve.plans.score_queries import risk_sql
 
-STAMP = F.lit("2024-02-01 00:00:00")
+STAMP = "2024-02-01 00:00:00"
 PAD = "CASE WHEN length(CAST(source_row AS STRING)) >= 6 THEN CAST(source_row AS STRING) ELSE lpad(CAST(source_row AS STRING), 6, '0') END"
 RISK = risk_sql("severity")
 
@@ -31,7 +31,7 @@ def alert_record(spark: SparkSession, folder: str) -> DataFrame:
         "source_row", "hybrid_score", "ae_score", "max_prob", "classifier_class",
         F.col("attack_cat").alias("zero_day_family"), "is_zeroday",
     )
-    return alert_op.alert_records(df, STAMP)
+    return alert_op.alert_records(df, F.lit(STAMP))
 
 
 _WORST = "is_zeroday DESC, hybrid DESC, ae_re DESC, max_prob, source_row"
@@ -45,7 +45,7 @@ _WORST = "is_zeroday DESC, hybrid DESC, ae_re DESC, max_prob, source_row"
     ),
 )
 def top_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return alert_op.top_alerts(judged(spark, folder), 25, "abcdef123456", STAMP).select(
+    return alert_op.top_alerts(judged(spark, folder), 25, "abcdef123456", F.lit(STAMP)).select(
         "alert_id", "predicted_class", "hybrid_score"
     )
 
@@ -59,7 +59,7 @@ def top_alerts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def top_alerts_per_file(spark: SparkSession, folder: str) -> DataFrame:
     df = judged(spark, folder).withColumn("source_file_hash", F.md5("source_file"))
-    return alert_op.top_alerts_per_file(df, 10, "source_file_hash", STAMP).select("alert_id", "predicted_class", "source_row")
+    return alert_op.top_alerts_per_file(df, 10, "source_file_hash", F.lit(STAMP)).select("alert_id", "predicted_class", "source_row")
 
 
 @query(
@@ -71,7 +71,7 @@ def top_alerts_per_file(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def alert_entities(spark: SparkSession, folder: str) -> DataFrame:
-    worst = alert_op.top_alerts(judged(spark, folder), 100, "abcdef123456", STAMP)
+    worst = alert_op.top_alerts(judged(spark, folder), 100, "abcdef123456", F.lit(STAMP))
     return alert_op.attach_entities(worst, flows(spark, folder)).select("alert_id", *alert_op.ENTITY_NAMES)
 
 
