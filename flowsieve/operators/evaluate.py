@@ -11,6 +11,7 @@ from flowsieve.functions import labels
 from flowsieve.functions.core import missing_if_infinite, ref
 from flowsieve.functions.scoring import VERDICTS
 from flowsieve.operators.ordered import IN_TASK_ROWS, exact_quantiles, prefix_sums
+from flowsieve.session import durable, small_side
 
 ATTACK_VERDICTS = ("Known-Attack", "Zero-Day Candidate")
 
@@ -195,12 +196,15 @@ def score_curve(long: DataFrame) -> DataFrame:
     ``long`` holds (method, score, target 0/1). Equal scores become one step before
     anything is ordered; the running counts are distributed prefix sums.
     """
-    steps = long.where(F.col("score").isNotNull()).groupBy("method", "score").agg(
-        F.sum("target").cast("long").alias("pos"), F.sum(F.lit(1) - F.col("target")).cast("long").alias("neg")
+    steps = durable(
+        long.where(F.col("score").isNotNull()).groupBy("method", "score").agg(
+            F.sum("target").cast("long").alias("pos"), F.sum(F.lit(1) - F.col("target")).cast("long").alias("neg")
+        ),
+        "curve-steps",
     )
     ordered = prefix_sums(steps.withColumn("falling", -F.col("score")), ["falling"], ["pos", "neg"], ["method"])
     totals = steps.groupBy(F.col("method").alias("_m")).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return ordered.join(totals, F.col("method") == F.col("_m")).select(
+    return ordered.join(small_side(totals, "curve-totals"), F.col("method") == F.col("_m")).select(
         "method", "score", "pos", "neg", "cum_pos", "cum_neg", "p", "n",
         F.try_divide(F.col("cum_pos"), F.col("p")).alias("tpr"),
         F.try_divide(F.col("cum_neg"), F.col("n")).alias("fpr"),

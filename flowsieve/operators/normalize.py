@@ -15,6 +15,7 @@ from flowsieve import vocab
 from flowsieve.functions import flow as flow_fn
 from flowsieve.functions.core import number, ref, text
 from flowsieve.functions.times import parse_event_time
+from flowsieve.session import BROADCAST_ROWS, durable, small_side
 
 FILE = "source_file"
 MICROS = 1_000_000.0
@@ -157,17 +158,19 @@ def context_counts(df: DataFrame, names: list[str], file_col: str = FILE) -> Dat
     """Rows of the same file sharing each key set; null keys form a group.
 
     All counters come from one grouping-sets aggregation (one extra scan, partial
-    counts before the shuffle). A counter whose key column is absent is 1. Joins
-    are on plain equality of null-safe keys, so skewed keys split at run time.
+    counts before the shuffle), stored once. A counter whose key column is absent
+    is 1. A counter table is broadcast when its counted size allows it; otherwise
+    the join is a plain equality one, whose skewed keys split at run time.
     """
     usable = {n: vocab.CONTEXT_COUNTS[n] for n in names if set(vocab.CONTEXT_COUNTS[n]) <= set(df.columns)}
     out = df
     if usable:
         keys = sorted({k for ks in usable.values() for k in ks})
         sets = [[F.col(file_col), *[F.col(k) for k in ks]] for ks in usable.values()]
-        counted = df.groupingSets(sets, F.col(file_col), *[F.col(k) for k in keys]).agg(
+        counted = durable(df.groupingSets(sets, F.col(file_col), *[F.col(k) for k in keys]).agg(
             F.grouping_id().alias("_gid"), F.count(F.lit(1)).cast("double").alias("_n")
-        )
+        ), "context-counts")
+        sizes = {r["_gid"]: r["count"] for r in counted.groupBy("_gid").count().collect()}
         for name, ks in usable.items():
             # grouping_id has one bit per column, 1 where the column is rolled up
             gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks)
@@ -179,6 +182,8 @@ def context_counts(df: DataFrame, names: list[str], file_col: str = FILE) -> Dat
             on = F.col(file_col).eqNullSafe(F.col("_file"))
             for k in ks:
                 on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            if sizes.get(gid, 0) <= BROADCAST_ROWS:
+                side = F.broadcast(side)
             out = out.join(side, on, "left").drop("_file", *[f"_{k}" for k in ks])
     rest = {n: F.lit(1.0) for n in names if n not in usable}
     return out.withColumns(rest) if rest else out
@@ -195,7 +200,10 @@ def _duration(df: DataFrame, plan: HeaderPlan, file_col: str) -> DataFrame:
     df = df.withColumn("dur", number(F.col("dur")))
     if not plan.guess_duration_unit:
         return df.withColumn("dur", F.col("dur") / MICROS)
-    unit = duration_unit(df, F.col("dur"), file_col).withColumnRenamed(file_col, "_unit_file")
+    # one row per file
+    unit = small_side(
+        duration_unit(df, F.col("dur"), file_col).withColumnRenamed(file_col, "_unit_file"), "duration-unit"
+    )
     return (
         df.join(unit, F.col(file_col).eqNullSafe(F.col("_unit_file")), "left")
         .withColumn("dur", F.col("dur") / F.col("duration_divisor"))

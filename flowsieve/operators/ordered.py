@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.core import missing_if_infinite
-from flowsieve.session import durable
+from flowsieve.session import durable, small_side
 
 # Up to this many rows one task may sort or keep a value map.
 IN_TASK_ROWS = 1_000_000
@@ -64,7 +64,7 @@ def prefix_sums(
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_offset_{g}"))
     running = ordered.select("*", *[F.sum(v).over(local).alias(f"_local_{v}") for v in values])
-    joined = running.join(offsets, on)
+    joined = running.join(small_side(offsets, "offsets"), on)
     return joined.select(
         *df.columns,
         *[(F.col(f"_local_{v}") + F.col(f"_before_{v}")).alias(f"cum_{v}") for v in values],
@@ -211,9 +211,10 @@ def cut_keys(
     time_col: str,
     id_col: str,
     ranks: Sequence[int],
+    total: int,
     in_task_rows: int = IN_TASK_ROWS,
 ) -> list[tuple[int, int]]:
-    """(time, id) of the rows at 0-based ranks in (time, id) order.
+    """(time, id) of the rows at 0-based ranks in (time, id) order; ``total`` rows in all.
 
     ``time_col`` is a long without nulls. Rows sharing one instant are told apart
     by their id in a second selection, so a hot instant costs no big sort.
@@ -221,7 +222,7 @@ def cut_keys(
     ranks = [int(r) for r in ranks]
     if not ranks:
         return []
-    if df.limit(in_task_rows + 1).count() <= in_task_rows:
+    if total <= in_task_rows:
         order = Window.orderBy(time_col, id_col)
         rows = (
             df.select((F.row_number().over(order) - 1).alias("rank"), time_col, id_col)

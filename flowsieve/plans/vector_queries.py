@@ -10,6 +10,7 @@ from flowsieve.functions.scoring import Decision
 from flowsieve.operators import forest, models, neighbors, prepare, sampling, thresholds
 from flowsieve.plans.base import judged, query, r6, table, with_views
 from flowsieve.plans.prepare_queries import feature_input
+from flowsieve.session import durable
 
 KNOWN_LABELS = "label < 5"
 _UNIT = (
@@ -117,7 +118,8 @@ MODEL_FEATURES = [
 def model_input(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(train, all) scaled feature tables; the scaler is fitted on the train part."""
     df = prepare.engineer_features(feature_input(spark, folder)).select("source_row", "attack_cat", *MODEL_FEATURES)
-    split = sampling.hash_split(df, "source_row")
+    # fits read the feature table many times; it is computed once
+    split = durable(sampling.hash_split(df, "source_row"), "features")
     train = split.where("split = 'train' AND attack_cat <> 'Fuzzers'")
     fitted = prepare.robust_fit(train, MODEL_FEATURES)
     return prepare.robust_scale(train, fitted), prepare.robust_scale(split, fitted)
