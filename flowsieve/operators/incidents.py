@@ -24,7 +24,7 @@ from flowsieve.functions.core import meaningful
 from flowsieve.functions.scoring import risk_severity, severity_rank
 from flowsieve.functions.times import iso_naive
 from flowsieve.operators.alerts import alert_risk, correlation_pairs
-from flowsieve.session import durable
+from flowsieve.session import durable, small_side
 
 KEYS = ["group_type", "key"]
 DAY = 86_400 * 1_000_000
@@ -100,15 +100,15 @@ def _chain(window: int):
 
 def cluster_starts(times: DataFrame, window_micros: int, spread_above: int = 20_000) -> DataFrame:
     """(group_type, key, t) -> ``start``: the anchor of the cluster each time is in."""
-    distinct = times.groupBy(*KEYS, "t").agg(F.count(F.lit(1)).alias("events"))
-    sizes = distinct.groupBy(*[F.col(k).alias(f"_{k}") for k in KEYS]).agg(F.count(F.lit(1)).alias("_n"))
+    distinct = durable(times.select(*KEYS, "t").distinct(), "cluster-times")
+    sizes = small_side(
+        distinct.groupBy(*[F.col(k).alias(f"_{k}") for k in KEYS]).agg(F.count(F.lit(1)).alias("_n")), "cluster-keys"
+    )
     same_key = (F.col("key") == F.col("_key")) & (F.col("group_type") == F.col("_group_type"))
     # keys with few times are one span; only big ones are spread over days
     big = F.col("_n") > spread_above
     day = F.when(big, F.floor(F.col("t") / F.lit(DAY))).otherwise(F.lit(0)).cast("long")
-    distinct = durable(
-        distinct.join(sizes, same_key).select(*KEYS, "t", day.alias("day"), big.alias("big")), "cluster-times"
-    )
+    distinct = distinct.join(sizes, same_key).select(*KEYS, "t", day.alias("day"), big.alias("big"))
     tables = distinct.where("big").select(*KEYS, "day", "t").groupBy(*KEYS, "day").applyInPandas(
         _day_table(window_micros), "group_type string, key string, day long, upto long, last long"
     )

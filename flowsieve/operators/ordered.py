@@ -73,7 +73,7 @@ def prefix_sums(
 
 @dataclass
 class _Target:
-    """One wanted order statistic and the value bracket known to hold it."""
+    """One wanted order statistic and the open value interval known to hold it."""
 
     column: str
     rank: int
@@ -89,9 +89,10 @@ def order_statistics(
 ) -> dict[str, list]:
     """Exact values at 0-based ranks of several numeric columns (nulls ignored).
 
-    A quantile sketch narrows every rank to a value bracket, exact counts confirm
-    it, and only when a bracket is small enough are its values ranked. Each round
-    is one pass with partial aggregation that shuffles a handful of numbers.
+    A quantile sketch narrows every rank to a value bracket and exact counts confirm
+    it; a rank that falls on a bracket end, however often that value occurs, is
+    found at once. Only when the inside of a bracket is small are its values ranked.
+    Every round is two passes with partial aggregation that shuffle a few numbers.
     """
     columns = [c for c, ranks in wanted.items() if ranks]
     if not columns:
@@ -115,33 +116,53 @@ def _within(t: _Target) -> Column:
     c = F.col(t.column)
     condition = c.isNotNull()
     if t.low is not None:
-        condition = condition & (c >= F.lit(t.low))
+        condition = condition & (c > F.lit(t.low))
     if t.high is not None:
-        condition = condition & (c <= F.lit(t.high))
+        condition = condition & (c < F.lit(t.high))
     return condition
 
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
+    shared: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        shared.setdefault((t.column, t.low, t.high), []).append(t)
     sketches = []
-    for i, t in enumerate(targets):
-        share = (t.rank - t.below) / t.inside
-        margin = 2.0 / SKETCH_ACCURACY + 2.0 / t.inside
-        bounds = [max(share - margin, 0.0), min(share + margin, 1.0)]
-        sketches.append(
-            F.percentile_approx(F.when(_within(t), F.col(t.column)), bounds, SKETCH_ACCURACY).alias(f"b{i}")
-        )
+    for i, group in enumerate(shared.values()):
+        bounds = []
+        for t in group:
+            share = (t.rank - t.below) / t.inside
+            margin = 2.0 / SKETCH_ACCURACY + 2.0 / t.inside
+            bounds += [max(share - margin, 0.0), min(share + margin, 1.0)]
+        value = F.when(_within(group[0]), F.col(group[0].column))
+        sketches.append(F.percentile_approx(value, bounds, SKETCH_ACCURACY).alias(f"b{i}"))
     row = df.agg(*sketches).first()
-    for i, t in enumerate(targets):
-        t.low, t.high = row[f"b{i}"]
+    bounds_of = {}
+    for i, group in enumerate(shared.values()):
+        for k, t in enumerate(group):
+            bounds_of[id(t)] = (row[f"b{i}"][2 * k], row[f"b{i}"][2 * k + 1])
     counted = []
     for i, t in enumerate(targets):
-        counted.append(F.count_if(F.col(t.column) < F.lit(t.low)).alias(f"l{i}"))
-        counted.append(F.count_if(_within(t)).alias(f"n{i}"))
+        c, (low, high) = F.col(t.column), bounds_of[id(t)]
+        for name, hit in (
+            ("less", c < F.lit(low)), ("low", c == F.lit(low)), ("high", c == F.lit(high)), ("upto", c <= F.lit(high)),
+        ):
+            counted.append(F.count_if(hit).alias(f"{name}{i}"))
     row = df.agg(*counted).first()
     for i, t in enumerate(targets):
-        t.below, t.inside = row[f"l{i}"], row[f"n{i}"]
-        if t.low == t.high:
-            t.value = t.low
+        low, high = bounds_of[id(t)]
+        less, at_low, at_high, upto = (row[f"{name}{i}"] for name in ("less", "low", "high", "upto"))
+        end = t.below + t.inside
+        if less <= t.rank < less + at_low:
+            t.value = low
+        elif upto - at_high <= t.rank < upto:
+            t.value = high
+        elif t.rank < less:  # outside the sketch's bracket: search the part before it
+            t.high, t.inside = low, less - t.below
+        elif t.rank >= upto:
+            t.low, t.below, t.inside = high, upto, end - upto
+        else:
+            t.low, t.high = low, high
+            t.below, t.inside = less + at_low, upto - at_high - less - at_low
 
 
 def _rank_inside(df: DataFrame, targets: list[_Target]) -> None:

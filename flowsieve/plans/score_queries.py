@@ -312,10 +312,10 @@ def score_extent(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def line_quantiles(spark: SparkSession, folder: str) -> DataFrame:
-    """The distribution report over the widest table, by bracketed selection."""
+    """The distribution report over the largest table."""
     df = table(spark, folder, "lineitem")
     columns = ["l_extendedprice", "l_quantity", "l_discount"]
-    out = thresholds.score_distribution(df, columns, in_task_rows=5_000)
+    out = thresholds.score_distribution(df, columns)
     return out.withColumn("mean", F.round("mean", 4))
 
 

@@ -51,12 +51,13 @@ def centroid_distance(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "prototype_similarity",
     with_views(
-        f"SELECT a.label AS class_a, b.label AS class_b, {r6('list_dot_product(a.p, b.p)')} AS similarity FROM proto_v a JOIN proto_v b ON a.label < b.label",
+        f"SELECT a.label AS class_a, b.label AS class_b, {r6('list_dot_product(a.p, b.p)')} AS similarity FROM proto_v a JOIN proto_v b ON b.label = a.label + 1",
         _UNIT, _MEANS, _PROTO,
     ),
 )
 def prototype_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbors.prototype_similarity(embeddings(spark, folder), "embedding", "label").select(
+    pairs = [(k, k + 1) for k in range(9)]
+    return neighbors.prototype_similarity(embeddings(spark, folder), "embedding", "label", pairs).select(
         F.col("class_a").cast("long"), F.col("class_b").cast("long"), "similarity"
     )
 

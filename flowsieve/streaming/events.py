@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsieve import vocab
 from flowsieve.functions import flow as flow_fn
@@ -15,26 +16,44 @@ from flowsieve.streaming.scorer import LinearScorer
 MICROS = 1_000_000.0
 
 
+FLAGS = ("syn_flag_count", "fin_flag_count", "rst_flag_count", "ack_flag_count")
+
+
+def known_names() -> list[str]:
+    """Every field name any rule looks at."""
+    names = [a for t in vocab.ALIASES for a in vocab.aliases(t)]
+    return list(dict.fromkeys([*names, *vocab.TOTAL_BYTES.split(), *vocab.TOTAL_PACKETS.split(), *FLAGS]))
+
+
 def parse_events(df: DataFrame, json_col: str = "value") -> DataFrame:
-    """Add ``fields``: the JSON object as text by cleaned name; null if unparsable."""
+    """Add ``keys`` (cleaned names) and ``fields``.
+
+    ``fields`` is a struct with one text field per known name, so that looking a
+    name up is a position, not a search through the event. A field that is present
+    but null reads as empty text; an absent one is null. Events that are no object
+    or have no field are dropped, as a request without content is refused; the
+    explode does that without parsing the event a second time in a filter.
+    """
     parsed = F.from_json(json_col, "map<string,string>")
     cleaned = F.transform_keys(parsed, lambda k, _: F.translate(F.lower(F.trim(k)), " -", "__"))
-    return df.withColumn("fields", cleaned)
+    filled = F.transform_values(cleaned, lambda _, v: F.coalesce(v, F.lit("")))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in known_names()])
+    some = F.filter(F.array(filled), lambda m: F.coalesce(F.size(m), F.lit(0)) > 0)
+    return df.select("*", F.explode(some).alias("_map")).select(
+        *df.columns, F.map_keys("_map").alias("keys"), F.from_json(F.to_json("_map"), schema).alias("fields")
+    )
+
+
+def _field(name: str) -> Column:
+    return F.col("fields").getField(name)
 
 
 def _has(names: list[str]) -> Column:
-    found = F.lit(False)
-    for n in names:
-        found = found | F.map_contains_key("fields", n)
-    return found
+    return F.coalesce(*[_field(n) for n in names]).isNotNull()
 
 
 def _first(names: list[str]) -> Column:
-    expr = None
-    for n in names:
-        hit, value = F.map_contains_key("fields", n), F.element_at("fields", n)
-        expr = F.when(hit, value) if expr is None else expr.when(hit, value)
-    return expr
+    return F.coalesce(*[_field(n) for n in names])
 
 
 def normalize_events(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -45,7 +64,7 @@ def normalize_events(df: DataFrame, keep: list[str]) -> DataFrame:
     """
     mapped_here = {t: _has(vocab.aliases(t)) for t in vocab.ALIASES}
     raw = df.select(
-        *keep, "fields",
+        *keep, "fields", "keys",
         *[_first(vocab.aliases(t)).alias(t) for t in vocab.ALIASES],
         *[h.alias(f"_has_{t}") for t, h in mapped_here.items()],
         number(_first(vocab.TOTAL_BYTES.split())).alias("_total_bytes"),
@@ -57,7 +76,7 @@ def normalize_events(df: DataFrame, keep: list[str]) -> DataFrame:
     value = {t: number(F.col(t)) for t in vocab.ALIASES if t not in vocab.TEXT_FIELDS}
 
     dur = value["dur"]
-    from_micros = F.map_contains_key("fields", "flow_duration") & ~_has(
+    from_micros = _has(["flow_duration"]) & ~_has(
         [a for a in vocab.aliases("dur")[: vocab.aliases("dur").index("flow_duration")]]
     )
     seconds = (
@@ -98,7 +117,8 @@ def normalize_events(df: DataFrame, keep: list[str]) -> DataFrame:
         size, packets = F.col(f"{s}bytes"), F.col(f"{s}pkts")
         both = sized[f"{s}bytes"] & sized[f"{s}pkts"]
         gap = value[f"{s}intpkt"]
-        iat = F.map_contains_key("fields", "fwd_iat_mean" if s == "s" else "bwd_iat_mean")
+        own_names = vocab.aliases(f"{s}intpkt")
+        iat = ~_has([n for n in own_names if "iat" not in n])
         rates[f"{s}load"] = F.when(has[f"{s}load"], value[f"{s}load"]).when(
             sized[f"{s}bytes"], flow_fn.bits_per_second(size, length)
         ).otherwise(F.lit(0.0))
@@ -112,8 +132,8 @@ def normalize_events(df: DataFrame, keep: list[str]) -> DataFrame:
         "sttl", "dttl", "sloss", "dloss", "sjit", "djit", "tcprtt", "synack", "ackdat", "sport", "dsport"
     )}
     counts = {c: F.when(has[c], value[c]).otherwise(F.lit(1.0)) for c in vocab.CONTEXT_COUNTS}
-    flags = {f: number(F.element_at("fields", f"{f}_flag_count")) for f in ("syn", "fin", "rst", "ack")}
-    flagged = _has([f"{f}_flag_count" for f in ("syn", "fin", "rst", "ack")])
+    flags = {f.split("_")[0]: number(_field(f)) for f in FLAGS}
+    flagged = _has(list(FLAGS))
     words = {
         "srcip": text(F.col("srcip")),
         "dstip": text(F.col("dstip")),
@@ -142,10 +162,11 @@ def event_schema() -> Column:
     def all_of(*names: str) -> Column:
         found = F.lit(True)
         for n in names:
-            found = found & F.map_contains_key("fields", n)
+            found = found & (_has([n]) if n in known else F.array_contains("keys", n))
         return found
 
-    keys = F.map_keys("fields")
+    known = set(known_names())
+    keys = F.col("keys")
     return (
         F.when(all_of("flow_duration", "total_fwd_packets", "total_backward_packets"), F.lit("cic_ids2017"))
         .when(_has(["id.orig_h", "id.resp_h"]) | all_of("conn_state", "orig_bytes", "resp_bytes"), F.lit("zeek_conn"))
@@ -158,12 +179,8 @@ def event_schema() -> Column:
 
 
 def score_events(events: DataFrame, scorer: LinearScorer, keep: list[str], json_col: str = "value") -> DataFrame:
-    """Stateless scoring of JSON events; works on batch and streaming frames alike.
-
-    Events without any field are dropped, as a request without content is refused.
-    """
-    parsed = parse_events(events, json_col).where(F.coalesce(F.size("fields"), F.lit(0)) > 0)
-    flows = normalize_events(parsed, keep)
+    """Stateless scoring of JSON events; works on batch and streaming frames alike."""
+    flows = normalize_events(parse_events(events, json_col), keep)
     meta = ["schema", "mapped_columns", "feature_coverage"]
     scored = scorer.score(flows, [*keep, *meta])
     severity = F.when(F.col("is_zeroday"), F.lit("HIGH")).otherwise(F.lit("LOW"))

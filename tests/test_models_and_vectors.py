@@ -49,8 +49,11 @@ def test_lof_many_cells_equals_one_cell(spark, cloud):
 
 def test_prototype_similarity_separates(spark):
     rows = [(0, [1.0, 0.1]), (0, [0.9, 0.0]), (1, [0.0, 1.0]), (1, [0.1, 0.8])]
-    got = neighbors.prototype_similarity(spark.createDataFrame(rows, "y int, v array<double>"), "v", "y").first()
+    df = spark.createDataFrame(rows, "y int, v array<double>")
+    got = neighbors.prototype_similarity(df, "v", "y", [(0, 1)]).first()
     assert -1 <= got["similarity"] < 0.3
+    with pytest.raises(ValueError, match="at least one sample"):
+        neighbors.prototype_similarity(df, "v", "y", [(0, 7)])
 
 
 def test_forest_ranks_outliers_first(spark):

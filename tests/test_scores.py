@@ -202,3 +202,12 @@ def test_class_multiplier_spec():
     assert prepare.parse_class_multipliers("DoS=5, Nope=2", ["DoS"]) == {"DoS": 5.0}
     with pytest.raises(ValueError, match="Class=weight"):
         prepare.parse_class_multipliers("DoS", ["DoS"])
+
+
+def test_rank_next_to_a_heavy_value(spark):
+    """The rank right after a value most rows share, and right before it."""
+    values = [0.0] * 700 + [float(i) for i in range(1, 201)] + [-float(i) for i in range(1, 101)]
+    df = spark.createDataFrame([(v,) for v in values], ["x"])
+    ranked = sorted(values)
+    wanted = [0, 99, 100, 799, 800, 801, 999]
+    assert ordered.order_statistics(df, {"x": wanted}, 5)["x"] == [ranked[k] for k in wanted]

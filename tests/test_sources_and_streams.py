@@ -175,3 +175,15 @@ def test_work_dir_needs_shared_folder_on_a_cluster():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(cluster)
+
+
+def test_events_with_repeated_and_null_fields(spark):
+    """Names that clean to the same field, null values and unknown fields do not break a stream."""
+    raw = [
+        '{"Src IP": "1.1.1.1", "src-ip": "2.2.2.2", "duration": null, "bytes": 10}',
+        '{"protocol": null, "x": {"deep": [1, 2]}, "sent_bytes": "n/a"}',
+    ]
+    df = spark.createDataFrame([(r,) for r in raw], ["value"])
+    rows = events.normalize_events(events.parse_events(df), []).collect()
+    assert rows[0]["srcip"] == "2.2.2.2" and rows[0]["dur"] == 0.0 and rows[0]["sbytes"] == 5.0
+    assert rows[1]["proto"] == "unknown" and rows[1]["sbytes"] == 0.0 and rows[1]["mapped_columns"] == 2
