@@ -39,17 +39,20 @@ def drift_report(
 ) -> DataFrame:
     """One row: level, warnings and the recommended action.
 
-    Inputs are summaries (one rate row each, at most a few score rows), so the
-    joins and the list below hold a handful of rows whatever the batch size.
+    Inputs are summaries (one rate row each, at most a few score rows), brought
+    together by a union, so the list below is short whatever the batch size.
     """
     over = (F.col("statistic") == "p95") & (F.col("ratio") > p95_ratio)
     message = F.concat(
         F.col("score"), F.lit(": "), F.format_string("%.6f", "current"), F.lit(" current p95 is "),
         F.format_string("%.2f", "ratio"), F.lit("x the reference p95 for score distribution."),
     )
-    scores = drift.agg(F.array_sort(F.collect_list(F.when(over, message))).alias("score_warnings"))
-    rates = reference_rate.select(F.col("zero_day_rate").alias("ref"), F.lit(1).alias("k")).join(
-        current_rate.select(F.col("zero_day_rate").alias("cur"), F.lit(1).alias("k")), "k"
+    nothing = F.lit(None)
+    facts = (
+        reference_rate.select(F.col("zero_day_rate").alias("ref"), nothing.cast("double").alias("cur"), nothing.cast("string").alias("message"))
+        .unionByName(current_rate.select(nothing.cast("double").alias("ref"), F.col("zero_day_rate").alias("cur"), nothing.cast("string").alias("message")))
+        .unionByName(drift.where(over).select(nothing.cast("double").alias("ref"), nothing.cast("double").alias("cur"), message.alias("message")))
+        .agg(F.max("ref").alias("ref"), F.max("cur").alias("cur"), F.array_sort(F.collect_list("message")).alias("score_warnings"))
     )
     change = F.col("cur") - F.col("ref")
 
@@ -83,15 +86,11 @@ def drift_report(
     )
     quiet = F.array(F.lit("No major drift signals were detected against the available reference."))
     action = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
-    return (
-        rates.join(scores.withColumn("k", F.lit(1)), "k")
-        .select(
-            F.col("ref").alias("reference_rate"), F.col("cur").alias("current_rate"),
-            raised.alias("raised"), level.alias("level"),
-        )
-        .select(
-            "reference_rate", "current_rate", "level",
-            F.when(F.size("raised") > 0, F.col("raised")).otherwise(quiet).alias("warnings"),
-            F.element_at(action, F.col("level")).alias("recommended_action"),
-        )
+    return facts.select(
+        F.col("ref").alias("reference_rate"), F.col("cur").alias("current_rate"),
+        raised.alias("raised"), level.alias("level"),
+    ).select(
+        "reference_rate", "current_rate", "level",
+        F.when(F.size("raised") > 0, F.col("raised")).otherwise(quiet).alias("warnings"),
+        F.element_at(action, F.col("level")).alias("recommended_action"),
     )

@@ -31,12 +31,13 @@ def report_json(**sections: DataFrame) -> DataFrame:
 
     Sections are summaries of a bounded number of rows; each becomes one array.
     """
-    spark = next(iter(sections.values())).sparkSession
-    out = spark.range(1).select(F.lit(1).alias("version"), F.lit(1).alias("_k"))
+    parts = None
     for name, table in sections.items():
-        rows = table.agg(F.collect_list(F.struct(*table.columns)).alias(name)).withColumn("_k", F.lit(1))
-        out = out.join(rows, "_k")
-    return out.drop("_k").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+        rows = F.to_json(F.collect_list(F.struct(*table.columns)), {"ignoreNullFields": "false"})
+        part = table.agg(F.concat(F.lit(f', "{name}": '), rows).alias("part"))
+        parts = part if parts is None else parts.unionByName(part)
+    body = F.array_join(F.array_sort(F.collect_list("part")), "")
+    return parts.agg(F.concat(F.lit('{"version": 1'), body, F.lit("}")).alias("value"))
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
