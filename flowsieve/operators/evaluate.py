@@ -148,11 +148,22 @@ def long_scores(df: DataFrame, methods: Sequence[str], keep: Sequence[str]) -> D
     return df.unpivot([ref(k) for k in keep], [ref(m) for m in methods], "method", "score")
 
 
+def reference_rows(df: DataFrame, in_reference: Column, label_col: str | None) -> DataFrame:
+    """The benign rows of the reference part, or all of it when none is benign."""
+    part = df.where(in_reference)
+    if label_col is None:
+        return part
+    benign = part.where(labels.truth_verdict(ref(label_col)) == "Normal")
+    return part if benign.isEmpty() else benign
+
+
 def method_thresholds(
-    df: DataFrame, methods: Sequence[str], reference: Column, target_fpr: float, in_task_rows: int = IN_TASK_ROWS
+    reference: DataFrame, methods: Sequence[str], target_fpr: float, flags: Sequence[str] = (), in_task_rows: int = IN_TASK_ROWS
 ) -> dict[str, float]:
-    found = exact_quantiles(df.where(reference), methods, [1.0 - target_fpr], in_task_rows)
-    return {m: found[m][0] for m in methods}
+    """Exact quantile per score on the reference rows; 0/1 decision columns use 0.5."""
+    scored = [m for m in methods if m not in flags]
+    found = exact_quantiles(reference, scored, [1.0 - target_fpr], in_task_rows)
+    return {m: 0.5 if m in flags else found[m][0] for m in methods}
 
 
 def method_metrics(
@@ -233,8 +244,14 @@ def tpr_at_fpr(curve: DataFrame, targets: Sequence[float] = (0.01, 0.05)) -> Dat
 def best_method_recall(
     long: DataFrame, areas: DataFrame, thresholds: Mapping[str, float], family_col: str
 ) -> DataFrame:
-    """OOD recall per family with the highest-AUC method at its threshold."""
+    """OOD recall per family with the highest-AUC method at its threshold.
+
+    A method without a threshold uses the 95 % quantile of the known rows.
+    """
     best = areas.agg(F.max_by("method", F.struct("auc", "method")).alias("best")).first()["best"]
+    if best not in thresholds:
+        known = long.where((F.col("method") == best) & (F.col("target") == 0)).select("score")
+        thresholds = {best: exact_quantiles(known, ["score"], [0.95])["score"][0]}
     return (
         long.where((F.col("method") == best) & (F.col("target") == 1))
         .groupBy(F.col(family_col).alias("family"))
@@ -247,7 +264,10 @@ def best_method_recall(
 
 
 def rank_methods(metrics: DataFrame) -> DataFrame:
-    """Best first: AUROC, then OOD rate, then low FPR; missing values rank last."""
+    """Best first: AUROC, then OOD rate, then low FPR; missing values rank last.
+
+    ``metrics`` has one row per method; columns beyond the ranked ones pass through.
+    """
     order = Window.orderBy(
         F.coalesce("auroc", F.lit(-1.0)).desc(),
         F.coalesce("ood_detection_rate", F.lit(-1.0)).desc(),

@@ -489,15 +489,11 @@ _METRICS = " UNION ALL ".join(_method_sql(m) for m in METHODS)
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     marked = production.prefix_reference(scores(spark, folder), 0.7, "source_row")
-    reference = F.col("in_reference") & (F.col("attack_cat") == "Normal")
-    limits = thresholds_for(marked, reference)
+    reference = evaluate.reference_rows(marked, F.col("in_reference"), "attack_cat")
+    limits = evaluate.method_thresholds(reference, METHODS, 0.05)
     return evaluate.method_metrics(marked, METHODS, limits, "attack_cat", ~F.col("in_reference"))
 
 
-def thresholds_for(marked: DataFrame, reference) -> dict[str, float]:
-    return evaluate.method_thresholds(marked, METHODS, reference, 0.05)
-
-
 @query("method_metrics", with_views(_METRICS, _REF))
 def method_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _metrics(spark, folder)
@@ -585,15 +581,17 @@ def best_method_recall(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "rank_methods",
     with_views(
-        f"""SELECT m.method, a.auc AS auroc, m.ood_detection_rate, m.normal_fpr, row_number() OVER (ORDER BY coalesce(a.auc, -1) DESC,
+        f"""SELECT m.method, a.auc AS auroc, a.ap AS auprc, m.alert_rate, m.ood_detection_rate, m.normal_fpr, row_number() OVER (ORDER BY coalesce(a.auc, -1) DESC,
  coalesce(m.ood_detection_rate, -1) DESC, coalesce(m.normal_fpr, 1), m.method) AS rank FROM ({_METRICS}) m
- JOIN (SELECT method, {_AUC} AS auc FROM steps_v GROUP BY method) a USING (method)""",
+ JOIN (SELECT method, {_AUC} AS auc, {r6('sum(pos * cum_pos / (cum_pos + cum_neg)) / max(p)')} AS ap FROM steps_v GROUP BY method) a USING (method)""",
         _REF, _STEPS,
     ),
 )
 def rank_methods(spark: SparkSession, folder: str) -> DataFrame:
-    areas = evaluate.curve_areas(evaluate.score_curve(long_scores(spark, folder))).select("method", F.col("auc").alias("auroc"))
-    metrics = _metrics(spark, folder).select("method", "ood_detection_rate", "normal_fpr")
+    areas = evaluate.curve_areas(evaluate.score_curve(long_scores(spark, folder))).select(
+        "method", F.col("auc").alias("auroc"), F.col("average_precision").alias("auprc")
+    )
+    metrics = _metrics(spark, folder).select("method", "alert_rate", "ood_detection_rate", "normal_fpr")
     return evaluate.rank_methods(metrics.join(areas, "method"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions import vectors as V
 from flowsieve.functions.scoring import Decision
-from flowsieve.operators import forest, models, neighbors, prepare, sampling, thresholds
+from flowsieve.operators import evaluate, forest, models, neighbors, prepare, production, sampling, thresholds
 from flowsieve.plans.base import judged, query, r6, table, with_views
 from flowsieve.plans.prepare_queries import feature_input
 from flowsieve.session import durable
@@ -51,7 +51,7 @@ def centroid_distance(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "prototype_similarity",
     with_views(
-        f"SELECT a.label AS class_a, b.label AS class_b, {r6('list_dot_product(a.p, b.p)')} AS similarity FROM proto_v a JOIN proto_v b ON b.label = a.label + 1",
+        f"SELECT CAST(a.label AS BIGINT) AS class_a, CAST(b.label AS BIGINT) AS class_b, {r6('list_dot_product(a.p, b.p)')} AS similarity FROM proto_v a JOIN proto_v b ON b.label = a.label + 1",
         _UNIT, _MEANS, _PROTO,
     ),
 )
@@ -154,6 +154,34 @@ def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.score_forest(everything, grown, MODEL_FEATURES, 256, ["source_row"])
 
 
+@query("baseline_methods")
+def baseline_methods(spark: SparkSession, folder: str) -> DataFrame:
+    """Forest and outlier factor beside the given scores: fitted on a prefix, judged on the rest."""
+    _, everything = model_input(spark, folder)
+    given = judged(spark, folder).select(
+        "source_row", F.col("is_zeroday").cast("double").alias("ids_active"),
+        F.col("hybrid").alias("ids_hybrid"), F.col("ae_re").alias("ids_ae_re"),
+    )
+    marked = production.prefix_reference(everything.drop("split"), 0.7, "source_row")
+    reference = evaluate.reference_rows(marked, F.col("in_reference"), "attack_cat")
+    grown = forest.fit_forest(reference, MODEL_FEATURES, "source_row", trees=100)
+    isolated = forest.score_forest(marked, grown, MODEL_FEATURES, 256, ["source_row", "attack_cat", "in_reference"])
+    vectors = marked.select("source_row", F.array(*MODEL_FEATURES).alias("v"))
+    # a sampled fit is the feature: density is judged against a bounded reference
+    fitted = sampling.stable_sample(reference.select("source_row", F.array(*MODEL_FEATURES).alias("v")), 1_000, "source_row")
+    factor = neighbors.local_outlier_factor(vectors, fitted, "source_row", "v", k=35).drop("lof")
+    table_ = durable(isolated.join(factor, "source_row").join(given, "source_row"), "baseline-scores")
+    methods = ["ids_active", "ids_hybrid", "ids_ae_re", "isolation_forest", "local_outlier_factor"]
+    limits = evaluate.method_thresholds(
+        evaluate.reference_rows(table_, F.col("in_reference"), "attack_cat"), methods, 0.01, flags=["ids_active"]
+    )
+    metrics = evaluate.method_metrics(table_, methods, limits, "attack_cat", ~F.col("in_reference"))
+    rest = table_.where("not in_reference").withColumn("target", (F.col("attack_cat") != "Normal").cast("int"))
+    areas = evaluate.curve_areas(evaluate.score_curve(evaluate.long_scores(rest, methods, ["target"])))
+    joined = metrics.join(areas.withColumnRenamed("auc", "auroc").withColumnRenamed("average_precision", "auprc"), "method")
+    return evaluate.rank_methods(joined)
+
+
 @query("fit_hybrid_meta")
 def fit_hybrid_meta(spark: SparkSession, folder: str) -> DataFrame:
     weights = models.fit_hybrid(judged(spark, folder), F.col("attack_cat") == "Fuzzers")

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rank limits also apply before the shuffle for samples of this size
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # vendor events may repeat a field name once names are cleaned
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # the JVM never compiles generated methods above 8000 bytes; wide projections

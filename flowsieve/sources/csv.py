@@ -168,7 +168,15 @@ def cap_rows(df: DataFrame, limit: int) -> DataFrame:
     return df.limit(limit)
 
 
-def cap_rows_per_file(df: DataFrame, limit: int, file_col: str = "source_file", row_col: str = "source_row") -> DataFrame:
-    """The first rows of every file; the rank limit also applies before the shuffle."""
+def cap_rows_per_file(
+    df: DataFrame, limit: int, file_col: str = "source_file", row_col: str = "source_row", dense: bool = False
+) -> DataFrame:
+    """The first rows of every file.
+
+    Rows numbered by ``number_rows`` are ``dense`` from 0, which makes this a filter.
+    Otherwise rows are ranked; the rank limit also applies before the shuffle.
+    """
+    if dense:
+        return df.where(F.col(row_col) < limit)
     order = Window.partitionBy(file_col).orderBy(row_col)
     return df.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")

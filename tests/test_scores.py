@@ -211,3 +211,24 @@ def test_rank_next_to_a_heavy_value(spark):
     ranked = sorted(values)
     wanted = [0, 99, 100, 799, 800, 801, 999]
     assert ordered.order_statistics(df, {"x": wanted}, 5)["x"] == [ranked[k] for k in wanted]
+
+
+def test_reference_falls_back_to_whole_prefix(spark):
+    df = spark.createDataFrame([(0, "DoS", 0.1), (1, "DoS", 0.3), (2, "Normal", 0.9)], ["i", "label", "s"])
+    part = evaluate.reference_rows(df, F.col("i") < 2, "label")
+    assert part.count() == 2
+    assert evaluate.reference_rows(df, F.col("i") < 3, "label").count() == 1
+    assert evaluate.method_thresholds(part, ["s", "i"], 0.5, flags=["i"]) == {"s": pytest.approx(0.2), "i": 0.5}
+
+
+def test_best_method_without_threshold(spark):
+    rows = [("m", float(v), t, f) for v, t, f in [(1, 0, "Normal"), (2, 0, "Normal"), (3, 1, "Worms"), (1.5, 1, "Worms")]]
+    long = spark.createDataFrame(rows, ["method", "score", "target", "family"])
+    areas = evaluate.curve_areas(evaluate.score_curve(long))
+    got = evaluate.best_method_recall(long, areas, {}, "family").first()
+    assert (got["family"], got["recall"], got["support"]) == ("Worms", 0.5, 2)
+
+
+def test_numeric_features_from_schema(spark):
+    df = spark.createDataFrame([(1, "x", 2.0, 3.0, "tcp", 1.0, 5)], ["id", "note", "dur", "label", "proto", "proto_num", "sport"])
+    assert prepare.numeric_features(df) == ["dur", "proto_num"]
