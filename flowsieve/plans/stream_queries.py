@@ -20,9 +20,10 @@ from flowsieve.streaming.scorer import LinearScorer
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table read as a stream of files."""
+    """The events table, one file or a folder of files, read as a stream."""
     schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # a pattern, because the source takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
 
 
 SCORER = LinearScorer(

@@ -26,6 +26,11 @@ SETTINGS = {
 }
 
 
+# Can only be given when a session is built: noting the caller of every column
+# function costs more than building the plan.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
     for key, value in SETTINGS.items():
@@ -37,7 +42,7 @@ def build_session(app: str = "flowsieve", master: str | None = None, **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **BUILD_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
