@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowsieve.llm import exact, simhash
-from flowsieve.llm.common import tune
+from flowsieve.llm import exact, language, pieces, quality, simhash
+from flowsieve.llm.common import bucket_of, tune
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -31,9 +33,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query(
-    "op6_simhash_near_dedup",
-)
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs, bucket_of(F.col("doc_id"), 5) != 0)
+    held_out = (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out")
+    return language.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "ambiguous")
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = pieces.decode(pieces.encode(table(spark, folder, "documents"), model), model)
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), bucket_of(F.col("id"), 4) != 2)
+    return quality.score(docs, model).select(
+        "doc_id",
+        (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.simhash_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
