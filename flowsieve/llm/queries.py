@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import exact, language, pieces, quality, simhash
+from flowsieve.llm import exact, language, lattice, pieces, quality, simhash
 from flowsieve.llm.common import bucket_of, tune
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = bucket_of(F.col("doc_id"), 7) == 2
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = lattice.lm_score(table(spark, folder, "documents"), ~held_out, model)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
