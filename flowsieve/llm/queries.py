@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import exact, language, lattice, pieces, quality, simhash
+from flowsieve.llm import exact, language, lattice, pieces, quality, simhash, suffix_array
 from flowsieve.llm.common import bucket_of, tune
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_array.remove_repeats(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op5_lm_scoring")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     held_out = bucket_of(F.col("doc_id"), 7) == 2
