@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import exact, language, lattice, pieces, quality, simhash, suffix_array
+from flowsieve.llm import exact, language, lattice, pieces, quality, simhash, suffix_array, suffix_tree
 from flowsieve.llm.common import bucket_of, tune
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_tree.remove_seen_words(table(spark, folder, "documents"))
+    gone = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"]).cast("long")
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op8_exact_dedup",
     f"""

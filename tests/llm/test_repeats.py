@@ -1,4 +1,4 @@
-"""Repeated byte strings against brute force."""
+"""Repeated byte strings and word sequences against brute force."""
 
 import random
 from collections import Counter
@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from flowsieve.llm import anchors, repeats, suffix_array
+from flowsieve.llm import anchors, repeats, suffix_array, suffix_tree
 from tests.llm.test_dedup import frame, prose
 
 SMALL = repeats.Scheme(24, 8, False)
@@ -104,3 +104,55 @@ def test_production_width(spark):
     mine = sorted((r.doc_id, r.n_bytes, [(s.begin, s.end) for s in r.spans], bytes(r.kept)) for r in got)
     assert mine == sorted((i, *w) for (i, _), w in zip(rows, plain_kept([t for _, t in rows], 400)))
     assert suffix_array.remove_repeats(frame(spark, rows).where("doc_id < 0")).count() == 0
+
+
+def plain_words(rows, width):
+    """Kept words of each row when windows that a smaller id holds go."""
+    split = [(i if i is not None else 1 << 70, (t or "").encode().split()) for i, t in rows]
+    least = {}
+    for i, words in split:
+        for k in range(len(words) - width + 1):
+            w = tuple(words[k : k + width])
+            least[w] = min(least.get(w, i), i)
+    out = []
+    for i, words in split:
+        gone = [False] * len(words)
+        for k in range(len(words) - width + 1):
+            if least[tuple(words[k : k + width])] < i:
+                gone[k : k + width] = [True] * width
+        out.append((len(words), sum(gone), b" ".join(w for w, g in zip(words, gone) if not g).decode()))
+    return out
+
+
+def word_rows(seed):
+    rng = random.Random(seed)
+    shared = [" ".join(rng.choice(["a", "b", "cc", "dé"]) for _ in range(rng.randint(3, 40))) for _ in range(5)]
+    rows = [(None, "a b " * 20), (None, shared[0]), (1, None), (2, ""), (3, "a " * 30), (4, " a\t" * 30), (5, "a\n" * 12), (7, shared[1]), (7, shared[1])]
+    for k in range(60):
+        parts = [prose(rng, rng.randint(0, 6)) if rng.random() < 0.5 else rng.choice(shared) for _ in range(rng.randint(1, 6))]
+        rows.append((200 - k, rng.choice([" ", "  ", "\n"]).join(parts)))
+    rows += [(300 + k, prose(rng, 3) + " " + shared[4] + " " + shared[2] + " " + prose(rng, 3)) for k in range(40)]
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "width", "unit", "tree"), [(1, 13, 1 << 22, 20_000), (2, 5, 400, 6), (3, 13, 200, 3)])
+def test_removed_words(spark, monkeypatch, seed, width, unit, tree):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(repeats, "RANGE_BYTES", 4000)
+    rows = word_rows(seed)
+    scheme = repeats.Scheme(width, 2, True)
+    got = suffix_tree.remove_seen_words(frame(spark, rows), scheme=scheme, unit_bytes=unit, suffixes_of_tree=tree).collect()
+    mine = sorted((str(r.doc_id), r.n_words, sum(s.end - s.begin for s in r.spans), r.kept) for r in got)
+    assert mine == sorted((str(i), *w) for (i, _), w in zip(rows, plain_words(rows, width)))
+    assert any(n for _, _, n, _ in mine)
+
+
+def test_no_words(spark):
+    none = frame(spark, [(1, "a")]).where("doc_id < 0")
+    assert suffix_tree.remove_seen_words(none).count() == 0
+
+
+def test_subtree_nodes():
+    tree = suffix_tree.Subtree(sorted(["a b c", "a b c", "a b d", "a b d", "a x y", "b b b"]))
+    assert sorted(tree.nodes) == [(0, 0, 5), (1, 0, 4), (2, 0, 3), (3, 0, 1), (3, 2, 3)]
+    assert tree.deep(3) == [(0, 1), (2, 3)] and tree.deep(2) == [(0, 3)]
