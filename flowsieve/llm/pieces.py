@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -29,8 +32,8 @@ from pyspark.sql import DataFrame
 from flowsieve.llm.common import batch_of, narrow
 
 SPACE = "▁"
-REMEMBERED = 200_000  # cuts a worker keeps
-LONGEST_REMEMBERED = 48  # characters
+REMEMBERED = 500_000  # cuts a worker keeps
+LONGEST_REMEMBERED = 32  # characters
 
 _LOADED: dict[str, Codec] = {}
 
@@ -41,87 +44,105 @@ class MergeEncoder:
     def __init__(self, ids: dict[str, int], scores: dict[str, float]) -> None:
         import ahocorasick
 
-        self.ids, self.scores = ids, scores
+        self.scores = scores
+        self.names = list(ids)
+        self.given = [ids[p] for p in self.names]  # the model's id of each token; None for strange characters
+        self.token = {p: k for k, p in enumerate(self.names)}
+        self.sizes = [len(p) for p in self.names]
+        self.shorter: list[int] = [-2] * len(self.names)  # -2: not looked up yet, -1: none
         self.matches = ahocorasick.Automaton()
-        for piece in ids:
-            self.matches.add_word(piece, piece)
+        for k, piece in enumerate(self.names):
+            self.matches.add_word(piece, (len(piece) - 1, k))
         if ids:
             self.matches.make_automaton()
-        self.shorter: dict[str, str | None] = {}
-        self.whole: dict[str, bool] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging gives, by definition; used on one token or two."""
-        parts = list(text)
+        parts, scores = list(text), self.scores
+        near = [scores.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         while True:
             best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
+            for k, score in enumerate(near):
                 if score is not None and (best is None or score > best):
                     best, at = score, k
             if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def is_whole(self, token: str) -> bool:
-        """Whether a token alone merges to itself."""
-        known = self.whole.get(token)
+            del near[at]
+            if at:
+                near[at - 1] = scores.get(parts[at - 1] + parts[at])
+            if at < len(near):
+                near[at] = scores.get(parts[at] + parts[at + 1])
+
+    def strange(self, character: str) -> int:
+        """Token of a character that is no piece of its own."""
+        known = self.token.get(character)
         if known is None:
-            known = self.whole[token] = self.merged(token) == [token]
+            known = self.token[character] = len(self.names)
+            self.names.append(character)
+            self.given.append(None)
+            self.sizes.append(1)
+            self.shorter.append(-1)
         return known
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether two neighbouring tokens, merged again, stay these two."""
-        known = self.fits.get((left, right))
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two neighbouring tokens (or one, after -1), merged again, stay what they are."""
+        key = left << 32 | right
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 1_000_000:
                 self.fits.clear()
-            known = self.fits[left, right] = self.merged(left + right) == [left, right]
+            alone = [self.names[right]] if left < 0 else [self.names[left], self.names[right]]
+            known = self.fits[key] = self.merged("".join(alone)) == alone
         return known
 
-    def next_shorter(self, token: str) -> str | None:
-        """The longest shorter piece that begins the token; its first character where that is no piece."""
-        if token in self.shorter:
-            return self.shorter[token]
-        found = next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ids), None)
-        if found is None and len(token) > 1:
-            found = token[0]
-        self.shorter[token] = found
-        return found
+    def next_shorter(self, token: int) -> int:
+        """The longest shorter piece that begins the token, or else its first character; -1 for a single one."""
+        known = self.shorter[token]
+        if known == -2:
+            name = self.names[token]
+            known = next((self.token[name[:n]] for n in range(len(name) - 1, 0, -1) if name[:n] in self.token), -1)
+            if known < 0 and len(name) > 1:
+                known = self.strange(name[0])
+            self.shorter[token] = known
+        return known
 
-    def encode(self, text: str) -> list[str]:
+    def encode(self, text: str) -> list[int]:
         """Tokens of ``text``; a character that no piece covers is a token of its own."""
-        if text in self.ids and self.is_whole(text):
-            return [text]
-        n = len(text)
-        longest = list(text)
-        if self.ids:
-            for end, piece in self.matches.iter(text):  # a later end is a longer match
-                longest[end + 1 - len(piece)] = piece
+        n, sizes, fits, shorter = len(text), self.sizes, self.fits, self.shorter
+        longest = [-1] * n
+        if self.names:
+            for end, (back, token) in self.matches.iter(text):  # a later end is a longer match
+                longest[end - back] = token
+        if -1 in longest:
+            longest = [t if t >= 0 else self.strange(c) for t, c in zip(longest, text, strict=True)]
         failed = bytearray(n // 8 + 1)
-        tokens: list[str] = []
-        at, token = 0, longest[0] if n else None
+        tokens: list[int] = []
+        at, left = 0, -1
+        token = longest[0] if n else -1
         while at < n:
-            while token is not None:
-                end = at + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and (
-                    self.compatible(tokens[-1], token) if tokens else self.is_whole(token)
-                ):
-                    break
-                token = self.next_shorter(token)
-            if token is not None:
+            while token >= 0:
+                end = at + sizes[token]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fit = fits.get(left << 32 | token)
+                    if fit or (fit is None and self.compatible(left, token)):
+                        break
+                less = shorter[token]
+                token = less if less != -2 else self.next_shorter(token)
+            if token >= 0:
                 tokens.append(token)
-                at = end
-                token = longest[at] if at < n else None
+                left, at = token, end
+                if at < n:
+                    token = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 back = tokens.pop()
-                at -= len(back)
+                at -= sizes[back]
+                left = tokens[-1] if tokens else -1
                 token = self.next_shorter(back)
         return tokens
 
-
 class Codec:
     """A SentencePiece model of the merge type: encodes by backtracking, decodes with the library."""
 
@@ -136,36 +157,48 @@ class Codec:
         self.encoder = MergeEncoder({names[k]: k for k in normal}, {names[k]: sp.get_score(k) for k in normal})
         self.bytes = {int(names[k][3:5], 16): k for k in range(len(names)) if sp.is_byte(k)}
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
-        letters = set(chain.from_iterable(names[k] for k in normal))
-        # line breaks and tabs that no piece holds are borders as well
-        alone = "".join(c for c in "\n\t\r" if c not in letters)
-        self.cuts = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]+" if alone else ""))
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, cut: str) -> tuple[int, ...]:
+        # where no piece joins a letter to anything but letters, texts are cut there as well
+        letter = re.compile(r"[^\W\d_]")
+        mixed = any(
+            bool(letter.match(a)) != bool(letter.match(b))
+            for k in normal
+            for a, b in zip(names[k], names[k][1:], strict=False)
+            if SPACE not in (a, b)
+        )
+        other = rf"(?:[\W\d_](?<!{SPACE}))"
+        self.cuts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if mixed else rf"{SPACE}*[^\W\d_]+|{SPACE}*{other}+|{SPACE}+")
+        self.seen: dict[str, tuple[bytes, bytes]] = {}
+
+    def _learn(self, cut: str) -> tuple[bytes, bytes]:
+        """Ids of one cut, as 32-bit numbers and as decimal text."""
         out: list[int] = []
+        given = self.encoder.given
         for token in self.encoder.encode(cut):
-            known = self.encoder.ids.get(token)
+            known = given[token]
             if known is not None:
                 out.append(known)
             elif self.bytes:
-                out += [self.bytes[b] for b in token.encode()]
+                out += [self.bytes[b] for b in self.encoder.names[token].encode()]
             else:
                 out.append(self.unknown)
-        found = tuple(out)
+        found = array("i", out).tobytes(), " ".join(map(str, out)).encode()
         if len(cut) <= LONGEST_REMEMBERED:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
+            if len(self.seen) >= REMEMBERED:  # forget the older half
+                for old in list(islice(self.seen, REMEMBERED // 2)):
+                    del self.seen[old]
             self.seen[cut] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def cut_ids(self, text: str) -> list[tuple[bytes, bytes]]:
+        """The ids of a text, cut by cut."""
+        seen, learn = self.seen, self._learn
+        return [seen.get(c) or learn(c) for c in self.cuts.findall(self.sp.normalize(text))]
+
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text, then the end id."""
-        seen, learn = self.seen, self._ids
-        cuts = self.cuts.findall(self.sp.normalize(text))
-        ids = list(chain.from_iterable([seen.get(c) or learn(c) for c in cuts]))
-        ids.append(self.end)
-        return ids
+        ids = [numbers for numbers, _ in self.cut_ids(text)]
+        ids.append(self.end.to_bytes(4, sys.byteorder))
+        return np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -186,24 +219,46 @@ def _ship(df: DataFrame, model_path: str) -> Broadcast:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, uid, ids): each whole text as the model's ids and an end id.
-
-    Null text is empty; an empty text is the end id alone. Every row gives one row,
-    repeated rows and null ids included; an empty table gives an empty result. Texts
-    are encoded one after another in tasks, nothing is shuffled.
+def encode(
+    docs: DataFrame,
+    model_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    outputs: tuple[str, ...] = ("ids",),
+) -> DataFrame:
+    """(id_col, uid, n_tokens, outputs): each whole text as the model's ids and an end id.
+
+    ``outputs`` names what is wanted: ``ids`` (array), ``ids_text`` (decimal ids joined
+    by one space), ``decoded`` (the ids decoded again). Null text is empty; an empty
+    text is the end id alone. Every row gives one row, repeated rows and null ids
+    included; an empty table gives an empty result. Texts are encoded one after another
+    in tasks, nothing is shuffled.
     """
     model = _ship(docs, model_path)
-    schema = pa.schema([("id", pa.int64()), ("uid", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "ids_text": ("string", pa.string()), "decoded": ("string", pa.string())}
+    fixed = [("id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64())]
+    schema = pa.schema([*fixed, *[(name, kinds[name][1]) for name in outputs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
+        last = codec.end.to_bytes(4, sys.byteorder), str(codec.end).encode()
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
-            yield batch_of(schema, {"id": batch.column("id"), "uid": batch.column("uid"), "ids": ids})
+            columns: dict[str, list] = {name: [] for name in ("n_tokens", "ids", "ids_text", "decoded")}
+            for text in batch.column("text").to_pylist():
+                parts = [*codec.cut_ids(text or ""), last]
+                ids = np.frombuffer(b"".join([numbers for numbers, _ in parts]), np.int32)
+                columns["n_tokens"].append(len(ids))
+                if "ids" in outputs:
+                    columns["ids"].append(ids)
+                if "ids_text" in outputs:
+                    columns["ids_text"].append(b" ".join([t for _, t in parts]).decode())
+                if "decoded" in outputs:
+                    columns["decoded"].append(codec.decode(ids.tolist()))
+            yield batch_of(schema, columns | {"id": batch.column("id"), "uid": batch.column("uid")})
 
     base = narrow(docs, id=id_col, text=text_col)
-    return base.mapInArrow(run, "id long, uid long, ids array<int>").withColumnRenamed("id", id_col)
+    listed = ", ".join(f"{name} {kinds[name][0]}" for name in outputs)
+    return base.mapInArrow(run, f"id long, uid long, n_tokens long, {listed}").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -44,13 +44,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    tokens = pieces.decode(pieces.encode(table(spark, folder, "documents"), model), model)
-    return tokens.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    tokens = pieces.encode(table(spark, folder, "documents"), model, outputs=("ids_text", "decoded"))
+    ids, decoded = F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return tokens.select("doc_id", "n_tokens", ids, decoded)
 
 
 @query("op3_suffix_array_dedup")
