@@ -31,7 +31,7 @@ ORDERS = (1, 2, 3, 4)  # bytes in an n-gram
 PIECE = 1 << 20  # bytes of a long text handled at once
 UNIT = 1 << 16  # n-gram mass is summed in whole numbers, so sums do not depend on their order
 LANGUAGES = 512  # most languages a model can hold
-CLOSE = 0.6  # a winning share below this is ambiguous
+CLOSE = 0.5  # a winning language with less than this share of belief is ambiguous
 UNDETERMINED = "und"
 
 _LETTER = regex.compile(r"\p{L}")

@@ -11,7 +11,6 @@ long text keeps asking the dictionaries instead of its own beginning.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import batch_of, narrow, text_bytes
+from flowsieve.llm.common import batch_of, durable, narrow, text_bytes
 
 PIECE = 2048  # bytes compressed at a time
-SAMPLE_PIECES = 3000  # labelled pieces of each class a dictionary is built from; the only bound
+SAMPLE = 4000  # ids, and pieces of their texts, of each class that a dictionary is built from; the only bound
 DICTIONARY = 112_640  # bytes
 LEVEL = 3
 STEPS = 2000  # bins of the size difference, for calibration
@@ -107,63 +106,85 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(beta[0] / scale), float(beta[1])
 
 
-class QualityModel:
-    """Two dictionaries and the curve that turns a size difference into a probability."""
+def marks(labels: DataFrame, train: Column, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(id, label) of the labelled ids where ``train`` (over the column ``id``) holds.
 
-    def __init__(self, good: bytes, bad: bytes, slope: float, intercept: float) -> None:
-        self.good, self.bad, self.slope, self.intercept = good, bad, slope, intercept
+    Labels other than 0 and 1, null ids, and ids whose labels contradict each other
+    are left out; an id that is labelled twice alike counts once.
+    """
+    rows = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    rows = rows.where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).where(train)
+    return rows.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+
+
+def _half() -> Column:
+    """0: ids for the dictionaries, 1: ids for calibration."""
+    return F.pmod(F.xxhash64("id"), F.lit(2))
 
 
-def fit(
+def dictionaries(
+    docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE
+) -> tuple[bytes, bytes] | None:
+    """(good, bad) dictionaries, or None without both classes.
+
+    Of each class the ``sample`` ids that come first by hash are looked up in ``docs``
+    (a list of bounded size, so it is broadcast), and as many pieces of their texts,
+    first by hash, train the dictionary.
+    """
+    order = F.xxhash64("id", F.lit("order"))
+    chosen = [marked.where((_half() == 0) & (F.col("label") == k)).orderBy(order, "id").limit(sample) for k in (0, 1)]
+    rows = narrow(docs, id=id_col, text=text_col).drop("uid").join(F.broadcast(chosen[0].union(chosen[1])), "id")
+    pieces = durable(rows.mapInArrow(_pieces, "label int, order long, piece binary"), "quality-pieces")
+    found = []
+    for label in (1, 0):
+        some = pieces.where(F.col("label") == label).orderBy("order", "piece").limit(sample)
+        found.append([bytes(r.piece) for r in some.collect()])
+    return (_dictionary(found[0]), _dictionary(found[1])) if all(found) else None
+
+
+def differences(docs: DataFrame, pair: tuple[bytes, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, uid, difference) of every row: the normalised size difference of its whole text."""
+    run = _sized(*pair, [("id", pa.int64()), ("uid", pa.int64())])
+    return narrow(docs, id=id_col, text=text_col).mapInArrow(run, "id long, uid long, difference double")
+
+
+def calibrate(sized: DataFrame, marked: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of the curve, over all marked rows that fed no dictionary.
+
+    Rows meet their labels by id with their one number; what reaches the driver is a
+    count for each label and step of the difference.
+    """
+    joined = sized.join(marked.where(_half() == 1), "id")
+    bins = joined.groupBy("label", F.round(F.col("difference") * STEPS).alias("bin")).count().collect()
+    x = np.array([r["bin"] / STEPS for r in bins], float)
+    y, weight = np.array([r["label"] for r in bins], float), np.array([r["count"] for r in bins], float)
+    return logistic(x, y, weight)
+
+
+def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
     train: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    sample_pieces: int = SAMPLE_PIECES,
-) -> QualityModel:
-    """Learn from the labelled rows where ``train`` (over the column ``id``) holds.
-
-    Half of these ids, by hash, feed the dictionaries with at most ``sample_pieces``
-    pieces of each class; all rows of the other half calibrate. Labels other than 0
-    and 1, and ids whose labels contradict each other, are left out. With only one
-    class, or none, the score is the share of good labels, 0.5 without any.
-    """
-    marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    marks = marks.where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).where(train)
-    marks = marks.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    rows = narrow(docs, id=id_col, text=text_col).drop("uid").join(marks, "id")
-    half = F.pmod(F.xxhash64("id"), F.lit(2))
-    pieces = rows.where(half == 0).mapInArrow(_pieces, "label int, order long, piece binary")
-    samples: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        some = pieces.where(F.col("label") == label).orderBy("order", "piece").limit(sample_pieces)
-        samples[label] = [bytes(r.piece) for r in some.collect()]
-    totals = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
-    if not samples[0] or not samples[1]:
-        share = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.5
-        return QualityModel(b"", b"", 0.0, math.log((share + 1e-6) / (1 - share + 1e-6)))
-    good, bad = _dictionary(samples[1]), _dictionary(samples[0])
-    sized = rows.where(half == 1).mapInArrow(_sized(good, bad, [("label", pa.int32())]), "label int, difference double")
-    bins = sized.groupBy("label", F.round(F.col("difference") * STEPS).alias("bin")).count().collect()
-    x = np.array([r["bin"] / STEPS for r in bins], float)
-    y, weight = np.array([r["label"] for r in bins], float), np.array([r["count"] for r in bins], float)
-    slope, intercept = logistic(x, y, weight)
-    return QualityModel(good, bad, slope, intercept)
-
-
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, uid, difference, score) of every row; only the text is looked at.
-
-    Null text counts as empty, and an empty text is scored like any other. Repeated
-    rows keep a row each; an empty table gives an empty result.
+    sample: int = SAMPLE,
+) -> DataFrame:
+    """(id_col, uid, difference, score) of every row of ``docs``; a score looks at the text only.
+
+    Learns from the labelled ids where ``train`` (over the column ``id``) holds. Null
+    text counts as empty, and an empty text is scored like any other. With only one
+    class of labels every score is the share of good ones, and 0.5 without any label.
+    Repeated rows keep a row each; an empty table gives an empty result.
     """
-    base = narrow(docs, id=id_col, text=text_col)
-    if model.good:
-        run = _sized(model.good, model.bad, [("id", pa.int64()), ("uid", pa.int64())])
-        sized = base.mapInArrow(run, "id long, uid long, difference double")
-    else:
-        sized = base.select("id", "uid", F.lit(0.0).alias("difference"))
-    odds = F.col("difference") * model.slope + model.intercept
+    marked = durable(marks(labels, train, id_col, label_col), "quality-labels")
+    pair = dictionaries(docs, marked, id_col, text_col, sample)
+    if pair is None:
+        totals = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
+        share = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
+        base = narrow(docs, id=id_col)
+        return base.select(F.col("id").alias(id_col), "uid", F.lit(0.0).alias("difference"), F.lit(share).alias("score"))
+    sized = durable(differences(docs, pair, id_col, text_col), "quality-sizes")
+    slope, intercept = calibrate(sized, marked)
+    odds = F.col("difference") * slope + intercept
     return sized.select(F.col("id").alias(id_col), "uid", "difference", (1 / (1 + F.exp(-odds))).alias("score"))

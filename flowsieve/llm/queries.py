@@ -71,14 +71,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    model = quality.fit(docs, table(spark, folder, "labels"), bucket_of(F.col("id"), 4) != 2)
-    return quality.score(docs, model).select(
-        "doc_id",
-        (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.7).cast("int").alias("predicted"),
-    )
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = quality.quality_scores(docs, labels, bucket_of(F.col("id"), 4) != 2)
+    held_out = (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @query("op6_simhash_near_dedup")

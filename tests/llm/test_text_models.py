@@ -126,8 +126,7 @@ def test_quality_held_out(spark):
     rows += [(900, None), (901, ""), (902, "x" * 300_000), (None, "abc"), (2, rows[2][1])]
     docs = frame(spark, rows)
     labels = spark.createDataFrame(marks, "doc_id long, quality int, text string")
-    model = quality.fit(docs, labels, bucket_of(F.col("id"), 4) != 2)
-    got = [(r.doc_id, r.score) for r in quality.score(docs, model).collect()]
+    got = [(r.doc_id, r.score) for r in quality.quality_scores(docs, labels, bucket_of(F.col("id"), 4) != 2).collect()]
     assert len(got) == len(rows) and all(0 <= s <= 1 for _, s in got)
     right = [(s >= 0.7) == (i % 3 != 0) for i, s in got if i is not None and i < 400]
     assert sum(right) / len(right) > 0.97
@@ -137,6 +136,7 @@ def test_quality_held_out(spark):
 def test_quality_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert {r.score for r in quality.score(docs, quality.fit(docs, none, F.lit(True))).collect()} == {0.5}
+    assert {r.score for r in quality.quality_scores(docs, none, F.lit(True)).collect()} == {0.5}
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    assert all(r.score > 0.99 for r in quality.score(docs, quality.fit(docs, one, F.lit(True))).collect())
+    assert all(r.score == 1.0 for r in quality.quality_scores(docs, one, F.lit(True)).collect())
+    assert quality.quality_scores(docs.where("doc_id > 9"), one, F.lit(True)).count() == 0
