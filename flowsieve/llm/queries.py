@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import exact, language, lattice, pieces, quality, simhash, suffix_array, suffix_tree
+from flowsieve.llm import decontaminate, exact, language, lattice, pieces, quality, quotes, simhash, suffix_array, suffix_tree
 from flowsieve.llm.common import bucket_of, tune
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_decontamination")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    items = F.array_join(F.transform("hits", lambda h: h["item_id"].cast("string")), " ")
+    return found.select("doc_id", "contaminated", F.size("hits").cast("long").alias("n_items"), items.alias("item_ids"))
+
+
 @query("op5_lm_scoring")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     held_out = bucket_of(F.col("doc_id"), 7) == 2
@@ -102,3 +109,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.exact_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_chat_formatting")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, folder, "conversations"))
