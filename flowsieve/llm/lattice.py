@@ -34,6 +34,7 @@ ZIPF_SHIFT = 2.7
 PRIOR_MASS = 1000.0  # pseudo-counts that the vocabulary's own order is worth
 BYTE_SHARE = 1e-4  # share of probability kept for characters outside the vocabulary
 GROUP_CELLS = 1 << 18  # characters of equally long words that are worked on at once
+GROUP_WORDS = 16_384  # words worked on together
 UNIT = 1 << 20  # expected counts are summed in whole numbers, so sums do not depend on their order
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,13 +136,19 @@ class Lattice:
                 steps.append((j, edge, ids))
             backward = np.full((length + 1, len(where)), -np.inf)
             backward[length] = 0
+            scale = np.log(weights[where]) - forward[length]
+            seen, uses = [], []
             for j, edge, ids in reversed(steps):
                 for k in range(len(edge)):  # the piece of k + 1 characters that ends at j
-                    i = j - 1 - k
-                    through = edge[k] + backward[j]
-                    use = np.exp(forward[i] + through - forward[length]) * weights[where]
-                    total += np.bincount(ids[k], weights=use, minlength=len(total))
-                    backward[i] = np.logaddexp(backward[i], through)
+                    real = np.flatnonzero(edge[k] > -np.inf)
+                    if len(real):
+                        i = j - 1 - k
+                        through = edge[k][real] + backward[j][real]
+                        seen.append(ids[k][real])
+                        uses.append(np.exp(forward[i][real] + through + scale[real]))
+                        backward[i][real] = np.logaddexp(backward[i][real], through)
+            if seen:
+                total += np.bincount(np.concatenate(seen), weights=np.concatenate(uses), minlength=len(total))
         return total[:-1]
 
 
@@ -209,13 +216,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from word_list()
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``GROUP_WORDS``, so that words of one length come many at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GROUP_WORDS:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _expected(shipped: Broadcast, logp: Broadcast):
     schema = pa.schema([("piece", pa.int32()), ("mass", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _lattice(shipped)
         total = np.zeros(len(own.names))
-        for batch in batches:
+        for batch in _larger(batches):
             words = [w.decode() for w in batch.column("word").to_pylist()]
             total += own.expected(words, batch.column("c").to_numpy().astype(float), logp.value)
         some = np.flatnonzero(total)
@@ -229,7 +248,7 @@ def _scored(shipped: Broadcast, logp: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _lattice(shipped)
-        for batch in batches:
+        for batch in _larger(batches):
             words = [w.decode() for w in batch.column("word").to_pylist()]
             found = own.scores(words, logp.value) / np.log(10)
             yield batch_of(schema, {"word": batch.column("word"), "c": batch.column("c"), "marginal": found})
