@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.core import meaningful, ref, text
 from flowsieve.functions.scoring import risk_score, verdict
+from flowsieve.sources import alert_log
 
 # Raw names tried per entity, first meaningful value wins.
 ENTITY_NAMES = {
-    "src_ip": "srcip src_ip source_ip source.address sourceip id.orig_h",
-    "dst_ip": "dstip dst_ip destination_ip dest_ip destination.address id.resp_h",
-    "src_port": "sport src_port source_port source.port id.orig_p",
-    "dst_port": "dsport dst_port destination_port dest_port destination.port id.resp_p",
-    "protocol": "proto protocol transport network.transport",
-    "service": "service app_proto application app protocol_name",
+    "src_ip": ("srcip", "src_ip", "source_ip", "source.address", "sourceip", "id.orig_h"),
+    "dst_ip": ("dstip", "dst_ip", "destination_ip", "dest_ip", "destination.address", "id.resp_h"),
+    "src_port": ("sport", "src_port", "source_port", "source.port", "id.orig_p"),
+    "dst_port": ("dsport", "dst_port", "destination_port", "dest_port", "destination.port", "id.resp_p"),
+    "protocol": ("proto", "protocol", "transport", "network.transport"),
+    "service": ("service", "app_proto", "application", "app", "protocol_name"),
 }
 # How alerts are grouped.
 GROUP_FIELDS = {
@@ -114,7 +115,7 @@ def entities(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     lowered = {c.strip().lower(): c for c in reversed(df.columns)}
     out = []
     for entity, names in ENTITY_NAMES.items():
-        found = [meaningful(ref(lowered[n])) for n in names.split() if n in lowered]
+        found = [meaningful(ref(lowered[n])) for n in names if n in lowered]
         out.append(F.coalesce(*found, F.lit("")).alias(entity))
     return df.select(*[ref(k) for k in keep], *out)
 
@@ -225,11 +226,32 @@ def severity_mix(alerts: DataFrame) -> DataFrame:
 
 
 def saved_events(alerts: DataFrame, at: Column, seq: Column) -> DataFrame:
-    """One ``saved`` event per alert; the alert itself travels as a struct."""
+    """One ``saved`` event per alert, with the columns of the log and the whole alert as JSON.
+
+    The classifier's class falls back to the predicted one, the severity to that of a
+    language model's answer; an alert that was never triaged is ``new`` and ``single``.
+    """
+
+    def have(name: str, kind: str = "string") -> Column:
+        return (ref(name) if name in alerts.columns else F.lit(None)).cast(kind)
+
     payload = F.to_json(F.struct(*[_or(alerts, c, "").alias(c) for c in ("severity", "source", "status")]))
+    predicted = F.coalesce(have("predicted_class"), F.lit(""))
     return alerts.select(
         "alert_id", at.alias("created_at"), seq.alias("seq"), F.lit("saved").alias("event_type"),
-        payload.alias("payload_json"), F.struct(*[ref(c) for c in alerts.columns]).alias("alert"),
+        F.coalesce(have("status"), F.lit("new")).alias("status"),
+        F.coalesce(have("analyst_note"), F.lit("")).alias("analyst_note"),
+        payload.alias("payload_json"),
+        F.coalesce(have("timestamp"), F.lit("")).alias("event_timestamp"),
+        F.coalesce(have("source"), F.lit("single")).alias("source"),
+        F.coalesce(F.nullif(have("severity"), F.lit("")), have("llm_severity")).alias("severity"),
+        have("risk", "int").alias("risk"),
+        predicted.alias("predicted_class"),
+        F.coalesce(F.nullif(have("classifier_class"), F.lit("")), predicted).alias("classifier_class"),
+        F.coalesce(have("is_zeroday", "boolean"), F.lit(False)).alias("is_zeroday"),
+        *[have(c, "double").alias(c) for c in ("hybrid_score", "ae_score", "max_prob")],
+        F.to_json(F.struct(*[ref(c) for c in alerts.columns])).alias("alert_json"),
+        have("llm_json").alias("llm_json"),
     )
 
 
@@ -243,22 +265,24 @@ def status_events(updates: DataFrame, at: Column, seq: Column) -> DataFrame:
 
 
 def alert_state(log: DataFrame) -> DataFrame:
-    """Latest state per alert: first created_at, last saved values, last status.
+    """Latest state per alert: first created_at, the alert as last saved, last status and note.
 
-    ``log`` has alert_id, created_at, seq, event_type, status, analyst_note and
-    severity. Only partial maxima cross the shuffle, so an alert with very many
-    events costs no more than others.
+    ``log`` has the columns of the alert log; absent ones read as null. Only partial
+    maxima cross the shuffle, so an alert with very many events costs no more than others.
     """
+    log = alert_log.rows(log)
     order = F.struct("created_at", "seq")
     saved = F.col("event_type") == "saved"
-    return log.groupBy("alert_id").agg(
+    kept = F.struct(*alert_log.SAVED)
+    state = log.groupBy("alert_id").agg(
         F.min("created_at").alias("created_at"),
         F.max("created_at").alias("updated_at"),
         F.max_by("status", order).alias("status"),
         F.max_by("analyst_note", order).alias("analyst_note"),
-        F.max_by(F.when(saved, F.col("severity")), F.when(saved, order)).alias("severity"),
+        F.max_by(F.when(saved, kept), F.when(saved, order)).alias("saved"),
         F.count(F.lit(1)).alias("events"),
     )
+    return state.select("alert_id", "created_at", "updated_at", "status", "analyst_note", "saved.*", "events")
 
 
 def list_alerts(state: DataFrame, limit: int = 200, status: str | None = None) -> DataFrame:

@@ -30,8 +30,8 @@ def score_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def drift_report(
-    drift: DataFrame,
-    reference_rate: DataFrame,
+    drift: DataFrame | None,
+    reference_rate: DataFrame | None,
     current_rate: DataFrame,
     coverage: float | None,
     rate_delta: float = 0.10,
@@ -40,8 +40,17 @@ def drift_report(
     """One row: level, warnings and the recommended action.
 
     Inputs are summaries (one rate row each, at most a few score rows), brought
-    together by a union, so the list below is short whatever the batch size.
+    together by a union, so the list below is short whatever the batch size. Without a
+    reference (``drift`` and ``reference_rate`` are None) that is a warning of its own.
+    A change of rate and low coverage weigh more than a score that moved.
     """
+    if reference_rate is None or drift is None:
+        spark = current_rate.sparkSession
+        drift = spark.createDataFrame([], "score string, statistic string, current double, ratio double")
+        reference_rate = spark.createDataFrame([], "zero_day_rate double")
+        missing = F.lit("No reference report was available; only absolute current distributions were reported.")
+    else:
+        missing = F.lit(None).cast("string")
     over = (F.col("statistic") == "p95") & (F.col("ratio") > p95_ratio)
     message = F.concat(
         F.col("score"), F.lit(": "), F.format_string("%.6f", "current"), F.lit(" current p95 is "),
@@ -75,10 +84,15 @@ def drift_report(
         covered = F.lit(f"Feature coverage is moderate ({coverage:.1%}); review mapped columns.")
     else:
         covered = F.lit(None).cast("string")
-    raised = F.concat(F.filter(F.array(covered, changed), lambda w: w.isNotNull()), F.col("score_warnings"))
-    serious = F.exists(
-        raised, lambda w: F.lower(w).contains("low") | F.lower(w).contains("changed")
-    )
+    available = F.col("ref").isNotNull()
+    low_coverage = coverage is not None and coverage < 0.60
+    heavy = F.array(F.when(F.lit(low_coverage), covered), changed)
+
+    def present(some):
+        return F.filter(some, lambda w: w.isNotNull())
+
+    raised = F.concat(present(F.array(covered, changed, missing)), F.col("score_warnings"))
+    serious = F.size(present(heavy)) > 0
     level = (
         F.when(F.size(raised) == 0, F.lit("LOW"))
         .when(serious & (F.size(raised) >= 2), F.lit("HIGH"))
@@ -87,10 +101,10 @@ def drift_report(
     quiet = F.array(F.lit("No major drift signals were detected against the available reference."))
     action = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
     return facts.select(
-        F.col("ref").alias("reference_rate"), F.col("cur").alias("current_rate"),
+        F.col("ref").alias("reference_rate"), F.col("cur").alias("current_rate"), available.alias("reference_available"),
         raised.alias("raised"), level.alias("level"),
     ).select(
-        "reference_rate", "current_rate", "level",
+        "reference_available", "reference_rate", "current_rate", "level",
         F.when(F.size("raised") > 0, F.col("raised")).otherwise(quiet).alias("warnings"),
         F.element_at(action, F.col("level")).alias("recommended_action"),
     )

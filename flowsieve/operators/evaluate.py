@@ -208,7 +208,7 @@ def score_curve(long: DataFrame) -> DataFrame:
     anything is ordered; the running counts are distributed prefix sums.
     """
     steps = durable(
-        long.where(F.col("score").isNotNull()).groupBy("method", "score").agg(
+        long.withColumn("score", missing_if_infinite(F.col("score"))).where(F.col("score").isNotNull()).groupBy("method", "score").agg(
             F.sum("target").cast("long").alias("pos"), F.sum(F.lit(1) - F.col("target")).cast("long").alias("neg")
         ),
         "curve-steps",

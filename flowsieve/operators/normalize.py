@@ -15,7 +15,7 @@ from flowsieve import vocab
 from flowsieve.functions import flow as flow_fn
 from flowsieve.functions.core import number, ref, text
 from flowsieve.functions.times import parse_event_time
-from flowsieve.session import BROADCAST_ROWS, durable, small_side
+from flowsieve.session import durable, small_side
 
 FILE = "source_file"
 MICROS = 1_000_000.0
@@ -75,7 +75,7 @@ def plan_header(columns: list[str], expected: list[str] | None = None, own: tupl
         plan.duration_from_times = True
         derive("dur")
     for source, total in ((("sbytes", "dbytes"), vocab.TOTAL_BYTES), (("spkts", "dpkts"), vocab.TOTAL_PACKETS)):
-        if not set(source) <= have and vocab.first_present(header, total.split()):
+        if not set(source) <= have and vocab.first_present(header, total):
             derive(*source)
     for name in ("sintpkt", "dintpkt", "sjit", "djit"):
         if "iat" in mapped.get(name, ""):
@@ -159,8 +159,8 @@ def context_counts(df: DataFrame, names: list[str], file_col: str = FILE) -> Dat
 
     All counters come from one grouping-sets aggregation (one extra scan, partial
     counts before the shuffle), stored once. A counter whose key column is absent
-    is 1. A counter table is broadcast when its counted size allows it; otherwise
-    the join is a plain equality one, whose skewed keys split at run time.
+    is 1. The planner broadcasts the counters if the stored table is small in bytes;
+    otherwise the joins are plain equality ones, whose skewed keys split at run time.
     """
     usable = {n: vocab.CONTEXT_COUNTS[n] for n in names if set(vocab.CONTEXT_COUNTS[n]) <= set(df.columns)}
     out = df
@@ -170,7 +170,6 @@ def context_counts(df: DataFrame, names: list[str], file_col: str = FILE) -> Dat
         counted = durable(df.groupingSets(sets, F.col(file_col), *[F.col(k) for k in keys]).agg(
             F.grouping_id().alias("_gid"), F.count(F.lit(1)).cast("double").alias("_n")
         ), "context-counts")
-        sizes = {r["_gid"]: r["count"] for r in counted.groupBy("_gid").count().collect()}
         for name, ks in usable.items():
             # grouping_id has one bit per column, 1 where the column is rolled up
             gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks)
@@ -182,8 +181,6 @@ def context_counts(df: DataFrame, names: list[str], file_col: str = FILE) -> Dat
             on = F.col(file_col).eqNullSafe(F.col("_file"))
             for k in ks:
                 on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-            if sizes.get(gid, 0) <= BROADCAST_ROWS:
-                side = F.broadcast(side)
             out = out.join(side, on, "left").drop("_file", *[f"_{k}" for k in ks])
     rest = {n: F.lit(1.0) for n in names if n not in usable}
     return out.withColumns(rest) if rest else out
@@ -243,8 +240,8 @@ def normalize_flows(
         df = df.withColumn(file_col, F.lit(""))
     plan = plan_header(df.columns, expected, own)
     extra = {
-        "_total_bytes": vocab.first_present(df.columns, vocab.TOTAL_BYTES.split()),
-        "_total_pkts": vocab.first_present(df.columns, vocab.TOTAL_PACKETS.split()),
+        "_total_bytes": vocab.first_present(df.columns, vocab.TOTAL_BYTES),
+        "_total_pkts": vocab.first_present(df.columns, vocab.TOTAL_PACKETS),
         **{f"_{f}": f"{f}_flag_count" for f in ("syn", "fin", "rst", "ack") if f"{f}_flag_count" in df.columns},
     }
     carried = {alias: src for alias, src in extra.items() if src}

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from flowsieve.functions.core import missing_if_infinite
 from flowsieve.session import durable, small_side
 
-# Up to this many rows one task may sort or keep a value map.
-IN_TASK_ROWS = 1_000_000
+# A bracket around a wanted rank is narrowed until it holds no more rows than this.
+IN_TASK_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -203,11 +203,6 @@ def exact_quantiles(
     """Linearly interpolated quantiles, exact at any size; non-finite values ignored."""
     clean = df.select(*[missing_if_infinite(F.col(f"`{c}`")).alias(c) for c in columns])
     counts = clean.agg(*[F.count(c).alias(c) for c in columns]).first()
-    if max(counts) <= in_task_rows:
-        row = clean.agg(
-            *[F.percentile(c, F.lit([float(p) for p in probs])).alias(c) for c in columns]
-        ).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
     wanted: dict[str, list[int]] = {}
     for c in columns:
         spots = [(counts[c] - 1) * p for p in probs] if counts[c] else []
@@ -243,15 +238,6 @@ def cut_keys(
     ranks = [int(r) for r in ranks]
     if not ranks:
         return []
-    if total <= in_task_rows:
-        order = Window.orderBy(time_col, id_col)
-        rows = (
-            df.select((F.row_number().over(order) - 1).alias("rank"), time_col, id_col)
-            .where(F.col("rank").isin(ranks))
-            .collect()
-        )
-        found = {row["rank"]: (row[time_col], row[id_col]) for row in rows}
-        return [found[r] for r in ranks]
     instants = order_statistics(df.select(time_col), {time_col: ranks}, in_task_rows)[time_col]
     row = df.agg(
         *[F.count_if(F.col(time_col) < F.lit(t)).alias(f"n{i}") for i, t in enumerate(instants)]

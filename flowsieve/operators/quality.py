@@ -42,9 +42,9 @@ def input_guard(
     known.append((width < policy.min_columns, "error", f"CSV has too few columns: {width} < {policy.min_columns}"))
     known.append((width > policy.max_columns, "error", f"CSV has too many columns: {width} > {policy.max_columns}"))
     repeated = sorted(n for n, k in Counter(names).items() if k > 1)
-    known.append((bool(repeated), "error", "CSV contains duplicate column names: " + ", ".join(repeated[:8])))
+    known.append((bool(repeated), "error", "CSV contains duplicate column names: " + ", ".join(repeated)))
     unnamed = [n for n in names if not n.strip() or n.lower().startswith("unnamed:")]
-    known.append((bool(unnamed), "warning", "CSV contains unnamed/index-like columns: " + ", ".join(unnamed[:8])))
+    known.append((bool(unnamed), "warning", "CSV contains unnamed/index-like columns: " + ", ".join(unnamed)))
 
     rows = F.col("rows")
     checks = [F.when(F.lit(hit), _finding(severity, F.lit(message))) for hit, severity, message in known]

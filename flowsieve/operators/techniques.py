@@ -52,28 +52,28 @@ CLASS_RULES = [
 # Feature set, then technique id, confidence, rationale.
 FEATURE_RULES = [
     (
-        "sbytes dbytes sload dload log_total_bytes log_sbytes log_dbytes",
+        ("sbytes", "dbytes", "sload", "dload", "log_total_bytes", "log_sbytes", "log_dbytes"),
         [
             ("T1030", 0.72, "Byte and load features are dominant, suggesting abnormal transfer volume."),
             ("T1498", 0.66, "High traffic asymmetry or volume can represent network DoS pressure."),
         ],
     ),
     (
-        "ct_srv_dst ct_dst_ltm ct_src_ltm ct_srv_src ct_dst_src_ltm ct_dst_sport_ltm",
+        ("ct_srv_dst", "ct_dst_ltm", "ct_src_ltm", "ct_srv_src", "ct_dst_src_ltm", "ct_dst_sport_ltm"),
         [
             ("T1046", 0.76, "Connection-count features are dominant, suggesting service discovery or scanning."),
             ("T1595", 0.70, "Repeated destination/service probing is consistent with active scanning."),
         ],
     ),
     (
-        "dur sintpkt dintpkt intpkt_ratio intpkt_diff",
+        ("dur", "sintpkt", "dintpkt", "intpkt_ratio", "intpkt_diff"),
         [
             ("T1132", 0.52, "Timing and duration anomalies can indicate encoded or staged C2 traffic."),
             ("T1071", 0.50, "Application protocol abuse should be checked for repeated timing patterns."),
         ],
     ),
     (
-        "tcprtt synack ackdat handshake_ratio incomplete_tcp state_num",
+        ("tcprtt", "synack", "ackdat", "handshake_ratio", "incomplete_tcp", "state_num"),
         [
             ("T1190", 0.58, "Handshake and TCP-state anomalies can accompany service exploitation attempts."),
             ("T1498", 0.55, "Incomplete TCP patterns may also indicate protocol-level DoS behavior."),
@@ -104,7 +104,7 @@ def feature_rules(spark: SparkSession) -> DataFrame:
     rows, seq = [], FEATURE_SEQ
     for features, techniques in FEATURE_RULES:
         for technique, confidence, why in techniques:
-            rows += [(f, seq, technique, confidence, why) for f in features.split()]
+            rows += [(f, seq, technique, confidence, why) for f in features]
             seq += 1
     return spark.createDataFrame(
         rows, "feature string, seq int, technique_id string, confidence double, rationale string"
@@ -144,7 +144,7 @@ def zero_day(alerts: DataFrame, features_col: str, ae_col: str = "ae_score", id_
     """Feature techniques lifted by the anomaly score, else the default hypothesis."""
     ae = F.col(ae_col)
     shown = F.concat(F.lit("ae_score:"), F.format_string("%.3f", ae))
-    names = [f for features, _ in FEATURE_RULES for f in features.split()]
+    names = [f for features, _ in FEATURE_RULES for f in features]
     has_rule = F.exists(features_col, lambda f: f.isin(*names))
     lifted = (
         by_features(alerts, features_col, id_col)

@@ -137,11 +137,11 @@ def adaptive_thresholds(
         F.col(entity).alias("entity"), *order, F.col(score).cast("double").alias("score"),
         benign.cast("int").alias("benign"),
     )
-    numbered = prefix_sums(flagged, order, ["benign"], ["entity"]).withColumn(
-        "before", F.col("cum_benign") - F.col("benign")
-    )
+    # only finite benign scores are history, so only they are numbered
+    flagged = flagged.withColumn("kept", F.when(_is_finite(F.col("score")) & (F.col("benign") == 1), 1).otherwise(0))
+    numbered = prefix_sums(flagged, order, ["kept"], ["entity"]).withColumn("before", F.col("cum_kept") - F.col("kept"))
     history = _sliding_thresholds(
-        numbered.where((F.col("benign") == 1) & _is_finite(F.col("score"))),
+        numbered.where("kept = 1"),
         list(seed)[-window:], window, target_fpr, chunk,
     )
     start = None
@@ -168,10 +168,10 @@ def _sliding_thresholds(
     benign: DataFrame, seed: list[float], window: int, target_fpr: float, chunk: int
 ) -> DataFrame:
     """(entity, position, quantile) after each benign row; position counts from 1."""
-    own = F.floor((F.col("cum_benign") - 1) / chunk)
-    following = F.floor((F.col("cum_benign") - 1 + (window - 1)) / chunk)
+    own = F.floor((F.col("cum_kept") - 1) / chunk)
+    following = F.floor((F.col("cum_kept") - 1 + (window - 1)) / chunk)
     spread = benign.select(
-        "entity", F.col("cum_benign").alias("position"), "score",
+        "entity", F.col("cum_kept").alias("position"), "score",
         F.explode(F.sequence(own, following)).alias("chunk"),
     )
 

@@ -162,26 +162,43 @@ def severity_mix(spark: SparkSession, folder: str) -> DataFrame:
     return alert_op.severity_mix(alerts(spark, folder))
 
 
-# An append-only log: every event touches the alert of its user.
+# An append-only log: every event touches the alert of its user. What a saved event says of its alert:
+_SAVED = {
+    "event_timestamp": "CAST(event_id AS STRING)",
+    "source": "CASE WHEN event_id % 2 = 0 THEN 'batch' ELSE 'single' END",
+    "severity": "CASE WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END",
+    "risk": "event_id % 101",
+    "predicted_class": "event_type",
+    "classifier_class": "concat('c-', event_type)",
+    "is_zeroday": "event_id % 5 = 0",
+    "hybrid_score": "value / 500E0",
+    "ae_score": "value / 250E0",
+    "max_prob": "CAST(event_id % 1000 AS DOUBLE) / 1000E0",
+    "alert_json": "concat('{\"n\":', CAST(event_id AS STRING), '}')",
+    "llm_json": "CASE WHEN event_id % 4 = 0 THEN concat('{\"m\":', CAST(event_id AS STRING), '}') END",
+}
+
+
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
-    saved = F.col("event_id") % 3 != 0
-    return table(spark, folder, "events").select(
-        F.concat(F.lit("A-"), F.col("user_id")).alias("alert_id"),
-        F.date_trunc("hour", "ts").alias("created_at"),
-        F.col("event_id").alias("seq"),
-        F.when(saved, F.lit("saved")).otherwise(F.lit("status_updated")).alias("event_type"),
-        F.col("event_type").alias("status"),
-        F.concat(F.lit("note "), F.col("event_id")).alias("analyst_note"),
-        F.when(saved, F.when(F.col("value") > 50, F.lit("HIGH")).otherwise(F.lit("LOW"))).alias("severity"),
+    saved = "event_id % 3 <> 0"
+    return table(spark, folder, "events").selectExpr(
+        "concat('A-', user_id) AS alert_id",
+        "date_trunc('hour', ts) AS created_at",
+        "event_id AS seq",
+        f"CASE WHEN {saved} THEN 'saved' ELSE 'status_updated' END AS event_type",
+        "event_type AS status",
+        "concat('note ', event_id) AS analyst_note",
+        *[f"CASE WHEN {saved} THEN {expr} END AS {name}" for name, expr in _SAVED.items()],
     )
 
 
-_STATE = """SELECT concat('A-', CAST(user_id AS STRING)) AS alert_id, strftime(min(date_trunc('hour', ts)), '%Y-%m-%d %H:%M:%S.%f') AS created_at,
- strftime(max(date_trunc('hour', ts)), '%Y-%m-%d %H:%M:%S.%f') AS updated_at,
- arg_max(event_type, (date_trunc('hour', ts), event_id)) AS status,
- arg_max(concat('note ', CAST(event_id AS STRING)), (date_trunc('hour', ts), event_id)) AS analyst_note,
- arg_max(CASE WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END, (date_trunc('hour', ts), event_id)) FILTER (WHERE event_id % 3 <> 0) AS severity,
- count(*) AS events FROM events GROUP BY user_id"""
+_LATEST = "arg_max({}, (date_trunc('hour', ts), event_id))"
+_KEPT = "arg_max({" + ", ".join(f"'{n}': {e}" for n, e in _SAVED.items()) + "}, (date_trunc('hour', ts), event_id)) FILTER (WHERE event_id % 3 <> 0)"
+_STATE = f"""SELECT alert_id, strftime(first, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS updated_at,
+ status, analyst_note, {', '.join(f'{r6(f"k.{n}")} AS {n}' if n in ('hybrid_score', 'ae_score', 'max_prob') else f'k.{n} AS {n}' for n in _SAVED)}, events
+ FROM (SELECT concat('A-', CAST(user_id AS STRING)) AS alert_id, min(date_trunc('hour', ts)) AS first, max(date_trunc('hour', ts)) AS last,
+ {_LATEST.format('event_type')} AS status, {_LATEST.format("concat('note ', CAST(event_id AS STRING))")} AS analyst_note, {_KEPT} AS k,
+ count(*) AS events FROM events GROUP BY user_id)"""
 
 
 @query("alert_state", _STATE)
@@ -189,14 +206,9 @@ def alert_state(spark: SparkSession, folder: str) -> DataFrame:
     return alert_op.alert_state(event_log(spark, folder))
 
 
-@query(
-    "list_alerts",
-    f"SELECT alert_id, status, updated_at FROM ({_STATE}) WHERE status = 'view' ORDER BY updated_at DESC, alert_id LIMIT 200",
-)
+@query("list_alerts", f"SELECT * FROM ({_STATE}) WHERE status = 'view' ORDER BY updated_at DESC, alert_id LIMIT 200")
 def list_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return alert_op.list_alerts(alert_op.alert_state(event_log(spark, folder)), 200, "view").select(
-        "alert_id", "status", "updated_at"
-    )
+    return alert_op.list_alerts(alert_op.alert_state(event_log(spark, folder)), 200, "view")
 
 
 @query(
@@ -338,7 +350,7 @@ _FEATURE_VALUES = _values(
         for s, (features, t, conf, why) in enumerate(
             (features, t, conf, why) for features, rows in techniques.FEATURE_RULES for t, conf, why in rows
         )
-        for f in features.split()
+        for f in features
     ]
 )
 _LIBRARY_VALUES = _values([(t, n, tac, "|".join(acts)) for t, n, tac, acts in techniques.TECHNIQUES])

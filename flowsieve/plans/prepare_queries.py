@@ -104,6 +104,20 @@ def assign_pool(spark: SparkSession, folder: str) -> DataFrame:
     return prepare.assign_pool(flows(spark, folder).selectExpr("source_row", f"{_CLASS} AS attack_cat"), small=1000)
 
 
+@query(
+    "assign_pool_nulls",
+    with_views(
+        f"""SELECT source_row, attack_cat, CASE WHEN attack_cat IN ('Normal', 'DoS', 'Exploits', 'Reconnaissance', 'Generic')
+ THEN 'known' WHEN attack_cat = 'Fuzzers' OR count(*) OVER (PARTITION BY attack_cat) < 1000 THEN 'held_out' ELSE 'known' END AS pool
+ FROM (SELECT source_row, CASE WHEN source_row % 4 > 0 THEN {_CLASS} END AS attack_cat FROM flows_v)"""
+    ),
+)
+def assign_pool_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the rows has no class; they keep their rows."""
+    rows = flows(spark, folder).selectExpr("source_row", f"CASE WHEN source_row % 4 > 0 THEN {_CLASS} END AS attack_cat")
+    return prepare.assign_pool(rows, small=1000)
+
+
 _CODES = """SELECT 'service' AS "column", value, row_number() OVER (ORDER BY appended, value) - 1 AS code FROM (
  SELECT DISTINCT service AS value, 0 AS appended FROM flows_v UNION ALL SELECT 'unk', 1)
  UNION ALL SELECT 'protocol', value, row_number() OVER (ORDER BY appended, value) - 1 FROM (
@@ -309,7 +323,7 @@ def feature_align(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def class_weights(spark: SparkSession, folder: str) -> DataFrame:
-    multipliers = prepare.parse_class_multipliers("DoS=5.0,Nope=2", labels.KNOWN_CLASSES)
+    multipliers = prepare.class_multipliers({"DoS": 5.0}, labels.KNOWN_CLASSES)
     df = flows(spark, folder).select("source_row", "attack_cat")
     return prepare.class_weights(df, "attack_cat", multipliers).withColumn("weight", F.col("weight") * 1000)
 
@@ -343,6 +357,21 @@ def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.stratified_split(df, "attack_cat", "source_row")
 
 
+@query(
+    "stratified_split_nulls",
+    with_views(
+        f"""SELECT source_row, attack_cat, CASE WHEN rn <= round_even(n * 0.2E0, 0) THEN 'test'
+ WHEN rn <= round_even(n * (0.2E0 + 0.1E0), 0) THEN 'validation' ELSE 'train' END AS split FROM (
+ SELECT source_row, attack_cat, row_number() OVER (PARTITION BY attack_cat ORDER BY {_DRAW}, source_row) AS rn,
+ count(*) OVER (PARTITION BY attack_cat) AS n FROM (SELECT source_row, CASE WHEN source_row % 4 > 0 THEN attack_cat END AS attack_cat FROM flows_v))"""
+    ),
+)
+def stratified_split_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a class are a stratum of their own."""
+    df = flows(spark, folder).selectExpr("source_row", "CASE WHEN source_row % 4 > 0 THEN attack_cat END AS attack_cat")
+    return sampling.stratified_split(df, "attack_cat", "source_row")
+
+
 _UNIFORM = f"(CAST(('0x' || substr({_DRAW}, 1, 12)) AS BIGINT) / 281474976710656E0)"
 
 
@@ -357,7 +386,19 @@ def hash_split(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.hash_split(flows(spark, folder).select("source_row"), "source_row")
 
 
-@query("weighted_resample")
+_POISSON_U = _UNIFORM.replace("42:", "poisson-42:")
+
+
+@query(
+    "weighted_resample",
+    with_views(
+        f"""SELECT attack_cat, CAST(sum(k) AS BIGINT) AS rows, count(*) FILTER (WHERE k > 0) AS distinct_rows FROM (
+ SELECT attack_cat, (SELECT count(*) FROM cdf_v c WHERE c.cat = a.attack_cat AND a.u >= c.cdf) AS k FROM draw_v a) GROUP BY attack_cat""",
+        ("draw_v", f"SELECT attack_cat, {_POISSON_U} AS u FROM flows_v"),
+        ("mean_v", "SELECT attack_cat AS cat, (SELECT count(*) FROM flows_v) / CAST(count(*) AS DOUBLE) / (SELECT count(DISTINCT attack_cat) FROM flows_v) AS m FROM flows_v GROUP BY ALL"),
+        ("cdf_v", "SELECT cat, sum(exp(-m) * pow(m, j) / gamma(j + 1)) OVER (PARTITION BY cat ORDER BY j) AS cdf FROM mean_v, range(0, 60) t(j)"),
+    ),
+)
 def weighted_resample(spark: SparkSession, folder: str) -> DataFrame:
     df = prepare.class_weights(flows(spark, folder).select("source_row", "attack_cat"), "attack_cat")
     return sampling.weighted_resample(df, "weight", "source_row").groupBy("attack_cat").agg(

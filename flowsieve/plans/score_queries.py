@@ -677,7 +677,7 @@ _RATES = "(SELECT avg(CAST(is_zeroday AS DOUBLE)) AS ref FROM early_v) r, (SELEC
 @query(
     "drift_report",
     with_views(
-        f"""SELECT {r6('ref')} AS reference_rate, {r6('cur')} AS current_rate, CASE WHEN warnings IS NULL THEN 'MEDIUM'
+        f"""SELECT true AS reference_available, {r6('ref')} AS reference_rate, {r6('cur')} AS current_rate, CASE WHEN warnings IS NULL THEN 'MEDIUM'
  ELSE 'HIGH' END AS level, concat_ws('|', 'Feature coverage is moderate (72.0%); review mapped columns.',
  CASE WHEN abs(cur - ref) >= 0.0001E0 THEN concat('Zero-day candidate rate changed by ', CASE WHEN cur >= ref THEN '+' ELSE '' END,
  printf('%.1f', (cur - ref) * 100), '% (reference ', printf('%.1f', ref * 100), '%, current ', printf('%.1f', cur * 100), '%).') END,
@@ -697,6 +697,22 @@ def drift_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "drift_report_alone",
+    with_views(
+        f"""SELECT false AS reference_available, CAST(NULL AS DOUBLE) AS reference_rate, {r6('cur')} AS current_rate, 'HIGH' AS level,
+ 'Feature coverage is low (41.0%); scores are weak triage signals.|No reference report was available; only absolute current distributions were reported.' AS warnings,
+ 'Review normalization quality, inspect top alerts, and recalibrate thresholds on representative benign rows.' AS recommended_action
+ FROM {_RATES}""",
+        *_DRIFT_V,
+    ),
+)
+def drift_report_alone(spark: SparkSession, folder: str) -> DataFrame:
+    """No reference report and poor coverage."""
+    _, late = _halves(spark, folder)
+    return drift_op.drift_report(None, None, evaluate.zero_day_summary(late), coverage=0.41)
+
+
 @query(
     "decision_space",
     with_views(

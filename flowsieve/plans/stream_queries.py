@@ -144,20 +144,21 @@ def stream_incidents(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.run_available(jobs.anchored_incidents(rows), "stream-incidents")
 
 
-_STREAM_STATE = """SELECT concat('A-', CAST(user_id AS STRING)) AS alert_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events
+_STREAM_STATE = """SELECT concat('A-', CAST(user_id AS STRING)) AS alert_id, arg_max(event_type, (ts, event_id)) AS status, 2 * count(*) AS events
  FROM events GROUP BY user_id"""
 
 
 @query("stream_alert_log", _STREAM_STATE)
 def stream_alert_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Alert events appended by a stream; the state is the latest per alert."""
+    """Alert events appended by two streams with checkpoints of their own; the state is the latest per alert."""
     log = event_stream(spark, folder).select(
         F.concat(F.lit("A-"), F.col("user_id")).alias("alert_id"), F.col("ts").alias("created_at"),
         F.col("event_id").alias("seq"), F.lit("status_updated").alias("event_type"), F.col("event_type").alias("status"),
         F.lit("").alias("analyst_note"), F.lit(None).cast("string").alias("severity"),
     )
     base = f"{work_dir(spark)}/flowsieve/alert-log-{uuid.uuid4().hex}"
-    jobs.append_alert_log(log, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    for k in range(2):
+        jobs.append_alert_log(log, f"{base}/log", f"{base}/checkpoint-{k}").awaitTermination()
     stored = spark.read.parquet(f"{base}/log")
     return alert_op.alert_state(stored).select("alert_id", "status", "events")
 

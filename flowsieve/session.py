@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every operator relies on. Spark owns join strategy and partition sizes
 # through adaptive execution; only semantics are pinned here.
@@ -75,16 +74,11 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# A stored side of a join up to this many rows may be broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def small_side(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, label: str) -> DataFrame:
     """A join side that is expected to be small, broadcast only if it really is.
 
-    The side is stored first, so counting it is free and nothing is computed twice.
-    Above ``limit`` it is returned as it is and the join shuffles, with skewed keys
-    split at run time.
+    The side is stored first, so the planner knows its bytes and compares them with
+    ``spark.sql.autoBroadcastJoinThreshold``; a larger side is shuffled, with skewed
+    keys split at run time.
     """
-    stored = durable(df, label)
-    return F.broadcast(stored) if stored.count() <= limit else stored
+    return durable(df, label)

@@ -1,21 +1,48 @@
-"""Append-only alert event log."""
+"""Append-only alert event log: every event carries the alert as it was saved."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = (
-    "alert_id string, created_at timestamp, seq long, event_type string, status string, analyst_note string,"
-    " severity string, payload_json string"
-)
+# What a saved alert holds besides its id and the times of its events.
+SAVED = {
+    "event_timestamp": "string",
+    "source": "string",
+    "severity": "string",
+    "risk": "int",
+    "predicted_class": "string",
+    "classifier_class": "string",
+    "is_zeroday": "boolean",
+    "hybrid_score": "double",
+    "ae_score": "double",
+    "max_prob": "double",
+    "alert_json": "string",
+    "llm_json": "string",
+}
+EVENT = {
+    "alert_id": "string",
+    "created_at": "timestamp",
+    "seq": "bigint",
+    "event_type": "string",
+    "status": "string",
+    "analyst_note": "string",
+    "payload_json": "string",
+    **SAVED,
+}
+SCHEMA = ", ".join(f"{name} {kind}" for name, kind in EVENT.items())
+
+
+def rows(events: DataFrame) -> DataFrame:
+    """Events in the columns of the log; absent ones are null."""
+    return events.select(
+        *[(F.col(name) if name in events.columns else F.lit(None)).cast(kind).alias(name) for name, kind in EVENT.items()]
+    )
 
 
 def append_events(events: DataFrame, path: str) -> None:
     """Append events, partitioned by date; nothing is ever rewritten."""
-    wanted = [c.split()[0] for c in SCHEMA.split(", ")]
-    cols = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in wanted]
-    events.select(*cols, F.to_date("created_at").alias("date")).write.partitionBy("date").mode("append").parquet(path)
+    rows(events).withColumn("date", F.to_date("created_at")).write.partitionBy("date").mode("append").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve import vocab
+from flowsieve.session import durable
 
 REPLACEMENT = "�"
 
@@ -43,26 +43,28 @@ def open_stream(path: str):
     return filesystem.open_input_stream(inner)
 
 
-def probe_headers(files: DataFrame, first_bytes: int = 65_536) -> DataFrame:
-    """Add ``first_line`` per file, reading only the head of each file in a task."""
+def probe_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(first_line, paths): the files of each distinct first line, whatever its length.
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            lines = []
-            for path in pdf["path"]:
-                with open_stream(path) as stream:
-                    head = stream.read(first_bytes)
-                lines.append(head.splitlines()[0].decode("latin-1") if head else "")
-            yield pdf.assign(first_line=lines)
-
-    return files.mapInPandas(probe, "path string, length long, first_line string")
+    Lines come through Spark's text source, so any file system Spark reads will do. The
+    first line of a file is the first of its block at 0; only one line of each file is kept.
+    """
+    lines = spark.read.option("encoding", "ISO-8859-1").text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("order"),
+        "value",
+    )
+    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "order").alias("first_line"))
+    return first.groupBy("first_line").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
 def header_names(first_line: str) -> tuple[bool, list[str]]:
-    """(has a header, column names) from the first line of a file."""
-    cells = [c.strip().strip('"').lstrip("﻿") for c in first_line.split(",")]
+    """(has a header, column names) from the first line of a file, read as CSV."""
+    fields = next(csv.reader([first_line]), [])
+    cells = [c.strip().removeprefix("\u00ef\u00bb\u00bf").lstrip("\ufeff").strip('"').strip() for c in fields]
     if any("attack_cat" in c.lower() for c in cells):
-        return True, [c.strip().lower().replace(" ", "_") for c in cells]
+        return True, [c.lower().replace(" ", "_") for c in cells]
     if len(cells) == len(vocab.RAW_FLOW_COLUMNS):
         return False, list(vocab.RAW_FLOW_COLUMNS)
     if len(cells) == len(vocab.RAW_FLOW_COLUMNS) - 2:
@@ -111,8 +113,10 @@ def number_rows(rows: DataFrame) -> DataFrame:
 
     Rows of one file block are read in order by one task, so a row's number is its
     offset in the block plus the rows of earlier blocks: two small aggregates, no
-    sort. Only the skipped lines are not counted.
+    sort. Only the skipped lines are not counted. The scan is stored first, since two
+    scans of the same files may be cut into blocks differently.
     """
+    rows = durable(rows, "csv-rows")
     # a block's first order value and size; skipped lines leave gaps, closed by rank
     blocks = rows.groupBy("_path", "_block").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -136,13 +140,14 @@ def number_rows(rows: DataFrame) -> DataFrame:
 
 def load_flow_csvs(spark: SparkSession, folder: str) -> DataFrame:
     """Every flow CSV of a folder as one text table; one scan per distinct header."""
-    probed = probe_headers(list_flow_files(spark, folder))
+    # the reader takes a list of paths, so file names, and nothing else of the files, reach the driver
+    files = [row["path"] for row in list_flow_files(spark, folder).select("path").collect()]
+    if not files:
+        raise FileNotFoundError(f"no flow CSV in {folder}")
     groups: dict[tuple[bool, tuple[str, ...]], list[str]] = {}
-    for row in probed.select("path", "first_line").toLocalIterator():
+    for row in probe_headers(spark, files).collect():
         has_header, names = header_names(row["first_line"])
-        groups.setdefault((has_header, tuple(names)), []).append(row["path"])
-    if not groups:
-        raise FileNotFoundError(f"no flow CSV in {folder}")
+        groups.setdefault((has_header, tuple(names)), []).extend(row["paths"])
     parts = [
         number_rows(read_text_csv(spark, paths, list(names), has_header, "UTF-8" if has_header else "ISO-8859-1"))
         for (has_header, names), paths in sorted(groups.items())

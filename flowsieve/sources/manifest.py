@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from flowsieve.sources.csv import open_stream
 
 CHUNK = 1 << 20
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
 
 
 def build_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -41,8 +43,11 @@ def build_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> Data
             yield pdf.assign(sha256=hashes)
 
     hashed = files.mapInPandas(digest, "path string, size_bytes long, sha256 string")
-    root = folder.rstrip("/").split("/")[-1] + "/"
-    return hashed.select(F.substring_index("path", root, -1).alias("path"), "size_bytes", "sha256")
+    # the folder may be written with or without a scheme; it is stripped once, from the front
+    bare = F.regexp_replace("path", SCHEME, "/")
+    inner = re.sub(SCHEME, "/", folder.rstrip("/")) + "/"
+    relative = F.substr(bare, F.when(F.startswith(bare, F.lit(inner)), F.lit(len(inner) + 1)).otherwise(F.lit(1)))
+    return hashed.select(relative.alias("path"), F.lit(True).alias("exists"), "size_bytes", "sha256")
 
 
 def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:

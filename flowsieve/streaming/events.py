@@ -22,7 +22,7 @@ FLAGS = ("syn_flag_count", "fin_flag_count", "rst_flag_count", "ack_flag_count")
 def known_names() -> list[str]:
     """Every field name any rule looks at."""
     names = [a for t in vocab.ALIASES for a in vocab.aliases(t)]
-    return list(dict.fromkeys([*names, *vocab.TOTAL_BYTES.split(), *vocab.TOTAL_PACKETS.split(), *FLAGS]))
+    return list(dict.fromkeys([*names, *vocab.TOTAL_BYTES, *vocab.TOTAL_PACKETS, *FLAGS]))
 
 
 def parse_events(df: DataFrame, json_col: str = "value") -> DataFrame:
@@ -67,10 +67,10 @@ def normalize_events(df: DataFrame, keep: list[str]) -> DataFrame:
         *keep, "fields", "keys",
         *[_first(vocab.aliases(t)).alias(t) for t in vocab.ALIASES],
         *[h.alias(f"_has_{t}") for t, h in mapped_here.items()],
-        number(_first(vocab.TOTAL_BYTES.split())).alias("_total_bytes"),
-        _has(vocab.TOTAL_BYTES.split()).alias("_has_total_bytes"),
-        number(_first(vocab.TOTAL_PACKETS.split())).alias("_total_pkts"),
-        _has(vocab.TOTAL_PACKETS.split()).alias("_has_total_pkts"),
+        number(_first(vocab.TOTAL_BYTES)).alias("_total_bytes"),
+        _has(vocab.TOTAL_BYTES).alias("_has_total_bytes"),
+        number(_first(vocab.TOTAL_PACKETS)).alias("_total_pkts"),
+        _has(vocab.TOTAL_PACKETS).alias("_has_total_pkts"),
     )
     has = {t: F.col(f"_has_{t}") for t in vocab.ALIASES}
     value = {t: number(F.col(t)) for t in vocab.ALIASES if t not in vocab.TEXT_FIELDS}

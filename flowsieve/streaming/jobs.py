@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from flowsieve.session import work_dir
+from flowsieve.sources import alert_log
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -177,11 +179,14 @@ def anchored_incidents(
 def append_alert_log(events: DataFrame, path: str, checkpoint: str):
     """Stream alert events into the append-only log, idempotent per micro-batch.
 
-    A replayed batch overwrites its own folder, so a retry adds nothing twice.
+    Every stream (that is, every checkpoint) writes below a folder of its own, so a
+    second stream adds to what the first one logged; a replayed batch overwrites what
+    it wrote itself, so a retry adds nothing twice.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        alert_log.rows(batch).write.mode("overwrite").parquet(f"{path}/stream={stream}/batch_id={batch_id}")
 
     return (
         events.writeStream.foreachBatch(write)

@@ -134,10 +134,10 @@ def test_cluster_starts_across_days(spark, spread_above, density):
 
 def test_alert_log_state_and_rejects(spark, tmp_path):
     path = str(tmp_path / "log")
-    rows = [("A-1", "new", "HIGH", "single"), ("A-2", "new", "LOW", "single")]
-    saved = spark.createDataFrame(rows, ["alert_id", "status", "severity", "source"])
+    rows = [("A-1", "new", "HIGH", "single", 71, True, 0.9), ("A-2", "new", "", "batch", 12, False, 0.1)]
+    saved = spark.createDataFrame(rows, ["alert_id", "status", "severity", "source", "risk", "is_zeroday", "hybrid_score"])
     at = F.lit("2026-05-14 10:00:00").cast("timestamp")
-    events = alerts.saved_events(saved, at, F.monotonically_increasing_id()).select("*", "alert.status", "alert.severity")
+    events = alerts.saved_events(saved, at, F.monotonically_increasing_id())
     alert_log.append_events(events, path)
     update = spark.createDataFrame([("A-1", "false_positive", "benign scan"), ("A-404", "closed", "stale")], ["alert_id", "status", "analyst_note"])
     known = alert_log.read_events(spark, path)
@@ -150,7 +150,10 @@ def test_alert_log_state_and_rejects(spark, tmp_path):
     state = {r["alert_id"]: r for r in alerts.alert_state(alert_log.read_events(spark, path)).collect()}
     assert state["A-1"]["status"] == "false_positive" and state["A-1"]["analyst_note"] == "benign scan"
     assert state["A-1"]["severity"] == "HIGH" and str(state["A-1"]["created_at"]) == "2026-05-14 10:00:00"
-    assert state["A-2"]["status"] == "new"
+    assert state["A-2"]["status"] == "new" and state["A-2"]["source"] == "batch" and state["A-2"]["severity"] is None
+    kept = state["A-1"]
+    assert (kept["risk"], kept["is_zeroday"], kept["hybrid_score"]) == (71, True, 0.9) and '"risk":71' in kept["alert_json"]
+    assert set(alert_log.SAVED) < set(kept.asDict()) and len(kept) >= 17
 
 
 def test_techniques_known_and_zero_day(spark):

@@ -71,8 +71,11 @@ def test_row_numbers_over_blocks(spark, tmp_path):
 def test_manifest(spark, tmp_path):
     write(tmp_path / "m" / "a.bin", "hello")
     write(tmp_path / "m" / "sub" / "b.bin", "x" * 3_000_000)
+    write(tmp_path / "m" / "sub" / "m" / "a.bin", "again")
     got = {r["path"]: r for r in manifest.build_manifest(spark, str(tmp_path / "m")).collect()}
     assert got["a.bin"]["sha256"] == hashlib.sha256(b"hello").hexdigest() and got["sub/b.bin"]["size_bytes"] == 3_000_000
+    assert set(got) == {"a.bin", "sub/b.bin", "sub/m/a.bin"} and all(r["exists"] for r in got.values())
+    assert {r["path"] for r in manifest.build_manifest(spark, f"file://{tmp_path}/m/").collect()} == set(got)
     actual = manifest.build_manifest(spark, str(tmp_path / "m"))
     expected = spark.createDataFrame(
         [("a.bin", True, 5, "0"), ("sub/b.bin", False, None, None), ("gone", True, 1, "1"), ("never", False, None, None)],
@@ -86,6 +89,17 @@ def test_manifest(spark, tmp_path):
     ]
 
 
+def test_headers_of_any_width_and_quoting(spark, tmp_path):
+    names = [f"column_number_{k}_of_a_header_that_is_far_too_wide" for k in range(2500)]
+    write(tmp_path / "UNSW_wide.csv", ",".join([*names, "attack_cat"]) + "\n" + ",".join([str(k) for k in range(2500)] + ["DoS"]) + "\n")
+    write(tmp_path / "q" / "nb15_quoted.csv", '"dur, sec",proto,attack_cat\n1.5,tcp,DoS\n')
+    write(tmp_path / "q" / "nb15_bom.csv", '\ufeffdur,proto,attack_cat\n2.5,udp,Worms\n')
+    rows = {r["source_file"]: r for r in csv.load_flow_csvs(spark, str(tmp_path)).collect()}
+    assert rows["UNSW_wide.csv"]["attack_cat"] == "DoS" and rows["UNSW_wide.csv"][names[-1]] == "2499"
+    assert rows["nb15_quoted.csv"]["dur,_sec"] == "1.5" and rows["nb15_quoted.csv"]["attack_cat"] == "DoS"
+    assert rows["nb15_bom.csv"]["dur"] == "2.5" and rows["nb15_bom.csv"]["attack_cat"] == "Worms"
+
+
 EVENTS = [
     {"src_ip": "10.0.0.5", "dst_ip": "172.16.1.10", "src_port": 52512, "dst_port": 443, "protocol": "tcp", "service": "https", "duration": 1.5, "bytes": 4400, "packets": 25},
     {"Flow Duration": 2500000, "Total Fwd Packets": 4, "Total Backward Packets": 2, "Total Length of Fwd Packets": 300, "Fwd IAT Mean": 5000, "SYN Flag Count": 1},
