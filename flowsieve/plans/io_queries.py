@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsieve import vocab
 from flowsieve.functions.times import parse_wall_time
 from flowsieve.operators import alerts as alert_op
 from flowsieve.operators import evaluate, preprocess, production, thresholds
@@ -113,6 +116,94 @@ def csv_provenance(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _written(spark: SparkSession, path: str) -> DataFrame:
+    """The files a query wrote below its scratch folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+    return files.load(path).select("path")
+
+
+def _write_lines(lines: DataFrame, header: str, path: str) -> None:
+    """Text files of the column ``value``, each with the same first line."""
+
+    def with_header(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [header]})
+        yield from frames
+
+    lines.select("value").repartition(4).mapInPandas(with_header, "value string").write.text(path)
+
+
+# Flow columns the CSV queries fill; the rest of a headerless line is 0.
+_RAW = {
+    "srcip": "src_ip", "dstip": "dst_ip", "sport": "src_port", "dsport": "dst_port", "proto": "protocol", "dur": "duration",
+    "sbytes": "sent_bytes", "service": "service", "attack_cat": "attack_cat",
+}
+_PER_CLASS = """SELECT attack_cat, count(*) AS rows, count(DISTINCT src_ip) AS sources, CAST(sum(sent_bytes) AS DOUBLE) AS sbytes
+ FROM flows_v GROUP BY attack_cat"""
+
+
+def _per_class(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("attack_cat").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("srcip").alias("sources"), F.sum(F.col("sbytes").cast("double")).alias("sbytes")
+    )
+
+
+def _headerless(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    names = [c for c in vocab.RAW_FLOW_COLUMNS if c not in drop]
+    return df.select(*[(F.col(_RAW[c]) if c in _RAW else F.lit(0)).alias(c) for c in names])
+
+
+@query("csv_folder", with_views(_PER_CLASS))
+def csv_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder with three kinds of file: with a header, headerless, and headerless without times."""
+    path, df = scratch(spark, "csv-folder"), flows(spark, folder)
+    part = F.col("source_row") % 3
+    with_names = df.where(part == 0).select(*[F.col(v).alias(k.upper() if k == "attack_cat" else k) for k, v in _RAW.items()])
+    with_names.write.option("header", "true").csv(f"{path}/a")
+    _headerless(df.where(part == 1)).write.csv(f"{path}/b")
+    _headerless(df.where(part == 2), ("stime", "ltime")).write.csv(f"{path}/c")
+    return _per_class(csv.load_flow_csvs(spark, path, _written(spark, path)))
+
+
+@query("csv_headerless", with_views("SELECT service, count(*) AS rows, min(sent_bytes) AS low, max(sent_bytes) AS high FROM flows_v GROUP BY service"))
+def csv_headerless(spark: SparkSession, folder: str) -> DataFrame:
+    """Positional names for files without a header."""
+    path = scratch(spark, "csv-headerless")
+    _headerless(flows(spark, folder).repartition(4, "source_row")).write.csv(path)
+    rows = csv.load_flow_csvs(spark, path, _written(spark, path))
+    sbytes = F.col("sbytes").cast("long")
+    return rows.groupBy("service").agg(F.count(F.lit(1)).alias("rows"), F.min(sbytes).alias("low"), F.max(sbytes).alias("high"))
+
+
+@query("csv_latin1", with_views("SELECT concat('café-', service) AS service, count(*) AS rows FROM flows_v GROUP BY service"))
+def csv_latin1(spark: SparkSession, folder: str) -> DataFrame:
+    """Headerless files in Latin-1."""
+    path = scratch(spark, "csv-latin1")
+    named = flows(spark, folder).withColumn("service", F.concat(F.lit("café-"), "service"))
+    _headerless(named).write.option("encoding", "ISO-8859-1").csv(path)
+    rows = csv.load_flow_csvs(spark, path, _written(spark, path))
+    return rows.groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("csv_wide_header", with_views(_PER_CLASS))
+def csv_wide_header(spark: SparkSession, folder: str) -> DataFrame:
+    """A header line of well over 64 KB."""
+    path = scratch(spark, "csv-wide")
+    extra = [f"an_extra_column_with_a_rather_long_name_{k}" for k in range(2000)]
+    line = F.concat_ws(",", *[F.col(v).cast("string") for v in _RAW.values()], F.lit(",".join(["0"] * len(extra))))
+    _write_lines(flows(spark, folder).select(line.alias("value")), ",".join([*_RAW, *extra]), path)
+    return _per_class(csv.load_flow_csvs(spark, path, _written(spark, path)))
+
+
+@query("csv_quoted_header", with_views("SELECT attack_cat, protocol, count(*) AS rows FROM flows_v GROUP BY ALL"))
+def csv_quoted_header(spark: SparkSession, folder: str) -> DataFrame:
+    """A header whose first name holds a comma."""
+    path = scratch(spark, "csv-quoted")
+    line = F.concat_ws(",", F.col("duration").cast("string"), "protocol", "attack_cat")
+    _write_lines(flows(spark, folder).select(line.alias("value")), '"dur, sec",proto,attack_cat', path)
+    rows = csv.load_flow_csvs(spark, path, _written(spark, path)).where(F.col("dur,_sec").cast("double").isNotNull())
+    return rows.groupBy("attack_cat", F.col("proto").alias("protocol")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "alert_time_parse",
     with_views(

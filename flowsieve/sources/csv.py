@@ -138,14 +138,18 @@ def number_rows(rows: DataFrame) -> DataFrame:
     return dense.unionByName(gaps).drop("_p", "_b", "_first", "_dense", "_before", "_path", "_block", "_order")
 
 
-def load_flow_csvs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every flow CSV of a folder as one text table; one scan per distinct header."""
+def load_flow_csvs(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
+    """Every flow CSV of a folder as one text table; one scan per distinct header.
+
+    ``files`` (path) names the files where their names do not follow the usual pattern.
+    """
     # the reader takes a list of paths, so file names, and nothing else of the files, reach the driver
-    files = [row["path"] for row in list_flow_files(spark, folder).select("path").collect()]
-    if not files:
+    listed = list_flow_files(spark, folder) if files is None else files
+    paths = [row["path"] for row in listed.select("path").collect()]
+    if not paths:
         raise FileNotFoundError(f"no flow CSV in {folder}")
     groups: dict[tuple[bool, tuple[str, ...]], list[str]] = {}
-    for row in probe_headers(spark, files).collect():
+    for row in probe_headers(spark, paths).collect():
         has_header, names = header_names(row["first_line"])
         groups.setdefault((has_header, tuple(names)), []).extend(row["paths"])
     parts = [
