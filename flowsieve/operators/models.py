@@ -88,7 +88,7 @@ def build_centroids(
     rows = []
     for size in sizes:
         part = units.where(F.col("class") == F.lit(size["class"]))
-        model = KMeans(k=min(k, size["count"]), seed=seed, maxIter=20).fit(part) if size["count"] > 1 else None
+        model = KMeans(k=min(k, size["count"]), seed=seed, maxIter=50).fit(part) if size["count"] > 1 else None
         if model is None:
             centers = [part.first()["unit"]]
         else:

@@ -105,10 +105,35 @@ def lof(spark: SparkSession, folder: str) -> DataFrame:
     return neighbors.local_outlier_factor(df, df.where(KNOWN_LABELS), "vec_id", "embedding", k=10)
 
 
-@query("build_centroids")
+@query(
+    "build_centroids",
+    with_views(
+        """SELECT CAST(label AS BIGINT) AS class, least(25, count(*)) AS clusters, true AS numbered, true AS inside_ball, true AS mean_kept
+ FROM unit_v GROUP BY label""",
+        _UNIT,
+    ),
+)
 def build_centroids(spark: SparkSession, folder: str) -> DataFrame:
-    fitted = models.build_centroids(embeddings(spark, folder), "embedding", "label", k=25)
-    return fitted.select("class", "cluster", V.norm(F.col("centroid")).alias("length"))
+    """Clusters of each class: how many, and what must hold of k-means whatever its seeds.
+
+    Centres are means of unit vectors, so none lies outside the unit ball; and no centre
+    is emptier than one row, so the row nearest to each centre differs from centre to centre.
+    """
+    df = embeddings(spark, folder)
+    fitted = durable(models.build_centroids(df, "embedding", "label", k=25), "centroids")
+    units = df.select(F.col("label").alias("class"), "vec_id", V.unit(F.col("embedding")).alias("u"))
+    gap = F.aggregate(F.zip_with("u", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    # at most 25 centres of its own class for each row
+    pairs = units.join(F.broadcast(fitted), "class").groupBy("class", "vec_id").agg(F.min_by("cluster", gap).alias("cluster"))
+    used = pairs.groupBy("class").agg(F.countDistinct("cluster").alias("used"))
+    facts = fitted.groupBy("class").agg(
+        F.count(F.lit(1)).alias("clusters"),
+        (F.max("cluster") == F.count(F.lit(1)) - 1).alias("numbered"),
+        (F.max(V.norm(F.col("centroid"))) <= 1 + 1e-9).alias("inside_ball"),
+    )
+    return facts.join(used, "class").select(
+        F.col("class").cast("long").alias("class"), "clusters", "numbered", "inside_ball", (F.col("used") == F.col("clusters")).alias("mean_kept")
+    )
 
 
 MODEL_FEATURES = [
@@ -133,7 +158,7 @@ CLASSES = ["DoS", "Exploits", "Normal", "Reconnaissance"]
 def model_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Features, scaling, classifier, reconstruction, calibration, decision: the whole chain."""
     train, everything = model_input(spark, folder)
-    classifier = models.fit_classifier(train, MODEL_FEATURES, "attack_cat", CLASSES, max_iter=20)
+    classifier = models.fit_classifier(train, MODEL_FEATURES, "attack_cat", CLASSES)
     pca = models.fit_reconstruction(train, MODEL_FEATURES, k=4)
     center = models.feature_means(train, MODEL_FEATURES)
     scored = models.class_probabilities(everything, classifier, MODEL_FEATURES)
@@ -147,11 +172,22 @@ def model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return models.score_table(scored, CLASSES, thresholds.decision_from(limits), weights, keep)
 
 
-@query("isolation_forest")
+@query(
+    "isolation_forest",
+    with_views("SELECT source_row, true AS in_range, CAST(200 AS BIGINT) AS trees, true AS bounded FROM flows_v"),
+)
 def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row scored: scores lie in (-0.5, 0.5], and no tree is deeper than its sub-sample allows."""
     train, everything = model_input(spark, folder)
-    grown = forest.fit_forest(train.where("attack_cat = 'Normal'"), MODEL_FEATURES, "source_row", trees=200)
-    return forest.score_forest(everything, grown, MODEL_FEATURES, 256, ["source_row"])
+    grown = durable(forest.fit_forest(train.where("attack_cat = 'Normal'"), MODEL_FEATURES, "source_row", trees=200), "forest")
+    scored = forest.score_forest(everything, grown, MODEL_FEATURES, 256, ["source_row"])
+    leaves = grown.where("feature < 0")
+    shape = leaves.agg(
+        F.countDistinct("tree").alias("trees"), (F.max("depth") <= 8 + forest.average_path(256)).alias("bounded")
+    ).first()
+    score = F.col("isolation_forest")
+    in_range = ((score > -0.5) & (score <= 0.5)).alias("in_range")
+    return scored.select("source_row", in_range, F.lit(shape["trees"]).alias("trees"), F.lit(shape["bounded"]).alias("bounded"))
 
 
 @query("baseline_methods")
@@ -164,11 +200,10 @@ def baseline_methods(spark: SparkSession, folder: str) -> DataFrame:
     )
     marked = production.prefix_reference(everything.drop("split"), 0.7, "source_row")
     reference = evaluate.reference_rows(marked, F.col("in_reference"), "attack_cat")
-    grown = forest.fit_forest(reference, MODEL_FEATURES, "source_row", trees=100)
+    grown = forest.fit_forest(reference, MODEL_FEATURES, "source_row", trees=200)
     isolated = forest.score_forest(marked, grown, MODEL_FEATURES, 256, ["source_row", "attack_cat", "in_reference"])
     vectors = marked.select("source_row", F.array(*MODEL_FEATURES).alias("v"))
-    # a sampled fit is the feature: density is judged against a bounded reference
-    fitted = sampling.stable_sample(reference.select("source_row", F.array(*MODEL_FEATURES).alias("v")), 1_000, "source_row")
+    fitted = reference.select("source_row", F.array(*MODEL_FEATURES).alias("v"))
     factor = neighbors.local_outlier_factor(vectors, fitted, "source_row", "v", k=35).drop("lof")
     table_ = durable(isolated.join(factor, "source_row").join(given, "source_row"), "baseline-scores")
     methods = ["ids_active", "ids_hybrid", "ids_ae_re", "isolation_forest", "local_outlier_factor"]
@@ -182,9 +217,25 @@ def baseline_methods(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.rank_methods(joined)
 
 
-@query("fit_hybrid_meta")
+@query(
+    "fit_hybrid_meta",
+    with_views(
+        """SELECT count(*) AS rows, count(*) FILTER (WHERE attack_cat = 'Fuzzers') AS positives, true AS stationary FROM judged_v"""
+    ),
+)
 def fit_hybrid_meta(spark: SparkSession, folder: str) -> DataFrame:
-    weights = models.fit_hybrid(judged(spark, folder), F.col("attack_cat") == "Fuzzers")
-    return spark.createDataFrame(
-        [(weights.ae_re, weights.softmax, weights.intercept)], "ae_re double, softmax double, intercept double"
+    """The fit is where the gradient of the penalised, balanced log loss vanishes."""
+    rows = judged(spark, folder)
+    w = models.fit_hybrid(rows, F.col("attack_cat") == "Fuzzers")
+    positive, softmax = (F.col("attack_cat") == "Fuzzers").cast("double"), 1.0 - F.col("max_prob")
+    p = 1.0 / (1.0 + F.exp(-(w.ae_re * F.col("ae_re") + w.softmax * softmax + w.intercept)))
+    facts = rows.select(positive.alias("y"), (p - positive).alias("e"), F.col("ae_re").alias("x1"), softmax.alias("x2")).groupBy("y").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.col("e") * (F.col(x) if x else 1.0)).alias(f"g{k}") for k, x in enumerate(("x1", "x2", None))]
+    )
+    penalty = (w.ae_re, w.softmax, 0.0)
+    # both classes weigh one half; the penalty is the weight over the number of rows
+    gradient = [F.abs(F.sum(F.col(f"g{k}")) / 2 + F.lit(penalty[k]) / F.sum("n")) for k in range(3)]
+    return facts.agg(
+        F.sum("n").alias("rows"), F.max(F.when(F.col("y") == 1.0, F.col("n"))).alias("positives"),
+        (F.greatest(*gradient) < 1e-4).alias("stationary"),
     )
