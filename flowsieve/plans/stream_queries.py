@@ -126,13 +126,12 @@ def stream_adaptive_threshold(spark: SparkSession, folder: str) -> DataFrame:
     with_views(
         """SELECT group_type, key, epoch_us(s) AS start, max(epoch_us(event_ts)) AS last, count(*) AS alert_count,
  count(*) FILTER (WHERE is_zeroday) AS ood_count, max(risk) AS max_risk FROM members_v GROUP BY group_type, key, s HAVING count(*) >= 2
- AND (s + INTERVAL 15 MINUTE < (SELECT max(event_ts) FROM alerts_v) - INTERVAL 10 MINUTE
- OR s < (SELECT max(x.s) FROM members_v x WHERE x.group_type = members_v.group_type AND x.key = members_v.key))""",
+ AND s + INTERVAL 15 MINUTE < (SELECT max(event_ts) FROM alerts_v) - INTERVAL 10 MINUTE""",
         *_INCIDENT_VIEWS, recursive=True,
     ),
 )
 def stream_incidents(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters closed by a later event or by the watermark."""
+    """Clusters that the watermark has passed."""
     scored = event_stream(spark, folder).selectExpr(*_list(SCORE_COLUMNS)).where("hybrid > 0.9E0")
     live = scored.selectExpr(*_list(ALERT_COLUMNS)).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
     live = live.withColumn("_risk", alert_op.alert_risk(live))

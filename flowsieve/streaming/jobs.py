@@ -97,7 +97,13 @@ def adaptive_thresholds(
 
 
 class AnchoredIncidents(StatefulProcessor):
-    """One open cluster per key, closed by a later event or when the watermark passes it."""
+    """Clusters per key, walked in time order behind the watermark.
+
+    Rows wait in state until the watermark has passed them, so a row that is late, but
+    not too late, joins the cluster it belongs to. A cluster is closed by a later row
+    or once the watermark is a window beyond its start; one timer per key is armed for
+    whichever comes first, the next waiting row or the end of the open cluster.
+    """
 
     STATE = "start long, last long, alerts long, ood long, risk int"
 
@@ -107,47 +113,55 @@ class AnchoredIncidents(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", self.STATE)
-
-    def _closed(self, key, cluster) -> list[tuple]:
-        start, last, alerts, ood, risk = cluster
-        return [(key[0], key[1], start, last, alerts, ood, risk)] if alerts >= self.min_alerts else []
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        names = ["group_type", "key", "start", "last", "alert_count", "ood_count", "max_risk"]
-        return pd.DataFrame(rows, columns=names)
-
-    def _timer(self, start: int) -> int:
-        return (start + self.window) // 1000 + 1
+        self.waiting = handle.getListState("waiting", "t long, ood int, risk int")
+        self.armed = handle.getValueState("armed", "millis long")
+
+    def _arm(self, millis: int) -> None:
+        """One timer, at the earliest moment asked for."""
+        if self.armed.exists():
+            old = self.armed.get()[0]
+            if old <= millis:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(millis)
+        self.armed.update((millis,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("t")
+        for some in rows:
+            self.waiting.appendList([(int(t), int(o), int(r)) for t, o, r in zip(some["t"], some["ood"], some["risk"], strict=True)])
+            self._arm(int(some["t"].min()) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        self.armed.clear()
+        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in waiting if r[0] // 1000 < now]
+        rest = waiting[len(due):]
         cluster = tuple(self.open.get()) if self.open.exists() else None
-        armed = cluster[0] if cluster else None
-        out: list[tuple] = []
-        for t, ood, risk in zip(batch["t"], batch["ood"], batch["risk"], strict=True):
-            if cluster is None or t - cluster[0] > self.window:
-                if cluster is not None:
-                    out += self._closed(key, cluster)
-                cluster = (int(t), int(t), 0, 0, 0)
-            cluster = (
-                cluster[0], max(cluster[1], int(t)), cluster[2] + 1, cluster[3] + int(ood), max(cluster[4], int(risk))
-            )
+        closed: list[tuple] = []
+        for t, ood, risk in due:
+            if cluster is not None and t - cluster[0] > self.window:
+                closed.append(cluster)
+                cluster = None
+            start, _, alerts, seen_ood, seen_risk = cluster or (t, t, 0, 0, 0)
+            cluster = (start, t, alerts + 1, seen_ood + ood, max(seen_risk, risk))
+        if cluster is not None and (cluster[0] + self.window) // 1000 < now:
+            closed.append(cluster)
+            cluster = None
+        if rest:
+            self.waiting.put(rest)
+            self._arm(rest[0][0] // 1000 + 1)
+        elif self.waiting.exists():
+            self.waiting.clear()
         if cluster is not None:
             self.open.update(cluster)
-            if cluster[0] != armed:
-                if armed is not None:
-                    self.handle.deleteTimer(self._timer(armed))
-                self.handle.registerTimer(self._timer(cluster[0]))
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.open.exists():
-            out = self._closed(key, tuple(self.open.get()))
+            self._arm((cluster[0] + self.window) // 1000 + 1)
+        elif self.open.exists():
             self.open.clear()
+        out = [(key[0], key[1], *c) for c in closed if c[2] >= self.min_alerts]
         if out:
-            yield self._frame(out)
+            yield pd.DataFrame(out, columns=["group_type", "key", "start", "last", "alert_count", "ood_count", "max_risk"])
 
     def close(self) -> None:
         pass
@@ -158,8 +172,7 @@ def anchored_incidents(
 ) -> DataFrame:
     """Stream of closed clusters from (group_type, key, event_ts, t, ood, risk) rows.
 
-    Rows of one key should arrive in time order across batches; the watermark
-    decides how late they may be, and later ones are dropped.
+    Rows may arrive in any order within ``delay``; later ones are dropped.
     """
     pairs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (

@@ -180,6 +180,34 @@ def test_streaming_incidents_span_batches(spark, tmp_path):
     assert got == [(0, 14, 3), (16, 18, 2), (40, 41, 2), (90, 90, 1)]
 
 
+def test_streaming_incidents_reorder_late_rows(spark, tmp_path):
+    """Rows that are late within the delay open or join the cluster of their own time."""
+    minutes = [20, 21, 12, 13, 15, 11, 29, 36, 33, 31, 120, 300]
+    base = 1_700_000_000
+    rows = [("Service", "dns", i, 0, i) for i, _ in enumerate(minutes)]
+    df = spark.createDataFrame(rows, "group_type string, key string, i int, ood int, risk int").withColumn(
+        "event_ts", F.timestamp_seconds(F.lit(base) + F.get(F.lit([m * 60 for m in minutes]), F.col("i")))
+    ).withColumn("t", F.unix_micros("event_ts"))
+    stream = files_in_order(spark, df, str(tmp_path), [(0, 2), (2, 6), (6, 7), (7, 10), (10, 11), (11, 12)])
+    rows = jobs.run_available(jobs.anchored_incidents(stream.drop("i"), min_alerts=1), "t").collect()
+    got = sorted(((r["start"] // 1_000_000 - base) // 60, (r["last"] // 1_000_000 - base) // 60, r["alert_count"]) for r in rows)
+    assert got == [(11, 21, 6), (29, 36, 4), (120, 120, 1)]
+
+
+def test_alert_log_of_two_streams(spark, tmp_path):
+    """A second stream with a checkpoint of its own adds to the log; a restarted one adds nothing twice."""
+    df = spark.createDataFrame([(f"A-{k}", k) for k in range(3)], "alert_id string, seq long").withColumn(
+        "created_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))
+    ).withColumns({"event_type": F.lit("saved"), "status": F.lit("new")})
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    log = str(tmp_path / "log")
+    for checkpoint in ("one", "two", "one"):
+        jobs.append_alert_log(stream, log, str(tmp_path / checkpoint)).awaitTermination()
+    stored = spark.read.parquet(log)
+    assert stored.count() == 6 and stored.select("alert_id").distinct().count() == 3
+
+
 def test_work_dir_needs_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
