@@ -81,7 +81,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> Texts:
     return Texts(rows.select("block", "d1", "d2", "id", "text"), blocks, ranges)
 
 
-def _raw_texts(table: pa.Table | pa.RecordBatch) -> Iterator[bytes]:
+def raw_texts(table: pa.Table | pa.RecordBatch) -> Iterator[bytes]:
     column = table.column("text")
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         data, offsets = text_bytes(chunk)
@@ -110,7 +110,7 @@ def _packer(scheme: Scheme, ranges: int):
         blocks: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), _raw_texts(batch), strict=True):
+            for block, raw in zip(batch.column("block").to_pylist(), raw_texts(batch), strict=True):
                 found = scheme.cut(raw)[1].gram
                 if len(found):
                     grams.append(found)
@@ -136,13 +136,13 @@ def _again(group: pa.Table) -> pa.Table:
     rows = []
     for block, packs in by_block.items():
         own = np.unique(np.concatenate(packs))
-        own = own[_among(own, repeated)]
+        own = own[among(own, repeated)]
         if len(own):
             rows.append((block, own.tobytes()))
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+def among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
@@ -161,15 +161,14 @@ def _cutter(scheme: Scheme):
     )
 
     def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
-        packs = [np.frombuffer(p, np.uint64) for p in repeated.column("grams").to_pylist()]
-        wanted = np.unique(np.concatenate(packs)) if packs else np.zeros(0, np.uint64)
+        wanted = wanted_grams(repeated.column("grams").to_pylist())
         rows: list[tuple] = []
         seen: set[bytes] = set()
         if len(wanted):
             meta = zip(*[docs.column(c).to_pylist() for c in ("block", "d1", "d2", "id")], strict=True)
-            for (block, d1, d2, own), raw in zip(meta, _raw_texts(docs), strict=True):
+            for (block, d1, d2, own), raw in zip(meta, raw_texts(docs), strict=True):
                 flat, found, starts, ends = scheme.cut(raw)
-                for k in np.flatnonzero(_among(found.gram, wanted)).tolist():
+                for k in np.flatnonzero(among(found.gram, wanted)).tolist():
                     first, count = int(found.first[k]), int(found.count[k])
                     content = flat[starts[first] : ends[first + count + scheme.width - 2]]
                     digest = xxhash.xxh3_128_digest(content)
@@ -186,6 +185,19 @@ def _cutter(scheme: Scheme):
     return run
 
 
+def repeated_grams(texts: Texts, scheme: Scheme) -> DataFrame:
+    """(home, grams): packed anchor grams that occur more than once in the corpus, for each block that holds them."""
+    packs = texts.rows.select("block", "text").mapInArrow(_packer(scheme, texts.ranges), "range long, block long, grams binary")
+    repeated = packs.groupBy("range").applyInArrow(_again, "block long, grams binary")
+    return repeated.select(F.col("block").alias("home"), "grams")
+
+
+def wanted_grams(packs: list[bytes]) -> np.ndarray:
+    """Sorted grams of a block's packs."""
+    parts = [np.frombuffer(p, np.uint64) for p in packs]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def candidates(texts: Texts, scheme: Scheme) -> DataFrame:
     """Stored rows: occurrences (content null) and, once for each block, distinct contexts with their bytes.
 
@@ -193,11 +205,9 @@ def candidates(texts: Texts, scheme: Scheme) -> DataFrame:
     ``count`` its windows in the document (d1, d2), ``anchor`` where the gram starts
     inside the context, in symbols.
     """
-    packs = texts.rows.select("block", "text").mapInArrow(_packer(scheme, texts.ranges), "range long, block long, grams binary")
-    repeated = packs.groupBy("range").applyInArrow(_again, "block long, grams binary")
     found = (
         texts.rows.groupBy("block")
-        .cogroup(repeated.select(F.col("block").alias("home"), "grams").groupBy("home"))
+        .cogroup(repeated_grams(texts, scheme).groupBy("home"))
         .applyInArrow(_cutter(scheme), CANDIDATES)
     )
     return durable(found, "contexts")

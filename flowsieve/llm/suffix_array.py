@@ -239,7 +239,7 @@ def _remover(docs: pa.Table, spans: pa.Table) -> pa.Table:
         by_doc.setdefault((d1, d2), []).append((a, b))
     ids, sizes, cut, kept = docs.column("id").to_pylist(), [], [], []
     keys = zip(docs.column("d1").to_pylist(), docs.column("d2").to_pylist(), strict=True)
-    for key, raw in zip(keys, repeats._raw_texts(docs), strict=True):
+    for key, raw in zip(keys, repeats.raw_texts(docs), strict=True):
         merged: list[list[int]] = []
         for a, b in sorted(by_doc.get(key, ())):
             if merged and a <= merged[-1][1]:

@@ -1,17 +1,25 @@
 """Removal of word sequences that an earlier document holds, with prefix-partitioned suffix trees.
 
-Contexts of repeated anchor grams (see ``repeats``) give the suffixes that can share a
-window: each context is trimmed to what it has in common with any other of its gram.
-The suffixes of the trimmed texts, as deep as a window, are divided by their first
-words. A prefix that too many suffixes share is lengthened, so that the suffixes of
-every prefix fit in memory, and each prefix gets a suffix tree of its own. Internal
-nodes as deep as a window are the maximal repeats; the smallest document order among a
-node's leaves says which of them came first. Suffixes that are too many even under
-their whole window have nothing left to branch on: their node is an aggregate.
+The suffixes are the windows of contexts of repeated anchor grams (see ``repeats``),
+each as deep as a window. They are partitioned by prefixes of variable length, so that
+the suffixes of every prefix fit in memory. The first prefix is the anchor gram itself,
+which all equal windows share at the same distance; grams are packed into units of
+bounded size. The windows of a gram too frequent for that are divided by their own
+first words, and a prefix that still holds too many is lengthened, word by word in
+steps, up to the whole window.
+
+Each prefix gets a suffix tree of its own. Internal nodes as deep as a window are the
+maximal repeats; the smallest document order among a node's leaves says which came
+first. Windows that are too many even under their whole length have nothing left to
+branch on: their node is an aggregate.
+
+Blocks of documents send each distinct context once and get back, for the contexts
+they hold, which windows an earlier document has.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,44 +34,99 @@ from flowsieve.llm.common import durable, runs, spread
 LARGEST_ID = (1 << 63) - 1  # order of a null id: after every number
 SUFFIXES = 20_000  # most suffixes of one tree
 
+CONTEXTS = "fp long, c long, block long, least long, most long, windows int, anchor int, content binary"
+KNOWN = "fp long, c long, block long, `from` int, windows int, m long"
 
-def _trimmer(width: int):
+
+def _content_key(content: bytes) -> int:
+    """Signed 64-bit hash of a context; with its gram's it names the context."""
+    key = xxhash.xxh3_64_intdigest(content)
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _contexts(scheme: repeats.Scheme):
+    """Distinct contexts of a block's repeated grams, with the smallest and largest order that hold them."""
     schema = pa.schema(
-        [("fp", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64()),
-         ("from", pa.int32()), ("windows", pa.int32()), ("least", pa.int64()), ("text", pa.binary())]
+        [("fp", pa.int64()), ("c", pa.int64()), ("block", pa.int64()), ("least", pa.int64()), ("most", pa.int64()),
+         ("windows", pa.int32()), ("anchor", pa.int32()), ("content", pa.binary())]
     )
 
-    def trimmed(rows: list[tuple]) -> Iterator[tuple]:
-        """Rows (fp, c1, c2, anchor, content, least) of one unit, cut down to what others share."""
-        groups: dict[int, list[tuple]] = {}
-        for row in rows:
-            groups.setdefault(row[0], []).append(row)
-        for group in groups.values():
-            words = [row[4].split(b" ") for row in group]
-            around = [(w[: row[3]][::-1], w[row[3] :]) for w, row in zip(words, group, strict=True)]
-            firsts: dict[bytes, int] = {}
-            kept = []
-            for w, row, (left, right) in zip(words, group, repeats.shared_extents(around), strict=True):
-                if left + right >= width:
-                    text = b" ".join(w[row[3] - left : row[3] + right])
-                    firsts[text] = min(firsts.get(text, row[5]), row[5])
-                    kept.append((row, row[3] - left, left + right - width + 1, text))
-            for row, begin, windows, text in kept:
-                x1, x2 = np.frombuffer(xxhash.xxh3_128_digest(text), np.int64).tolist()
-                least = firsts.pop(text, None)
-                yield (*row[:3], x1, x2, begin, windows, least, None if least is None else text)
+    def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+        wanted = repeats.wanted_grams(repeated.column("grams").to_pylist())
+        seen: dict[tuple[int, bytes], list] = {}
+        if len(wanted):
+            ids = docs.column("id").to_pylist()
+            for own, raw in zip(ids, repeats.raw_texts(docs), strict=True):
+                rank = LARGEST_ID if own is None else own
+                flat, found, starts, ends = scheme.cut(raw)
+                at = np.flatnonzero(repeats.among(found.gram, wanted))
+                first, count = found.first[at], found.count[at]
+                begins, stops = starts[first].tolist(), ends[first + count + scheme.width - 2].tolist()
+                anchors = (found.anchor[at] - first).tolist()
+                grams = found.gram[at].view(np.int64).tolist()
+                for fp, a, b, n, anchor in zip(grams, begins, stops, count.tolist(), anchors, strict=True):
+                    key = fp, flat[a:b]
+                    old = seen.get(key)
+                    if old is None:
+                        seen[key] = [rank, rank, n, anchor]
+                    elif rank < old[0]:
+                        old[0] = rank
+                    elif rank > old[1]:
+                        old[1] = rank
+        block = docs.column("block")[0].as_py() if docs.num_rows else 0
+        rows = [(fp, _content_key(content), block, *facts, content) for (fp, content), facts in seen.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _trees(width: int):
+    """Units of whole grams: what an earlier document holds of each context, for each block that has it."""
+    schema = pa.schema(
+        [("fp", pa.int64()), ("c", pa.int64()), ("block", pa.int64()), ("from", pa.int32()), ("windows", pa.int32()), ("m", pa.int64())]
+    )
+
+    def known(contexts: list[tuple[int, int, bytes, int]]) -> list[list[tuple[int, int, int]]]:
+        """(from, windows, smallest order of another context) for contexts (windows, anchor, content, least) of one gram."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in contexts]
+        if len(contexts) < 2:
+            return out
+        words = [content.split(b" ") for _, _, content, _ in contexts]
+        around = [(w[:anchor][::-1], w[anchor:]) for w, (_, anchor, _, _) in zip(words, contexts, strict=True)]
+        leaves = []
+        for k, (left, right) in enumerate(repeats.shared_extents(around)):
+            anchor = contexts[k][1]
+            for at in range(anchor - left, anchor + right - width + 1):
+                leaves.append((words[k][at : at + width], k, at))
+        leaves.sort()
+        for a, b in Subtree([suffix for suffix, _, _ in leaves]).deep(width):
+            some = leaves[a : b + 1]
+            m = min(contexts[k][3] for _, k, _ in some)
+            for _, k, at in some:
+                if contexts[k][3] > m:
+                    out[k].append((at, 1, m))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, "unit"):
-            unit = table.column("unit").to_numpy()
-            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                some = table.slice(lo, hi - lo)
-                names = ("fp", "c1", "c2", "anchor", "content", "least")
-                out = list(trimmed(list(zip(*[some.column(c).to_pylist() for c in names], strict=True))))
-                if out:
-                    columns = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+        names = ("unit", "fp", "c", "block", "least", "most", "windows", "anchor", "content")
+        for table in runs(batches, "unit", "fp"):
+            grams: dict[tuple[int, int], dict[int, list]] = {}
+            for unit, fp, c, block, least, most, windows, anchor, content in zip(*[table.column(n).to_pylist() for n in names], strict=True):
+                entry = grams.setdefault((unit, fp), {}).setdefault(c, [windows, anchor, content, least, []])
+                entry[3] = min(entry[3], least)
+                entry[4].append((block, most))
+            rows = []
+            for (_, fp), by_content in grams.items():
+                found = known([tuple(e[:4]) for e in by_content.values()])
+                for (c, (windows, _, _, least, blocks)), other in zip(by_content.items(), found, strict=True):
+                    for block, most in blocks:
+                        if least < most:
+                            rows.append((fp, c, block, 0, windows, least))
+                        rows += [(fp, c, block, at, n, m) for at, n, m in other if m < most]
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
@@ -71,12 +134,11 @@ def _trimmer(width: int):
 class Subtree:
     """Suffix tree over sorted suffixes: internal nodes with their depth in words and their leaves."""
 
-    def __init__(self, suffixes: list[str]) -> None:
+    def __init__(self, suffixes: list[list]) -> None:
         self.nodes: list[tuple[int, int, int]] = []  # depth, first leaf, last leaf
-        split = [s.split(" ") for s in suffixes]
         open_: list[tuple[int, int]] = []  # depth, first leaf
-        for k in range(1, len(split) + 1):
-            depth = -1 if k == len(split) else repeats.common(split[k - 1], split[k])
+        for k in range(1, len(suffixes) + 1):
+            depth = -1 if k == len(suffixes) else repeats.common(suffixes[k - 1], suffixes[k])
             first = k - 1
             while open_ and open_[-1][0] > depth:
                 own, first = open_.pop()
@@ -95,7 +157,7 @@ class Subtree:
 
 
 def _grower(width: int):
-    schema = pa.schema([("x1", pa.int64()), ("x2", pa.int64()), ("from", pa.int32()), ("m", pa.int64())])
+    schema = pa.schema([("fp", pa.int64()), ("c", pa.int64()), ("from", pa.int32()), ("m", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "level", "prefix"):
@@ -107,7 +169,7 @@ def _grower(width: int):
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                for a, b in Subtree(suffixes[lo:hi]).deep(width):
+                for a, b in Subtree([x.split(" ") for x in suffixes[lo:hi]]).deep(width):
                     own = least[lo + a : lo + b + 1]
                     m = int(own.min())
                     for k in np.flatnonzero(own > m).tolist():
@@ -115,7 +177,7 @@ def _grower(width: int):
                         first.append(m)
             if chosen:
                 some = table.take(pa.array(chosen)).combine_chunks()
-                columns = [some.column(c).combine_chunks() for c in ("x1", "x2", "from")]
+                columns = [some.column(c).combine_chunks() for c in ("fp", "c", "from")]
                 columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.int64())], schema=schema)
 
@@ -123,12 +185,16 @@ def _grower(width: int):
 
 
 def first_holders(texts: DataFrame, width: int, suffixes_of_tree: int = SUFFIXES) -> DataFrame:
-    """(x1, x2, from, m): windows of the texts (x1, x2, least, text) that another text holds with a smaller order m."""
+    """(fp, c, from, m): windows of contexts (fp, c, least, text) that another context holds with a smaller order m.
+
+    Windows are partitioned by their first words, as many as it takes to get at most
+    ``suffixes_of_tree`` of them under a prefix.
+    """
     words = F.split(F.col("text"), " ", -1)
     begins = F.sequence(F.lit(0), F.size("words") - width)
-    suffixes = texts.withColumn("words", words).select("x1", "x2", "least", "words", F.explode(begins).alias("from"))
+    suffixes = texts.withColumn("words", words).select("fp", "c", "least", "words", F.explode(begins).alias("from"))
     window = F.slice("words", F.col("from") + 1, width)
-    suffixes = suffixes.select("x1", "x2", "least", "from", window.alias("window"))
+    suffixes = suffixes.select("fp", "c", "least", "from", window.alias("window"))
     levels = sorted({min(k, width) for k in (1, 2, 4, 8, width)})
 
     def prefix(level: int) -> Column:
@@ -137,38 +203,49 @@ def first_holders(texts: DataFrame, width: int, suffixes_of_tree: int = SUFFIXES
     every = F.inline(F.array(*[F.struct(F.lit(k).alias("level"), prefix(k).alias("prefix")) for k in levels]))
     heavy = suffixes.select(every).groupBy("level", "prefix").count().where(F.col("count") > suffixes_of_tree)
     heavy = durable(heavy.select("level", "prefix"), "heavy-prefixes")
-    dealt = suffixes.select("x1", "x2", "least", "from", F.array_join("window", " ").alias("suffix"), *[prefix(k).alias(f"p{k}") for k in levels])
+    dealt = suffixes.select("fp", "c", "least", "from", F.array_join("window", " ").alias("suffix"), *[prefix(k).alias(f"p{k}") for k in levels])
     for k in levels:
         some = heavy.where(F.col("level") == k).select(F.col("prefix").alias(f"p{k}"), F.lit(True).alias(f"h{k}"))
         dealt = dealt.join(some, f"p{k}", "left")
     level = F.coalesce(*[F.when(F.col(f"h{k}").isNull(), k) for k in levels], F.lit(0))
     chosen = F.coalesce(*[F.when(F.col("level") == k, F.col(f"p{k}")) for k in levels], F.lit(0))
     dealt = dealt.withColumn("level", level).withColumn("prefix", chosen)
-    dealt = durable(dealt.select("level", "prefix", "suffix", "x1", "x2", "from", "least"), "suffixes")
+    dealt = durable(dealt.select("level", "prefix", "suffix", "fp", "c", "from", "least"), "suffixes")
     grown = spread(dealt.where("level > 0"), "level", "prefix").sortWithinPartitions("level", "prefix", "suffix")
-    grown = grown.mapInArrow(_grower(width), "x1 long, x2 long, from int, m long")
+    grown = grown.mapInArrow(_grower(width), "fp long, c long, from int, m long")
     endless = dealt.where("level = 0")
     single = endless.groupBy("suffix").agg(F.min("least").alias("m"))
-    return grown.union(endless.join(single, "suffix").where("m < least").select("x1", "x2", "from", "m"))
+    return grown.union(endless.join(single, "suffix").where("m < least").select("fp", "c", "from", "m"))
 
 
 REMOVED = "id long, n_words long, spans array<struct<begin:int,end:int>>, kept string"
 
 
-def _remover(width: int):
+def _remover(scheme: repeats.Scheme):
+    """Texts of a block without the words that windows of earlier documents cover."""
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("kept", pa.string())])
 
-    def run(docs: pa.Table, marked: pa.Table) -> pa.Table:
-        by_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for s1, s2, begin, windows in zip(*[marked.column(c).to_pylist() for c in ("s1", "s2", "begin", "windows")], strict=True):
-            by_doc.setdefault((s1, s2), []).append((begin, begin + windows + width - 1))
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        by_context: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for fp, c, at, n, m in zip(*[known.column(x).to_pylist() for x in ("fp", "c", "from", "windows", "m")], strict=True):
+            by_context.setdefault((fp, c), []).append((at, n, m))
+        wanted = np.unique(np.array([fp for fp, _ in by_context], np.int64).view(np.uint64))
         ids, sizes, cut, kept = docs.column("id").to_pylist(), [], [], []
-        keys = zip(docs.column("d1").to_pylist(), docs.column("d2").to_pylist(), strict=True)
-        for key, raw in zip(keys, repeats._raw_texts(docs), strict=True):
-            words = raw.split()
+        for own, raw in zip(ids, repeats.raw_texts(docs), strict=True):
+            rank = LARGEST_ID if own is None else own
+            words, covered = raw.split(), []
+            if len(wanted) and len(words) >= scheme.width:
+                flat, found, starts, ends = scheme.cut(raw)
+                at = np.flatnonzero(repeats.among(found.gram, wanted))
+                first, count = found.first[at], found.count[at]
+                stops = ends[first + count + scheme.width - 2]
+                for fp, f, a, b in zip(found.gram[at].view(np.int64).tolist(), first.tolist(), starts[first].tolist(), stops.tolist(), strict=True):
+                    for k, n, m in by_context.get((fp, _content_key(flat[a:b])), ()):
+                        if m < rank:
+                            covered.append((f + k, f + k + n + scheme.width - 1))
             merged: list[list[int]] = []
-            for a, b in sorted(by_doc.get(key, ())):
+            for a, b in sorted(covered):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
@@ -204,43 +281,32 @@ def remove_seen_words(
     """
     width = scheme.width
     texts = repeats.prepared(docs, id_col, text_col)
-    found = repeats.candidates(texts, scheme)
-    rank = F.coalesce("id", F.lit(LARGEST_ID))
-    seen = found.where("content is null").withColumn("rank", rank)
-    contexts = seen.groupBy("fp", "c1", "c2").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.max("count").alias("count"))
-    contexts = durable(contexts, "context-ranks")
-    mixed = contexts.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
-    members = found.where("content is not null").join(mixed, "fp", "left_semi")
-    members = members.groupBy("fp", "c1", "c2").agg(F.max("content").alias("content"), F.max("anchor").alias("anchor"))
-    members = durable(members.join(contexts.select("fp", "c1", "c2", "least"), ["fp", "c1", "c2"]), "members")
-    judged = repeats.units(members, unit_bytes).select("unit", "fp", "c1", "c2", "anchor", "content", "least")
-    trimmed = judged.mapInArrow(
-        _trimmer(width), "fp long, c1 long, c2 long, x1 long, x2 long, `from` int, windows int, least long, text binary"
+    found = texts.rows.groupBy("block").cogroup(repeats.repeated_grams(texts, scheme).groupBy("home"))
+    contexts = durable(found.applyInArrow(_contexts(scheme), CONTEXTS), "contexts")
+
+    sizes = contexts.groupBy("fp").agg(F.sum(F.length("content").cast("long")).alias("bytes"))
+    sizes = durable(sizes, "gram-sizes")
+    large = sizes.where(F.col("bytes") > unit_bytes).select("fp")
+    total = sizes.agg(F.sum(F.when(F.col("bytes") <= unit_bytes, F.col("bytes")))).first()[0] or 0
+    units = max(1, math.ceil(total / unit_bytes))
+
+    # grams that fit in memory, many to a unit
+    dealt = contexts.join(large, "fp", "left_anti").withColumn("unit", F.pmod(F.xxhash64("fp"), F.lit(units)))
+    dealt = spread(dealt, "unit").sortWithinPartitions("unit", "fp")
+    near = dealt.mapInArrow(_trees(width), KNOWN)
+
+    # the others, by their windows' first words
+    frequent = durable(contexts.join(large, "fp", "left_semi"), "frequent-contexts")
+    merged = frequent.groupBy("fp", "c").agg(
+        F.min("least").alias("least"), F.max("windows").alias("windows"), F.max("content").cast("string").alias("text")
     )
-    trimmed = durable(trimmed, "trimmed")
-    shared = trimmed.where("text is not null").groupBy("x1", "x2")
-    shared = durable(shared.agg(F.min("least").alias("least"), F.max("text").cast("string").alias("text")), "trimmed-texts")
-    earlier = first_holders(shared, width, suffixes_of_tree)
-
-    # what is known of a context's windows: from, windows, smallest order that holds them
-    key = ["fp", "c1", "c2"]
-    own = trimmed.select(*key, "x1", "x2", "from", "windows")
-    whole = contexts.where("least < most").select(*key, F.lit(0).alias("from"), F.col("count").alias("windows"), F.col("least").alias("m"))
-    equal = own.join(shared.select("x1", "x2", F.col("least").alias("m")), ["x1", "x2"]).join(
-        contexts.select(*key, F.col("most")), key
-    ).where("m < most").select(*key, "from", "windows", "m")
-    held = own.select(*key, "x1", "x2", F.col("from").alias("at")).join(earlier, ["x1", "x2"])
-    held = held.select(*key, (F.col("at") + F.col("from")).alias("from"), F.lit(1).alias("windows"), "m")
-    known = whole.union(equal).union(held).groupBy(*key).agg(F.collect_set(F.struct("from", "windows", "m")).alias("known"))
-
-    placed = seen.select(*key, "block", "d1", "d2", "first", "rank").join(known, key)
-    placed = placed.select(
-        F.col("block").alias("home"),
-        F.col("d1").alias("s1"),
-        F.col("d2").alias("s2"),
-        "first",
-        F.inline(F.filter("known", lambda x: x["m"] < F.col("rank"))),
+    merged = durable(merged, "frequent-texts")
+    earlier = first_holders(merged.select("fp", "c", "least", "text"), width, suffixes_of_tree)
+    far = earlier.select("fp", "c", "from", F.lit(1).alias("windows"), "m").union(
+        merged.select("fp", "c", F.lit(0).alias("from"), "windows", F.col("least").alias("m"))
     )
-    placed = placed.select("home", "s1", "s2", (F.col("first") + F.col("from")).alias("begin"), "windows").distinct()
-    kept = texts.rows.groupBy("block").cogroup(placed.groupBy("home")).applyInArrow(_remover(width), REMOVED)
+    far = frequent.select("fp", "c", "block", "most").join(far, ["fp", "c"]).where("m < most")
+
+    known = near.union(far.select("fp", "c", "block", "from", "windows", "m")).withColumnRenamed("block", "home")
+    kept = texts.rows.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_remover(scheme), REMOVED)
     return kept.withColumnRenamed("id", id_col)

@@ -153,6 +153,6 @@ def test_no_words(spark):
 
 
 def test_subtree_nodes():
-    tree = suffix_tree.Subtree(sorted(["a b c", "a b c", "a b d", "a b d", "a x y", "b b b"]))
+    tree = suffix_tree.Subtree([x.split() for x in sorted(["a b c", "a b c", "a b d", "a b d", "a x y", "b b b"])])
     assert sorted(tree.nodes) == [(0, 0, 5), (1, 0, 4), (2, 0, 3), (3, 0, 1), (3, 2, 3)]
     assert tree.deep(3) == [(0, 1), (2, 3)] and tree.deep(2) == [(0, 3)]
