@@ -49,7 +49,23 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", ids, decoded)
 
 
-@query("op3_suffix_array_dedup")
+# Bytes as pairs of hex digits; a 400-byte string is 800 of them.
+@query(
+    "op3_suffix_array_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    win AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d)),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+    edge AS (SELECT doc_id, i, CAST(i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 400 AS INT) AS new FROM twice),
+    run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+    span AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM run GROUP BY doc_id, r),
+    rest AS (SELECT span.doc_id, a, b, substr(h, 2 * lag(b, 1, 0) OVER (PARTITION BY span.doc_id ORDER BY a) + 1,
+     2 * (a - lag(b, 1, 0) OVER (PARTITION BY span.doc_id ORDER BY a))) AS before, h FROM span JOIN d ON d.doc_id = span.doc_id),
+    cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, concat(string_agg(before, '' ORDER BY a), substr(any_value(h), 2 * max(b) + 1)) AS k FROM rest GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+     sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+    """,
+)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_array.remove_repeats(table(spark, folder, "documents"))
     return found.select(
@@ -90,7 +106,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-@query("op7_substring_dedup")
+@query(
+    "op7_substring_dedup",
+    """
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+    late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE first < doc_id),
+    gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM late)),
+    word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+    kept AS (SELECT word.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY word.p) AS t FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY ALL)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
+)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_tree.remove_seen_words(table(spark, folder, "documents"))
     gone = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"]).cast("long")
