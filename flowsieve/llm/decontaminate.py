@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.common import batch_of, durable, narrow
 
-RATE = 0.05  # edits allowed for each character of an item
+RATE = 0.08  # edits allowed for each character of an item
 SLICE_CHARS = 1 << 20  # characters of items compared in one run over the documents
 
 Item = tuple[int, str]

@@ -68,7 +68,7 @@ def test_contamination(spark, slice_chars):
             pattern = decontaminate.normalised(text or "")
             if pattern:
                 d = least_distance(pattern, decontaminate.normalised(t or ""))
-                if d <= int(0.05 * len(pattern)):
+                if d <= int(decontaminate.RATE * len(pattern)):
                     held.append((str(item_id), d))
         want.append((str(i), bool(held), sorted(held)))
     assert sorted((str(r.doc_id), r.contaminated, sorted((str(h.item_id), h.distance) for h in r.hits)) for r in got) == sorted(want)
