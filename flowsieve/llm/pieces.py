@@ -50,10 +50,12 @@ class MergeEncoder:
         self.token = {p: k for k, p in enumerate(self.names)}
         self.sizes = [len(p) for p in self.names]
         self.shorter: list[int] = [-2] * len(self.names)  # -2: not looked up yet, -1: none
+        # single characters need no automaton: they are what stands where nothing longer matches
         self.matches = ahocorasick.Automaton()
-        for k, piece in enumerate(self.names):
-            self.matches.add_word(piece, (len(piece) - 1, k))
-        if ids:
+        longer = [k for k, piece in enumerate(self.names) if len(piece) > 1]
+        for k in longer:
+            self.matches.add_word(self.names[k], (self.sizes[k] - 1, k))
+        if longer:
             self.matches.make_automaton()
         self.fits: dict[int, bool] = {}
 
@@ -111,20 +113,21 @@ class MergeEncoder:
     def encode(self, text: str) -> list[int]:
         """Tokens of ``text``; a character that no piece covers is a token of its own."""
         n, sizes, fits, shorter = len(text), self.sizes, self.fits, self.shorter
-        longest = [-1] * n
-        if self.names:
+        longest = list(map(self.token.get, text))
+        if None in longest:
+            longest = [self.strange(c) if t is None else t for t, c in zip(longest, text, strict=True)]
+        if len(self.matches):
             for end, (back, token) in self.matches.iter(text):  # a later end is a longer match
                 longest[end - back] = token
-        if -1 in longest:
-            longest = [t if t >= 0 else self.strange(c) for t, c in zip(longest, text, strict=True)]
         failed = bytearray(n // 8 + 1)
+        any_failed = False
         tokens: list[int] = []
         at, left = 0, -1
         token = longest[0] if n else -1
         while at < n:
             while token >= 0:
                 end = at + sizes[token]
-                if not failed[end >> 3] >> (end & 7) & 1:
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
                     fit = fits.get(left << 32 | token)
                     if fit or (fit is None and self.compatible(left, token)):
                         break
@@ -137,6 +140,7 @@ class MergeEncoder:
                     token = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 back = tokens.pop()
                 at -= sizes[back]
                 left = tokens[-1] if tokens else -1
