@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm import repeats
-from flowsieve.llm.common import durable, runs, spread
+from flowsieve.llm.common import durable, packed, runs, spread, unpacked
 
 LARGEST_ID = (1 << 63) - 1  # order of a null id: after every number
 SUFFIXES = 20_000  # most suffixes of one tree
@@ -51,10 +51,11 @@ def _contexts(scheme: repeats.Scheme):
          ("windows", pa.int32()), ("anchor", pa.int32()), ("content", pa.binary())]
     )
 
-    def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+    def run(blobs: pa.Table, repeated: pa.Table) -> pa.Table:
         wanted = repeats.wanted_grams(repeated.column("grams").to_pylist())
         seen: dict[tuple[int, bytes], list] = {}
-        if len(wanted):
+        docs = unpacked(blobs.column("blob"))
+        if len(wanted) and docs is not None:
             ids = docs.column("id").to_pylist()
             for own, raw in zip(ids, repeats.raw_texts(docs), strict=True):
                 rank = LARGEST_ID if own is None else own
@@ -73,7 +74,7 @@ def _contexts(scheme: repeats.Scheme):
                         old[0] = rank
                     elif rank > old[1]:
                         old[1] = rank
-        block = docs.column("block")[0].as_py() if docs.num_rows else 0
+        block = blobs.column("block")[0].as_py() if blobs.num_rows else 0
         rows = [(fp, _content_key(content), block, *facts, content) for (fp, content), facts in seen.items()]
         columns = list(zip(*rows, strict=True)) or [()] * len(schema)
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
@@ -109,15 +110,15 @@ def _trees(width: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("unit", "fp", "c", "block", "least", "most", "windows", "anchor", "content")
-        for table in runs(batches, "unit", "fp"):
-            grams: dict[tuple[int, int], dict[int, list]] = {}
-            for unit, fp, c, block, least, most, windows, anchor, content in zip(*[table.column(n).to_pylist() for n in names], strict=True):
-                entry = grams.setdefault((unit, fp), {}).setdefault(c, [windows, anchor, content, least, []])
+        names = ("fp", "c", "block", "least", "most", "windows", "anchor", "content")
+        for unit in _units(batches):
+            grams: dict[int, dict[int, list]] = {}
+            for fp, c, block, least, most, windows, anchor, content in zip(*[unit.column(n).to_pylist() for n in names], strict=True):
+                entry = grams.setdefault(fp, {}).setdefault(c, [windows, anchor, content, least, []])
                 entry[3] = min(entry[3], least)
                 entry[4].append((block, most))
             rows = []
-            for (_, fp), by_content in grams.items():
+            for fp, by_content in grams.items():
                 found = known([tuple(e[:4]) for e in by_content.values()])
                 for (c, (windows, _, _, least, blocks)), other in zip(by_content.items(), found, strict=True):
                     for block, most in blocks:
@@ -131,6 +132,15 @@ def _trees(width: int):
     return run
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The contexts of one unit after the other."""
+    for table in runs(batches, "unit"):
+        unit = table.column("unit").to_numpy()
+        cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield unpacked(table.column("blob").slice(lo, hi - lo))
+
+
 class Subtree:
     """Suffix tree over sorted suffixes: internal nodes with their depth in words and their leaves."""
 
@@ -226,7 +236,10 @@ def _remover(scheme: repeats.Scheme):
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("kept", pa.string())])
 
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+    def run(blobs: pa.Table, known: pa.Table) -> pa.Table:
+        docs = unpacked(blobs.column("blob"))
+        if docs is None:
+            return schema.empty_table()
         by_context: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for fp, c, at, n, m in zip(*[known.column(x).to_pylist() for x in ("fp", "c", "from", "windows", "m")], strict=True):
             by_context.setdefault((fp, c), []).append((at, n, m))
@@ -281,18 +294,20 @@ def remove_seen_words(
     """
     width = scheme.width
     texts = repeats.prepared(docs, id_col, text_col)
-    found = texts.rows.groupBy("block").cogroup(repeats.repeated_grams(texts, scheme).groupBy("home"))
+    blobs = packed(texts.rows.select("block", "id", "text"), "block")
+    found = blobs.groupBy("block").cogroup(repeats.repeated_grams(texts, scheme).groupBy("home"))
     contexts = durable(found.applyInArrow(_contexts(scheme), CONTEXTS), "contexts")
 
     sizes = contexts.groupBy("fp").agg(F.sum(F.length("content").cast("long")).alias("bytes"))
     sizes = durable(sizes, "gram-sizes")
-    large = sizes.where(F.col("bytes") > unit_bytes).select("fp")
+    large = durable(sizes.where(F.col("bytes") > unit_bytes).select("fp"), "frequent-grams")
     total = sizes.agg(F.sum(F.when(F.col("bytes") <= unit_bytes, F.col("bytes")))).first()[0] or 0
     units = max(1, math.ceil(total / unit_bytes))
 
     # grams that fit in memory, many to a unit
     dealt = contexts.join(large, "fp", "left_anti").withColumn("unit", F.pmod(F.xxhash64("fp"), F.lit(units)))
-    dealt = spread(dealt, "unit").sortWithinPartitions("unit", "fp")
+    dealt = dealt.select("unit", "fp", "c", "block", "least", "most", "windows", "anchor", "content")
+    dealt = spread(packed(dealt, "unit"), "unit").sortWithinPartitions("unit")
     near = dealt.mapInArrow(_trees(width), KNOWN)
 
     # the others, by their windows' first words
@@ -308,5 +323,5 @@ def remove_seen_words(
     far = frequent.select("fp", "c", "block", "most").join(far, ["fp", "c"]).where("m < most")
 
     known = near.union(far.select("fp", "c", "block", "from", "windows", "m")).withColumnRenamed("block", "home")
-    kept = texts.rows.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_remover(scheme), REMOVED)
+    kept = blobs.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_remover(scheme), REMOVED)
     return kept.withColumnRenamed("id", id_col)
