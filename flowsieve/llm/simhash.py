@@ -162,6 +162,8 @@ def _linker(bits: int):
             fps = table.column("fp").to_numpy().view(np.uint64)
             keys = np.stack([table.column(k).to_numpy() for k in ("layout", "block", "pair")])
             run = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
+            met = np.bincount(run)[run] > 1  # most fingerprints are alone in their bucket
+            run, fps = run[met], fps[met]
             to = linked(run, fps, bits)
             moved = np.flatnonzero(to != np.arange(len(to)))
             signed = fps.view(np.int64)
@@ -179,9 +181,9 @@ def links(fps: DataFrame, bits: int = BITS, slice_size: int = SLICE) -> DataFram
     """
     masks = F.array(*[F.struct(F.lit(k).alias("layout"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("block")) for k, m in enumerate(block_masks(bits))])
     laid = fps.select("fp", F.inline(masks))
-    sizes = laid.groupBy("layout", "block").count().where(F.col("count") > 1)
-    shared = laid.join(sizes, ["layout", "block"])
-    slices = F.ceil(F.col("count") / slice_size).cast("long")
+    large = laid.groupBy("layout", "block").count().where(F.col("count") > slice_size)
+    shared = laid.join(durable(large, "large-buckets"), ["layout", "block"], "left")
+    slices = F.ceil(F.coalesce("count", F.lit(1)) / slice_size).cast("long")
     dealt = shared.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("fp"), "slices"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
     dealt = dealt.withColumn("other", other).select(
