@@ -29,7 +29,7 @@ from flowsieve.llm.components import components
 
 MARKS = re.compile(r"[ \t]{0,3}>[ \t]?")
 SPAN = 1024  # turns of a conversation that are ordered together
-LEAST_CHARS = 8  # normalised characters a quote needs before it can name its original
+LEAST_CHARS = 8  # normalised characters a quote needs before it can name an original of another conversation
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -70,9 +70,9 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
 
 
 def parts(text: str) -> set[str]:
-    """Normalised whole, paragraphs and lines of a text, those long enough to name it."""
+    """Normalised whole, paragraphs and lines of a text."""
     some = {plain(text), *(plain(p) for p in re.split(r"\n[ \t]*\n", text)), *(plain(x) for x in text.split("\n"))}
-    return {x for x in some if len(x) >= LEAST_CHARS}
+    return some - {""}
 
 
 def _hash(text: str) -> tuple[int, int]:
@@ -161,7 +161,7 @@ def link_quotes(
     first = originals.groupBy("h1", "h2").agg(F.min(F.struct("conv", "turn", "uid")).alias("first"))
     found = quotes.join(near, ["h1", "h2", "uid"], "left").join(first, ["h1", "h2"], "left")
     self_ = F.struct("conv", "turn", "uid")
-    target = F.coalesce("near", F.when(F.col("first") < self_, F.col("first")))
+    target = F.coalesce("near", F.when((F.col("first") < self_) & (F.col("size") >= LEAST_CHARS), F.col("first")))
     found = found.withColumn("target", target).where(F.col("target").isNotNull())
     rank = F.struct(-F.col("level"), "size", -F.col("passage"))
     answers = found.groupBy("uid").agg(F.max_by(F.struct("conv", "target", "level"), rank).alias("a"))

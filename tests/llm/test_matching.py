@@ -148,3 +148,14 @@ def test_links(spark, monkeypatch, seed, span):
     assert sorted(map(repr, ([r[f] for f in fields] for r in got))) == sorted(map(repr, (list(x) for x in plain_links(rows))))
     assert sum(r.reply_turn is not None for r in got) > 20
     assert quotes.link_quotes(extra.where("turn > 1000")).count() == 0
+
+
+def test_short_quotes(spark):
+    """Fails where quotes under eight characters name nothing; across conversations they still do not."""
+    tune(spark)
+    rows = [(1, 0, "user", "thanks"), (1, 1, "user", "> thanks\nwelcome"), (1, 2, "user", "> 好的。\nwhat?"), (2, 0, "user", "> thanks\nno")]
+    rows += [(3, 0, "user", "好的。"), (3, 1, "user", "> 好的。\n是"), (3, 2, "user", "> \n> 是\nend")]
+    schema = "conv_id long, turn long, role string, text string"
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.link_quotes(spark.createDataFrame(rows, schema)).collect()}
+    none = (None, None)
+    assert got == {(1, 0): none, (1, 1): (1, 0), (1, 2): none, (2, 0): none, (3, 0): none, (3, 1): (3, 0), (3, 2): (3, 1)}
