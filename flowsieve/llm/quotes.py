@@ -4,7 +4,7 @@ Messages are parsed line by line: leading ``>`` marks give the quote level. Line
 one level that follow each other are a passage. Passages, and their single lines, are
 normalised and hashed, and so are a message's own text, paragraphs and lines. A quote
 is joined to the message it was taken from: the latest earlier one of the conversation,
-or else the first one anywhere, if that is earlier. Conversations that quote each other
+or else, for quotes that are not very short, the first one anywhere, if that is earlier. Conversations that quote each other
 become one thread, in which every original stands before its replies and quotes are gone.
 
 Joins meet one row for each hash, and a conversation of any length is worked on in
@@ -139,13 +139,15 @@ def link_quotes(
     """One row for every message: its own text, what it answers, and its place in its thread.
 
     A message answers the original of its shallowest quote that has one, of equals the
-    longest, then the first passage. Quotes without an original still go. Threads are
+    longest, then the first passage; ``links`` has the originals of all its passages and
+    their lines. Quotes without an original still go. Threads follow all links and are
     named by the smallest conversation that quotes reach; within a thread messages are
     ordered by conversation and turn, which puts originals first. Null text is empty;
     a message without conversation or turn keeps its row, is linked to nothing and has
     no thread or place. Repeated messages keep a row each. An empty table gives an
     empty result. Columns: conv_id, turn, role, text, n_quotes, reply_conv, reply_turn,
-    quote_level, thread_id, place (from 0).
+    quote_level, thread_id, place (from 0), links (array of passage, level, reply_conv,
+    reply_turn).
     """
     picked = [F.col(f"`{c}`").cast("long").alias(n) for c, n in ((conv_col, "conv"), (turn_col, "turn"))]
     picked += [F.col(f"`{c}`").cast("string").alias(n) for c, n in ((role_col, "role"), (text_col, "text"))]
@@ -162,14 +164,18 @@ def link_quotes(
     found = quotes.join(near, ["h1", "h2", "uid"], "left").join(first, ["h1", "h2"], "left")
     self_ = F.struct("conv", "turn", "uid")
     target = F.coalesce("near", F.when((F.col("first") < self_) & (F.col("size") >= LEAST_CHARS), F.col("first")))
-    found = found.withColumn("target", target).where(F.col("target").isNotNull())
+    found = durable(found.withColumn("target", target).where(F.col("target").isNotNull()), "found")
     rank = F.struct(-F.col("level"), "size", -F.col("passage"))
     answers = found.groupBy("uid").agg(F.max_by(F.struct("conv", "target", "level"), rank).alias("a"))
     answers = durable(answers.select("uid", "a.conv", F.col("a.target").alias("target"), "a.level"), "answers")
 
-    threads = components(answers.select(F.col("conv").alias("a"), F.col("target.conv").alias("b")))
+    link = F.struct("passage", "level", F.col("target.conv").alias("reply_conv"), F.col("target.turn").alias("reply_turn"))
+    links = found.groupBy("uid").agg(F.sort_array(F.collect_set(link)).alias("links"))
+
+    threads = components(found.select(F.col("conv").alias("a"), F.col("target.conv").alias("b")))
     threads = threads.select(F.col("node").alias("conv"), F.col("root").alias("thread_id"))
-    linked = parsed.drop("held", "quotes").join(answers.select("uid", "target", "level"), "uid", "left").join(threads, "conv", "left")
+    linked = parsed.drop("held", "quotes").join(answers.select("uid", "target", "level"), "uid", "left").join(links, "uid", "left")
+    linked = linked.join(threads, "conv", "left")
     linked = linked.withColumn("thread_id", F.coalesce("thread_id", "conv"))
 
     # places: messages of earlier spans, then the rank inside the span
@@ -192,4 +198,5 @@ def link_quotes(
         F.col("level").alias("quote_level"),
         F.when(F.col("span").isNotNull(), F.col("thread_id")).alias("thread_id"),
         F.when(F.col("span").isNotNull(), F.col("before") + F.col("inner") - 1).cast("long").alias("place"),
+        F.coalesce("links", F.array().cast("array<struct<passage:int,level:int,reply_conv:bigint,reply_turn:bigint>>")).alias("links"),
     )

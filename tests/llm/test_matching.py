@@ -159,3 +159,15 @@ def test_short_quotes(spark):
     got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.link_quotes(spark.createDataFrame(rows, schema)).collect()}
     none = (None, None)
     assert got == {(1, 0): none, (1, 1): (1, 0), (1, 2): none, (2, 0): none, (3, 0): none, (3, 1): (3, 0), (3, 2): (3, 1)}
+
+
+def test_all_links_of_a_message(spark):
+    """Fails where a message keeps one link: it quotes two conversations, one of them deeper."""
+    tune(spark)
+    rows = [(3, 0, "user", "first words of three"), (5, 0, "user", "other words of five"), (8, 0, "user", "words of eight here")]
+    rows += [(9, 0, "user", "> words of eight here\n> > first words of three\nyes\n> other words of five\nno"), (9, 1, "user", "alone")]
+    schema = "conv_id long, turn long, role string, text string"
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, schema)).collect()}
+    assert [tuple(x) for x in got[9, 0].links] == [(0, 1, 8, 0), (1, 2, 3, 0), (2, 1, 5, 0)]
+    assert (got[9, 0].reply_conv, got[9, 0].quote_level) == (8, 1) and got[9, 1].links == []
+    assert {(k, r.thread_id, r.place) for k, r in got.items()} == {((3, 0), 3, 0), ((5, 0), 3, 1), ((8, 0), 3, 2), ((9, 0), 3, 3), ((9, 1), 3, 4)}
