@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import decontaminate, exact, language, lattice, pieces, quality, quotes, simhash, suffix_array, suffix_tree
+from flowsieve.llm import alignment, decontaminate, exact, language, lattice, packing, pieces, quality, quotes, repair, simhash, suffix_array, suffix_tree
 from flowsieve.llm.common import bucket_of, tune
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,21 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_chat_formatting")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.link_quotes(table(spark, folder, "conversations"))
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack_documents(table(spark, folder, "documents"), tokenizer)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    files = [public_tokenizers.path(f) for f in ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model", "byte_bpe_50k.json")]
+    return alignment.align(table(spark, folder, "documents"), *files)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, folder, "conversations"))
