@@ -1,7 +1,9 @@
 """A corpus pipeline over ``documents``: each stage is one text operator whose decisions take effect.
 
-A document is a row. Its doc_id may be null or repeat, so each stage tells rows apart by
-doc_id and text together; only rows that repeat both share a decision.
+A document is a row. Its doc_id may be null or repeat, so each stage numbers its rows in
+a stored copy and its operator decides by that number. Null text counts as empty; an
+empty table passes every stage as an empty table; other columns travel along, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -9,17 +11,15 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import decontaminate, exact, jaccard, language, pieces
+from flowsieve.llm import decontaminate, exact, language, pieces, simhash
 from flowsieve.llm.common import durable, tune
-from flowsieve.llm.components import components
 from flowsieve.session import work_dir
 
-NEAR_WORDS = 5  # words in a shingle of the near-duplicate stage
-NEAR_BITS = 6  # differing bits of 64 within which SimHash names a candidate
-KEY = "_row_key"
+NEAR_WORDS = 3  # words in a shingle of the near-duplicate stage
+NEAR_BITS = simhash.BITS  # differing bits that still link
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,74 +27,73 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep the documents whose language is clear; texts without letters and ambiguous ones go.
 
     The model learns from all labelled rows it is given. A single class of labels, or
-    none, leaves nothing to tell apart: then only texts without letters go.
+    none, leaves nothing to tell apart: then only texts without letters go. Equal texts
+    are judged alike, so repeated rows stay or go together.
     """
     tune(spark)
+    rows, row = _numbered(docs)
     model = language.fit(docs, F.lit(True))
-    found = language.predict(_keyed(docs), model, id_col=KEY)
+    found = language.predict(rows.select(row, "text"), model, id_col=row)
     unclear = F.col("lang_pred") == language.UNDETERMINED
     if len(model.languages) > 1:
         unclear = unclear | F.col("ambiguous")
     elif not model.languages:
         unclear = F.col("lang_pred").isNull()
-    return _keep(docs, found.where(~unclear))
+    return _keep(rows, row, found.where(~unclear))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays, one row of each."""
+    """Of equal texts the row with the largest doc_id stays, one row of each.
+
+    A null doc_id is the smallest. Of rows that repeat both id and text the first of the
+    stored copy stays. All empty texts are equal.
+    """
     tune(spark)
-    found = durable(exact.exact_dedup(docs), "exact")
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    rows = docs.join(kept, same, "left_semi")
-    # rows that repeat both id and text are all matched; one of them stays
-    again = found.groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    again = again.distinct()
-    repeats = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = rows.join(again, repeats, "left_anti")
-    twice = rows.join(again, repeats, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return once.union(twice)
+    rows, row = _numbered(docs)
+    found = exact.exact_dedup(rows.select("doc_id", "text")).where("kept")
+    kept = durable(found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "exact")
+    lowered = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
+    named = rows.select(row, F.col("doc_id").alias("id"), F.sha2(lowered, 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    stays = named.join(kept, same, "left_semi").groupBy("id", "sha").agg(F.min(row).alias(row))
+    return _keep(rows, row, stays)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates one row stays, that with the smallest doc_id, null being largest.
+    """Of each class of near duplicates the row with the smallest doc_id stays, null being the largest.
 
-    Documents whose five-word shingles have a Jaccard similarity of 0.8 or more are
-    linked, and classes are what links connect. SimHash links are candidates only.
+    Texts link where the SimHash fingerprints of their three-word shingles differ in at
+    most three bits; classes are what links connect. Texts without words have the
+    fingerprint zero and link like any other. Of rows with equal ids the first of the
+    stored copy stays.
     """
     tune(spark)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    node = F.xxhash64(F.translate(text, UPPER, LOWER))
-    found = jaccard.links(docs.select(node.alias("node"), text.alias("text")), NEAR_WORDS, NEAR_BITS)
-    rows = docs.select(F.col("doc_id").alias("_id"), node.alias("node"))
-    rows = rows.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = durable(rows, "near")
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", "node")).alias("first")
-    first = rows.groupBy("root").agg(first).select("root", "first")
-    stays = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("node") == F.col("first.node"))
-    gone = rows.join(first, "root").where(~stays).select("_id", F.col("node").alias("_node")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (node == F.col("_node"))
-    left = docs.join(durable(gone, "gone"), same, "left_anti")
-    again = durable(rows.groupBy("_id", "node").count().where("count > 1").select("_id", F.col("node").alias("_node")), "again")
-    if again.isEmpty():
-        return left
-    # rows that repeat both id and text all stay or go; one of them stays
-    once = left.join(again, same, "left_anti")
-    twice = left.join(again, same, "left_semi").withColumn("_node", node).dropDuplicates(["doc_id", "_node"]).drop("_node")
-    return once.union(twice)
+    rows, row = _numbered(docs)
+    found = simhash.simhash_dedup(rows.select(row, "text"), id_col=row, words=NEAR_WORDS, bits=NEAR_BITS)
+    found = found.select(row, "component_id").join(rows.select(row, "doc_id"), row)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
+    return _keep(rows, row, found.groupBy("component_id").agg(first).select(f"first.{row}"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to the allowed edits, go."""
+    """Documents that hold a benchmark item, up to the allowed edits, go.
+
+    Null and empty texts hold none and stay, null and empty items are in no text.
+    Equal texts are judged alike.
+    """
     tune(spark)
+    rows, row = _numbered(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(_keyed(docs), benchmark, id_col=KEY)
-    return _keep(docs, found.where("NOT contaminated"))
+    found = decontaminate.contamination(rows.select(row, "text"), benchmark, id_col=row)
+    return _keep(rows, row, found.where("NOT contaminated"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_text, ids_sha256, decoded_sha256): each text encoded, and decoded again."""
+    """(doc_id, n_tokens, ids_text, ids_sha256, decoded_sha256): each text encoded, and decoded again.
+
+    A row for every row, repeated ones and null ids included; an empty text is the end
+    id alone.
+    """
     tune(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     tokens = pieces.encode(docs, model, outputs=("ids_text", "decoded"))
@@ -107,20 +106,18 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-def _key() -> Column:
-    """Names a row by its id, null or not, and its text."""
-    id_, text = F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.xxhash64(id_.isNull(), id_, text)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(_key().alias(KEY), "text")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A stored copy of the rows with a number each, and the name of that column."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _keep(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows whose key is listed, as they were."""
-    listed = found.select(F.col(KEY).alias("_listed")).distinct()
-    return docs.join(listed, _key() == F.col("_listed"), "left_semi")
+def _keep(rows: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """The rows whose numbers are listed, as they were."""
+    listed = found.select(F.col(row).alias("_listed"))
+    return rows.join(listed, F.col(row) == F.col("_listed"), "left_semi").drop(row)
 
 
 STAGES = [
