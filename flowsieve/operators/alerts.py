@@ -259,13 +259,13 @@ def status_events(updates: DataFrame, at: Column, seq: Column) -> DataFrame:
     """One ``status_updated`` event per (alert_id, status, analyst_note) row."""
     return updates.select(
         F.trim("alert_id").alias("alert_id"), at.alias("created_at"), seq.alias("seq"),
-        F.lit("status_updated").alias("event_type"),
+        F.lit("status_updated").alias("event_type"), "status", "analyst_note",
         F.to_json(F.struct("analyst_note", "status")).alias("payload_json"),
     )
 
 
 def alert_state(log: DataFrame) -> DataFrame:
-    """Latest state per alert: first created_at, the alert as last saved, last status and note.
+    """Latest state per alert: first created_at, the alert as last saved, last known status and note.
 
     ``log`` has the columns of the alert log; absent ones read as null. Only partial
     maxima cross the shuffle, so an alert with very many events costs no more than others.
@@ -277,8 +277,7 @@ def alert_state(log: DataFrame) -> DataFrame:
     state = log.groupBy("alert_id").agg(
         F.min("created_at").alias("created_at"),
         F.max("created_at").alias("updated_at"),
-        F.max_by("status", order).alias("status"),
-        F.max_by("analyst_note", order).alias("analyst_note"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("status", "analyst_note")],
         F.max_by(F.when(saved, kept), F.when(saved, order)).alias("saved"),
         F.count(F.lit(1)).alias("events"),
     )

@@ -4,13 +4,14 @@ A cluster takes the events of one key that lie within the window of its first
 event; the next later event starts a new cluster. Where a cluster starts depends
 on all earlier ones, so this is neither a tumbling nor a session window.
 
-The dependency is cut at day boundaries. For every (key, day) one task answers
-"if the last cluster before this day started at s, where does the last cluster of
-this day start" for all possible s at once: only events in the first window of the
-day can be a first start, so the answer is a short step table. Chaining these
-tables per key is cheap, after which every day is walked independently. A key
-holding most events is spread over its days, and each task sees distinct times
-only, however many alerts share them.
+Times are laid out in key and time order and cut into blocks of a fixed number of
+rows. What lies within one block is walked in it. A key that goes on over several
+blocks gives one step table for each: "if the last cluster before this block started at
+s, where does its last cluster start" for all possible s at once. Only events in the
+first window of a block can be a first start, so the tables are short, and they compose:
+neighbouring ones are combined in levels, then the starts are handed down the same tree.
+So every task has one block or a few tables, however many events a key or a moment has;
+a table never has more entries than there are distinct times in one window.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from flowsieve.functions.core import meaningful
 from flowsieve.functions.scoring import risk_severity, severity_rank
 from flowsieve.functions.times import iso_naive
 from flowsieve.operators.alerts import alert_risk, correlation_pairs
+from flowsieve.operators.ordered import globally_ordered
 from flowsieve.session import durable, small_side
 
 KEYS = ["group_type", "key"]
-DAY = 86_400 * 1_000_000
 NEVER = -(1 << 62)
+BLOCK = 50_000  # times that one task walks
+FAN = 64  # step tables that one task combines
 TOP_FIELDS = {
     "primary_classes": "classifier_class",
     "families": "zero_day_family",
@@ -52,83 +55,141 @@ def _last_starts(times: np.ndarray, window: int, candidates: int) -> np.ndarray:
         at = np.where(moving, ahead, at)
 
 
-def _walk(times: np.ndarray, window: int, previous: int) -> np.ndarray:
-    """Cluster start of every event, ``previous`` being the last start before them."""
-    starts = np.empty(len(times), dtype=np.int64)
-    i = int(np.searchsorted(times, previous + window, side="right"))
-    starts[:i] = previous
-    while i < len(times):
-        end = int(np.searchsorted(times, times[i] + window, side="right"))
-        starts[i:end] = times[i]
-        i = end
-    return starts
+def _compressed(upto: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of neighbouring first starts with one outcome only the latest is needed."""
+    keep = np.append(last[1:] != last[:-1], True)
+    return upto[keep], last[keep]
 
 
-def _day_table(window: int):
-    """Step table of one (key, day): candidate first starts -> last start."""
+def _step_table(times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First start -> last start, over sorted distinct times; a start before them is below ``times[0]``."""
+    # the first event beyond the window of the latest possible earlier start closes the list
+    candidates = min(int(np.searchsorted(times, times[0] + window, side="right")) + 1, len(times))
+    return _compressed(times[:candidates], _last_starts(times, window, candidates))
+
+
+def _after(table: tuple[np.ndarray, np.ndarray], starts: np.ndarray, window: int) -> np.ndarray:
+    """The last start once a table's events have followed ``starts``; it stays where its window holds them all."""
+    upto, last = table
+    at = np.searchsorted(upto, starts + window, side="right")
+    return np.where(at < len(upto), last[np.minimum(at, len(upto) - 1)], starts)
+
+
+def _composed(first: int, left: tuple, right: tuple, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """One table for events that begin at ``first`` and are those of ``left``, then of ``right``."""
+    upto = np.concatenate([left[0], right[0]])
+    last = np.concatenate([_after(right, left[1], window), right[1]])
+    reach = int(np.searchsorted(upto, first + window, side="right")) + 1
+    return _compressed(upto[:reach], last[:reach])
+
+
+_TABLE = "group_type string, key string, at long, first long, upto array<long>, last array<long>"
+
+
+def _tables(window: int):
+    """Step table of one piece: the times of a key in one block."""
 
     def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(rows["t"].to_numpy())
-        # the first event beyond the window of the latest possible earlier start closes the list
-        reach = int(np.searchsorted(times, int(key[2]) * DAY + window, side="right"))
-        candidates = min(reach + 1, len(times))
-        upto = times[:candidates]
-        last = _last_starts(times, window, candidates)
-        keep = np.append(last[1:] != last[:-1], True)
-        return pd.DataFrame(
-            {"group_type": key[0], "key": key[1], "day": key[2], "upto": upto[keep], "last": last[keep]}
-        )
+        upto, last = _step_table(times, window)
+        return pd.DataFrame({"group_type": key[0], "key": key[1], "at": key[2], "first": times[:1], "upto": [upto], "last": [last]})
 
     return table
 
 
-def _chain(window: int):
-    """Per key: the last cluster start before each of its days."""
+def _combined(window: int, fan: int):
+    """Neighbouring tables of a key as one."""
 
-    def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        previous, days, starts = NEVER, [], []
-        for day, table in rows.sort_values(["day", "upto"]).groupby("day", sort=True):
-            days.append(day)
-            starts.append(previous)
-            at = int(np.searchsorted(table["upto"].to_numpy(), previous + window, side="right"))
-            if at < len(table):
-                previous = int(table["last"].to_numpy()[at])
-        return pd.DataFrame({"group_type": key[0], "key": key[1], "day": days, "previous": starts})
+    def combine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        first = int(rows["first"].iloc[0])
+        whole = None
+        for upto, last in zip(rows["upto"], rows["last"], strict=True):
+            own = np.asarray(upto, np.int64), np.asarray(last, np.int64)
+            whole = own if whole is None else _composed(first, whole, own, window)
+        return pd.DataFrame({"group_type": key[0], "key": key[1], "at": key[2], "first": [first], "upto": [whole[0]], "last": [whole[1]]})
 
-    return chain
+    return combine
 
 
-def cluster_starts(times: DataFrame, window_micros: int, spread_above: int = 20_000) -> DataFrame:
-    """(group_type, key, t) -> ``start``: the anchor of the cluster each time is in."""
-    distinct = durable(times.select(*KEYS, "t").distinct(), "cluster-times")
-    sizes = small_side(
-        distinct.groupBy(*[F.col(k).alias(f"_{k}") for k in KEYS]).agg(F.count(F.lit(1)).alias("_n")), "cluster-keys"
-    )
-    same_key = (F.col("key") == F.col("_key")) & (F.col("group_type") == F.col("_group_type"))
-    # keys with few times are one span; only big ones are spread over days
-    big = F.col("_n") > spread_above
-    day = F.when(big, F.floor(F.col("t") / F.lit(DAY))).otherwise(F.lit(0)).cast("long")
-    distinct = distinct.join(sizes, same_key).select(*KEYS, "t", day.alias("day"), big.alias("big"))
-    tables = distinct.where("big").select(*KEYS, "day", "t").groupBy(*KEYS, "day").applyInPandas(
-        _day_table(window_micros), "group_type string, key string, day long, upto long, last long"
-    )
-    entries = tables.groupBy(*KEYS).applyInPandas(
-        _chain(window_micros), "group_type string, key string, day long, previous long"
-    )
+def _handed_down(window: int):
+    """From the last start before some neighbouring tables to the one before each of them."""
 
-    def walk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(left["t"].to_numpy())
-        previous = int(right["previous"].iloc[0]) if len(right) else NEVER
-        return pd.DataFrame(
-            {"group_type": key[0], "key": key[1], "t": times, "start": _walk(times, window_micros, previous)}
-        )
+    def hand_down(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        start, before = int(rows["previous"].iloc[0]), []
+        for upto, last in zip(rows["upto"], rows["last"], strict=True):
+            before.append(start)
+            own = np.asarray(upto, np.int64), np.asarray(last, np.int64)
+            start = int(_after(own, np.array([start]), window)[0])
+        return pd.DataFrame({"group_type": key[0], "key": key[1], "at": rows["at"].to_numpy(), "previous": before})
 
-    return (
-        distinct.select(*KEYS, "day", "t")
-        .groupBy(*KEYS, "day")
-        .cogroup(entries.groupBy(*KEYS, "day"))
-        .applyInPandas(walk, "group_type string, key string, t long, start long")
+    return hand_down
+
+
+def _walk(window: int):
+    """Cluster start of every time of a block, key by key."""
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["group_type", "key", "t"])
+        starts, now, start = [], None, NEVER
+        for group, key, t, previous in zip(rows["group_type"], rows["key"], rows["t"].tolist(), rows["previous"].tolist(), strict=True):
+            if (group, key) != now:
+                now, start = (group, key), previous
+            if t - start > window:
+                start = t
+            starts.append(start)
+        return rows[[*KEYS, "t"]].assign(start=np.array(starts, np.int64))
+
+    return walk
+
+
+def _renamed(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_{c}") for c in (*KEYS, *columns)])
+
+
+def _same_key() -> Column:
+    return (F.col("key") == F.col("_key")) & (F.col("group_type") == F.col("_group_type"))
+
+
+def cluster_starts(times: DataFrame, window_micros: int, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """(group_type, key, t) -> ``start``: the anchor of the cluster each time is in."""
+    laid = globally_ordered(times.select(*KEYS, "t").distinct(), [*KEYS, "t"])
+    laid = laid.select(*KEYS, "t", "_part", F.floor(F.col("_pos") / block).alias("_block"))
+    # a window holds one row for each block of a key
+    order = Window.partitionBy(*KEYS).orderBy("_part", "_block")
+    pieces = laid.groupBy(*KEYS, "_part", "_block").agg(F.count(F.lit(1)).alias("n"))
+    pieces = pieces.withColumn("at", (F.row_number().over(order) - 1).cast("long"))
+    pieces = pieces.withColumn("pieces", F.max("at").over(Window.partitionBy(*KEYS)) + 1)
+    # a key that one block holds as a whole begins and ends there
+    cut = small_side(pieces.where("pieces > 1").select(*KEYS, "_part", "_block", "at"), "cluster-pieces")
+    named = cut.select(*[F.col(c).alias(f"_{c}") for c in KEYS], F.col("_part").alias("_p"), F.col("_block").alias("_b"), "at")
+    here = _same_key() & (F.col("_part") == F.col("_p")) & (F.col("_block") == F.col("_b"))
+    tables = laid.join(named, here).select(*KEYS, "at", "t").groupBy(*KEYS, "at").applyInPandas(_tables(window_micros), _TABLE)
+    levels = [durable(tables, "cluster-tables")]
+    while not levels[-1].where("at > 0").isEmpty():
+        group = F.floor(F.col("at") / fan).alias("above")
+        above = levels[-1].groupBy(*KEYS, group).applyInPandas(_combined(window_micros, fan), _TABLE)
+        levels.append(durable(above, "cluster-tables"))
+    before = levels[-1].select(*KEYS, "at", F.lit(NEVER).alias("previous"))
+    for tables in reversed(levels[:-1]):
+        on = _same_key() & (F.floor(F.col("at") / fan) == F.col("_at"))
+        below = tables.join(_renamed(before, "at", "previous"), on)
+        below = below.select(*KEYS, F.col("_at").alias("above"), "at", "upto", "last", F.col("_previous").alias("previous"))
+        before = below.groupBy(*KEYS, "above").applyInPandas(
+            _handed_down(window_micros), "group_type string, key string, at long, previous long"
+        )
+    entries = cut.join(_renamed(before, "at", "previous"), _same_key() & (F.col("at") == F.col("_at")))
+    entries = small_side(
+        entries.select(
+            *[F.col(c).alias(f"_{c}") for c in KEYS], F.col("_part").alias("_p"), F.col("_block").alias("_b"), F.col("_previous").alias("previous")
+        ),
+        "cluster-entries",
+    )
+    entered = laid.join(entries, here, "left").select(
+        *KEYS, "t", "_part", "_block", F.coalesce("previous", F.lit(NEVER)).alias("previous")
     )
+    return entered.groupBy("_part", "_block").applyInPandas(_walk(window_micros), "group_type string, key string, t long, start long")
 
 
 def incident_members(alerts: DataFrame, window_minutes: int = 15, time_col: str = "event_ts") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from flowsieve.operators import techniques
 from flowsieve.plans.base import alerts, flows, judged, query, r6, table, with_views
 from flowsieve.plans.prepare_queries import FEATURE_INPUT, feature_input
 from flowsieve.plans.score_queries import risk_sql
+from flowsieve.session import work_dir
+from flowsieve.sources import alert_log
 
 STAMP = "2024-02-01 00:00:00"
 PAD = "CASE WHEN length(CAST(source_row AS STRING)) >= 6 THEN CAST(source_row AS STRING) ELSE lpad(CAST(source_row AS STRING), 6, '0') END"
@@ -228,6 +232,7 @@ def status_rejects(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "status_events",
     """SELECT concat('A-', CAST(o_orderkey AS STRING)) AS alert_id, o_orderkey AS seq, 'status_updated' AS event_type,
+ o_orderstatus AS status, o_orderpriority AS analyst_note,
  concat('{"analyst_note":"', o_orderpriority, '","status":"', o_orderstatus, '"}') AS payload_json FROM orders""",
 )
 def status_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,6 +243,35 @@ def status_events(spark: SparkSession, folder: str) -> DataFrame:
     return alert_op.status_events(updates, F.col("o_orderdate"), F.col("o_orderkey")).drop("created_at")
 
 
+_CLOSED = "source_row % 3 = 0"
+_NOTED = "source_row % 6 = 0"
+
+
+@query(
+    "alert_status_flow",
+    with_views(
+        f"""SELECT alert_id, CASE WHEN {_CLOSED} THEN 'closed' ELSE status END AS status, CASE WHEN {_NOTED} THEN 'seen' ELSE '' END AS analyst_note,
+ severity, is_zeroday, {r6('hybrid_score')} AS hybrid_score, strftime(event_ts, '%Y-%m-%d %H:%M:%S.%f') AS created_at,
+ strftime(event_ts + CASE WHEN {_CLOSED} THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S.%f') AS updated_at,
+ CASE WHEN {_CLOSED} THEN 2 ELSE 1 END AS events FROM alerts_v"""
+    ),
+)
+def alert_status_flow(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts are saved, a third of them is closed, half of those with a note; the log gives the state back."""
+    rows, path = alerts(spark, folder), f"{work_dir(spark)}/flowsieve/alert-status-{uuid.uuid4().hex}"
+    at = F.col("event_ts").cast("timestamp")
+    alert_log.append_events(alert_op.saved_events(rows, at, F.col("source_row")), path)
+    closed = rows.where(_CLOSED).select(
+        "alert_id", "event_ts", "source_row", F.lit("closed").alias("status"), F.when(F.expr(_NOTED), "seen").alias("analyst_note")
+    )
+    later = at + F.expr("INTERVAL 2 HOURS")
+    alert_log.append_events(alert_op.status_events(closed, later, F.col("source_row")), path)
+    state = alert_op.alert_state(alert_log.read_events(spark, path))
+    return state.select(
+        "alert_id", "status", "analyst_note", "severity", "is_zeroday", "hybrid_score", "created_at", "updated_at", "events"
+    )
+
+
 _FIELDS = alert_op.GROUP_FIELDS
 _BLANK = "('', 'normal', 'nan', 'none', 'null', '-', 'unknown')"
 

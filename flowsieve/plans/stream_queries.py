@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions.scoring import Decision, HybridWeights
@@ -12,8 +13,8 @@ from flowsieve.operators import alerts as alert_op
 from flowsieve.plans.alert_queries import _INCIDENT_VIEWS
 from flowsieve.plans.base import ALERT_COLUMNS, FLOW_COLUMNS, SCORE_COLUMNS, _list, query, r6, table, with_views
 from flowsieve.plans.score_queries import risk_sql
-from flowsieve.session import work_dir
-from flowsieve.sources import manifest
+from flowsieve.session import durable, work_dir
+from flowsieve.sources import alert_log, manifest
 from flowsieve.streaming import events as ev
 from flowsieve.streaming import jobs
 from flowsieve.streaming.scorer import LinearScorer
@@ -67,17 +68,17 @@ _J = (
 )
 
 
-@query(
-    "stream_scoring",
-    with_views(
+_SCORED = with_views(
         f"""SELECT source_row, CASE WHEN is_zeroday THEN 'Zero-Day Candidate' WHEN classifier_class = 'Normal' THEN 'Normal'
  ELSE 'Known-Attack' END AS label, classifier_class, {r6('max_prob')} AS confidence, {r6('ae_re')} AS ae_re,
  {r6('hybrid_score')} AS hybrid_score, is_zeroday AS is_anomaly, 'vote_2_of_3' AS zero_day_rule,
  CASE WHEN is_zeroday THEN {risk_sql("'HIGH'")} ELSE {risk_sql("'LOW'")} END AS risk, 'firewall_or_flow_csv' AS schema,
  'GOOD' AS quality, 1E0 AS feature_coverage, CAST(12 AS BIGINT) AS mapped_columns FROM j_v""",
         _X, _Z, _P, _H, _J,
-    ),
-)
+    )
+
+
+@query("stream_scoring", _SCORED)
 def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
     flow = event_stream(spark, folder).selectExpr(*_list(FLOW_COLUMNS))
     names = [c for c in FLOW_COLUMNS if c not in ("source_row", "event_ts", "source_file", "attack_cat")]
@@ -85,6 +86,17 @@ def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.run_available(ev.score_events(as_json, SCORER, ["source_row"]), "stream-scoring")
 
 
+@query("stream_json_scoring", _SCORED)
+def stream_json_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as lines of JSON in a folder, two files in each trigger."""
+    names = [c for c in FLOW_COLUMNS if c not in ("event_ts", "source_file", "attack_cat")]
+    path = f"{work_dir(spark)}/flowsieve/json-events-{uuid.uuid4().hex}"
+    table(spark, folder, "events").selectExpr(*_list(FLOW_COLUMNS)).repartition(6, "source_row").select(*names).write.json(path)
+    lines = jobs.read_json_events(spark, path, max_files=2)
+    lines = lines.select(F.get_json_object("value", "$.source_row").cast("long").alias("source_row"), "value")
+    return jobs.run_available(ev.score_events(lines, SCORER, ["source_row"]), "stream-json")
+
+
 @query(
     "stream_context_counts",
     with_views(
@@ -101,24 +113,88 @@ def stream_context_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Events as they arrive: file k holds what was seen up to a moment, each row up to ten minutes late.
+_ARRIVAL_MICROS = "(unix_micros(CAST(event_ts AS TIMESTAMP)) + (source_row * 7919) % 600 * 1000000)"
+_ARRIVAL_SQL = "(epoch_us(event_ts) + (source_row * 7919) % 600 * 1000000)"
+SLICE = 6 * 86_400 * 1_000_000  # of arrival time in one file
+
+
+def arriving(rows: DataFrame, label: str, slot: Column, slots: Iterable[int]) -> DataFrame:
+    """A stream of files in the order of ``slot``, one in each trigger."""
+    spark, path = rows.sparkSession, f"{work_dir(rows.sparkSession)}/flowsieve/{label}-{uuid.uuid4().hex}"
+    stored = durable(rows.withColumn("_slot", slot), label)
+    for k in slots:
+        # files are taken in the order they were written; rows within one are shuffled
+        part = stored.where(F.col("_slot") == k).drop("_slot")
+        part.repartition(1, F.lit(0)).sortWithinPartitions(F.xxhash64("row_id")).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _slots(spark: SparkSession, folder: str, length: int) -> tuple[int, int]:
+    """First and last slot: two numbers of the events' time range."""
+    ends = table(spark, folder, "events").select(F.unix_micros(F.min("ts").cast("timestamp")).alias("a"), F.unix_micros(F.max("ts").cast("timestamp")).alias("b")).first()
+    return ends["a"] // length, (ends["b"] + 600_000_000) // length
+
+
 @query(
     "stream_adaptive_threshold",
     with_views(
-        f"""SELECT source_row AS row_id, src_ip AS entity, CASE WHEN h = 0 THEN NULL ELSE {r6('t')} END AS threshold, h > 0 AND ae_re > t AS exceeds FROM (
- SELECT source_row, src_ip, ae_re, count(*) FILTER (WHERE attack_cat = 'Normal') OVER w AS h,
+        f"""SELECT row_id, entity, CASE WHEN h = 0 THEN NULL ELSE {r6('t')} END AS threshold, h > 0 AND ae_re > t AS exceeds FROM (
+ SELECT row_id, entity, event_ts, ae_re, count(*) FILTER (WHERE attack_cat = 'Normal') OVER w AS h,
  (SELECT quantile_cont(x, 0.95) FROM (SELECT unnest(list_slice(hist, -25, -1)) AS x)) AS t FROM (
- SELECT source_row, src_ip, event_ts, ae_re, attack_cat, coalesce(list(ae_re) FILTER (WHERE attack_cat = 'Normal') OVER
- (PARTITION BY src_ip ORDER BY event_ts, source_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS hist FROM scores_v)
- WINDOW w AS (PARTITION BY src_ip ORDER BY event_ts, source_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+ SELECT row_id, entity, life, event_ts, ae_re, attack_cat, coalesce(list(ae_re) FILTER (WHERE attack_cat = 'Normal') OVER
+ (PARTITION BY entity, life ORDER BY event_ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS hist FROM lives_v)
+ WINDOW w AS (PARTITION BY entity, life ORDER BY event_ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ WHERE epoch_ms(event_ts) < (SELECT max(epoch_ms(event_ts)) FROM scores_v) - 600000""",
+        (
+            "lives_v",
+            """SELECT *, sum(CAST(quiet > INTERVAL 36 HOUR AS INT)) OVER (PARTITION BY entity ORDER BY event_ts, row_id) AS life FROM (
+ SELECT source_row AS row_id, src_ip AS entity, event_ts, ae_re, attack_cat, coalesce(event_ts - lag(event_ts) OVER (
+ PARTITION BY src_ip ORDER BY event_ts, source_row), INTERVAL 0 HOUR) AS quiet FROM scores_v)""",
+        ),
     ),
 )
 def stream_adaptive_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    scored = event_stream(spark, folder).selectExpr(*_list(SCORE_COLUMNS))
-    rows = scored.select(
+    """Several files with rows out of order; an address that is silent for 36 hours starts anew."""
+    rows = table(spark, folder, "events").selectExpr(*_list(SCORE_COLUMNS)).select(
         F.col("src_ip").alias("entity"), F.col("event_ts").cast("timestamp").alias("event_ts"),
         F.col("source_row").alias("row_id"), F.col("ae_re").alias("score"), (F.col("attack_cat") == "Normal").alias("benign"),
     )
-    return jobs.run_available(jobs.adaptive_thresholds(rows, window=25), "stream-adaptive")
+    slot = F.expr(f"{_ARRIVAL_MICROS.replace('source_row', 'row_id')} div {SLICE}")
+    first, last = _slots(spark, folder, SLICE)
+    stream = arriving(rows, "stream-scores", slot, range(first, last + 1))
+    return jobs.run_available(jobs.adaptive_thresholds(stream, window=25, ttl_minutes=36 * 60), "stream-adaptive")
+
+
+# Every 13th event comes two files later than it should.
+_LATE_SLOT = f"{{arrival}} {{div}} {SLICE} + CASE WHEN {{row}} % 13 = 0 THEN 2 ELSE 0 END"
+
+
+@query(
+    "stream_late_rows",
+    with_views(
+        """SELECT key, kind, window_start, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT service AS key, epoch_us(w) AS window_start, count(*) AS n,
+ CASE WHEN epoch_ms(w) + 3600000 <= mark THEN 'late' ELSE 'closed' END AS kind FROM seen_v
+ WHERE epoch_ms(w) + 3600000 <= mark OR epoch_ms(w) + 3600000 <= (SELECT max(epoch_ms(event_ts)) FROM flows_v) - 600000 GROUP BY ALL) GROUP BY ALL""",
+        ("slot_v", "SELECT service, event_ts, date_trunc('hour', event_ts) AS w, " + _LATE_SLOT.format(arrival=_ARRIVAL_SQL, div="//", row="source_row") + " AS slot FROM flows_v"),
+        (
+            "mark_v",
+            """SELECT slot, coalesce(max(upto) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000, 0) AS mark
+ FROM (SELECT slot, max(epoch_ms(event_ts)) AS upto FROM slot_v GROUP BY slot)""",
+        ),
+        ("seen_v", "SELECT slot_v.*, mark FROM slot_v JOIN mark_v USING (slot)"),
+    ),
+)
+def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly counts per service, and the rows that came after their hour was closed."""
+    rows = table(spark, folder, "events").selectExpr(*_list(FLOW_COLUMNS)).select(
+        "service", F.col("event_ts").cast("timestamp").alias("event_ts"), F.col("source_row").alias("row_id")
+    )
+    slot = F.expr(_LATE_SLOT.format(arrival=_ARRIVAL_MICROS.replace("source_row", "row_id"), div="div", row="row_id"))
+    first, last = _slots(spark, folder, SLICE)
+    stream = arriving(rows, "stream-flows", slot, range(first, last + 3))
+    counted = jobs.run_available(jobs.windows_with_late_rows(stream, "service", "event_ts", 60, "10 minutes"), "stream-late")
+    return counted.groupBy("key", "kind", "window_start").agg(F.sum("rows").alias("rows"))
 
 
 @query(
@@ -143,23 +219,29 @@ def stream_incidents(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.run_available(jobs.anchored_incidents(rows), "stream-incidents")
 
 
-_STREAM_STATE = """SELECT concat('A-', CAST(user_id AS STRING)) AS alert_id, arg_max(event_type, (ts, event_id)) AS status, 2 * count(*) AS events
- FROM events GROUP BY user_id"""
+_STREAM_STATE = """SELECT concat('A-', CAST(user_id AS STRING)) AS alert_id, arg_max(event_type, (ts, event_id)) AS status,
+ concat('note ', CAST(min(event_id) AS STRING)) AS analyst_note, 2 * count(*) + 1 AS events FROM events GROUP BY user_id"""
 
 
 @query("stream_alert_log", _STREAM_STATE)
 def stream_alert_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Alert events appended by two streams with checkpoints of their own; the state is the latest per alert."""
+    """Alerts saved directly, then updated by two streams with checkpoints of their own, all in one log."""
     log = event_stream(spark, folder).select(
-        F.concat(F.lit("A-"), F.col("user_id")).alias("alert_id"), F.col("ts").alias("created_at"),
+        F.concat(F.lit("A-"), F.col("user_id")).alias("alert_id"), F.col("ts").cast("timestamp").alias("created_at"),
         F.col("event_id").alias("seq"), F.lit("status_updated").alias("event_type"), F.col("event_type").alias("status"),
-        F.lit("").alias("analyst_note"), F.lit(None).cast("string").alias("severity"),
     )
     base = f"{work_dir(spark)}/flowsieve/alert-log-{uuid.uuid4().hex}"
+    first = table(spark, folder, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.min("ts").cast("timestamp").alias("at"))
+    saved = first.select(
+        F.concat(F.lit("A-"), F.col("user_id")).alias("alert_id"), (F.col("at") - F.expr("INTERVAL 1 DAY")).alias("created_at"),
+        F.col("event_id").alias("seq"), F.lit("saved").alias("event_type"), F.lit("new").alias("status"),
+        F.concat(F.lit("note "), F.col("event_id")).alias("analyst_note"),
+    )
+    alert_log.append_events(saved, f"{base}/log")
     for k in range(2):
         jobs.append_alert_log(log, f"{base}/log", f"{base}/checkpoint-{k}").awaitTermination()
-    stored = spark.read.parquet(f"{base}/log")
-    return alert_op.alert_state(stored).select("alert_id", "status", "events")
+    state = alert_op.alert_state(alert_log.read_events(spark, f"{base}/log"))
+    return state.select("alert_id", "status", "analyst_note", "events")
 
 
 @query("manifest_build")

@@ -40,10 +40,27 @@ def rows(events: DataFrame) -> DataFrame:
     )
 
 
+# One layout for everything that writes to a log: by day, writer and batch of the writer.
+LAYOUT = {"date": "date", "stream": "string", "batch_id": "string"}
+DIRECT = "batch"  # the writer that is no stream
+
+
+def _placed(events: DataFrame, stream: str, batch_id: str):
+    placed = rows(events).withColumns({"date": F.to_date("created_at"), "stream": F.lit(stream), "batch_id": F.lit(batch_id)})
+    return placed.write.partitionBy(*LAYOUT)
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    """Append events, partitioned by date; nothing is ever rewritten."""
-    rows(events).withColumn("date", F.to_date("created_at")).write.partitionBy("date").mode("append").parquet(path)
+    """Append events; nothing is ever rewritten."""
+    _placed(events, DIRECT, "0").mode("append").parquet(path)
+
+
+def write_batch(events: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    """The events of one micro-batch; written again, they replace what the batch wrote and nothing else."""
+    writer = _placed(events, stream, str(batch_id)).option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA + ", date date").parquet(path)
+    """All events of a log, whoever wrote them."""
+    return spark.read.schema(SCHEMA + "".join(f", {name} {kind}" for name, kind in LAYOUT.items())).parquet(path)

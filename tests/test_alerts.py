@@ -111,10 +111,10 @@ def brute_starts(times, window):
     return out
 
 
-@pytest.mark.parametrize("spread_above", [0, 40, 10**9])
-@pytest.mark.parametrize("density", [60, 4000, 86_400 * 3])
-def test_cluster_starts_across_days(spark, spread_above, density):
-    """Dense, sparse and gappy keys, with and without spreading over days."""
+@pytest.mark.parametrize("block, fan", [(25, 2), (40, 3), (10**9, 64)])
+@pytest.mark.parametrize("density", [1, 60, 4000, 86_400 * 3])
+def test_cluster_starts_over_blocks(spark, block, fan, density):
+    """Dense, sparse and gappy keys, cut into blocks of any size and combined in levels."""
     rng = random.Random(density)
     window, base = 900_000_000, 1_700_000_000_000_000
     rows, want = [], {}
@@ -128,7 +128,7 @@ def test_cluster_starts_across_days(spark, spread_above, density):
         rows += [("Service", f"k{k}", x) for x in times for _ in range(rng.randrange(1, 3))]
         want.update({(f"k{k}", x): s for x, s in brute_starts(set(times), window).items()})
     df = spark.createDataFrame(rows, "group_type string, key string, t long")
-    got = {(r["key"], r["t"]): r["start"] for r in incidents.cluster_starts(df, window, spread_above).collect()}
+    got = {(r["key"], r["t"]): r["start"] for r in incidents.cluster_starts(df, window, block, fan).collect()}
     assert got == want
 
 
@@ -145,8 +145,7 @@ def test_alert_log_state_and_rejects(spark, tmp_path):
     assert [r["reason"] for r in rejected] == ["alert not found: A-404"]
     later = F.lit("2026-05-14 11:00:00").cast("timestamp")
     good = update.where("alert_id = 'A-1'")
-    changed = alerts.status_events(good, later, F.lit(10).cast("long")).join(good, "alert_id")
-    alert_log.append_events(changed, path)
+    alert_log.append_events(alerts.status_events(good, later, F.lit(10).cast("long")), path)
     state = {r["alert_id"]: r for r in alerts.alert_state(alert_log.read_events(spark, path)).collect()}
     assert state["A-1"]["status"] == "false_positive" and state["A-1"]["analyst_note"] == "benign scan"
     assert state["A-1"]["severity"] == "HIGH" and str(state["A-1"]["created_at"]) == "2026-05-14 10:00:00"
@@ -154,6 +153,11 @@ def test_alert_log_state_and_rejects(spark, tmp_path):
     kept = state["A-1"]
     assert (kept["risk"], kept["is_zeroday"], kept["hybrid_score"]) == (71, True, 0.9) and '"risk":71' in kept["alert_json"]
     assert set(alert_log.SAVED) < set(kept.asDict()) and len(kept) >= 17
+    # an update without a note keeps the last one
+    silent = spark.createDataFrame([("A-1", "closed", None)], "alert_id string, status string, analyst_note string")
+    alert_log.append_events(alerts.status_events(silent, F.lit("2026-05-15 11:00:00").cast("timestamp"), F.lit(11).cast("long")), path)
+    kept = alerts.alert_state(alert_log.read_events(spark, path)).where("alert_id = 'A-1'").first()
+    assert (kept["status"], kept["analyst_note"], kept["events"], kept["risk"]) == ("closed", "benign scan", 3, 71)
 
 
 def test_techniques_known_and_zero_day(spark):

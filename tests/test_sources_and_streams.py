@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve import vocab
 from flowsieve.operators.normalize import normalize_flows
-from flowsieve.sources import csv, manifest
+from flowsieve.sources import alert_log, csv, manifest
 from flowsieve.streaming import events, jobs
 
 
@@ -149,22 +149,56 @@ def files_in_order(spark, df, path, parts):
     )
 
 
-def test_streaming_adaptive_state_survives_batches(spark, tmp_path):
+@pytest.mark.parametrize("window, ttl", [(5, None), (200, None), (7, 0.2)])
+def test_streaming_adaptive_is_independent_of_batches(spark, tmp_path, window, ttl):
+    """Rows out of order over three files; the window outgrows its blocks; silence forgets an entity."""
     rng = np.random.default_rng(2)
-    rows = [(f"e{i % 3}", i, i, float(rng.random()), bool(rng.random() < 0.7)) for i in range(90)]
-    df = spark.createDataFrame(rows, "entity string, i int, row_id long, score double, benign boolean").withColumn(
-        "event_ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i"))
-    )
-    stream = files_in_order(spark, df, str(tmp_path), [(0, 30), (30, 60), (60, 90)])
-    got = {r["row_id"]: (r["threshold"], r["exceeds"]) for r in jobs.run_available(jobs.adaptive_thresholds(stream.drop("i"), window=5, target_fpr=0.2), "t").collect()}
-    buffers = {}
-    for entity, _, row_id, score, benign in rows:
+    seconds = np.sort(rng.integers(0, 700, 800))
+    rows = [(f"e{i % 3}", i, i, float(s), float(np.round(rng.random(), 2)), bool(rng.random() < 0.7)) for i, s in enumerate(seconds)]
+    rows += [("e0", 800, 800, 5000.0, 0.5, True), ("e9", 801, 801, 0.0, float("nan"), True)]
+    # arrival order: up to 100 seconds late
+    late = sorted(rows, key=lambda r: r[3] + (r[1] * 37) % 100)
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(late)], "entity string, n int, row_id long, s double, score double, benign boolean, i int")
+    df = df.withColumn("event_ts", F.timestamp_micros(F.lit(1_700_000_000_000_000) + (F.col("s") * 1e6).cast("long"))).drop("n", "s")
+    stream = files_in_order(spark, df, str(tmp_path), [(0, 200), (200, 300), (300, 650), (650, 802)])
+    judged = jobs.adaptive_thresholds(stream.drop("i"), window=window, target_fpr=0.2, delay="100 seconds", ttl_minutes=ttl)
+    got = {r["row_id"]: (r["threshold"], r["exceeds"]) for r in jobs.run_available(judged, "t").collect()}
+    buffers, last = {}, {}
+    for entity, _, row_id, s, score, benign in sorted(rows, key=lambda r: (r[3], r[2])):
+        if s >= 4900:
+            continue
+        if ttl and s - last.get(entity, s) > ttl * 60:
+            buffers[entity] = []
+        last[entity] = s
         kept = buffers.setdefault(entity, [])
-        limit = float(np.quantile(kept[-5:], 0.8)) if kept else None
-        assert got[row_id][1] == (limit is not None and score > limit)
-        assert got[row_id][0] == (pytest.approx(limit) if limit is not None else None)
-        if benign:
+        limit = float(np.quantile(kept[-window:], 0.8)) if kept else None
+        assert got.pop(row_id) == ((pytest.approx(limit), score > limit) if limit is not None else (None, False))
+        if benign and np.isfinite(score):
             kept.append(score)
+    assert not got
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Every row is in a closed window, late, or in a window that is still open."""
+    minutes = [5, 30, 65, 130, 20, 70, 128, 200, 66, 10, 400, 3]
+    df = spark.createDataFrame([("a", i, i) for i, _ in enumerate(minutes)], "k string, i int, row_id long").withColumn(
+        "event_ts", F.timestamp_seconds(F.lit(1_700_006_400) + 60 * F.get(F.lit(minutes), F.col("i")))
+    )
+    stream = files_in_order(spark, df, str(tmp_path), [(0, 4), (4, 8), (8, 10), (10, 11), (11, 12)])
+    rows = jobs.run_available(jobs.windows_with_late_rows(stream, "k", "event_ts", 60, "10 minutes"), "t").collect()
+    counts = {}
+    for r in rows:
+        slot = (r["window_start"] // 1_000_000 - 1_700_006_400) // 3600, r["kind"]
+        counts[slot] = counts.get(slot, 0) + r["rows"]
+    # marks before each file: none, 120, 190, 190, 390
+    assert counts == {(0, "closed"): 2, (1, "closed"): 1, (2, "closed"): 2, (3, "closed"): 1, (0, "late"): 3, (1, "late"): 2}
+
+
+def test_state_store_setting_is_put_back(spark):
+    before = spark.conf.get(jobs.STATE_STORE)
+    with jobs.state_store(spark):
+        assert spark.conf.get(jobs.STATE_STORE) == jobs.ROCKS_DB
+    assert spark.conf.get(jobs.STATE_STORE) == before
 
 
 def test_streaming_incidents_span_batches(spark, tmp_path):
@@ -204,8 +238,10 @@ def test_alert_log_of_two_streams(spark, tmp_path):
     log = str(tmp_path / "log")
     for checkpoint in ("one", "two", "one"):
         jobs.append_alert_log(stream, log, str(tmp_path / checkpoint)).awaitTermination()
-    stored = spark.read.parquet(log)
-    assert stored.count() == 6 and stored.select("alert_id").distinct().count() == 3
+    alert_log.append_events(df.withColumn("event_type", F.lit("status_updated")).withColumn("status", F.lit("closed")), log)
+    stored = alert_log.read_events(spark, log)
+    assert stored.count() == 9 and stored.select("alert_id").distinct().count() == 3
+    assert {r["stream"] for r in stored.collect()} > {"batch"}
 
 
 def test_work_dir_needs_shared_folder_on_a_cluster():
