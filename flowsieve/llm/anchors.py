@@ -34,6 +34,7 @@ class Runs:
     count: np.ndarray
     anchor: np.ndarray  # where the anchor gram starts
     gram: np.ndarray  # 64-bit hash of the anchor gram
+    times: np.ndarray  # equal contexts in a row that this one stands for, each ``count`` symbols after the one before
 
 
 def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
@@ -57,7 +58,7 @@ def contexts(hashes: np.ndarray, width: int, gram: int, weight: np.ndarray | Non
     windows = len(hashes) + gram - width
     if windows <= 0:
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none.astype(np.uint64))
+        return Runs(none, none, none, none.astype(np.uint64), none)
     order = hashes >> _PLACE_BITS
     if weight is not None:
         order = (order >> np.uint64(8)) | ((np.uint64(255) - weight.astype(np.uint64)) << np.uint64(25))
@@ -66,7 +67,29 @@ def contexts(hashes: np.ndarray, width: int, gram: int, weight: np.ndarray | Non
     place = (least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     counts = np.diff(np.append(starts, windows))
-    return Runs(starts, counts, place[starts], hashes[place[starts]])
+    return Runs(starts, counts, place[starts], hashes[place[starts]], np.ones(len(starts), np.int64))
+
+
+def collapsed(found: Runs, width: int, symbols: np.ndarray) -> Runs:
+    """Contexts in a row that are equal, symbol for symbol, as one with its number of ``times``.
+
+    Where a text repeats itself at a short distance, each period is a context of its
+    own and equal to the next, so a stretch of any length becomes one context.
+    """
+    again = (found.gram[1:] == found.gram[:-1]) & (found.count[1:] == found.count[:-1])
+    for period in np.unique(found.count[:-1][again]).tolist():
+        pairs = np.flatnonzero(again & (found.count[:-1] == period))
+        size = period + width - 1
+        if len(pairs) * size < len(symbols):
+            near = found.first[pairs][:, None] + np.arange(size)[None, :]
+            again[pairs] = (symbols[near] == symbols[near + period]).all(axis=1)
+        else:
+            odd = np.concatenate([[0], np.cumsum(symbols[:-period] != symbols[period:])])
+            at = found.first[pairs]
+            again[pairs] = odd[at + size] == odd[at]
+    heads = np.flatnonzero(np.concatenate([[True], ~again]))[: len(found.first)]
+    times = np.diff(np.append(heads, len(found.first)))
+    return Runs(found.first[heads], found.count[heads], found.anchor[heads], found.gram[heads], times)
 
 
 def byte_grams(data: np.ndarray, gram: int = 32) -> np.ndarray:

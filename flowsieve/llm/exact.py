@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,14 +123,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("recipe", pa.binary()),
         ]
     )
-    for table in runs(batches, "kind", "h"):
-        kinds = table.column("kind").to_numpy()
-        docs = table.filter(pa.array(kinds == 0))
-        if docs.num_rows:
-            ordinal = pa.nulls(docs.num_rows, pa.int32())
-            docs = docs.drop_columns(["content"]).append_column("ordinal", ordinal).select(schema.names)
+    batches, rest = iter(batches), ()
+    for batch in batches:  # documents come first and pass through
+        n = int((batch.column("kind").to_numpy() == 0).sum())
+        if n:
+            docs = pa.Table.from_batches([batch.slice(0, n)]).drop_columns(["content"])
+            docs = docs.append_column("ordinal", pa.nulls(n, pa.int32())).select(schema.names)
             yield from docs.cast(schema).to_batches()
-        chunks = table.filter(pa.array(kinds == 1))
+        if n < batch.num_rows:
+            rest = chain([batch.slice(n)], batches)
+            break
+    for chunks in runs(rest, "h"):
         rows, begin = [], 0
         hashes, contents = chunks.column("h").to_pylist(), chunks.column("content")
         for end in range(1, len(hashes) + 1):

@@ -50,13 +50,22 @@ class Scheme:
         if not self.words:
             data = np.frombuffer(raw, np.uint8)
             at = np.arange(len(data))
-            return raw, anchors.contexts(anchors.byte_grams(data, self.gram), self.width, self.gram), at, at + 1
+            found = anchors.contexts(anchors.byte_grams(data, self.gram), self.width, self.gram)
+            return raw, anchors.collapsed(found, self.width, data), at, at + 1
         flat = b" ".join(raw.split())
         data = np.frombuffer(flat, np.uint8)
         starts, ends = anchors.word_borders(data)
-        grams = anchors.word_grams(anchors.word_hashes(data, starts, ends), self.gram)
+        hashes = anchors.word_hashes(data, starts, ends)
+        grams = anchors.word_grams(hashes, self.gram)
         size = np.minimum(255, ends[self.gram - 1 :] - starts[: len(grams)])  # long grams are rare ones
-        return flat, anchors.contexts(grams, self.width, self.gram, size), starts, ends
+        found = anchors.contexts(grams, self.width, self.gram, size)
+        fewer = anchors.collapsed(found, self.width, hashes)
+        for k in np.flatnonzero(fewer.times > 1).tolist():
+            first, step = int(fewer.first[k]), int(fewer.count[k])
+            last = first + int(fewer.times[k]) * step + self.width - 2
+            if flat[starts[first] : ends[last - step]] != flat[starts[first + step] : ends[last]]:
+                return flat, found, starts, ends  # word hashes clash: every context by itself
+        return flat, fewer, starts, ends
 
 
 BYTES = Scheme(400, 32, False)
@@ -111,7 +120,8 @@ def _packer(scheme: Scheme, ranges: int):
         held = 0
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), raw_texts(batch), strict=True):
-                found = scheme.cut(raw)[1].gram
+                runs = scheme.cut(raw)[1]
+                found = np.repeat(runs.gram, np.minimum(runs.times, 2))
                 if len(found):
                     grams.append(found)
                     blocks.append(np.full(len(found), block))
@@ -150,14 +160,15 @@ def among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 CANDIDATES = (
-    "fp long, c1 long, c2 long, block long, d1 long, d2 long, id long, first int, count int, anchor int, content binary"
+    "fp long, c1 long, c2 long, block long, d1 long, d2 long, id long, first int, count int, times int, anchor int, content binary"
 )
 
 
 def _cutter(scheme: Scheme):
     schema = pa.schema(
         [("fp", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("block", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-         ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("anchor", pa.int32()), ("content", pa.binary())]
+         ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("times", pa.int32()), ("anchor", pa.int32()),
+         ("content", pa.binary())]
     )
 
     def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
@@ -175,10 +186,10 @@ def _cutter(scheme: Scheme):
                     c1, c2 = np.frombuffer(digest, np.int64).tolist()
                     fp = int(found.gram[k].view(np.int64))
                     anchor = int(found.anchor[k]) - first
-                    rows.append((fp, c1, c2, block, d1, d2, own, first, count, anchor, None))
+                    rows.append((fp, c1, c2, block, d1, d2, own, first, count, int(found.times[k]), anchor, None))
                     if digest not in seen:
                         seen.add(digest)
-                        rows.append((fp, c1, c2, block, None, None, None, None, count, anchor, content))
+                        rows.append((fp, c1, c2, block, None, None, None, None, count, None, anchor, content))
         columns = list(zip(*rows, strict=True)) or [()] * len(schema)
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -202,8 +213,8 @@ def candidates(texts: Texts, scheme: Scheme) -> DataFrame:
     """Stored rows: occurrences (content null) and, once for each block, distinct contexts with their bytes.
 
     ``fp`` is the anchor gram, (c1, c2) the context's 128-bit hash, ``first`` and
-    ``count`` its windows in the document (d1, d2), ``anchor`` where the gram starts
-    inside the context, in symbols.
+    ``count`` its windows in the document (d1, d2), ``times`` how often it follows itself
+    there, ``anchor`` where the gram starts inside the context, in symbols.
     """
     found = (
         texts.rows.groupBy("block")

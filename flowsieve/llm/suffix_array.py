@@ -278,7 +278,7 @@ def remove_repeats(
     texts = repeats.prepared(docs, id_col, text_col)
     found = repeats.candidates(texts, scheme)
     seen = found.where("content is null")
-    contexts = seen.groupBy("fp", "c1", "c2").agg(F.count("*").alias("times"), F.max("count").alias("count"))
+    contexts = seen.groupBy("fp", "c1", "c2").agg(F.sum("times").alias("times"), F.max("count").alias("count"))
     contexts = durable(contexts, "context-counts")
     mixed = contexts.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
     members = found.where("content is not null").join(mixed, "fp", "left_semi")
@@ -287,9 +287,14 @@ def remove_repeats(
     partly = judged.mapInArrow(_resolver(width), "fp long, c1 long, c2 long, begin int, end int")
     whole = contexts.where("times > 1").select("fp", "c1", "c2", F.lit(0).alias("begin"), (F.col("count") + width - 1).alias("end"))
     spans = whole.union(partly)
-    placed = seen.select("fp", "c1", "c2", "block", F.col("d1").alias("s1"), F.col("d2").alias("s2"), "first").join(spans, ["fp", "c1", "c2"])
+    # a context that follows itself is repeated as a whole, and its copies overlap
+    further = (F.col("times") - 1) * F.col("count")
+    placed = seen.select(
+        "fp", "c1", "c2", "block", F.col("d1").alias("s1"), F.col("d2").alias("s2"), "first", further.alias("further")
+    ).join(spans, ["fp", "c1", "c2"])
+    end = (F.col("first") + F.col("further") + F.col("end")).cast("int")
     placed = placed.select(
-        F.col("block").alias("home"), "s1", "s2", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end")
+        F.col("block").alias("home"), "s1", "s2", (F.col("first") + F.col("begin")).alias("begin"), end.alias("end")
     ).distinct()
     kept = texts.rows.groupBy("block").cogroup(placed.groupBy("home")).applyInArrow(_remover, REMOVED)
     return kept.withColumnRenamed("id", id_col)

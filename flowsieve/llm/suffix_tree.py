@@ -253,10 +253,13 @@ def _remover(scheme: repeats.Scheme):
                 at = np.flatnonzero(repeats.among(found.gram, wanted))
                 first, count = found.first[at], found.count[at]
                 stops = ends[first + count + scheme.width - 2]
-                for fp, f, a, b in zip(found.gram[at].view(np.int64).tolist(), first.tolist(), starts[first].tolist(), stops.tolist(), strict=True):
+                # what is covered in a context that follows itself is covered in each copy, and these overlap
+                further = ((found.times[at] - 1) * count).tolist()
+                columns = (found.gram[at].view(np.int64).tolist(), first.tolist(), starts[first].tolist(), stops.tolist(), further)
+                for fp, f, a, b, more in zip(*columns, strict=True):
                     for k, n, m in by_context.get((fp, _content_key(flat[a:b])), ()):
                         if m < rank:
-                            covered.append((f + k, f + k + n + scheme.width - 1))
+                            covered.append((f + k, f + k + n + more + scheme.width - 1))
             merged: list[list[int]] = []
             for a, b in sorted(covered):
                 if merged and a <= merged[-1][1]:

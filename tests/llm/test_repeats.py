@@ -71,6 +71,51 @@ def test_shard_flags(seed):
                     assert mine[shard.starts[n] + k]
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_collapsed_contexts(seed):
+    """Each context is followed by as many copies of itself as it says, and none is lost."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        parts = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 9))) * rng.randint(1, 40) for _ in range(rng.randint(1, 5))]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        found = anchors.contexts(anchors.byte_grams(data, 8), 24, 8)
+        fewer = anchors.collapsed(found, 24, data)
+        spread = [(f + r * c, c) for f, c, t in zip(fewer.first, fewer.count, fewer.times) for r in range(t)]
+        assert spread == list(zip(found.first, found.count))
+        for f, c, t in zip(fewer.first, fewer.count, fewer.times):
+            assert len({data[f + r * c : f + r * c + c + 23].tobytes() for r in range(t)}) <= 1
+        ahead = zip(found.first, found.count, found.first[1:], found.count[1:])
+        same = sum(c == d and data[f : f + c + 23].tobytes() == data[g : g + d + 23].tobytes() for f, c, g, d in ahead)
+        assert len(found.first) - len(fewer.first) == same
+
+
+def periodic(rng):
+    unit = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 30)))
+    return prose(rng, rng.randint(0, 5)) + (unit * rng.randint(2, 40))[: rng.randint(10, 400)] + prose(rng, rng.randint(0, 5))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_periodic_texts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, periodic(rng)) for k in range(150)] + [(200 + k, "ab" * n) for k, n in enumerate((11, 12, 13, 24, 200))]
+    got = suffix_array.remove_repeats(frame(spark, rows), scheme=SMALL).collect()
+    mine = sorted((r.doc_id, r.n_bytes, [(s.begin, s.end) for s in r.spans], bytes(r.kept)) for r in got)
+    assert mine == sorted((i, *w) for (i, _), w in zip(rows, plain_kept([t for _, t in rows], SMALL.width)))
+    spaced = [(k, " ".join(t.replace(" ", "x"))) for k, t in rows]
+    got = suffix_tree.remove_seen_words(frame(spark, spaced)).collect()
+    mine = sorted((r.doc_id, r.n_words, sum(s.end - s.begin for s in r.spans), r.kept) for r in got)
+    assert mine == sorted((i, *w) for (i, _), w in zip(spaced, plain_words(spaced, 13)))
+
+
+def test_five_megabytes_of_one_symbol(spark):
+    rows = [(1, "a" * 5_000_000), (2, "b" + "a" * 600), (3, "-" * 399), (4, "xyz " * 1_250_000)]
+    got = {r.doc_id: r for r in suffix_array.remove_repeats(frame(spark, rows)).collect()}
+    assert {k: (r.n_bytes, bytes(r.kept)) for k, r in got.items()} == {1: (5_000_000, b""), 2: (601, b"b"), 3: (399, b"-" * 399), 4: (5_000_000, b"")}
+    rows = [(1, "a " * 2_500_000), (2, "a " * 2_000_000 + "b"), (3, "a b c " * 500_000), (5, "c a b " * 10)]
+    got = {r.doc_id: r for r in suffix_tree.remove_seen_words(frame(spark, rows)).collect()}
+    assert {k: (r.n_words, sum(s.end - s.begin for s in r.spans)) for k, r in got.items()} == {1: (2_500_000, 0), 2: (2_000_001, 2_000_000), 3: (1_500_000, 0), 5: (30, 30)}
+
+
 def test_equal_windows_share_their_anchor():
     rng = np.random.default_rng(7)
     data = np.concatenate([p := rng.integers(97, 103, 500, dtype=np.uint8), rng.integers(97, 103, 300, dtype=np.uint8), p])
