@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.clustering import KMeans
+import pandas as pd
+from pyspark.ml.classification import (
+    LogisticRegression,
+    LogisticRegressionModel,
+    MultilayerPerceptronClassificationModel,
+    MultilayerPerceptronClassifier,
+)
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import scoring
@@ -17,7 +23,8 @@ from flowsieve.functions import vectors as V
 from flowsieve.functions.core import ref
 from flowsieve.functions.scoring import Decision, HybridWeights
 from flowsieve.operators.prepare import class_weights
-
+from flowsieve.operators.sampling import poisson_draw
+from flowsieve.session import durable, small_side
 
 
 def feature_vector(features: Sequence[str]) -> Column:
@@ -73,29 +80,113 @@ def feature_means(df: DataFrame, features: Sequence[str]) -> list[float]:
     return [float(row[f] or 0.0) for f in features]
 
 
+def _of_class(centers: DataFrame) -> DataFrame:
+    """(class, centers): the centres of each class in one row, by cluster number."""
+    listed = F.array_sort(F.collect_list(F.struct("cluster", "centroid")))
+    return centers.groupBy(F.col("class").alias("_class")).agg(F.transform(listed, lambda c: c["centroid"]).alias("centers"))
+
+
+def _assigned(units: DataFrame, centers: DataFrame) -> DataFrame:
+    """``units`` with the nearest centre of their class and the squared distance to it; ``centers`` is a stored table."""
+    joined = units.join(_of_class(centers), F.col("class").eqNullSafe(F.col("_class")))
+    gaps = F.transform("centers", lambda c: V.squared_distance(F.col("unit"), c))
+    nearest = F.array_min("gaps")
+    return joined.withColumn("gaps", gaps).select(
+        *units.columns, (F.array_position("gaps", nearest) - 1).cast("int").alias("cluster"), nearest.alias("gap")
+    )
+
+
+def _reduce_seeds(k: int, seed: int):
+    """k of the weighted candidates of a class, each drawn in proportion to its weight and squared distance."""
+
+    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(_order=[tuple(c) for c in rows["centroid"]]).sort_values("_order")
+        points = np.stack(rows["centroid"].to_numpy())
+        weight = rows["weight"].to_numpy(dtype="float64")
+        draw = np.random.default_rng(seed)
+        chosen = [int(weight.argmax())]
+        gap = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < min(k, len(points)):
+            left = gap > 0
+            if not left.any():
+                break
+            share = np.where(left, np.maximum(weight, 1e-9) * gap, 0.0)
+            chosen.append(int(draw.choice(len(points), p=share / share.sum())))
+            gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+        kept = rows.iloc[chosen].drop(columns=["weight", "_order", "cluster"])
+        return kept.assign(cluster=np.arange(len(chosen), dtype="int32"))
+
+    return reduce
+
+
+def _seeds(units: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
+    """(class, cluster, centroid): oversampled rows of each class, reduced to k.
+
+    The k rows with the smallest hash come first; each round adds rows in proportion to
+    their squared distance, about 2 k for each class.
+    """
+    order = Window.partitionBy("class").orderBy("draw", "unit")
+    first = units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = durable(_numbered(first.select("class", F.col("unit").alias("centroid")).distinct()), "seeds")
+    for turn in range(rounds):
+        near = _assigned(units, found)
+        total = durable(near.groupBy("class").agg(F.sum("gap").alias("cost")), "seed-costs")
+        total = total.select(F.col("class").alias("_c"), "cost")
+        chance = F.pmod(F.xxhash64("unit", F.lit(seed + turn + 1)), F.lit(1 << 30)) / float(1 << 30)
+        drawn = near.join(total, F.col("class").eqNullSafe(F.col("_c"))).where(chance * F.col("cost") < 2.0 * k * F.col("gap"))
+        more = drawn.select("class", F.col("unit").alias("centroid"))
+        found = durable(_numbered(found.select("class", "centroid").union(more).distinct()), "seeds")
+    counted = _assigned(units, found).groupBy(F.col("class").alias("_c"), F.col("cluster").alias("_k")).agg(F.count(F.lit(1)).alias("weight"))
+    same = F.col("class").eqNullSafe(F.col("_c")) & (F.col("cluster") == F.col("_k"))
+    weighted = found.join(counted, same, "left").select("class", "cluster", "centroid", F.coalesce("weight", F.lit(0)).alias("weight"))
+    return weighted.groupBy("class").applyInPandas(_reduce_seeds(k, seed), _center_schema(units))
+
+
+def _numbered(centers: DataFrame) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy("class").orderBy("centroid")) - 1
+    return centers.withColumn("cluster", number.cast("int"))
+
+
+def _center_schema(units: DataFrame) -> str:
+    return f"class {units.schema['class'].dataType.simpleString()}, centroid array<double>, cluster int"
+
+
 def build_centroids(
-    df: DataFrame, vector_col: str, class_col: str, k: int = 25, seed: int = 42
+    df: DataFrame, vector_col: str, class_col: str, k: int = 25, seed: int = 42, max_rounds: int = 50, seed_rounds: int = 2
 ) -> DataFrame:
-    """(class, cluster, centroid): k-means per class on normalised vectors, k at most n.
+    """(class, cluster, centroid): k-means on the normalised vectors of every class at once, k at most n.
 
-    One distributed k-means job per class; the class list is a small vocabulary.
+    One step is one job for all classes: rows meet the centres of their class as one
+    row of a table, broadcast only if it is small, and means are partial aggregates by
+    (class, cluster), so neither a class nor the number of classes is bounded by a task
+    or the driver. A centre that loses all rows moves to the row of its class that is
+    farthest from its own. Steps end when no centre moves.
     """
-    spark = df.sparkSession
-    units = df.select(F.col(class_col).alias("class"), V.unit(F.col(vector_col)).alias("unit")).withColumn(
-        "features", array_to_vector("unit")
-    )
-    sizes = units.groupBy("class").count().orderBy("class").collect()
-    rows = []
-    for size in sizes:
-        part = units.where(F.col("class") == F.lit(size["class"]))
-        model = KMeans(k=min(k, size["count"]), seed=seed, maxIter=50).fit(part) if size["count"] > 1 else None
-        if model is None:
-            centers = [part.first()["unit"]]
-        else:
-            centers = model.clusterCenters()
-        rows += [(size["class"], i, [float(x) for x in c]) for i, c in enumerate(centers)]
-    kind = df.schema[class_col].dataType.simpleString()
-    return spark.createDataFrame(rows, f"class {kind}, cluster int, centroid array<double>")
+    units = df.select(F.col(class_col).alias("class"), V.unit(F.col(vector_col)).alias("unit")).dropna(subset=["unit"])
+    units = durable(units.withColumn("draw", F.xxhash64("unit", F.lit(seed))), "unit-vectors")
+    centers = durable(_seeds(units, k, seed, seed_rounds), "centers")
+    for _ in range(max_rounds):
+        near = _assigned(units, centers)
+        means = near.groupBy("class", "cluster").agg(
+            vector_to_array(Summarizer.mean(array_to_vector("unit"))).alias("mean"),
+            F.max(F.struct("gap", "unit")).alias("far"),
+        )
+        far = F.max("far").over(Window.partitionBy("_c"))
+        old = centers.select(F.col("class").alias("_c"), F.col("cluster").alias("_k"), F.col("centroid").alias("old"))
+        same = F.col("_c").eqNullSafe(F.col("class")) & (F.col("_k") == F.col("cluster"))
+        moved = old.join(means, same, "left").withColumn("far", far)
+        # of several empty clusters the first moves, the others in later steps
+        empty = F.col("mean").isNull()
+        rank = F.row_number().over(Window.partitionBy("_c").orderBy(F.col("mean").isNotNull(), "_k"))
+        moved = moved.withColumn("rank", rank)
+        now = F.when(~empty, F.col("mean")).when((F.col("rank") == 1) & (F.col("far.gap") > 0), F.col("far.unit")).otherwise(F.col("old"))
+        moved = moved.select(F.col("_c").alias("class"), now.alias("centroid"), F.col("_k").alias("cluster"), "old")
+        moved = durable(moved, "centers")
+        shift = moved.agg(F.max(V.squared_distance(F.col("centroid"), F.col("old"))).alias("m")).first()["m"]
+        centers = moved.drop("old")
+        if not shift or shift < 1e-20:
+            break
+    return centers.select("class", "cluster", "centroid")
 
 
 def fit_hybrid(scores: DataFrame, target: Column, ae: str = "ae_re", max_prob: str = "max_prob") -> HybridWeights:
@@ -149,6 +240,68 @@ def score_table(
     )
 
 
+def member_draws(train: DataFrame, id_col: str, member: int, seed: int = 42) -> DataFrame:
+    """The rows of one bootstrap member with ``draws``, how often each was drawn: Poisson with mean 1."""
+    drawn = train.withColumn("draws", poisson_draw(id_col, f"member-{seed}-{member}", F.lit(1.0)))
+    return drawn.where("draws > 0")
+
+
+def fit_ensemble(
+    train: DataFrame, features: Sequence[str], class_col: str, class_names: Sequence[str], id_col: str, members: int = 5, max_iter: int = 30
+) -> list[LogisticRegressionModel]:
+    """Bagged classifiers: each sees every row as often as it was drawn, as a weight, so no row is copied."""
+    index = F.array_position(F.lit(list(class_names)), ref(class_col)) - 1
+    base = class_weights(train, class_col).select(
+        ref(id_col).alias("_id"), feature_vector(features).alias("features"), index.cast("double").alias("label"), "weight"
+    ).where("label >= 0")
+    base = durable(base, "ensemble-rows")
+    fitted = []
+    for member in range(members):
+        rows = member_draws(base, "_id", member).withColumn("weight", F.col("weight") * F.col("draws"))
+        fitted.append(LogisticRegression(weightCol="weight", family="multinomial", maxIter=max_iter, regParam=1e-4).fit(rows))
+    return fitted
+
+
+def member_probabilities(df: DataFrame, members: Sequence[LogisticRegressionModel], features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """(keep, member, probs): one row for each row and member; the rows are read once for all members."""
+    scored = df.select(*[ref(k) for k in keep], feature_vector(features).alias("features"))
+    for k, model in enumerate(members):
+        own = model.copy()
+        own.setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setPredictionCol(f"_y{k}")
+        scored = own.transform(scored).drop(f"_r{k}", f"_y{k}")
+    probs = F.array(*[F.struct(F.lit(k).alias("member"), vector_to_array(f"_p{k}").alias("probs")) for k in range(len(members))])
+    return scored.select(*[ref(k) for k in keep], F.inline(probs))
+
+
+def fit_perceptron(
+    train: DataFrame,
+    features: Sequence[str],
+    class_col: str,
+    class_names: Sequence[str],
+    id_col: str,
+    hidden: Sequence[int] = (16,),
+    max_iter: int = 60,
+    seed: int = 42,
+) -> MultilayerPerceptronClassificationModel:
+    """Non-linear known-class classifier. It takes no weights, so rare classes are resampled to an equal share.
+
+    A row is repeated a Poisson number of times whose mean is the class's share of an
+    even mix; in all about as many rows as before.
+    """
+    known = train.where(ref(class_col).isin(list(class_names)))
+    sizes = small_side(known.groupBy(ref(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_n")), "class-sizes")
+    total = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    index = F.array_position(F.lit(list(class_names)), ref(class_col)) - 1
+    mean = F.lit(total[0] / max(total[1], 1)) / F.col("_n")
+    rows = known.join(sizes, ref(class_col) == F.col("_class")).withColumn("_draws", poisson_draw(id_col, f"even-{seed}", mean))
+    rows = rows.select(
+        feature_vector(features).alias("features"), index.cast("double").alias("label"), F.explode(F.array_repeat(F.lit(1), F.col("_draws"))).alias("_copy")
+    )
+    layers = [len(features), *hidden, len(class_names)]
+    rows = durable(rows.drop("_copy"), "perceptron-rows")
+    return MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed, blockSize=256).fit(rows)
+
+
 def ensemble_uncertainty(samples: DataFrame, id_cols: Sequence[str], probs: str = "probs", low_confidence: float = 1.5) -> DataFrame:
     """Mean and deviation per class over ensemble members, entropy, confidence flag.
 

@@ -15,6 +15,7 @@ from flowsieve.session import durable, small_side
 # A bracket around a wanted rank is narrowed until it holds no more rows than this.
 IN_TASK_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
+MARGIN = 3.0 / SKETCH_ACCURACY  # of the rows, on either side of a wanted rank
 
 
 def globally_ordered(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
@@ -41,8 +42,12 @@ def prefix_sums(
     order: Sequence[str | Column],
     values: Sequence[str],
     group: Sequence[str] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``cum_<value>``: inclusive running sums within ``group`` along ``order``."""
+    """Add ``cum_<value>``: inclusive running sums within ``group`` along ``order``.
+
+    ``keep`` may name ``_part`` and ``_pos``, the place in the layout.
+    """
     ordered = globally_ordered(df, [*group, *order])
     partials = ordered.groupBy("_part", *group).agg(
         *[F.sum(v).alias(f"_sum_{v}") for v in values]
@@ -66,7 +71,7 @@ def prefix_sums(
     running = ordered.select("*", *[F.sum(v).over(local).alias(f"_local_{v}") for v in values])
     joined = running.join(small_side(offsets, "offsets"), on)
     return joined.select(
-        *df.columns,
+        *df.columns, *keep,
         *[(F.col(f"_local_{v}") + F.col(f"_before_{v}")).alias(f"cum_{v}") for v in values],
     )
 
@@ -85,23 +90,35 @@ class _Target:
 
 
 def order_statistics(
-    df: DataFrame, wanted: dict[str, Sequence[int]], in_task_rows: int = IN_TASK_ROWS
+    df: DataFrame,
+    wanted: dict[str, Sequence[int]],
+    in_task_rows: int = IN_TASK_ROWS,
+    counts: dict[str, int] | None = None,
+    brackets: dict[str, list[tuple]] | None = None,
 ) -> dict[str, list]:
     """Exact values at 0-based ranks of several numeric columns (nulls ignored).
 
-    A quantile sketch narrows every rank to a value bracket and exact counts confirm
-    it; a rank that falls on a bracket end, however often that value occurs, is
-    found at once. Only when the inside of a bracket is small are its values ranked.
-    Every round is two passes with partial aggregation that shuffle a few numbers.
+    A quantile sketch narrows every rank to a value bracket, one per rank in order. One
+    grouped pass then counts what lies between the brackets and each value inside them,
+    which gives the ranks of all columns at once. Only a rank whose bracket holds too
+    many values for that, or that the sketch missed, is narrowed again on its own.
+    ``counts`` and ``brackets`` are known to some callers, and save a pass each.
     """
     columns = [c for c, ranks in wanted.items() if ranks]
     if not columns:
         return {c: [] for c in wanted}
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    if counts is None:
+        counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
     targets = [_Target(c, int(r), inside=counts[c]) for c in columns for r in wanted[c]]
     for t in targets:
         if not 0 <= t.rank < t.inside:
             raise ValueError(f"rank {t.rank} outside 0..{t.inside - 1} of {t.column}")
+    if brackets is None:
+        shares = {c: [r / counts[c] for r in wanted[c]] for c in columns if counts[c] > in_task_rows}
+        brackets = _brackets(df, shares)
+    # of this many rows about one in_task_rows lies in a bracket
+    small = in_task_rows / (2 * MARGIN)
+    _settle(df, [t for t in targets if t.inside <= small], brackets, in_task_rows)
     while True:
         wide = [t for t in targets if t.value is None and t.inside > in_task_rows]
         if not wide:
@@ -112,6 +129,59 @@ def order_statistics(
     return {c: [found[(c, int(r))] for r in ranks] for c, ranks in wanted.items()}
 
 
+def _bounds(shares: Sequence[float]) -> list[float]:
+    return [x for p in shares for x in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+
+
+def _brackets(df: DataFrame, shares: dict[str, list[float]]) -> dict[str, list[tuple]]:
+    """Values that the ranks at ``shares`` of each column very likely lie between."""
+    if not shares:
+        return {}
+    row = df.agg(*[F.percentile_approx(c, _bounds(p), SKETCH_ACCURACY).alias(c) for c, p in shares.items()]).first()
+    return {c: list(zip(row[c][::2], row[c][1::2], strict=True)) for c in shares}
+
+
+def _settle(df: DataFrame, targets: list[_Target], brackets: dict[str, list[tuple]], in_task_rows: int) -> None:
+    """Values of the targets whose rank falls into one of their column's brackets; without any, the column is one."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    for kind in sorted({kinds[t.column] for t in targets}):
+        some = [t for t in targets if kinds[t.column] == kind]
+        columns = list(dict.fromkeys(t.column for t in some))
+        entries = []
+        for i, c in enumerate(columns):
+            value = F.col(c)
+            open_ = _merged(brackets.get(c)) if next(t for t in some if t.column == c).inside > in_task_rows else None
+            bucket = F.lit(1)
+            if open_ is not None:  # even buckets lie between the brackets
+                bucket = F.lit(2 * len(open_))
+                for k, (low, high) in reversed(list(enumerate(open_))):
+                    bucket = F.when(value < F.lit(low), 2 * k).when(value <= F.lit(high), 2 * k + 1).otherwise(bucket)
+            inside = F.when(bucket % 2 == 1, value)
+            entries.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("c"), bucket.alias("b"), inside.alias("v"))))
+        present = F.filter(F.array(*entries), lambda e: e.isNotNull())
+        ranks = F.array(*[F.array(*[F.lit(t.rank).cast("long") for t in some if t.column == c]) for c in columns])
+        upto = F.sum("count").over(Window.partitionBy("c").orderBy("b", "v"))
+        counted = df.select(F.inline(present)).groupBy("c", "b", "v").count().withColumn("upto", upto)
+        hit = F.filter(F.get(ranks, F.col("c")), lambda r: (r >= F.col("upto") - F.col("count")) & (r < F.col("upto")))
+        rows = counted.where("b % 2 = 1").select("c", "v", hit.alias("ranks")).where(F.size("ranks") > 0).collect()
+        found = {(columns[r["c"]], rank): r["v"] for r in rows for rank in r["ranks"]}
+        for t in some:
+            t.value = found.get((t.column, t.rank))
+
+
+def _merged(brackets: list[tuple] | None) -> list[tuple] | None:
+    """Intervals that touch as one, in order."""
+    if not brackets:
+        return None
+    out: list[tuple] = []
+    for low, high in sorted(brackets):
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], max(high, out[-1][1])
+        else:
+            out.append((low, high))
+    return out
+
+
 def _within(t: _Target) -> Column:
     c = F.col(t.column)
     condition = c.isNotNull()
@@ -202,12 +272,15 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles, exact at any size; non-finite values ignored."""
     clean = df.select(*[missing_if_infinite(F.col(f"`{c}`")).alias(c) for c in columns])
-    counts = clean.agg(*[F.count(c).alias(c) for c in columns]).first()
+    sketches = [F.percentile_approx(c, _bounds(probs), SKETCH_ACCURACY).alias(f"{c}|bounds") for c in columns]
+    row = clean.agg(*[F.count(c).alias(c) for c in columns], *sketches).first()
+    counts = {c: row[c] for c in columns}
+    brackets = {c: list(zip(row[f"{c}|bounds"][::2], row[f"{c}|bounds"][1::2], strict=True)) for c in columns if counts[c]}
     wanted: dict[str, list[int]] = {}
     for c in columns:
         spots = [(counts[c] - 1) * p for p in probs] if counts[c] else []
         wanted[c] = sorted({f(s) for s in spots for f in (math.floor, math.ceil)})
-    values = order_statistics(clean, wanted, in_task_rows)
+    values = order_statistics(clean, wanted, in_task_rows, counts, brackets)
     out: dict[str, list[float | None]] = {}
     for c in columns:
         at = dict(zip(wanted[c], values[c], strict=True))
@@ -238,7 +311,7 @@ def cut_keys(
     ranks = [int(r) for r in ranks]
     if not ranks:
         return []
-    instants = order_statistics(df.select(time_col), {time_col: ranks}, in_task_rows)[time_col]
+    instants = order_statistics(df.select(time_col), {time_col: ranks}, in_task_rows, {time_col: total})[time_col]
     row = df.agg(
         *[F.count_if(F.col(time_col) < F.lit(t)).alias(f"n{i}") for i, t in enumerate(instants)]
     ).first()

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import labels
 from flowsieve.functions.core import missing_if_infinite, ref
 from flowsieve.functions.scoring import Decision
 from flowsieve.operators.ordered import IN_TASK_ROWS, exact_quantiles, prefix_sums
+from flowsieve.session import durable, small_side
 
 SCORES = ("hybrid", "ae_re", "softmax", "fv_cluster")
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -139,21 +140,28 @@ def adaptive_thresholds(
     )
     # only finite benign scores are history, so only they are numbered
     flagged = flagged.withColumn("kept", F.when(_is_finite(F.col("score")) & (F.col("benign") == 1), 1).otherwise(0))
-    numbered = prefix_sums(flagged, order, ["kept"], ["entity"]).withColumn("before", F.col("cum_kept") - F.col("kept"))
-    history = _sliding_thresholds(
-        numbered.where("kept = 1"),
-        list(seed)[-window:], window, target_fpr, chunk,
-    )
+    layout = ["_part", "_pos"]
+    numbered = durable(prefix_sums(flagged, order, ["kept"], ["entity"], layout), "numbered-scores")
+    history = _sliding_thresholds(numbered.where("kept = 1"), list(seed)[-window:], window, target_fpr, chunk)
     start = None
     if seed:
         tail = pd.Series(list(seed)[-window:], dtype="float64")
         start = float(tail.quantile(1.0 - target_fpr))
-    joined = numbered.join(
-        history.select(F.col("entity").alias("_e"), F.col("position").alias("_p"), "quantile"),
-        F.col("entity").eqNullSafe(F.col("_e")) & (F.col("before") == F.col("_p")),
-        "left",
+    # every benign row gets its own entry of the history; the rows between two of them look
+    # back in the layout, so however many they are, none of them is joined
+    own = history.select(F.col("entity").alias("_e"), F.col("position").alias("_p"), "quantile")
+    same = F.col("entity").eqNullSafe(F.col("_e")) & (F.col("cum_kept") == F.col("_p"))
+    benign_rows = numbered.where("kept = 1").join(own, same).drop("_e", "_p")
+    laid = durable(benign_rows.unionByName(numbered.where("kept = 0").withColumn("quantile", F.lit(None).cast("double"))), "score-history")
+    last = laid.groupBy("_part", "entity").agg(F.max_by("quantile", F.when(F.col("kept") == 1, F.col("_pos"))).alias("last"))
+    earlier = Window.partitionBy("entity").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(
+        F.col("_part").alias("_q"), F.col("entity").alias("_e"), F.last("last", ignorenulls=True).over(earlier).alias("carried")
     )
-    threshold = F.when(F.col("before") == 0, F.lit(start).cast("double")).otherwise(F.col("quantile"))
+    before = Window.partitionBy("_part", "entity").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = laid.withColumn("before", F.last("quantile", ignorenulls=True).over(before))
+    joined = seen.join(small_side(carried, "carried"), (F.col("_part") == F.col("_q")) & F.col("entity").eqNullSafe(F.col("_e")))
+    threshold = F.coalesce("before", "carried", F.lit(start).cast("double"))
     return joined.select(
         F.col("entity").alias(entity), *order, "score", "benign", threshold.alias("threshold"),
         F.coalesce(F.col("score") > threshold, F.lit(False)).alias("exceeds"),

@@ -116,6 +116,16 @@ def csv_provenance(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _named(spark: SparkSession, path: str, name: str) -> None:
+    """Give the files that Spark wrote to a folder names of the usual pattern."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, found in enumerate(files.listStatus(root)):
+        if found.getPath().getName().startswith("part-"):
+            files.rename(found.getPath(), hadoop.Path(root, f"{name}_{k}.csv"))
+
+
 def _written(spark: SparkSession, path: str) -> DataFrame:
     """The files a query wrote below its scratch folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
@@ -154,14 +164,19 @@ def _headerless(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
 
 @query("csv_folder", with_views(_PER_CLASS))
 def csv_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder with three kinds of file: with a header, headerless, and headerless without times."""
+    """A folder with three kinds of file, found by their names: with a header, headerless, and headerless without times."""
     path, df = scratch(spark, "csv-folder"), flows(spark, folder)
     part = F.col("source_row") % 3
     with_names = df.where(part == 0).select(*[F.col(v).alias(k.upper() if k == "attack_cat" else k) for k, v in _RAW.items()])
     with_names.write.option("header", "true").csv(f"{path}/a")
     _headerless(df.where(part == 1)).write.csv(f"{path}/b")
     _headerless(df.where(part == 2), ("stime", "ltime")).write.csv(f"{path}/c")
-    return _per_class(csv.load_flow_csvs(spark, path, _written(spark, path)))
+    # files of other names, and the feature list, are no flows
+    df.select("src_ip").write.csv(f"{path}/d")
+    df.limit(5).select("src_ip").coalesce(1).write.csv(f"{path}/e")
+    for name, kind in (("a", "UNSW_flows"), ("b", "set-nb15"), ("c", "UNSW-NB15_part"), ("e", "other")):
+        _named(spark, f"{path}/{name}", kind)
+    return _per_class(csv.load_flow_csvs(spark, path))
 
 
 @query("csv_headerless", with_views("SELECT service, count(*) AS rows, min(sent_bytes) AS low, max(sent_bytes) AS high FROM flows_v GROUP BY service"))
@@ -184,6 +199,17 @@ def csv_latin1(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("service").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("csv_encoding_fallback", with_views("SELECT concat('café-', service) AS service, count(*) AS rows, count(DISTINCT source_row) AS numbers FROM flows_v GROUP BY service"))
+def csv_encoding_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """One folder in UTF-8 and one in Latin-1; each is read in the encoding it turns out to have."""
+    path, names = scratch(spark, "csv-fallback"), ["flow", "service"]
+    df = flows(spark, folder).select(F.col("source_row").alias("flow"), F.concat(F.lit("café-"), "service").alias("service"))
+    for k, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        df.where(F.col("flow") % 2 == k).write.option("header", "true").option("encoding", encoding).csv(f"{path}/{k}")
+    rows = csv.read_with_fallback(spark, f"{path}/0", names).unionByName(csv.read_with_fallback(spark, f"{path}/1", names))
+    return rows.groupBy("service").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("flow").alias("numbers"))
+
+
 @query("csv_wide_header", with_views(_PER_CLASS))
 def csv_wide_header(spark: SparkSession, folder: str) -> DataFrame:
     """A header line of well over 64 KB."""

@@ -256,6 +256,28 @@ _STD = " UNION ALL ".join(
 _SCALE_V = ("scale_v", "SELECT *, 3.5E0 AS constant FROM input_v")
 
 
+@query(
+    "numeric_selection",
+    with_views(
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS feature, count({n}) AS rows, {r6(f'CAST(max({n}) AS DOUBLE)')} AS high FROM coded_v"
+            for n in (*[c for c in FEATURE_INPUT if c not in ("source_row", "attack_cat")], "proto_num")
+        ),
+        _INPUT,
+        ("coded_v", "SELECT *, CASE WHEN source_row % 5 = 0 THEN 1E0 ELSE 2E0 END AS proto_num FROM input_v"),
+    ),
+)
+def numeric_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The model's input columns of a table that also has text, labels, times and row numbers."""
+    df = feature_input(spark, folder).withColumn("proto_num", F.when(F.col("source_row") % 5 == 0, 1.0).otherwise(2.0))
+    others = {"srcip": F.lit("10.0.0.1"), "service": F.lit("http"), "label_binary": F.lit(1), "source_file": F.lit("a.csv")}
+    mixed = df.withColumns({n: c for n, c in others.items()}).withColumn("seen_at", F.current_timestamp())
+    names = [n for n in prepare.numeric_features(mixed) if n != "source_row"]
+    facts = mixed.agg(*[F.count(n).alias(f"n|{n}") for n in names], *[F.max(n).cast("double").alias(f"m|{n}") for n in names])
+    rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"n|{n}").alias("rows"), F.col(f"m|{n}").alias("high")) for n in names])
+    return facts.select(F.inline(rows))
+
+
 @query("feature_variance", with_views(_STD, _INPUT, _SCALE_V))
 def feature_variance(spark: SparkSession, folder: str) -> DataFrame:
     return prepare.feature_variance(_scale_input(spark, folder), SCALE_FEATURES)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions import labels, scoring
 from flowsieve.functions import vectors as V
 from flowsieve.functions.scoring import Decision, HybridWeights
 from flowsieve.operators import drift as drift_op
-from flowsieve.operators import evaluate, models, production, sampling, thresholds
+from flowsieve.operators import evaluate, models, production, sampling, sketches, thresholds
 from flowsieve.plans.base import class_text, judged, query, r6, scores, table, with_views
+from flowsieve.session import durable
 
 WEIGHTS = HybridWeights(ae_re=2.63, softmax=14.73, intercept=-3.36)
 VOTES = Decision(hybrid=0.99, ae_re=0.2, softmax=0.5, mode="vote", min_votes=2)
@@ -288,6 +289,48 @@ def score_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return thresholds.score_distribution(scores(spark, folder), DISTRIBUTED)
 
 
+@query(
+    "sketch_distribution",
+    with_views(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS score, count(*) AS rows, {r6(f'min({c})')} AS low, {r6(f'max({c})')} AS high, count(DISTINCT (source_file,
+ date_trunc('hour', event_ts))) AS parts, true AS merged_near, true AS direct_near, true AS share_near FROM scores_v"""
+            for c in DISTRIBUTED
+        )
+    ),
+)
+def sketch_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches stored by file and hour and merged, against one pass and against the exact ranks."""
+    df = scores(spark, folder).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    by = {"source_file": F.col("source_file"), "hour": F.date_trunc("hour", "event_ts")}
+    parts = durable(sketches.sketch_scores(df, DISTRIBUTED, by), "sketches")
+    whole = sketches.sketch_scores(df, DISTRIBUTED, {}).select("score", F.col("sketch").alias("direct"))
+    merged = sketches.merge_sketches(sketches.merge_sketches(parts, ["source_file"])).join(whole, "score")
+    merged = merged.join(parts.groupBy("score").agg(F.count(F.lit(1)).alias("parts")), "score")
+    probs = [0.1, 0.5, 0.9, 0.95, 0.99]
+    named = {f"q{k}": p for k, p in enumerate(probs)}
+    asked = sketches.sketch_quantiles(merged, named)
+    direct = [F.kll_sketch_get_quantile_double("direct", F.lit(p)).alias(f"d{k}") for k, p in enumerate(probs)]
+    asked = durable(asked.select("score", "rows", "low", "high", "parts", "sketch", *named, *direct), "asked")
+    limits = {r["score"]: r["q3"] for r in asked.select("score", "q3").collect()}  # one row for each score
+    asked = asked.withColumn("share", sketches.share_above(limits)).drop("sketch")
+    entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in DISTRIBUTED])
+    long = df.select(F.inline(entries)).join(F.broadcast(asked), F.col("name") == F.col("score"))
+
+    def off(value: Column, p: Column | float) -> Column:
+        """How far the rank of a value is from p; a value that many rows share covers a range of ranks."""
+        below, upto = F.avg((F.col("value") < value).cast("double")), F.avg((F.col("value") <= value).cast("double"))
+        return F.greatest(below - p, p - upto, F.lit(0.0))
+
+    facts = long.groupBy("score", "rows", "low", "high", "parts").agg(
+        F.greatest(*[off(F.col(f"q{k}"), F.lit(p)) for k, p in enumerate(probs)]).alias("merged"),
+        F.greatest(*[off(F.col(f"d{k}"), F.lit(p)) for k, p in enumerate(probs)]).alias("one"),
+        F.abs(F.avg((F.col("value") > F.col("q3")).cast("double")) - F.max("share")).alias("share"),
+    )
+    near = [(F.col(c) <= sketches.RANK_ERROR + 1.0 / F.col("rows")).alias(f"{n}_near") for c, n in (("merged", "merged"), ("one", "direct"), ("share", "share"))]
+    return facts.select("score", "rows", "low", "high", "parts", *near)
+
+
 @query(
     "score_extent",
     with_views(

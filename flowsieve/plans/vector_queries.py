@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import vectors as V
 from flowsieve.functions.scoring import Decision
-from flowsieve.operators import evaluate, forest, models, neighbors, prepare, production, sampling, thresholds
+from flowsieve.operators import evaluate, forest, graph, models, neighbors, prepare, production, sampling, thresholds
 from flowsieve.plans.base import judged, query, r6, table, with_views
 from flowsieve.plans.prepare_queries import feature_input
-from flowsieve.session import durable
+from flowsieve.session import durable, work_dir
+from flowsieve.sources import state
 
 KNOWN_LABELS = "label < 5"
 _UNIT = (
@@ -76,6 +79,22 @@ def knn_distance(spark: SparkSession, folder: str) -> DataFrame:
     return neighbors.knn_distance(df, df.where(KNOWN_LABELS), "vec_id", "embedding", k=20)
 
 
+@query("knn_approx", "SELECT vec_id, CAST(20 AS BIGINT) AS neighbours, true AS most_found, true AS recalled FROM embeddings")
+def knn_approx(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbour graph against the exact neighbours: recall of each row, and 0.9 or more on average."""
+    df = embeddings(spark, folder)
+    found = graph.neighbor_graph(df, "vec_id", "embedding", k=20, directions=2, block=32, settled=0.01).pairs
+    exact = neighbors.nearest_rows(df, "vec_id", "embedding", k=20).select("query_id", "ref_id", F.lit(1).alias("true"))
+    per_row = found.join(exact, ["query_id", "ref_id"], "left").groupBy(F.col("query_id").alias("vec_id")).agg(
+        F.count(F.lit(1)).alias("neighbours"), (F.count("true") / 20.0).alias("recall")
+    )
+    per_row = durable(per_row, "recalls")
+    mean = per_row.agg(F.avg("recall").alias("mean"))
+    return per_row.crossJoin(F.broadcast(mean)).select(
+        "vec_id", "neighbours", (F.col("recall") >= 0.5).alias("most_found"), (F.col("mean") >= 0.9).alias("recalled")
+    )
+
+
 _PAIRS = (
     "pairs_v",
     """SELECT q.vec_id AS q, r.vec_id AS r, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS d
@@ -108,113 +127,282 @@ def lof(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "build_centroids",
     with_views(
-        """SELECT CAST(label AS BIGINT) AS class, least(25, count(*)) AS clusters, true AS numbered, true AS inside_ball, true AS mean_kept
- FROM unit_v GROUP BY label""",
+        """SELECT CAST(label AS BIGINT) AS class, least(25, count(*)) AS clusters, true AS numbered, true AS inside_ball, true AS mean_kept,
+ true AS stationary FROM unit_v GROUP BY label""",
         _UNIT,
     ),
 )
 def build_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of each class: how many, and what must hold of k-means whatever its seeds.
 
-    Centres are means of unit vectors, so none lies outside the unit ball; and no centre
-    is emptier than one row, so the row nearest to each centre differs from centre to centre.
+    Centres are means of unit vectors, so none lies outside the unit ball; every centre
+    has rows; and assigning the rows again gives the centres that were saved.
     """
     df = embeddings(spark, folder)
     fitted = durable(models.build_centroids(df, "embedding", "label", k=25), "centroids")
     units = df.select(F.col("label").alias("class"), "vec_id", V.unit(F.col("embedding")).alias("u"))
     gap = F.aggregate(F.zip_with("u", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     # at most 25 centres of its own class for each row
-    pairs = units.join(F.broadcast(fitted), "class").groupBy("class", "vec_id").agg(F.min_by("cluster", gap).alias("cluster"))
-    used = pairs.groupBy("class").agg(F.countDistinct("cluster").alias("used"))
+    pairs = units.join(fitted, "class").groupBy("class", "vec_id").agg(
+        F.min_by(F.struct("cluster", "u", "centroid"), F.struct(gap, "cluster")).alias("near")
+    )
+    entries = pairs.select("class", "near.cluster", F.posexplode(F.arrays_zip("near.u", "near.centroid")).alias("dim", "x"))
+    means = entries.groupBy("class", "cluster", "dim").agg(F.abs(F.avg("x.u") - F.max("x.centroid")).alias("off"))
+    used = means.groupBy("class").agg(F.countDistinct("cluster").alias("used"), F.max("off").alias("off"))
     facts = fitted.groupBy("class").agg(
         F.count(F.lit(1)).alias("clusters"),
         (F.max("cluster") == F.count(F.lit(1)) - 1).alias("numbered"),
         (F.max(V.norm(F.col("centroid"))) <= 1 + 1e-9).alias("inside_ball"),
     )
     return facts.join(used, "class").select(
-        F.col("class").cast("long").alias("class"), "clusters", "numbered", "inside_ball", (F.col("used") == F.col("clusters")).alias("mean_kept")
+        F.col("class").cast("long").alias("class"), "clusters", "numbered", "inside_ball", (F.col("used") == F.col("clusters")).alias("mean_kept"),
+        (F.col("off") < 1e-6).alias("stationary"),
     )
 
 
-MODEL_FEATURES = [
-    "dur", "sbytes", "spkts", "sttl", "bytes_ratio", "log_total_bytes", "pkts_ratio", "load_asym", "ttl_diff", "loss_rate_src",
-]
-
-
-def model_input(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(train, all) scaled feature tables; the scaler is fitted on the train part."""
-    df = prepare.engineer_features(feature_input(spark, folder)).select("source_row", "attack_cat", *MODEL_FEATURES)
+def model_input(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(train, all, features): every numeric feature that varies, scaled; all is fitted on the train part."""
+    df = prepare.engineer_features(feature_input(spark, folder))
+    names = [n for n in prepare.numeric_features(df) if n != "source_row"]
     # fits read the feature table many times; it is computed once
-    split = durable(sampling.hash_split(df, "source_row"), "features")
+    split = durable(sampling.hash_split(df.select("source_row", "attack_cat", *names), "source_row"), "features")
     train = split.where("split = 'train' AND attack_cat <> 'Fuzzers'")
-    fitted = prepare.robust_fit(train, MODEL_FEATURES)
-    return prepare.robust_scale(train, fitted), prepare.robust_scale(split, fitted)
+    varies = prepare.feature_variance(train, names).where("keep").select("feature").collect()  # one row for each feature
+    names = [n for n in names if n in {r["feature"] for r in varies}]
+    fitted = prepare.robust_fit(train, names)
+    return durable(prepare.robust_scale(train, fitted), "train"), durable(prepare.robust_scale(split, fitted), "scaled"), names
 
 
 CLASSES = ["DoS", "Exploits", "Normal", "Reconnaissance"]
 
 
-@query("model_scores")
+def _weight_rows(model) -> list[list[float]]:
+    """(intercept, weights) of each class, centred so that they do not depend on the solver's zero point."""
+    return [[float(b), *map(float, w)] for b, w in zip(model.interceptVector, model.coefficientMatrix.toArray(), strict=True)]
+
+
+def _softmax(names: list[str], weights: list[list[float]]) -> Column:
+    """Class probabilities from saved numbers, as plain column arithmetic."""
+    values = F.array(F.lit(1.0), *[F.col(n) for n in names])
+    logits = F.array(*[V.dot(values, V.literal(row)) for row in weights])
+    powers = F.transform(F.zip_with(logits, F.array_repeat(F.array_max(logits), len(weights)), lambda z, m: z - m), F.exp)
+    total = F.array_repeat(F.aggregate(powers, F.lit(0.0), lambda s, x: s + x), len(weights))
+    return F.zip_with(powers, total, lambda x, s: x / s)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+
+@query(
+    "model_scores",
+    with_views(
+        "SELECT source_row, attack_cat, true AS probabilities_agree, true AS error_agrees, true AS verdict_agrees, true AS known_class FROM flows_v"
+    ),
+)
 def model_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Features, scaling, classifier, reconstruction, calibration, decision: the whole chain."""
-    train, everything = model_input(spark, folder)
-    classifier = models.fit_classifier(train, MODEL_FEATURES, "attack_cat", CLASSES)
-    pca = models.fit_reconstruction(train, MODEL_FEATURES, k=4)
-    center = models.feature_means(train, MODEL_FEATURES)
-    scored = models.class_probabilities(everything, classifier, MODEL_FEATURES)
-    error = models.reconstruction_error(F.array(*MODEL_FEATURES), pca.pc.toArray(), center)
-    scored = scored.withColumn("ae_re", error)
-    keep = ["source_row", "attack_cat", "split"]
-    validation = models.score_table(scored.where("split = 'validation'"), CLASSES, Decision(), None, keep)
+    """Features, scaling, classifier, reconstruction, calibration, decision: the whole chain on every feature.
+
+    Each row's scores are worked out again from saved numbers: probabilities from the
+    classifier's weights, the error from the components, the verdict from the limits.
+    """
+    train, everything, names = model_input(spark, folder)
+    classifier = models.fit_classifier(train, names, "attack_cat", CLASSES)
+    pca = models.fit_reconstruction(train, names, k=8)
+    center = models.feature_means(train, names)
+    scored = models.class_probabilities(everything, classifier, names)
+    values, directions = F.array(*[F.col(n) for n in names]), pca.pc.toArray()
+    scored = scored.withColumn("ae_re", models.reconstruction_error(values, directions, center))
+    # the distance to the projection itself, component by component
+    away = F.zip_with(values, V.literal(center), lambda x, m: x - m)
+    scored = scored.withColumn("away", away).withColumn("codes", F.array(*[V.dot(F.col("away"), V.literal(d)) for d in directions.T]))
+    rebuilt = F.transform(F.array(*[V.literal(row) for row in directions]), lambda row: V.dot(row, F.col("codes")))
+    error = V.squared_distance(F.col("away"), rebuilt) / float(len(names))
+    scored = scored.withColumns({"again": _softmax(names, _weight_rows(classifier)), "error": error})
+    keep = ["source_row", "attack_cat", "split", "probs", "again", "error"]
+    scored = durable(scored.select("ae_re", *keep), "model-scores")
+    validation = models.score_table(scored.where("split = 'validation'"), CLASSES, Decision(), None, keep[:3])
     weights = models.fit_hybrid(validation, F.col("attack_cat") == "Fuzzers")
-    validation = models.score_table(scored.where("split = 'validation'"), CLASSES, Decision(), weights, keep)
-    limits = thresholds.calibrate(validation, ["hybrid", "ae_re", "softmax"], 0.05, "attack_cat")
-    return models.score_table(scored, CLASSES, thresholds.decision_from(limits), weights, keep)
+    validation = models.score_table(scored.where("split = 'validation'"), CLASSES, Decision(), weights, keep[:3])
+    limits = durable(thresholds.calibrate(validation, ["hybrid", "ae_re", "softmax"], 0.05, "attack_cat"), "limits")
+    judged_ = models.score_table(scored, CLASSES, thresholds.decision_from(limits), weights, keep)
+    limit = limits.agg(*[F.max(F.when(F.col("score") == s, F.col("threshold"))).alias(f"at_{s}") for s in ("hybrid", "ae_re", "softmax")])
+    hybrid = 1.0 / (1.0 + F.exp(-(F.lit(weights.ae_re) * F.col("error") + F.lit(weights.softmax) * (1.0 - F.array_max("again")) + F.lit(weights.intercept))))
+    # a score that lies on its limit up to rounding may fall on either side
+    beyond = {"hybrid": hybrid, "ae_re": F.col("error"), "softmax": 1.0 - F.array_max("again")}
+    sure = [F.abs(v - F.col(f"at_{s}")) > 1e-9 for s, v in beyond.items()]
+    votes = sum(((v > F.col(f"at_{s}")).cast("int") for s, v in beyond.items()), F.lit(0))
+    flag = F.col("zero_day_rule").startswith("vote") & ((votes >= 2) == F.col("is_zeroday")) | ~F.col("zero_day_rule").startswith("vote")
+    doubtful = ~(sure[0] & sure[1] & sure[2])
+    return judged_.crossJoin(F.broadcast(limit)).select(
+        "source_row", "attack_cat", (_apart(F.col("probs"), F.col("again")) < 1e-9).alias("probabilities_agree"),
+        (F.abs(F.col("ae_re") - F.col("error")) < 1e-9 * (1.0 + F.col("error"))).alias("error_agrees"),
+        (flag | doubtful).alias("verdict_agrees"), F.col("classifier_class").isin(CLASSES).alias("known_class"),
+    )
+
+
+@query(
+    "model_ensemble",
+    with_views("SELECT source_row, CAST(5 AS BIGINT) AS members, true AS members_agree, true AS entropy_agrees, true AS shares FROM flows_v"),
+)
+def model_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    """Uncertainty over bagged classifiers, and a perceptron; member probabilities worked out again from saved weights."""
+    train, everything, names = model_input(spark, folder)
+    members = models.fit_ensemble(train, names, "attack_cat", CLASSES, "source_row", members=5)
+    perceptron = models.fit_perceptron(train, names, "attack_cat", CLASSES, "source_row", max_iter=30)
+    samples = models.member_probabilities(everything, members, names, ["source_row"])
+    uncertain = models.ensemble_uncertainty(samples, ["source_row"])
+    weights = F.array(*[F.struct(F.lit(k).alias("member"), _softmax(names, _weight_rows(m)).alias("again")) for k, m in enumerate(members)])
+    again = everything.select(F.col("source_row").alias("row"), F.inline(weights))
+    both = samples.join(again.withColumnRenamed("member", "m"), (F.col("source_row") == F.col("row")) & (F.col("member") == F.col("m")))
+    mean = F.array(*[F.avg(F.get("again", F.lit(k))) for k in range(len(CLASSES))])
+    plain = both.groupBy(F.col("source_row").alias("row")).agg(
+        F.count(F.lit(1)).alias("members"), F.max(_apart(F.col("probs"), F.col("again"))).alias("apart"), mean.alias("mean")
+    )
+    entropy = F.aggregate(F.transform("mean", lambda p: -p * F.log(F.greatest(p, F.lit(1e-12)))), F.lit(0.0), lambda s, x: s + x)
+    classed = models.class_probabilities(everything.select("source_row", *names), perceptron, names)
+    total = F.aggregate("probs", F.lit(0.0), lambda s, x: s + x)
+    shares = classed.select(F.col("source_row").alias("own"), (F.abs(total - 1.0) < 1e-9).alias("shares"))
+    joined = uncertain.join(plain, F.col("source_row") == F.col("row")).join(shares, F.col("source_row") == F.col("own"))
+    return joined.select(
+        "source_row", "members", (F.col("apart") < 1e-9).alias("members_agree"), (F.abs(F.col("entropy") - entropy) < 1e-9).alias("entropy_agrees"), "shares"
+    )
+
+
+@query(
+    "state_roundtrip",
+    with_views(
+        """SELECT 'centroids' AS kind, CAST(2 AS BIGINT) AS versions, count(*) AS rows, true AS same FROM embeddings
+ UNION ALL SELECT 'classifier', 2, count(*), true FROM flows_v UNION ALL SELECT 'forest', 2, count(*), true FROM flows_v
+ UNION ALL SELECT 'reconstruction', 2, count(*), true FROM flows_v"""
+    ),
+)
+def state_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Two versions of each kind of fitted state are saved; scores by the newest, loaded again, equal the direct ones."""
+    path = f"{work_dir(spark)}/flowsieve/registry-{uuid.uuid4().hex}"
+    train, everything, names = model_input(spark, folder)
+    vectors = embeddings(spark, folder)
+    fitted = {
+        "centroids": durable(models.build_centroids(vectors, "embedding", "label", k=3, max_rounds=3), "centroids"),
+        "classifier": models.fit_classifier(train, names, "attack_cat", CLASSES, max_iter=10),
+        "forest": durable(forest.fit_forest(train, names, "source_row", trees=20), "forest"),
+        "reconstruction": models.fit_reconstruction(train, names, k=4),
+    }
+    for kind, made in fitted.items():
+        old = made.limit(1) if isinstance(made, DataFrame) else made
+        for version in (old, made):
+            state.save_state(spark, path, kind, version)
+    back = {kind: state.load_state(spark, path, kind) for kind in fitted}
+
+    def scores_of(some: dict) -> dict[str, DataFrame]:
+        centers = [r["centroid"] for r in some["centroids"].orderBy("class", "cluster").collect()]  # at most k for each class
+        code = models.reconstruction_error(F.array(*names), some["reconstruction"].pc.toArray(), [0.0] * len(names))
+        probs = models.class_probabilities(everything, some["classifier"], names)
+        return {
+            "centroids": vectors.select(F.col("vec_id").alias("id"), neighbors.centroid_distance(F.col("embedding"), centers).alias("score")),
+            "classifier": probs.select(F.col("source_row").alias("id"), F.array_max("probs").alias("score")),
+            "forest": forest.score_forest(everything, some["forest"], names, 256, ["source_row"]).toDF("id", "score"),
+            "reconstruction": everything.select(F.col("source_row").alias("id"), code.alias("score")),
+        }
+
+    direct, loaded = scores_of(fitted), scores_of(back)
+    counted = state.state_versions(spark, path).groupBy("kind").agg(F.count(F.lit(1)).alias("versions"))
+    parts = []
+    for kind in fitted:
+        both = direct[kind].join(loaded[kind].toDF("own", "again"), F.col("id") == F.col("own"))
+        parts.append(both.agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("score") == F.col("again")).alias("same")).withColumn("kind", F.lit(kind)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.join(counted, "kind").select("kind", "versions", "rows", "same")
 
 
 @query(
     "isolation_forest",
-    with_views("SELECT source_row, true AS in_range, CAST(200 AS BIGINT) AS trees, true AS bounded FROM flows_v"),
+    with_views("SELECT source_row, true AS in_range, CAST(200 AS BIGINT) AS trees, true AS bounded, true AS apart FROM flows_v"),
 )
 def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
-    """Every row scored: scores lie in (-0.5, 0.5], and no tree is deeper than its sub-sample allows."""
-    train, everything = model_input(spark, folder)
-    grown = durable(forest.fit_forest(train.where("attack_cat = 'Normal'"), MODEL_FEATURES, "source_row", trees=200), "forest")
-    scored = forest.score_forest(everything, grown, MODEL_FEATURES, 256, ["source_row"])
+    """Every row scored: scores lie in (-0.5, 0.5], no tree is deeper than its sub-sample allows, and rows that are far out in every feature come first."""
+    train, everything, names = model_input(spark, folder)
+    grown = durable(forest.fit_forest(train.where("attack_cat = 'Normal'"), names, "source_row", trees=200), "forest")
+    scored = forest.score_forest(everything, grown, names, 256, ["source_row"])
+    # ten planted rows, further out than any, must rank above all others but few
+    planted = spark.range(10).select((-F.col("id") - 1).alias("source_row"), *[F.lit(10.0).alias(n) for n in names])
+    least = forest.score_forest(planted, grown, names, 256, ["source_row"]).agg(F.min("isolation_forest").alias("least"))
     leaves = grown.where("feature < 0")
     shape = leaves.agg(
         F.countDistinct("tree").alias("trees"), (F.max("depth") <= 8 + forest.average_path(256)).alias("bounded")
     ).first()
+    scored = durable(scored, "isolated")
+    above = scored.crossJoin(F.broadcast(least)).agg(F.avg((F.col("isolation_forest") > F.col("least")).cast("double")).alias("share"))
     score = F.col("isolation_forest")
     in_range = ((score > -0.5) & (score <= 0.5)).alias("in_range")
-    return scored.select("source_row", in_range, F.lit(shape["trees"]).alias("trees"), F.lit(shape["bounded"]).alias("bounded"))
+    return scored.crossJoin(F.broadcast(above)).select(
+        "source_row", in_range, F.lit(shape["trees"]).alias("trees"), F.lit(shape["bounded"]).alias("bounded"), (F.col("share") < 0.01).alias("apart")
+    )
+
 
+METHODS = ["ids_active", "ids_hybrid", "ids_ae_re", "isolation_forest", "local_outlier_factor"]
 
-@query("baseline_methods")
+
+@query(
+    "baseline_methods",
+    "SELECT method, n > 0 AS rates_agree, true AS areas_agree, true AS ranked FROM (SELECT unnest(['"
+    + "', '".join(METHODS)
+    + "']) AS method), (SELECT count(*) AS n FROM events)",
+)
 def baseline_methods(spark: SparkSession, folder: str) -> DataFrame:
-    """Forest and outlier factor beside the given scores: fitted on a prefix, judged on the rest."""
-    _, everything = model_input(spark, folder)
+    """Forest and outlier factor beside the given scores: fitted on a prefix, judged on the rest.
+
+    Rates are counted again from the stored scores and limits, the area under the curve
+    as the share of (attack, normal) pairs in the right order, the ranking from both.
+    """
+    _, everything, names = model_input(spark, folder)
     given = judged(spark, folder).select(
         "source_row", F.col("is_zeroday").cast("double").alias("ids_active"),
         F.col("hybrid").alias("ids_hybrid"), F.col("ae_re").alias("ids_ae_re"),
     )
     marked = production.prefix_reference(everything.drop("split"), 0.7, "source_row")
     reference = evaluate.reference_rows(marked, F.col("in_reference"), "attack_cat")
-    grown = forest.fit_forest(reference, MODEL_FEATURES, "source_row", trees=200)
-    isolated = forest.score_forest(marked, grown, MODEL_FEATURES, 256, ["source_row", "attack_cat", "in_reference"])
-    vectors = marked.select("source_row", F.array(*MODEL_FEATURES).alias("v"))
-    fitted = reference.select("source_row", F.array(*MODEL_FEATURES).alias("v"))
+    grown = forest.fit_forest(reference, names, "source_row", trees=200)
+    isolated = forest.score_forest(marked, grown, names, 256, ["source_row", "attack_cat", "in_reference"])
+    vectors = marked.select("source_row", F.array(*names).alias("v"))
+    fitted = reference.select("source_row", F.array(*names).alias("v"))
     factor = neighbors.local_outlier_factor(vectors, fitted, "source_row", "v", k=35).drop("lof")
     table_ = durable(isolated.join(factor, "source_row").join(given, "source_row"), "baseline-scores")
-    methods = ["ids_active", "ids_hybrid", "ids_ae_re", "isolation_forest", "local_outlier_factor"]
     limits = evaluate.method_thresholds(
-        evaluate.reference_rows(table_, F.col("in_reference"), "attack_cat"), methods, 0.01, flags=["ids_active"]
+        evaluate.reference_rows(table_, F.col("in_reference"), "attack_cat"), METHODS, 0.01, flags=["ids_active"]
     )
-    metrics = evaluate.method_metrics(table_, methods, limits, "attack_cat", ~F.col("in_reference"))
+    metrics = evaluate.method_metrics(table_, METHODS, limits, "attack_cat", ~F.col("in_reference"))
     rest = table_.where("not in_reference").withColumn("target", (F.col("attack_cat") != "Normal").cast("int"))
-    areas = evaluate.curve_areas(evaluate.score_curve(evaluate.long_scores(rest, methods, ["target"])))
+    areas = evaluate.curve_areas(evaluate.score_curve(evaluate.long_scores(rest, METHODS, ["target"])))
     joined = metrics.join(areas.withColumnRenamed("auc", "auroc").withColumnRenamed("average_precision", "auprc"), "method")
-    return evaluate.rank_methods(joined)
+    ranked = durable(evaluate.rank_methods(joined), "baseline-ranking")
+    return _recomputed(ranked, rest)
+
+
+def _recomputed(ranked: DataFrame, rest: DataFrame) -> DataFrame:
+    """What the ranking says of each method, against counting the stored scores plainly."""
+    long = rest.select("target", F.inline(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("s")) for m in METHODS])))
+    # normal scores below each attack score, ties as one half, by running counts over distinct scores
+    tied = long.groupBy("m", "s").agg(F.sum("target").alias("attacks"), F.sum(1 - F.col("target")).alias("normals"))
+    below = F.sum("normals").over(Window.partitionBy("m").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    pairs = tied.withColumn("below", F.coalesce(below, F.lit(0))).groupBy("m").agg(
+        (F.sum(F.col("attacks") * (F.col("below") + F.col("normals") / 2.0)) / (F.sum("attacks") * F.sum("normals"))).alias("area")
+    )
+    # one row for each method
+    falls = F.coalesce(F.lag("auroc").over(Window.orderBy("rank")) >= F.col("auroc"), F.lit(True))
+    limits = ranked.select(F.col("method").alias("l"), "threshold", "normal_fpr", "attack_detection_rate", "auroc", falls.alias("ranked"))
+    flagged = long.join(limits, F.col("m") == F.col("l")).withColumn("hit", (F.col("s") > F.col("threshold")).cast("double"))
+    rates = flagged.groupBy("m").agg(
+        F.avg(F.when(F.col("target") == 0, F.col("hit"))).alias("fpr"), F.avg(F.when(F.col("target") == 1, F.col("hit"))).alias("recall")
+    )
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9
+    joined = limits.join(rates.withColumnRenamed("m", "m1"), F.col("l") == F.col("m1")).join(pairs.withColumnRenamed("m", "m2"), F.col("l") == F.col("m2"))
+    return joined.select(
+        F.col("l").alias("method"), (near("normal_fpr", "fpr") & near("attack_detection_rate", "recall")).alias("rates_agree"),
+        near("auroc", "area").alias("areas_agree"), "ranked",
+    )
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from flowsieve import vocab
 from flowsieve.session import durable
+from flowsieve.sources.first_lines import read_first_lines
 
 REPLACEMENT = "�"
 
@@ -32,30 +32,12 @@ def list_flow_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(wanted & ~name.isin(*vocab.SKIPPED_FILES)).distinct()
 
 
-def open_stream(path: str):
-    """Byte stream of one file on any filesystem the workers can reach."""
-    from pyarrow import fs
-
-    uri = re.sub(r"^file:/+", "file:///", path)
-    if "://" not in uri:
-        uri = "file://" + uri
-    filesystem, inner = fs.FileSystem.from_uri(uri)
-    return filesystem.open_input_stream(inner)
-
-
 def probe_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(first_line, paths): the files of each distinct first line, whatever its length.
 
-    Lines come through Spark's text source, so any file system Spark reads will do. The
-    first line of a file is the first of its block at 0; only one line of each file is kept.
+    Each file is read up to its first line break and closed.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("order"),
-        "value",
-    )
-    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "order").alias("first_line"))
+    first = read_first_lines(spark, paths)
     return first.groupBy("first_line").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.sources.csv import open_stream
+from flowsieve.sources.first_lines import open_stream
 
 CHUNK = 1 << 20
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"

@@ -1,8 +1,11 @@
-"""Fitted state as tables: scaler, class list, features, category maps, weights."""
+"""Fitted state as tables: scaler, class list, features, category maps, weights; a registry of versions."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
+from pyspark.ml.feature import PCAModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions.scoring import Decision, HybridWeights
@@ -80,3 +83,59 @@ def load_scorer(spark: SparkSession, path: str) -> LinearScorer:
             fallback_confidence=numbers.get("fallback_confidence", 0.6),
         ),
     )
+
+
+REGISTRY = "kind string, version int, format string, created_at timestamp"
+TABLE = "table"
+MODELS = {m.__name__: m for m in (LogisticRegressionModel, MultilayerPerceptronClassificationModel, PCAModel)}
+
+
+def state_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, version, format, created_at) of everything a registry holds; one row for each saved state."""
+    try:
+        return spark.read.schema(REGISTRY).parquet(f"{path}/registry")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], REGISTRY)
+
+
+def _latest(spark: SparkSession, path: str, kind: str, version: int | None = None):
+    rows = state_versions(spark, path).where(F.col("kind") == kind)
+    if version is not None:
+        rows = rows.where(F.col("version") == version)
+    return rows.orderBy(F.desc("version")).first()
+
+
+def save_state(spark: SparkSession, path: str, kind: str, state, created_at: Column | None = None) -> int:
+    """Save a table (centroids, a forest, ...) or a fitted model as the next version of its kind.
+
+    The state is written first and listed after, so a reader never meets half of it; a
+    version is never rewritten. Returns the version.
+    """
+    last = _latest(spark, path, kind)
+    version = 1 + (last["version"] if last else 0)
+    place = f"{path}/{kind}/v{version}"
+    if isinstance(state, DataFrame):
+        form = TABLE
+        state.write.mode("overwrite").parquet(place)
+    else:
+        form = type(state).__name__
+        if form not in MODELS:
+            raise ValueError(f"no such kind of model: {form}")
+        state.write().overwrite().save(place)
+    row = spark.range(1).select(
+        F.lit(kind).alias("kind"), F.lit(version).alias("version"), F.lit(form).alias("format"),
+        (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
+    )
+    row.coalesce(1).write.mode("append").parquet(f"{path}/registry")
+    return version
+
+
+def load_state(spark: SparkSession, path: str, kind: str, version: int | None = None):
+    """The table or model of a version, the newest unless named."""
+    row = _latest(spark, path, kind, version)
+    if row is None:
+        raise KeyError(f"no saved state: {kind}" + ("" if version is None else f" version {version}"))
+    place = f"{path}/{kind}/v{row['version']}"
+    return spark.read.parquet(place) if row["format"] == TABLE else MODELS[row["format"]].load(place)

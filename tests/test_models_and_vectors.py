@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsieve.functions.scoring import Decision, HybridWeights
-from flowsieve.operators import forest, models, neighbors
+from flowsieve.operators import forest, graph, models, neighbors, sketches
 from flowsieve.sources import state
 from flowsieve.streaming.scorer import LinearScorer
 
@@ -77,11 +77,117 @@ def test_hybrid_learner_orders_scores(spark):
         models.fit_hybrid(df.where("y = 0"), F.col("y") == 1)
 
 
-def test_centroids_bounded_by_class_size(spark):
-    rows = [("a", [float(i), 1.0]) for i in range(30)] + [("b", [1.0, 2.0])]
-    got = models.build_centroids(spark.createDataFrame(rows, "c string, v array<double>"), "v", "c", k=5)
-    counts = {r["class"]: r["count"] for r in got.groupBy("class").count().collect()}
-    assert counts["b"] == 1 and 1 <= counts["a"] <= 5
+def test_centroids_of_all_classes_at_once(spark):
+    """Small, identical and missing classes; centres are the means of the rows they are nearest to."""
+    rng = np.random.default_rng(3)
+    rows = [("a", [float(i), 1.0]) for i in range(30)] + [("b", [1.0, 2.0])] + [("c", [3.0, 3.0])] * 9 + [(None, [0.0, 1.0]), (None, [1.0, 0.0]), ("a", None)]
+    angles = np.concatenate([rng.normal(m, 0.02, 50) for m in (0.0, 1.0, 2.0, 3.0)])
+    rows += [("d", [float(np.cos(x)), float(np.sin(x))]) for x in angles]
+    got = models.build_centroids(spark.createDataFrame(rows, "c string, v array<double>"), "v", "c", k=4).collect()
+    by_class = {}
+    for r in got:
+        by_class.setdefault(r["class"], []).append(r["centroid"])
+    assert {k: len(v) for k, v in by_class.items()} == {"a": 4, "b": 1, "c": 1, "d": 4, None: 2}
+    for name, centers in by_class.items():
+        units = unit([r for r in rows if r[0] == name and r[1] is not None])
+        centers = np.array(centers)
+        nearest = ((units[:, None, :] - centers[None]) ** 2).sum(2).argmin(1)
+        for k in range(len(centers)):
+            assert centers[k] == pytest.approx(units[nearest == k].mean(axis=0), abs=1e-9)
+    # separated groups are found one by one
+    found = sorted(np.arctan2([c[1] for c in by_class["d"]], [c[0] for c in by_class["d"]]) % (2 * np.pi - 0.5))
+    assert found == pytest.approx([0.0, 1.0, 2.0, 3.0], abs=0.05)
+
+
+def test_neighbor_graph_finds_most_with_few_comparisons(spark):
+    rng = np.random.default_rng(6)
+    basis = rng.normal(size=(5, 24))
+    points = rng.normal(size=(3000, 5)) @ basis
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(None, [1.0] * 24), (9999, None)], "id long, v array<double>")
+    found = graph.neighbor_graph(df, "id", "v", k=10, sample=8, block=48, directions=3, settled=0.01)
+    got = {}
+    for r in found.pairs.collect():
+        assert r["query_id"] != r["ref_id"]
+        got.setdefault(r["query_id"], {})[r["ref_id"]] = r["distance"]
+    u = points / np.linalg.norm(points, axis=1, keepdims=True)
+    distance = 1 - u @ u.T
+    np.fill_diagonal(distance, np.inf)
+    best = np.argsort(distance, axis=1)[:, :10]
+    recall = np.mean([len(got[i].keys() & set(best[i].tolist())) / 10 for i in range(3000)])
+    assert recall >= 0.9 and all(len(v) == 10 for v in got.values()) and len(got) == 3000
+    assert found.compared < 0.2 * 3000 * 2999 / 2
+    some = got[5]
+    assert all(some[j] == pytest.approx(distance[5, j], abs=1e-9) for j in some)
+
+
+def test_neighbor_graph_of_small_tables(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, v array<double>")
+    pairs = graph.neighbor_graph(df, "id", "v", k=3).pairs.collect()
+    assert sorted((r["query_id"] for r in pairs)) == sorted(list(range(5)) * 3)
+    assert graph.neighbor_graph(df.where("id < 0"), "id", "v", k=3).pairs.count() == 0
+
+
+def test_sketches_merge_within_their_error(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=20_000), np.full(10_000, 0.25)])
+    rows = [(i % 7, float(v)) for i, v in enumerate(values)] + [(0, float("inf")), (1, None), (2, float("nan"))]
+    df = spark.createDataFrame(rows, "part int, x double")
+    parts = sketches.sketch_scores(df, ["x"], {"part": F.col("part")})
+    assert parts.count() == 7
+    probs = {f"p{k}": k / 20 for k in range(21)}
+    row = sketches.sketch_quantiles(sketches.merge_sketches(parts), probs).first()
+    assert row["rows"] == 30_000 and row["p0"] == values.min() and row["p20"] == values.max()
+    for name, p in probs.items():
+        below, upto = np.mean(values < row[name]), np.mean(values <= row[name])
+        assert below - sketches.RANK_ERROR <= p <= upto + sketches.RANK_ERROR
+    for limit in (-9.0, 0.25, 1.5, 9.0):
+        share = sketches.merge_sketches(parts).select(sketches.share_above({"x": limit}).alias("s")).first()["s"]
+        assert share == pytest.approx(np.mean(values > limit), abs=sketches.RANK_ERROR)
+
+
+def test_registry_keeps_versions(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    assert state.state_versions(spark, path).count() == 0
+    with pytest.raises(KeyError, match="no saved state"):
+        state.load_state(spark, path, "centroids")
+    for n in (1, 2):
+        assert state.save_state(spark, path, "centroids", spark.range(n)) == n
+    rows = [(i, float(i), float(-i), "a" if i < 5 else "b") for i in range(10)]
+    train = spark.createDataFrame(rows, "id long, x double, y double, c string")
+    model = models.fit_classifier(train, ["x", "y"], "c", ["a", "b"], max_iter=5)
+    assert state.save_state(spark, path, "classifier", model) == 1
+    assert state.load_state(spark, path, "centroids").count() == 2 and state.load_state(spark, path, "centroids", 1).count() == 1
+    back = state.load_state(spark, path, "classifier")
+    probs = [[r["probs"] for r in models.class_probabilities(train, m, ["x", "y"]).orderBy("id").collect()] for m in (model, back)]
+    assert probs[0] == probs[1]
+    with pytest.raises(ValueError, match="no such kind of model"):
+        state.save_state(spark, path, "odd", object())
+    assert sorted((r["kind"], r["version"], r["format"]) for r in state.state_versions(spark, path).collect()) == [
+        ("centroids", 1, "table"), ("centroids", 2, "table"), ("classifier", 1, "LogisticRegressionModel"),
+    ]
+
+
+def test_ensemble_members_differ_and_perceptron_bends(spark):
+    rng = np.random.default_rng(8)
+    points = rng.uniform(-1, 1, size=(1500, 2))
+    rows = [(i, float(x), float(y), "in" if x * y > 0 else "out") for i, (x, y) in enumerate(points)]
+    rows = [r for r in rows if r[3] == "in" or r[0] % 4 == 0]
+    train = spark.createDataFrame(rows, "id long, x double, y double, c string")
+    members = models.fit_ensemble(train, ["x", "y"], "c", ["in", "out"], "id", members=3, max_iter=5)
+    assert len({tuple(m.coefficientMatrix.toArray().ravel()) for m in members}) == 3
+    samples = models.member_probabilities(train, members, ["x", "y"], ["id"])
+    assert samples.groupBy("id").count().agg(F.min("count"), F.max("count")).first() == (3, 3)
+    draws = models.member_draws(train, "id", 0)
+    assert draws.agg(F.sum("draws")).first()[0] == pytest.approx(len(rows), rel=0.1) and draws.count() < len(rows)
+    bent = models.fit_perceptron(train, ["x", "y"], "c", ["in", "out"], "id", hidden=(8,), max_iter=150)
+    straight = models.fit_classifier(train, ["x", "y"], "c", ["in", "out"])
+
+    def recall(model):
+        scored = models.class_probabilities(train, model, ["x", "y"])
+        hit = (F.col("probs")[0] > 0.5) == (F.col("c") == "in")
+        return scored.agg(F.avg(F.when(F.col("c") == "out", hit.cast("double")))).first()[0]
+
+    assert recall(bent) > 0.9 > recall(straight)
 
 
 def test_scorer_state_roundtrip(spark, tmp_path):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve import vocab
 from flowsieve.operators.normalize import normalize_flows
-from flowsieve.sources import alert_log, csv, manifest
+from flowsieve.sources import alert_log, csv, first_lines, manifest
 from flowsieve.streaming import events, jobs
 
 
@@ -100,6 +100,22 @@ def test_headers_of_any_width_and_quoting(spark, tmp_path):
     assert rows["nb15_bom.csv"]["dur"] == "2.5" and rows["nb15_bom.csv"]["attack_cat"] == "Worms"
 
 
+def test_first_lines_read_little(spark, tmp_path):
+    """A header costs the bytes up to its end, whatever the size of the file."""
+    write(tmp_path / "UNSW_big.csv", "srcip,attack_cat,sbytes\n" + "1.1.1.1,DoS,5\n" * 400_000)
+    write(tmp_path / "nb15_other.csv", "srcip,attack_cat,sbytes\r\n" + "2.2.2.2,DoS,5\r\n" * 400_000)
+    write(tmp_path / "nb15_empty.csv", "")
+    write(tmp_path / "nb15 one line.csv", "x" * 5000)
+    paths = [str(p) for p in sorted(tmp_path.iterdir())]
+    rows = {r["path"]: r for r in first_lines.read_first_lines(spark, paths).collect()}
+    assert rows[str(tmp_path / "UNSW_big.csv")]["first_line"] == rows[str(tmp_path / "nb15_other.csv")]["first_line"] == "srcip,attack_cat,sbytes"
+    assert rows[str(tmp_path / "nb15_empty.csv")]["first_line"] == "" and rows[str(tmp_path / "nb15 one line.csv")]["first_line"] == "x" * 5000
+    total = sum(p.stat().st_size for p in tmp_path.iterdir())
+    assert sum(r["bytes_read"] for r in rows.values()) < 0.01 * total
+    listed = {r["path"].rsplit("/", 1)[-1].replace("%20", " ") for r in csv.list_flow_files(spark, str(tmp_path)).collect()}
+    assert listed == {p.name for p in tmp_path.iterdir()}
+
+
 EVENTS = [
     {"src_ip": "10.0.0.5", "dst_ip": "172.16.1.10", "src_port": 52512, "dst_port": 443, "protocol": "tcp", "service": "https", "duration": 1.5, "bytes": 4400, "packets": 25},
     {"Flow Duration": 2500000, "Total Fwd Packets": 4, "Total Backward Packets": 2, "Total Length of Fwd Packets": 300, "Fwd IAT Mean": 5000, "SYN Flag Count": 1},
