@@ -6,8 +6,9 @@ over the word's lattice adds them up. A text is its words and an end. So the sco
 the marginal probability of the text, not that of one best segmentation.
 
 The existing vocabulary orders its pieces by score; the order becomes a first Zipf
-distribution, and one expectation step over all training words (forward and backward
-recursion, every segmentation by its share) turns it into the corpus's own.
+distribution, and expectation steps over all training words (forward and backward
+recursion, every segmentation by its share) turn it into the corpus's own, until a step
+gains next to nothing.
 
 Words repeat, so nothing is scored twice: documents are read once and become blocks of
 bounded size, each with its own word list. Word lists meet once to count and to score
@@ -35,6 +36,8 @@ PRIOR_MASS = 1000.0  # pseudo-counts that the vocabulary's own order is worth
 BYTE_SHARE = 1e-4  # share of probability kept for characters outside the vocabulary
 GROUP_CELLS = 1 << 18  # characters of equally long words that are worked on at once
 GROUP_WORDS = 16_384  # words worked on together
+SETTLED = 0.001  # gain of a step, in base-10 logarithm for each training token, below which steps end
+MOST_STEPS = 30
 UNIT = 1 << 20  # expected counts are summed in whole numbers, so sums do not depend on their order
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -309,12 +312,18 @@ def lm_score(docs: DataFrame, train: Column, model_path: str, id_col: str = "doc
     with open(model_path, "rb") as f:
         model = f.read()
     own, shipped = Lattice.of_model(model), spark.sparkContext.broadcast(model)
-    guess = spark.sparkContext.broadcast(own.first_guess())
-    masses = words.where("c > 0").mapInArrow(_expected(shipped, guess), "piece int, mass long")
-    counts = np.zeros(len(own.names))
-    for r in masses.groupBy("piece").agg(F.sum("mass").alias("mass")).collect():  # at most one row for each piece
-        counts[r.piece] = r.mass / UNIT
-    fitted = own.fitted(counts, float(ends))
+    fitted = own.first_guess()
+    for _ in range(MOST_STEPS if total else 1):
+        guess = spark.sparkContext.broadcast(fitted)
+        masses = words.where("c > 0").mapInArrow(_expected(shipped, guess), "piece int, mass long")
+        counts = np.zeros(len(own.names))
+        for r in masses.groupBy("piece").agg(F.sum("mass").alias("mass")).collect():  # at most one row for each piece
+            counts[r.piece] = r.mass / UNIT
+        before, fitted = fitted, own.fitted(counts, float(ends))
+        # what the expected uses gain is no more than what the training words gain
+        gain = counts @ (fitted - before)[: len(counts)] / max(total, 1) / np.log(10)
+        if gain < SETTLED:
+            break
     scored = words.mapInArrow(_scored(shipped, spark.sparkContext.broadcast(fitted)), "word binary, c long, marginal double")
     returned = lists.join(scored, "word").select(F.col("block").alias("home"), "number", "c", "marginal")
     result = (

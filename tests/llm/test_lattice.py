@@ -91,6 +91,32 @@ def test_documents(spark, monkeypatch, block):
     assert max(map(len, by_text.values())) <= 2
 
 
+def test_document_scores(spark):
+    """Scores of whole documents are the sums of their words' marginals under the fit to the training words."""
+    rows = [(i, t) for i, t in hostile(5) if t is None or len(t) < 3000]
+    got = lattice.lm_score(frame(spark, rows), F.col("doc_id") % 3 != 0, MODEL).collect()
+    with open(MODEL, "rb") as f:
+        own = lattice.Lattice.of_model(f.read())
+    used = [lowered(t).split() for i, t in rows if i is not None and i % 3 != 0]
+    counts = Counter(w.decode() if isinstance(w, bytes) else w for words in used for w in words)
+    words, weights, logp, steps = list(counts), np.array(list(counts.values()), float), own.first_guess(), 0
+    while True:
+        uses = own.expected(words, weights, logp)
+        before, logp, steps = logp, own.fitted(uses, float(len(used))), steps + 1
+        if uses @ (logp - before)[: len(uses)] / (weights.sum() + len(used)) / math.log(10) < lattice.SETTLED:
+            break
+    assert steps > 2
+
+    def plain(text):
+        each = [w.decode() if isinstance(w, bytes) else w for w in lowered(text).split()]
+        return (sum(own.scores(each, logp)) if each else 0.0) / math.log(10) + logp[-1] / math.log(10)
+
+    want = sorted((str(i), plain(t)) for i, t in rows)
+    mine = sorted((str(r.doc_id), r.score) for r in got)
+    assert [i for i, _ in mine] == [i for i, _ in want]
+    assert np.allclose([s for _, s in mine], [s for _, s in want], rtol=1e-5, atol=1e-4)
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     got = {r.doc_id: r for r in lattice.lm_score(docs, F.lit(None).cast("boolean"), MODEL).collect()}
