@@ -141,7 +141,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_chat_formatting")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, folder, "conversations"))
+    """The given messages, which quote nothing, and replies derived from them by a rule, linked back to what they quote."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return quotes.link_quotes(given.unionByName(quotes.replies(given)))
 
 
 @query("op11_best_fit_packing")

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.common import batch_of, durable
 from flowsieve.llm.components import components
+from flowsieve.operators.ordered import prefix_sums
 
 MARKS = re.compile(r"[ \t]{0,3}>[ \t]?")
+FAR = 1_000_000_000  # how far derived replies lie behind what they quote
 SPAN = 1024  # turns of a conversation that are ordered together
 LEAST_CHARS = 8  # normalised characters a quote needs before it can name an original of another conversation
 
@@ -75,6 +77,32 @@ def parts(text: str) -> set[str]:
     return some - {""}
 
 
+def replies(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Replies to messages, derived from them: rows of the same columns that quote them.
+
+    A rule by CRC-32 of ``conv:turn`` modulo 10 says how: 0 the whole message, 1 its
+    first line, 2 the whole message one level deeper, under a line of the reply's own,
+    3 the whole message from another conversation; others get no reply. Replies come a
+    billion turns later. Messages without conversation, turn or text get none.
+    """
+    conv, turn, text = F.col(f"`{conv_col}`").cast("long"), F.col(f"`{turn_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    rows = messages.where(conv.isNotNull() & turn.isNotNull() & (F.trim(F.coalesce(text, F.lit(""))) != ""))
+    kind = F.crc32(F.concat_ws(":", conv.cast("string"), turn.cast("string")).cast("binary")) % 10
+    quoted = F.regexp_replace(text, "(?m)^", "> ")
+    own = F.concat(F.lit("Reply to "), conv.cast("string"), F.lit("/"), turn.cast("string"), F.lit("."))
+    said = (
+        F.when(kind == 1, F.concat(F.lit("> "), F.substring_index(text, "\n", 1)))
+        .when(kind == 2, F.concat(F.lit("> as was said:\n"), F.regexp_replace(quoted, "(?m)^", "> ")))
+        .otherwise(quoted)
+    )
+    return rows.where(kind < 4).select(
+        F.when(kind == 3, conv + FAR).otherwise(conv).alias(conv_col),
+        (turn + FAR).alias(turn_col),
+        F.lit("user").alias(role_col),
+        F.concat(F.lit("A wrote:\n"), said, F.lit("\n"), own).alias(text_col),
+    )
+
+
 def _hash(text: str) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), np.int64).tolist())
 
@@ -182,9 +210,10 @@ def link_quotes(
     known = F.col("conv").isNotNull() & F.col("turn").isNotNull()
     span = F.when(known, F.struct("conv", F.floor(F.col("turn") / SPAN).alias("s")))
     linked = durable(linked.withColumn("span", span), "linked")
-    counts = linked.where("span is not null").groupBy("thread_id", "span").count()
-    before = F.coalesce(F.sum("count").over(W.partitionBy("thread_id").orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("thread_id", "span", before.alias("before"))
+    counts = linked.where("span is not null").groupBy("thread_id", "span.conv", "span.s").agg(F.count(F.lit(1)).alias("n"))
+    # running sums over spans in order, part by part: a thread of very many conversations is no group
+    counts = prefix_sums(counts, ["conv", "s"], ["n"], ["thread_id"])
+    counts = counts.select("thread_id", F.struct("conv", "s").alias("span"), (F.col("cum_n") - F.col("n")).alias("before"))
     inner = F.row_number().over(W.partitionBy("thread_id", "span").orderBy("turn", "uid"))
     placed = linked.withColumn("inner", inner).join(counts, ["thread_id", "span"], "left")
     return placed.select(

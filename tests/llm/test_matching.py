@@ -1,6 +1,7 @@
 """Benchmark passages and quoted messages against brute force."""
 
 import random
+import zlib
 
 import pytest
 
@@ -150,6 +151,33 @@ def test_links(spark, monkeypatch, seed, span):
     assert quotes.link_quotes(extra.where("turn > 1000")).count() == 0
 
 
+def test_derived_replies_find_their_originals(spark):
+    """Every reply of the registered query is linked to a message that holds what it quotes, the latest before it."""
+    tune(spark)
+    rng = random.Random(3)
+    texts = ["Short one.", "Two lines here.\nand a second.", "Para one is long.\n\nPara two, too.", "  ", None, "same for all of them"]
+    rows = [(c, t, "user", rng.choice(texts) if rng.random() < 0.5 else prose(rng, 9)) for c in range(60) for t in range(5)] + [(None, 1, "user", "x"), (1, None, "user", "y")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    derived = quotes.replies(given)
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(given.unionByName(derived)).collect()}
+    by_place = {(c, t): x for c, t, _, x in rows}
+    kinds = {(c, t): zlib.crc32(f"{c}:{t}".encode()) % 10 for c, t in by_place}
+    wanted = {k: v for k, v in kinds.items() if v < 4 and None not in k and (by_place[k] or "").strip()}
+    assert derived.count() == len(wanted) and set(wanted.values()) == {0, 1, 2, 3}
+    for (conv, turn), kind in wanted.items():
+        reply = got[conv + (quotes.FAR if kind == 3 else 0), turn + quotes.FAR]
+        quoted = by_place[conv, turn].split("\n")[0] if kind == 1 else by_place[conv, turn]
+        assert reply.text == f"Reply to {conv}/{turn}." and reply.n_quotes == (2 if kind == 2 else 1)
+        held = [k for k, x in by_place.items() if None not in k and quotes.parts(x or "") & {quotes.plain(quoted)}]
+        best = max(k for k in held if k[0] == conv) if kind != 3 else min(held)
+        links = {(x.reply_conv, x.reply_turn) for x in reply.links if x.level == (2 if kind == 2 else 1)}
+        assert best in links, (conv, turn, kind)
+        if kind in (0, 1):
+            whole = {(x.reply_conv, x.reply_turn) for x in reply.links}
+            assert (reply.reply_conv, reply.reply_turn) in whole
+    assert sum(len(r.links) for r in got.values()) >= len(wanted)
+
+
 def test_short_quotes(spark):
     """Fails where quotes under eight characters name nothing; across conversations they still do not."""
     tune(spark)

@@ -94,6 +94,8 @@ def test_one_row_for_each_input_row(spark, number):
     key = "conv_id" if number in (10, 13) else "doc_id"
     got = entry.queries()[name](spark, FOLDER)
     want = spark.read.parquet(f"{FOLDER}/{table}.parquet")
+    if number == 10:
+        got = got.where("turn < 1000000")
     if number == 11:
         got = got.where("piece = 0")
     if number == 13:
