@@ -1,11 +1,13 @@
 """Language codes, SentencePiece backtracking and compression scores."""
 
+import math
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from flowsieve.llm import language, pieces, quality
@@ -93,6 +95,54 @@ def test_language_held_out(spark, langs):
     assert got[None].lang_pred == "en"
 
 
+def plain_grams(text):
+    """Hashed n-gram counts, one gram at a time."""
+    letters = [c if 97 <= c < 123 or c >= 128 else 32 for c in text.lower().encode()]
+    letters = [c for k, c in enumerate(letters) if c != 32 or k == 0 or letters[k - 1] != 32]
+    counts = np.zeros(language.BUCKETS)
+    for order in language.ORDERS:
+        for k in range(len(letters) - order + 1):
+            h = 0
+            for n, c in enumerate(letters[k : k + order], 1):
+                h = (h * 0x01000193 + c + n) % (1 << 32)
+            h = (h ^ (h >> 15)) * 0x2C1B3C6D % (1 << 32)
+            counts[h >> 19] += 1
+    return np.sqrt(counts) / max(1e-12, math.sqrt(counts.sum()))
+
+
+@pytest.mark.parametrize("langs", [["en", "de"], ["en", "de", "fr", "tr"]])
+def test_language_by_hand(spark, langs):
+    """Fit and decoding, worked out text by text: masses, bits, their spread and trust, then every codeword's loss."""
+    docs = labelled(spark, langs, 60)
+    model = language.fit(docs, F.col("doc_id") % 4 != 0)
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    rows = docs.collect()
+    train = [(r.lang, plain_grams(r.text)) for r in rows if r.lang and r.doc_id is not None and r.doc_id % 4 and r.text and any(c.isalpha() for c in r.text)]
+    names = sorted({lang for lang, _ in train})
+    mass = np.array([sum(x for lang, x in train if lang == name) for name in names])
+    mass /= mass.sum(axis=1, keepdims=True)
+    code = language.codewords(len(names))
+    floor = 0.01 / language.BUCKETS
+    weights = np.stack([np.log((mass[c > 0].mean(0) + floor) / (mass[c < 0].mean(0) + floor)) for c in code.T], 1)
+    answers = [np.array([x @ weights for lang, x in train if lang == name]) for name in names]
+    mean, spread = np.array([a.mean(0) for a in answers]), np.array([a.std(0) for a in answers])
+    spread = np.sqrt(np.maximum(spread**2, 1e-6))
+    middle, slope = np.zeros(code.shape[1]), np.zeros(code.shape[1])
+    for j, bits in enumerate(code.T):
+        yes, no = mean[bits > 0, j].mean(), mean[bits < 0, j].mean()
+        middle[j], slope[j] = (yes + no) / 2, max(yes - no, 1e-9) / (spread[:, j] ** 2).mean()
+    right = np.array([[0.5 * (1 + math.erf(code[a, j] * (mean[a, j] - middle[j]) / spread[a, j] / math.sqrt(2))) for j in range(code.shape[1])] for a in range(len(names))])
+    trust = right / right.sum(axis=1, keepdims=True)
+    assert names == model.languages and np.allclose(model.middle, middle, atol=1e-3) and np.allclose(model.trust, trust, atol=1e-3)
+    for r in rows:
+        if r.text and any(c.isalpha() for c in r.text):
+            bits = (plain_grams(r.text) @ weights - middle) * slope
+            loss = [sum(t * math.log1p(math.exp(-c * b)) if -c * b < 50 else t * -c * b for t, c, b in zip(trust[a], code[a], bits)) for a in range(len(names))]
+            belief = [math.exp(min(loss) - x) for x in loss]
+            assert got[r.doc_id].lang_pred == names[loss.index(min(loss))]
+            assert got[r.doc_id].score == pytest.approx(max(belief) / sum(belief), abs=5e-3)
+
+
 def test_language_without_labels(spark):
     docs = labelled(spark, ["en", "de"]).withColumn("lang", F.lit(None).cast("string"))
     model = language.fit(docs, F.lit(True))
@@ -133,6 +183,42 @@ def test_quality_held_out(spark):
     assert len({s for i, s in got if i in (900, 901)}) == 1
 
 
+def test_quality_by_hand(spark):
+    """Sizes piece by piece under the two dictionaries, and the curve by plain gradient steps over the marked rows."""
+    rng = random.Random(12)
+    rows = [(k, prose(rng, rng.randint(30, 700)) if k % 3 else " ".join(w + " ##" for w in prose(rng, 60).split())) for k in range(300)]
+    rows += [(None, "x y"), (400, ""), (401, None)]
+    marked = spark.createDataFrame([(k, int(bool(k % 3)) if k % 10 else 1 - int(bool(k % 3))) for k in range(300)], "doc_id long, quality int")
+    docs, train = frame(spark, rows), F.col("id") % 4 != 2
+    got = [(r.doc_id, r.difference, r.score) for r in quality.quality_scores(docs, marked, train).collect()]
+    labels = quality.marks(marked, train)
+    pair = quality.dictionaries(docs, labels)
+
+    def size(content, raw):
+        total = 0
+        for at in range(0, max(1, len(raw)), quality.PIECE):
+            d = zstandard.ZstdCompressionDict(content)
+            packer = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            total += len(packer.compress(raw[at : at + quality.PIECE]))
+        return total
+
+    plain = {}
+    for i, t in rows:
+        good, bad = (size(c, (t or "").encode()) for c in pair)
+        plain[i] = (bad - good) / (bad + good)
+    assert all(d == pytest.approx(plain[i], abs=1e-12) for i, d, _ in got)
+    unseen = {r.id: r.label for r in labels.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 1).collect()}
+    x, y = np.array([plain[i] for i in unseen]), np.array(list(unseen.values()), float)
+    scale = np.sqrt((x**2).mean())
+    a = b = 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(a * x / scale + b)))
+        a += 0.02 * ((y - p) @ x / scale - 0.01 * a)
+        b += 0.02 * ((y - p).sum() - 0.01 * b)
+    for i, d, score in got:
+        assert score == pytest.approx(1 / (1 + math.exp(-(a * d / scale + b))), abs=0.01)
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int")
