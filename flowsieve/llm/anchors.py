@@ -76,7 +76,10 @@ def collapsed(found: Runs, width: int, symbols: np.ndarray) -> Runs:
     Where a text repeats itself at a short distance, each period is a context of its
     own and equal to the next, so a stretch of any length becomes one context.
     """
-    again = (found.gram[1:] == found.gram[:-1]) & (found.count[1:] == found.count[:-1])
+    again = found.gram[1:] == found.gram[:-1]
+    if not again.any():  # nearly every text
+        return found
+    again &= found.count[1:] == found.count[:-1]
     for period in np.unique(found.count[:-1][again]).tolist():
         pairs = np.flatnonzero(again & (found.count[:-1] == period))
         size = period + width - 1

@@ -60,6 +60,8 @@ class Scheme:
         size = np.minimum(255, ends[self.gram - 1 :] - starts[: len(grams)])  # long grams are rare ones
         found = anchors.contexts(grams, self.width, self.gram, size)
         fewer = anchors.collapsed(found, self.width, hashes)
+        if fewer is found:
+            return flat, found, starts, ends
         for k in np.flatnonzero(fewer.times > 1).tolist():
             first, step = int(fewer.first[k]), int(fewer.count[k])
             last = first + int(fewer.times[k]) * step + self.width - 2
