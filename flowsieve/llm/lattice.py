@@ -36,7 +36,7 @@ PRIOR_MASS = 1000.0  # pseudo-counts that the vocabulary's own order is worth
 BYTE_SHARE = 1e-4  # share of probability kept for characters outside the vocabulary
 GROUP_CELLS = 1 << 18  # characters of equally long words that are worked on at once
 GROUP_WORDS = 16_384  # words worked on together
-SETTLED = 0.001  # gain of a step, in base-10 logarithm for each training token, below which steps end
+SETTLED = 0.01  # gain of a step, in base-10 logarithm for each training token, below which steps end
 MOST_STEPS = 30
 UNIT = 1 << 20  # expected counts are summed in whole numbers, so sums do not depend on their order
 _BASE = np.uint64(0x9E3779B97F4A7C15)
