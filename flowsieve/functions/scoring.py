@@ -105,6 +105,11 @@ def severity_rank(severity: Column) -> Column:
     return lookup(F.upper(severity), SEVERITY_RANK, 0)
 
 
+def severity_of(rank: Column) -> Column:
+    """The name of a severity rank, null for rank 0."""
+    return lookup(rank, {r: name for name, r in SEVERITY_RANK.items()}, None)
+
+
 def risk_severity(risk: Column) -> Column:
     return (
         F.when(risk >= 85, F.lit("CRITICAL"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.core import meaningful
-from flowsieve.functions.scoring import risk_severity, severity_rank
+from flowsieve.functions.scoring import risk_severity, severity_of, severity_rank
 from flowsieve.functions.times import iso_naive
 from flowsieve.operators.alerts import alert_risk, correlation_pairs
 from flowsieve.operators.ordered import globally_ordered
@@ -127,19 +127,39 @@ def _handed_down(window: int):
     return hand_down
 
 
+def _walked(code: np.ndarray, t: np.ndarray, entry: np.ndarray, window: int) -> np.ndarray:
+    """Cluster start of every row, rows in (code, t) order; ``entry`` is the start before the block.
+
+    The first row beyond each row's window is found for all rows at once, so the loop
+    goes from cluster to cluster, not from row to row.
+    """
+    n = len(t)
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if n else np.zeros(0, np.int64)
+    ends = np.append(first[1:], n)
+    # the key's rows, then the ends of their windows: of equal times the row comes first
+    order = np.lexsort((np.repeat([0, 1], n), np.concatenate([t, t + window]), np.tile(code, 2)))
+    is_end = order >= n
+    following = np.empty(n, np.int64)
+    following[order[is_end] - n] = np.cumsum(~is_end)[is_end]
+    hops, starts = following.tolist(), entry.copy()
+    for begin, end in zip(first.tolist(), ends.tolist(), strict=True):
+        # what the window of the start before the block still holds keeps that start
+        at = begin + int(np.searchsorted(t[begin:end], entry[begin] + window, side="right"))
+        while at < end:
+            after = min(hops[at], end)
+            starts[at:after] = t[at]
+            at = after
+    return starts
+
+
 def _walk(window: int):
     """Cluster start of every time of a block, key by key."""
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["group_type", "key", "t"])
-        starts, now, start = [], None, NEVER
-        for group, key, t, previous in zip(rows["group_type"], rows["key"], rows["t"].tolist(), rows["previous"].tolist(), strict=True):
-            if (group, key) != now:
-                now, start = (group, key), previous
-            if t - start > window:
-                start = t
-            starts.append(start)
-        return rows[[*KEYS, "t"]].assign(start=np.array(starts, np.int64))
+        code = rows.groupby(KEYS, sort=False).ngroup().to_numpy()
+        starts = _walked(code, rows["t"].to_numpy(np.int64), rows["previous"].to_numpy(np.int64), window)
+        return rows[[*KEYS, "t"]].assign(start=starts)
 
     return walk
 
@@ -211,7 +231,8 @@ def incident_members(alerts: DataFrame, window_minutes: int = 15, time_col: str
     starts = cluster_starts(pairs.select(*KEYS, "t"), int(window_minutes * 60_000_000))
     starts = starts.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.col("t").alias("_t"), "start")
     on = (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key")) & (F.col("group_type") == F.col("_group_type"))
-    return pairs.join(starts, on).drop("_t", *[f"_{k}" for k in KEYS])
+    # both sides grow with the alerts, and the planner takes the exploded side for less than it is
+    return pairs.join(starts.hint("merge"), on).drop("_t", *[f"_{k}" for k in KEYS])
 
 
 def top_values(members: DataFrame, fields: dict[str, str], limit: int = 3) -> DataFrame:
@@ -257,7 +278,8 @@ def build_incidents(
         F.count_if("is_zeroday").alias("ood_count"),
         F.count_if(F.col("_risk") >= 70).alias("high_count"),
         F.max("_risk").alias("max_risk"),
-        F.max_by("_severity", severity_rank(F.col("_severity"))).alias("strongest"),
+        # a number, so that the totals stay in a hash aggregate
+        F.max(severity_rank(F.col("_severity"))).alias("strongest"),
     ).where(F.col("alert_count") >= min_alerts)
     order = Window.partitionBy(*groups).orderBy("t", "alert_id")
     ids = (
@@ -292,7 +314,7 @@ def build_incidents(
         F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("end_time"),
         F.bround((F.col("end") - F.col("start")) / 60_000_000.0, 1).alias("duration_minutes"),
         "alert_count", "ood_count", "high_count", "max_risk",
-        F.when(severity_rank(F.col("strongest")) > 0, F.col("strongest")).otherwise(risk_severity(F.col("max_risk"))).alias("severity"),
+        F.coalesce(severity_of(F.col("strongest")), risk_severity(F.col("max_risk"))).alias("severity"),
         *TOP_FIELDS,
         "alert_ids",
         F.when(

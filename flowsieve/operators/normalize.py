@@ -157,31 +157,41 @@ def duration_unit(df: DataFrame, dur: Column, file_col: str = FILE) -> DataFrame
 def context_counts(df: DataFrame, names: list[str], file_col: str = FILE) -> DataFrame:
     """Rows of the same file sharing each key set; null keys form a group.
 
-    All counters come from one grouping-sets aggregation (one extra scan, partial
-    counts before the shuffle), stored once. A counter whose key column is absent
-    is 1. The planner broadcasts the counters if the stored table is small in bytes;
-    otherwise the joins are plain equality ones, whose skewed keys split at run time.
+    The rows are reduced once to the distinct tuples of all keys. One grouping-sets
+    aggregation of the tuples gives every counter, and the counters meet the tuples, so
+    that whatever is joined seven times has key columns only; the rows themselves are
+    joined once, on the full tuple, which spreads a busy host. The planner broadcasts
+    what is small in stored bytes; otherwise the joins are plain equality ones, whose
+    skewed keys split at run time. A counter whose key column is absent is 1.
     """
     usable = {n: vocab.CONTEXT_COUNTS[n] for n in names if set(vocab.CONTEXT_COUNTS[n]) <= set(df.columns)}
     out = df
     if usable:
         keys = sorted({k for ks in usable.values() for k in ks})
-        sets = [[F.col(file_col), *[F.col(k) for k in ks]] for ks in usable.values()]
-        counted = durable(df.groupingSets(sets, F.col(file_col), *[F.col(k) for k in keys]).agg(
-            F.grouping_id().alias("_gid"), F.count(F.lit(1)).cast("double").alias("_n")
+
+        def same(columns: list[str], own: str, other: str) -> Column:
+            on = F.col(f"{own}{file_col}").eqNullSafe(F.col(f"{other}{file_col}"))
+            for k in columns:
+                on = on & F.col(f"{own}{k}").eqNullSafe(F.col(f"{other}{k}"))
+            return on
+
+        tuples = durable(df.groupBy(
+            F.col(file_col).alias(f"_t_{file_col}"), *[F.col(k).alias(f"_t_{k}") for k in keys]
+        ).agg(F.count(F.lit(1)).alias("_n")), "context-keys")
+        sets = [[F.col(f"_t_{c}") for c in (file_col, *ks)] for ks in usable.values()]
+        counted = durable(tuples.groupingSets(sets, *[F.col(f"_t_{c}") for c in (file_col, *keys)]).agg(
+            F.grouping_id().alias("_gid"), F.sum("_n").cast("double").alias("_total")
         ), "context-counts")
+        side = tuples.drop("_n")
         for name, ks in usable.items():
             # grouping_id has one bit per column, 1 where the column is rolled up
             gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks)
-            side = counted.where(F.col("_gid") == gid).select(
-                F.col(file_col).alias("_file"),
-                *[F.col(k).alias(f"_{k}") for k in ks],
-                F.col("_n").alias(name),
+            counter = counted.where(F.col("_gid") == gid).select(
+                *[F.col(f"_t_{c}").alias(f"_c_{c}") for c in (file_col, *ks)], F.col("_total").alias(name)
             )
-            on = F.col(file_col).eqNullSafe(F.col("_file"))
-            for k in ks:
-                on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-            out = out.join(side, on, "left").drop("_file", *[f"_{k}" for k in ks])
+            side = side.join(counter, same(list(ks), "_t_", "_c_"), "left").drop(*[f"_c_{c}" for c in (file_col, *ks)])
+        side = small_side(side, "context-side")
+        out = df.join(side, same(keys, "", "_t_"), "left").drop(*[f"_t_{c}" for c in (file_col, *keys)])
     rest = {n: F.lit(1.0) for n in names if n not in usable}
     return out.withColumns(rest) if rest else out
 
