@@ -244,20 +244,59 @@ def stream_alert_log(spark: SparkSession, folder: str) -> DataFrame:
     return state.select("alert_id", "status", "analyst_note", "events")
 
 
-@query("manifest_build")
+EXPORT_ROWS = 1_000  # ids in one exported file
+_EXPORTED = (
+    "exported",
+    f"""SELECT event_id // {EXPORT_ROWS} AS bucket, string_agg(concat(event_id, '|', user_id, '|', event_type, chr(10)), '' ORDER BY event_id) AS body
+ FROM events GROUP BY 1""",
+)
+
+
+def _export(events: DataFrame, path: str) -> DataFrame:
+    """Events as text files of consecutive ids, one folder for each; returns their manifest by folder."""
+    lines = events.select(
+        F.floor(F.col("event_id") / EXPORT_ROWS).alias("bucket"), "event_id", F.concat_ws("|", "event_id", "user_id", "event_type").alias("value")
+    )
+    laid = lines.repartition("bucket").sortWithinPartitions("bucket", "event_id").drop("event_id")
+    laid.write.partitionBy("bucket").text(path)
+    built = manifest.build_manifest(events.sparkSession, path, "*.txt")
+    # the writer names the only file of a folder at random
+    return built.withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+
+
+@query(
+    "manifest_build",
+    with_views(
+        """SELECT concat('bucket=', bucket) AS path, true AS "exists", CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS sha256 FROM exported""",
+        _EXPORTED,
+    ),
+)
 def manifest_build(spark: SparkSession, folder: str) -> DataFrame:
-    return manifest.build_manifest(spark, folder, "*.parquet")
+    """The whole event table exported to files, and the manifest of those files."""
+    return _export(table(spark, folder, "events"), f"{work_dir(spark)}/flowsieve/export-{uuid.uuid4().hex}")
 
 
-@query("manifest_verify")
+@query(
+    "manifest_verify",
+    with_views(
+        """SELECT severity, concat(message, ': bucket=', bucket) AS finding, concat('bucket=', bucket) AS path
+ FROM (SELECT DISTINCT bucket FROM exported) JOIN (VALUES (0, 'error', 'Artifact missing'),
+ (1, 'warning', 'Artifact exists but manifest expected missing'), (2, 'error', 'Artifact size changed'), (2, 'error', 'Artifact sha256 changed'),
+ (3, 'error', 'Artifact sha256 changed')) AS v(kind, severity, message) ON bucket % 5 = kind""",
+        _EXPORTED,
+    ),
+)
 def manifest_verify(spark: SparkSession, folder: str) -> DataFrame:
-    """The tables against a manifest with one altered hash, one size and one unknown file."""
-    actual = manifest.build_manifest(spark, folder, "*.parquet")
-    name = F.element_at(F.split("path", "/"), -1)
-    expected = actual.select(
-        F.when(name == "labels.parquet", F.lit("gone.parquet")).otherwise(F.col("path")).alias("path"),
-        (name != "region.parquet").alias("exists"),
-        (F.col("size_bytes") + (name == "orders.parquet").cast("long")).alias("size_bytes"),
-        F.when(name == "events.parquet", F.lit("0")).otherwise(F.col("sha256")).alias("sha256"),
-    )
+    """Two exports of the event table: the manifest of the first against the files of the second.
+
+    By number, a file of the second export is gone, was expected missing, has longer
+    lines, has lines of the same length that read otherwise, or is the same.
+    """
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    base = f"{work_dir(spark)}/flowsieve/export-{uuid.uuid4().hex}"
+    kind = F.floor(F.col("event_id") / EXPORT_ROWS) % 5
+    number = F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long")
+    expected = _export(events, f"{base}/first").withColumn("exists", number % 5 != 1)
+    changed = F.when(kind == 2, F.concat("event_type", F.lit("+"))).when(kind == 3, F.upper("event_type")).otherwise(F.col("event_type"))
+    actual = _export(events.where(kind != 0).withColumn("event_type", changed), f"{base}/second")
     return manifest.verify_manifest(actual, expected)
