@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from flowsieve import vocab
 from flowsieve.session import durable
-from flowsieve.sources.first_lines import read_first_lines
+from flowsieve.sources.first_lines import list_files, read_first_lines
 
 REPLACEMENT = "�"
 
@@ -18,15 +19,9 @@ REPLACEMENT = "�"
 def list_flow_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of the flow CSVs below ``folder``, metadata files left out.
 
-    The content column is never read, so this is a file listing.
+    Empty files are listed, too; this reads no content.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(folder)
-        .select("path", "length")
-    )
+    files = list_files(spark, folder, "*.csv")
     name = F.element_at(F.split("path", "/"), -1)
     wanted = F.upper(name).contains("UNSW") | F.upper(name).contains("NB15")
     return files.where(wanted & ~name.isin(*vocab.SKIPPED_FILES)).distinct()
@@ -68,8 +63,10 @@ def read_text_csv(
 ) -> DataFrame:
     """All columns as text with provenance; lines with too many fields are skipped.
 
-    Short lines keep nulls at the end. One extra field catches overlong lines.
+    Short lines keep nulls at the end. One extra field catches overlong lines. ``paths``
+    are names of files, not patterns.
     """
+    paths = [re.sub(r"[\\{}\[\]*?]", r"\\\g<0>", p) for p in paths]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*_unique(names), "_overflow"]])
     rows = (
         spark.read.schema(schema)

@@ -1,12 +1,14 @@
-"""The first line of each of many files, as a data source that reads no further."""
+"""Files of a folder, and the first line of each of many files as a data source that reads no further."""
 
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FIRST_STEP = 1 << 10  # bytes; doubled until a line break is found
@@ -14,14 +16,35 @@ LAST_STEP = 1 << 20
 FILES_OF_TASK = 256
 
 
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files below ``folder``, empty ones included; no content is read.
+
+    Spark's scans pass empty files over, so names come from its file index, which the driver holds in any case.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .load(folder)
+    )
+    # the index writes file:///a%20b where the column has file:/a b
+    names = [(unquote(re.sub(r"^([^:/]+):///", r"\1:/", uri)),) for uri in files.inputFiles()]
+    listed = spark.createDataFrame(names, "path string").join(files.select("path", "length"), "path", "left")
+    return listed.select("path", F.coalesce("length", F.lit(0)).alias("length"))
+
+
 def open_stream(path: str):
-    """Byte stream of one file on any file system that pyarrow knows and the workers can reach."""
+    """Byte stream of one file on any file system that pyarrow knows and the workers can reach.
+
+    ``path`` is written as Spark's readers take it, with blanks, percent signs and the like as they are.
+    """
     from pyarrow import fs
 
     uri = re.sub(r"^file:/+", "file:///", path)
     if "://" not in uri:
         uri = "file://" + uri
-    filesystem, inner = fs.FileSystem.from_uri(uri)
+    place, name = re.fullmatch(r"([^:]+://[^/]*)(.*)", uri, re.DOTALL).groups()
+    filesystem, inner = fs.FileSystem.from_uri(place + quote(name))
     return filesystem.open_input_stream(inner)
 
 

@@ -10,26 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.sources.first_lines import open_stream
+from flowsieve.sources.first_lines import list_files, open_stream
 
 CHUNK = 1 << 20
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
 
 
 def build_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, size_bytes, sha256) of the files below ``folder``.
+    """(path, size_bytes, sha256) of the files below ``folder``, empty ones included.
 
     Files are streamed in 1 MB pieces inside tasks, so neither their number nor
     their size has to fit anywhere; only hashes are shuffled.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(folder)
-        .select("path", F.col("length").alias("size_bytes"))
-        .repartition("path")
-    )
+    files = list_files(spark, folder, pattern).select("path", F.col("length").alias("size_bytes")).repartition("path")
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -281,3 +281,34 @@ def test_events_with_repeated_and_null_fields(spark):
     rows = events.normalize_events(events.parse_events(df), []).collect()
     assert rows[0]["srcip"] == "2.2.2.2" and rows[0]["dur"] == 0.0 and rows[0]["sbytes"] == 5.0
     assert rows[1]["proto"] == "unknown" and rows[1]["sbytes"] == 0.0 and rows[1]["mapped_columns"] == 2
+
+
+ODD_NAMES = ["nb15 one two.csv", "nb15%20x.csv", "nb15 [1].csv", "nb15_{a}*?.csv", "nb15#1&ü+.csv"]
+
+
+def test_files_with_odd_names(spark, tmp_path):
+    """Blanks, percent signs and pattern characters in a name stand for themselves, and each file is read as itself."""
+    write(tmp_path / "nb15 x.csv", "srcip,attack_cat\nplain,DoS\n")  # what the name with %20 would be if it were decoded
+    write(tmp_path / "nb15 1.csv", "srcip,attack_cat\nplain,DoS\n")  # what [1] would match
+    for name in ODD_NAMES:
+        write(tmp_path / name, f"srcip,attack_cat,{'x' * len(name)}\n{name},DoS,1\n")
+    paths = [str(tmp_path / name) for name in ODD_NAMES]
+    got = {r["path"]: r["first_line"] for r in first_lines.read_first_lines(spark, [*paths, f"file:{paths[0]}"]).collect()}
+    assert got == {p: f"srcip,attack_cat,{'x' * len(p.rsplit('/', 1)[-1])}" for p in paths} | {f"file:{paths[0]}": got[paths[0]]}
+    assert sorted(r["srcip"] for r in csv.load_flow_csvs(spark, str(tmp_path)).collect()) == sorted([*ODD_NAMES, "plain", "plain"])
+    hashed = {r["path"]: r["sha256"] for r in manifest.build_manifest(spark, str(tmp_path)).collect()}
+    assert all(hashed[name] == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest() for name in ODD_NAMES) and len(hashed) == 7
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    """Spark's scans pass empty files over; a manifest without them would call them missing."""
+    write(tmp_path / "nb15 empty.csv", "")
+    write(tmp_path / "nb15_full.csv", "srcip,attack_cat\n1.1.1.1,DoS\n")
+    listed = {r["path"].rsplit("/", 1)[-1]: r["length"] for r in csv.list_flow_files(spark, str(tmp_path)).collect()}
+    assert listed == {"nb15 empty.csv": 0, "nb15_full.csv": 29}
+    actual = manifest.build_manifest(spark, str(tmp_path))
+    assert {r["path"]: r["sha256"] for r in actual.collect()}["nb15 empty.csv"] == hashlib.sha256(b"").hexdigest()
+    expected = spark.createDataFrame([("nb15 empty.csv", True, 9, None)], "path string, exists boolean, size_bytes long, sha256 string")
+    found = {r["finding"] for r in manifest.verify_manifest(actual, expected).collect()}
+    assert found == {"Artifact size changed: nb15 empty.csv", "Artifact sha256 changed: nb15 empty.csv"}
+    assert [r["srcip"] for r in csv.load_flow_csvs(spark, str(tmp_path)).collect()] == ["1.1.1.1"]
