@@ -11,8 +11,10 @@ before by re-merging the two, tries shorter matches, and steps back where none f
 A position where nothing fits is marked in a bit field and never tried again: the
 encoding of the text before it is unique, so it cannot be a token border.
 
-White space only ever begins a piece, so texts are cut there and the encodings of
-frequent cuts are remembered.
+White space only ever begins a piece, and characters fall into classes that no piece
+joins (letters, marks, each digit alone; found from the vocabulary), so texts are cut
+there and the encodings of frequent cuts are remembered. Cuts that are new in some texts are encoded side by side:
+one search finds the matches of all, and each step tries one token of every cut.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, compress, count, islice, pairwise
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,10 @@ from flowsieve.llm.common import batch_of, narrow
 SPACE = "▁"
 REMEMBERED = 500_000  # cuts a worker keeps
 LONGEST_REMEMBERED = 32  # characters
+PORTION = 1 << 20  # characters of the texts whose cuts are looked up together
+SIDE_BY_SIDE = 1 << 16  # new cuts that are encoded together
+SLOTS = 1 << 20  # answers for pairs of tokens that a table holds; others are in a dictionary
+NEVER = float("-inf")  # score of parts that do not merge
 
 _LOADED: dict[str, Codec] = {}
 
@@ -50,17 +57,21 @@ class MergeEncoder:
         self.token = {p: k for k, p in enumerate(self.names)}
         self.sizes = [len(p) for p in self.names]
         self.shorter: list[int] = [-2] * len(self.names)  # -2: not looked up yet, -1: none
+        self.pieces = len(self.names)  # strange characters follow
         # single characters need no automaton: they are what stands where nothing longer matches
         self.matches = ahocorasick.Automaton()
         longer = [k for k, piece in enumerate(self.names) if len(piece) > 1]
         for k in longer:
-            self.matches.add_word(self.names[k], (self.sizes[k] - 1, k))
+            self.matches.add_word(self.names[k], k)
         if longer:
             self.matches.make_automaton()
         self.fits: dict[int, bool] = {}
+        self.past: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
+        self.tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.slots = np.full(SLOTS, -1, np.int64)
 
     def merged(self, text: str) -> list[str]:
-        """What merging gives, by definition; used on one token or two."""
+        """What merging gives, by definition; encodings are compared with it."""
         parts, scores = list(text), self.scores
         near = [scores.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         while True:
@@ -77,6 +88,53 @@ class MergeEncoder:
             if at < len(near):
                 near[at] = scores.get(parts[at] + parts[at + 1])
 
+    def history(self, token: int) -> tuple[list[float], list[str], list[str]] | None:
+        """A token's own merges: their scores, and its first and last part before each and at the end.
+
+        None if merging its characters does not give the token.
+        """
+        if token in self.past:
+            return self.past[token]
+        parts, scores = list(self.names[token]), []
+        firsts, lasts = [parts[0]], [parts[-1]]
+        near = [self.scores.get(a + b, NEVER) for a, b in pairwise(parts)]
+        while len(parts) > 1 and (best := max(near)) > NEVER:
+            at = near.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            near[max(at - 1, 0) : at + 2] = [self.scores.get(a + b, NEVER) for a, b in pairwise(parts[max(at - 1, 0) : at + 2])]
+            scores.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        self.past[token] = ([*scores, NEVER], firsts, lasts) if len(parts) == 1 else None
+        return self.past[token]
+
+    def stay(self, left: int, right: int) -> bool:
+        """Whether two neighbours, merged again from their characters, never merge across their border.
+
+        As long as they do not, each one's merges are its own; the better score goes
+        first, and the leftmost of equal ones.
+        """
+        after = self.history(right)
+        if left < 0 or after is None:
+            return after is not None
+        before = self.history(left)
+        if before is None:
+            return False
+        (mine, _, lasts), (theirs, firsts, _) = before, after
+        i = j = 0
+        while True:
+            across, a, b = self.scores.get(lasts[i] + firsts[j], NEVER), mine[i], theirs[j]
+            if a >= b:
+                if across > a:
+                    return False
+                if a == NEVER:
+                    return True
+                i += 1
+            elif across >= b:
+                return False
+            else:
+                j += 1
+
     def strange(self, character: str) -> int:
         """Token of a character that is no piece of its own."""
         known = self.token.get(character)
@@ -95,8 +153,7 @@ class MergeEncoder:
         if known is None:
             if len(self.fits) > 1_000_000:
                 self.fits.clear()
-            alone = [self.names[right]] if left < 0 else [self.names[left], self.names[right]]
-            known = self.fits[key] = self.merged("".join(alone)) == alone
+            known = self.fits[key] = self.stay(left, right)
         return known
 
     def next_shorter(self, token: int) -> int:
@@ -117,8 +174,8 @@ class MergeEncoder:
         if None in longest:
             longest = [self.strange(c) if t is None else t for t, c in zip(longest, text, strict=True)]
         if len(self.matches):
-            for end, (back, token) in self.matches.iter(text):  # a later end is a longer match
-                longest[end - back] = token
+            for end, token in self.matches.iter(text):  # a later end is a longer match
+                longest[end + 1 - sizes[token]] = token
         failed = bytearray(n // 8 + 1)
         any_failed = False
         tokens: list[int] = []
@@ -147,6 +204,108 @@ class MergeEncoder:
                 token = self.next_shorter(back)
         return tokens
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token of each single character (-1: none); size and next shorter token (-1: none) of each piece."""
+        if self.tables is None:
+            single = np.full(sys.maxunicode + 1, -1)
+            shorter = []
+            for k, name in enumerate(self.names[: self.pieces]):
+                if len(name) == 1:
+                    single[ord(name)] = k
+                found = (self.token.get(name[:n], -1) for n in range(len(name) - 1, 0, -1))
+                # a strange first character (a later number) is never asked for here
+                shorter.append(next((t for t in found if 0 <= t < self.pieces), -1))
+            self.tables = single, np.array(self.sizes[: self.pieces]), np.array(shorter)
+        return self.tables
+
+    def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` for many pairs; a slot holds a pair and its answer."""
+        key = (left + 1) << 32 | right
+        slot = (left * 0x9E3779B1 + right * 0x85EBCA77 >> 7) % SLOTS
+        held = self.slots[slot]
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            asked, back = np.unique(key[new], return_inverse=True)
+            fit = [self.compatible((k >> 32) - 1, k & 0xFFFFFFFF) for k in asked.tolist()]
+            held[new] = key[new] << 1 | np.array(fit, np.int64)[back]
+            self.slots[slot[new]] = held[new]
+        return held & 1 == 1
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Texts encoded side by side, by the steps of ``encode``: (tokens of all, tokens of each, left out).
+
+        Empty texts and texts with a character that is no piece are left out; their
+        places are listed and they have no tokens.
+        """
+        single, size, shorter = self._tables()
+        lengths = np.array([len(t) for t in texts], np.int64)
+        whole = "".join(texts)
+        longest = single[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        number = np.repeat(np.arange(len(texts)), lengths)
+        starts = np.cumsum(lengths) - lengths
+        out = lengths == 0
+        out[number[longest < 0]] = True
+        if len(self.matches):
+            found = np.fromiter(chain.from_iterable(self.matches.iter(whole)), np.int64).reshape(-1, 2)
+            last, token = found[:, 0], found[:, 1]
+            first = last + 1 - size[token]
+            inside = number[first] == number[last]
+            longest[first[inside]] = token[inside]  # of one place the last, which is the longest
+        stack = np.zeros(len(whole), np.int64)  # tokens of a text from its start on
+        failed = np.zeros(len(whole) + int(size.max(initial=1)), bool)
+        counts = np.zeros(len(texts), np.int64)
+        who = np.flatnonzero(~out)
+        at, top = starts[who], starts[who]
+        left, token = np.full(len(who), -1), longest[at]
+        while len(who):
+            some = token >= 0
+            end = at + size[token]  # of no use where there is no token
+            fit = some & ~failed[end]
+            ask = np.flatnonzero(fit)
+            fit[ask] = self._compatible(left[ask], token[ask])
+            less = np.flatnonzero(~fit & some)
+            go, stuck = np.flatnonzero(fit), np.flatnonzero(~some)
+            token[less] = shorter[token[less]]
+            left[go] = stack[top[go]] = token[go]
+            top[go] += 1
+            at[go] = end[go]
+            if len(stuck):
+                failed[at[stuck]] = True
+                top[stuck] -= 1
+                back = stack[top[stuck]]
+                at[stuck] -= size[back]
+                left[stuck] = np.where(top[stuck] > starts[who[stuck]], stack[top[stuck] - 1], -1)
+                token[stuck] = shorter[back]
+            over = np.zeros(len(who), bool)
+            over[go] = at[go] == starts[who[go]] + lengths[who[go]]
+            more = go[~over[go]]
+            token[more] = longest[at[more]]
+            if over.any():
+                counts[who[over]] = top[over] - starts[who[over]]
+                keep = ~over
+                who, at, top, left, token = who[keep], at[keep], top[keep], left[keep], token[keep]
+        used = np.arange(len(whole)) - starts[number] < counts[number]
+        return stack[used], counts, np.flatnonzero(out).tolist()
+
+
+def joined_classes(pieces: list[str]) -> list[list[str]]:
+    """Classes of characters, largest first: neighbours within a piece, white space aside, are of one class."""
+    above: dict[str, str] = {c: c for c in chain.from_iterable(pieces) if c != SPACE}
+
+    def top(c: str) -> str:
+        while above[c] != c:
+            above[c] = c = above[above[c]]
+        return c
+
+    for piece in pieces:
+        for a, b in pairwise(piece.lstrip(SPACE)):
+            above[top(a)] = top(b)
+    classes: dict[str, list[str]] = {}
+    for c in sorted(above):
+        classes.setdefault(top(c), []).append(c)
+    return sorted(classes.values(), key=len, reverse=True)
+
+
 class Codec:
     """A SentencePiece model of the merge type: encodes by backtracking, decodes with the library."""
 
@@ -161,20 +320,15 @@ class Codec:
         self.encoder = MergeEncoder({names[k]: k for k in normal}, {names[k]: sp.get_score(k) for k in normal})
         self.bytes = {int(names[k][3:5], 16): k for k in range(len(names)) if sp.is_byte(k)}
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
-        # where no piece joins a letter to anything but letters, texts are cut there as well
-        letter = re.compile(r"[^\W\d_]")
-        mixed = any(
-            bool(letter.match(a)) != bool(letter.match(b))
-            for k in normal
-            for a, b in zip(names[k], names[k][1:], strict=False)
-            if SPACE not in (a, b)
-        )
-        other = rf"(?:[\W\d_](?<!{SPACE}))"
-        self.cuts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if mixed else rf"{SPACE}*[^\W\d_]+|{SPACE}*{other}+|{SPACE}+")
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
-
-    def _learn(self, cut: str) -> tuple[bytes, bytes]:
-        """Ids of one cut, as 32-bit numbers and as decimal text."""
+        # white space only begins a piece, and no piece joins characters of two classes: texts are cut there
+        classes = [f"[{''.join(map(re.escape, c))}]+" for c in joined_classes([names[k] for k in normal]) if len(c) > 1]
+        self.cuts = re.compile(f"{SPACE}*(?:{'|'.join([*classes, f'[^{SPACE}]'])})|{SPACE}+")
+        self.seen: dict[str, bytes] = {}
+        self.decimal = [str(k) for k in range(len(names))]
+        self.given = np.array(self.encoder.given, np.int32)
+
+    def _learn(self, cut: str) -> bytes:
+        """Ids of one cut, as 32-bit numbers."""
         out: list[int] = []
         given = self.encoder.given
         for token in self.encoder.encode(cut):
@@ -185,24 +339,42 @@ class Codec:
                 out += [self.bytes[b] for b in self.encoder.names[token].encode()]
             else:
                 out.append(self.unknown)
-        found = array("i", out).tobytes(), " ".join(map(str, out)).encode()
+        found = array("i", out).tobytes()
         if len(cut) <= LONGEST_REMEMBERED:
-            if len(self.seen) >= REMEMBERED:  # forget the older half
-                for old in list(islice(self.seen, REMEMBERED // 2)):
-                    del self.seen[old]
             self.seen[cut] = found
         return found
 
-    def cut_ids(self, text: str) -> list[tuple[bytes, bytes]]:
-        """The ids of a text, cut by cut."""
-        seen, learn = self.seen, self._learn
-        return [seen.get(c) or learn(c) for c in self.cuts.findall(self.sp.normalize(text))]
+    def _learn_all(self, cuts: list[str]) -> None:
+        """Remember the ids of new cuts, which are encoded side by side."""
+        tokens, counts, left_out = self.encoder.encode_all(cuts)
+        numbers = self.given[tokens].tobytes()
+        ends = (4 * np.cumsum(counts)).tolist()
+        self.seen.update(zip(cuts, [numbers[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        for k in left_out:
+            self._learn(cuts[k])
+
+    def encode_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, then the end id."""
+        seen, learn, end = self.seen, self._learn, self.end.to_bytes(4, sys.byteorder)
+        if len(seen) >= REMEMBERED:  # forget the older half
+            for old in list(islice(seen, REMEMBERED // 2)):
+                del seen[old]
+        of_text = [self.cuts.findall(self.sp.normalize(text)) for text in texts]
+        cuts = list(chain.from_iterable(of_text))
+        found = list(map(seen.get, cuts))
+        gaps = list(compress(count(), map(not_, found)))
+        fresh = [c for c in {cuts[k] for k in gaps} if len(c) <= LONGEST_REMEMBERED]
+        for k in range(0, len(fresh), SIDE_BY_SIDE):
+            self._learn_all(fresh[k : k + SIDE_BY_SIDE])
+        for k in gaps:
+            found[k] = seen.get(cuts[k]) or learn(cuts[k])
+        parts = iter(found)
+        for some in of_text:
+            yield np.frombuffer(b"".join([*islice(parts, len(some)), end]), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, then the end id."""
-        ids = [numbers for numbers, _ in self.cut_ids(text)]
-        ids.append(self.end.to_bytes(4, sys.byteorder))
-        return np.frombuffer(b"".join(ids), np.int32)
+        return next(self.encode_texts([text]))
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -217,6 +389,20 @@ def _codec(shipped: Broadcast) -> Codec:
     return _LOADED[key]
 
 
+def _portions(texts: list[str | None]) -> Iterator[list[str]]:
+    """Neighbouring texts, closed once they hold ``PORTION`` characters."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _ship(df: DataFrame, model_path: str) -> Broadcast:
     """The model file's bytes; a vocabulary of fixed size, about half a megabyte."""
     with open(model_path, "rb") as f:
@@ -245,19 +431,17 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        last = codec.end.to_bytes(4, sys.byteorder), str(codec.end).encode()
         for batch in batches:
             columns: dict[str, list] = {name: [] for name in ("n_tokens", "ids", "ids_text", "decoded")}
-            for text in batch.column("text").to_pylist():
-                parts = [*codec.cut_ids(text or ""), last]
-                ids = np.frombuffer(b"".join([numbers for numbers, _ in parts]), np.int32)
-                columns["n_tokens"].append(len(ids))
+            for ids in chain.from_iterable(map(codec.encode_texts, _portions(batch.column("text").to_pylist()))):
+                listed = ids.tolist()
+                columns["n_tokens"].append(len(listed))
                 if "ids" in outputs:
                     columns["ids"].append(ids)
                 if "ids_text" in outputs:
-                    columns["ids_text"].append(b" ".join([t for _, t in parts]).decode())
+                    columns["ids_text"].append(" ".join(map(codec.decimal.__getitem__, listed)))
                 if "decoded" in outputs:
-                    columns["decoded"].append(codec.decode(ids.tolist()))
+                    columns["decoded"].append(codec.decode(listed))
             yield batch_of(schema, columns | {"id": batch.column("id"), "uid": batch.column("uid")})
 
     base = narrow(docs, id=id_col, text=text_col)

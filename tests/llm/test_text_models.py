@@ -61,6 +61,44 @@ def test_backtracking_equals_merging_on_small_vocabularies():
             assert [encoder.names[t] for t in encoder.encode(text)] == encoder.merged(text), (vocabulary, text)
 
 
+def test_side_by_side_equals_merging_on_small_vocabularies():
+    """Scores with ties, strange characters, empty texts and repeated texts; pairs answered from slots and anew."""
+    rng = random.Random(5)
+    for _ in range(150):
+        vocabulary = {c: 0.0 for c in "abc"}
+        for _ in range(rng.randint(0, 14)):
+            vocabulary["".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))] = -float(rng.randint(1, 6))
+        encoder = pieces.MergeEncoder({p: k for k, p in enumerate(vocabulary)}, vocabulary)
+        for _ in range(2):
+            texts = ["".join(rng.choice("abcabcabcabcd") for _ in range(rng.randint(0, 14))) for _ in range(40)]
+            tokens, counts, left_out = encoder.encode_all(texts)
+            assert left_out == [k for k, t in enumerate(texts) if not t or "d" in t] and len(tokens) == counts.sum()
+            ends = np.cumsum(counts)
+            for k, (text, n, end) in enumerate(zip(texts, counts, ends, strict=True)):
+                assert k in left_out or [encoder.names[t] for t in tokens[end - n : end]] == encoder.merged(text), (vocabulary, text)
+
+
+def test_words_are_encoded_once_whatever_stands_beside_them(codec, library):
+    """No piece joins letters to marks, digits or line breaks, so a word is remembered without them."""
+    assert codec.cuts.findall("▁thes.\nIt▁▁(12,▁") == ["▁thes", ".", "\n", "It", "▁▁(", "1", "2", ",", "▁"]
+    texts = [f"zyxwordly{mark} Zyxwordly{mark}x" for mark in (".", ",", "\n", ";", "!?", "7", "中", "。")]
+    before = len(codec.seen)
+    assert [ids.tolist() for ids in codec.encode_texts(texts)] == [[*library.encode(t), library.eos_id()] for t in texts]
+    assert sum("yxwordly" in cut for cut in codec.seen) == 2 and len(codec.seen) - before < 16
+
+
+def test_many_texts_at_once(library, monkeypatch):
+    """Portions, groups of cuts and forgetting change no id."""
+    monkeypatch.setattr(pieces, "PORTION", 500)
+    monkeypatch.setattr(pieces, "SIDE_BY_SIDE", 7)
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    with open(MODEL, "rb") as f:
+        codec = pieces.Codec(f.read())
+    texts = [*hostile_texts(), "word " * 2000, "x" * 5000 + "中" * 50]
+    got = [ids.tolist() for some in pieces._portions(texts) for ids in codec.encode_texts(some)]
+    assert got == [[*library.encode(t), library.eos_id()] for t in texts]
+
+
 def test_round_trip_in_spark(spark, library):
     texts = [None, *hostile_texts()]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, "x"), (3, "a"), (3, "a")]
