@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowsieve.llm import anchors, repeats, suffix_array, suffix_tree
+from flowsieve.llm.common import durable
 from tests.llm.test_dedup import frame, prose
 
 SMALL = repeats.Scheme(24, 8, False)
@@ -140,6 +142,40 @@ def test_removed_bytes(spark, monkeypatch, seed, unit, block):
     assert mine == sorted((str(i), *w) for (i, _), w in zip(rows, want))
 
 
+def test_contexts_of_a_frequent_gram_spread_over_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    alphabet = "abcdefghijklmnop"
+    shared = "".join(rng.choice(alphabet) for _ in range(22))
+    sides = [["".join(rng.choice(alphabet) for _ in range(30)) for _ in range(2)] for _ in range(400)]
+    rows = [(k, a + shared + b) for k, (a, b) in enumerate(sides)] + [(500, sides[0][0] + shared + "z")]
+    shares = []
+
+    def seen(df, label):
+        if label == "members":
+            tasks = df.groupBy("fp", F.spark_partition_id().alias("task")).count().collect()
+            grams = Counter()
+            for r in tasks:
+                grams[r.fp] += r["count"]
+            hot, size = grams.most_common(1)[0]
+            shares.append((size, max(r["count"] for r in tasks if r.fp == hot)))
+        return durable(df, label)
+
+    monkeypatch.setattr(suffix_array, "durable", seen)
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        got = suffix_array.remove_repeats(frame(spark, rows), scheme=SMALL).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    mine = sorted((r.doc_id, r.n_bytes, [(s.begin, s.end) for s in r.spans], bytes(r.kept)) for r in got)
+    assert mine == sorted((i, *w) for (i, _), w in zip(rows, plain_kept([t for _, t in rows], SMALL.width)))
+    [(size, most)] = shares
+    assert size > 100 and most < size / 2
+
+
 def test_production_width(spark):
     rng = random.Random(9)
     passage = prose(rng, 150)
