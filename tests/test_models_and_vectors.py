@@ -47,6 +47,39 @@ def test_lof_many_cells_equals_one_cell(spark, cloud):
     assert [many[k] for k in one] == pytest.approx([one[k] for k in one], rel=1e-6)
 
 
+@pytest.mark.parametrize("room", [1 << 20, 3000])
+def test_neighbour_search_stores_a_row_for_each_row(spark, cloud, monkeypatch, room):
+    """Whatever the cells and parts: no table holds more rows than there are, and lists join over the parts."""
+    rows, df = cloud
+    stored = {}
+
+    def counted(frame, label, kept=neighbors.durable):
+        out = kept(frame, label)
+        stored[label] = max(stored.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neighbors, "durable", counted)
+    monkeypatch.setattr(neighbors, "PASS_BYTES", room, raising=False)
+    got = {}
+    for r in neighbors.nearest_rows(df, "id", "v", 5, 30).collect():
+        got.setdefault(r["query_id"], []).append((round(r["distance"], 12), r["ref_id"]))
+    assert max(stored.values()) <= len(rows)
+    u, ids = unit(rows), np.array([r[0] for r in rows])
+    distance = 1 - u @ u.T
+    for i in range(0, len(rows), 7):
+        others = sorted((round(float(d), 9), int(j)) for d, j in zip(distance[i], ids, strict=True) if j != ids[i])[:5]
+        assert sorted(j for _, j in got[int(ids[i])]) == sorted(j for _, j in others) or [d for d, _ in sorted(got[int(ids[i])])] == pytest.approx([d for d, _ in others], abs=1e-9)
+
+
+def test_neighbours_of_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (None, [1.0, 1.0]), (4, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {}
+    for r in neighbors.nearest_rows(df, "id", "v", 2, 1).collect():
+        got.setdefault(r["query_id"], []).append(r["ref_id"])
+    assert sorted(got[1]) in ([2, 2], [2, 3], [3, 3]) and sorted(got[2]) == [1, 1] and None in got and len(got[None]) == 2
+
+
 def test_prototype_similarity_separates(spark):
     rows = [(0, [1.0, 0.1]), (0, [0.9, 0.0]), (1, [0.0, 1.0]), (1, [0.1, 0.8])]
     df = spark.createDataFrame(rows, "y int, v array<double>")
