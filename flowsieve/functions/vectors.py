@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,27 @@ def unit(a: Column) -> Column:
     )
 
 
+def by_matrix(values: Column, width: int, work: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> Column:
+    """``work`` of whole Arrow batches, with a row of the matrix for each array.
+
+    Null for an array that has not ``width`` entries, or a null among them. What needs
+    every entry several times costs an expression over arrays one pass for each use.
+    """
+    whole = F.when((F.size(values) == width) & ~F.exists(values, lambda x: x.isNull()), values)
+
+    def run(rows: pa.Array) -> pa.Array:
+        here = rows.is_valid().to_numpy(zero_copy_only=False)
+        found = work(rows.drop_null().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, width))
+        if found.ndim == 1:
+            out = np.full(len(rows), np.nan)
+            out[here] = found
+            return pa.array(out, mask=~here)
+        ends = np.cumsum(np.r_[0, here * found.shape[1]]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()), mask=pa.array(~here))
+
+    return F.arrow_udf(run, kind)(whole)
+
+
 def literal(values: Sequence[float]) -> Column:
     return F.lit([float(v) for v in values])
 

@@ -66,13 +66,14 @@ def fit_reconstruction(train: DataFrame, features: Sequence[str], k: int) -> PCA
 
 def reconstruction_error(values: Column, directions: np.ndarray, center: Sequence[float]) -> Column:
     """Mean squared distance of x to its projection on the fitted directions."""
-    centered = F.zip_with(values, V.literal(center), lambda x, m: x - m)
-    total = F.aggregate(centered, F.lit(0.0), lambda acc, x: acc + x * x)
-    kept = F.lit(0.0)
-    for direction in np.asarray(directions).T:
-        projection = V.dot(centered, V.literal(direction))
-        kept = kept + projection * projection
-    return F.greatest(total - kept, F.lit(0.0)) / F.lit(float(len(center)))
+    axes, middle = np.asarray(directions, dtype="float64"), np.array([float(c) for c in center])
+
+    def error(rows: np.ndarray) -> np.ndarray:
+        away = rows - middle
+        left = (away**2).sum(axis=1) - ((away @ axes) ** 2).sum(axis=1)
+        return np.maximum(left, 0.0) / float(len(middle))
+
+    return V.by_matrix(values, len(middle), error)
 
 
 def feature_means(df: DataFrame, features: Sequence[str]) -> list[float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,12 +183,15 @@ def _weight_rows(model) -> list[list[float]]:
 
 
 def _softmax(names: list[str], weights: list[list[float]]) -> Column:
-    """Class probabilities from saved numbers, as plain column arithmetic."""
-    values = F.array(F.lit(1.0), *[F.col(n) for n in names])
-    logits = F.array(*[V.dot(values, V.literal(row)) for row in weights])
-    powers = F.transform(F.zip_with(logits, F.array_repeat(F.array_max(logits), len(weights)), lambda z, m: z - m), F.exp)
-    total = F.array_repeat(F.aggregate(powers, F.lit(0.0), lambda s, x: s + x), len(weights))
-    return F.zip_with(powers, total, lambda x, s: x / s)
+    """Class probabilities from saved numbers, as plain arithmetic on whole batches."""
+    saved = np.array(weights, dtype="float64")
+
+    def shares(rows: np.ndarray) -> np.ndarray:
+        logits = saved[:, 0] + rows @ saved[:, 1:].T
+        powers = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return powers / powers.sum(axis=1, keepdims=True)
+
+    return V.by_matrix(F.array(*[F.col(n) for n in names]), len(names), shares, "array<double>")
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -213,11 +217,13 @@ def model_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = models.class_probabilities(everything, classifier, names)
     values, directions = F.array(*[F.col(n) for n in names]), pca.pc.toArray()
     scored = scored.withColumn("ae_re", models.reconstruction_error(values, directions, center))
+
     # the distance to the projection itself, component by component
-    away = F.zip_with(values, V.literal(center), lambda x, m: x - m)
-    scored = scored.withColumn("away", away).withColumn("codes", F.array(*[V.dot(F.col("away"), V.literal(d)) for d in directions.T]))
-    rebuilt = F.transform(F.array(*[V.literal(row) for row in directions]), lambda row: V.dot(row, F.col("codes")))
-    error = V.squared_distance(F.col("away"), rebuilt) / float(len(names))
+    def apart(rows: np.ndarray) -> np.ndarray:
+        away = rows - np.array(center)
+        return ((away - (away @ directions) @ directions.T) ** 2).sum(axis=1) / float(len(names))
+
+    error = V.by_matrix(values, len(names), apart)
     scored = scored.withColumns({"again": _softmax(names, _weight_rows(classifier)), "error": error})
     keep = ["source_row", "attack_cat", "split", "probs", "again", "error"]
     scored = durable(scored.select("ae_re", *keep), "model-scores")

@@ -223,6 +223,22 @@ def test_ensemble_members_differ_and_perceptron_bends(spark):
     assert recall(bent) > 0.9 > recall(straight)
 
 
+def test_reconstruction_error_in_whole_batches(spark):
+    rng = np.random.default_rng(2)
+    axes = np.linalg.qr(rng.normal(size=(6, 2)))[0]
+    points, center = rng.normal(size=(50, 6)), [0.5] * 6
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    odd = [(90, None), (91, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (92, [1.0]), (93, [float("nan")] + [0.0] * 5)]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>")
+    scored = df.select("id", models.reconstruction_error(F.col("v"), axes, center).alias("e"))
+    # an expression over arrays is worked out again for each direction that uses it
+    assert "zip_with" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["e"] for r in scored.collect()}
+    away = points - 0.5
+    assert [got[i] for i in range(50)] == pytest.approx(list(((away - away @ axes @ axes.T) ** 2).mean(axis=1)), abs=1e-12)
+    assert got[90] is None and got[91] is None and got[92] is None and np.isnan(got[93])
+
+
 def test_scorer_state_roundtrip(spark, tmp_path):
     scorer = LinearScorer(
         features=["dur", "service_num"], classes=["Normal", "DoS"], weights=[[0.1, 0.2], [-0.3, 0.4]], intercepts=[0.5, -0.5],
