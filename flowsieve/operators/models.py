@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from flowsieve.functions import scoring
 from flowsieve.functions import vectors as V
@@ -26,6 +28,8 @@ from flowsieve.operators.prepare import class_weights
 from flowsieve.operators.sampling import poisson_draw
 from flowsieve.session import durable, small_side
 
+FITS_AT_ONCE = 3
+
 
 def feature_vector(features: Sequence[str]) -> Column:
     return array_to_vector(F.array(*[ref(f).cast("double") for f in features]))
@@ -256,11 +260,14 @@ def fit_ensemble(
         ref(id_col).alias("_id"), feature_vector(features).alias("features"), index.cast("double").alias("label"), "weight"
     ).where("label >= 0")
     base = durable(base, "ensemble-rows")
-    fitted = []
-    for member in range(members):
+
+    def fit(member: int) -> LogisticRegressionModel:
         rows = member_draws(base, "_id", member).withColumn("weight", F.col("weight") * F.col("draws"))
-        fitted.append(LogisticRegression(weightCol="weight", family="multinomial", maxIter=max_iter, regParam=1e-4).fit(rows))
-    return fitted
+        return LogisticRegression(weightCol="weight", family="multinomial", maxIter=max_iter, regParam=1e-4).fit(rows)
+
+    # a fit is many short jobs, one after the other; a few members at once, since each holds its rows
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(train.sparkSession)(fit), range(members))
 
 
 def member_probabilities(df: DataFrame, members: Sequence[LogisticRegressionModel], features: Sequence[str], keep: Sequence[str]) -> DataFrame:

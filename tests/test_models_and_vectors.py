@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.scoring import Decision, HybridWeights
 from flowsieve.operators import forest, graph, models, neighbors, sketches
+from flowsieve.plans import vector_queries
 from flowsieve.sources import state
 from flowsieve.streaming.scorer import LinearScorer
 
@@ -239,6 +240,17 @@ def test_reconstruction_error_in_whole_batches(spark):
     assert got[90] is None and got[91] is None and got[92] is None and np.isnan(got[93])
 
 
+def test_probabilities_from_weights_in_whole_batches(spark):
+    df = spark.createDataFrame([(0, 1.0, -2.0), (1, 800.0, 3.0), (2, None, 1.0)], "id int, x double, y double")
+    weights = [[0.5, 1.0, 0.0], [0.0, -1.0, 2.0]]
+    shares = df.select("id", vector_queries._softmax(["x", "y"], weights).alias("p"))
+    # an expression over arrays is worked out again for each class that uses it
+    assert "aggregate(" not in shares._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["p"] for r in shares.collect()}
+    a, b = np.exp([1.5, -5.0])
+    assert got[0] == pytest.approx([a / (a + b), b / (a + b)]) and got[1] == pytest.approx([1.0, 0.0]) and got[2] is None
+
+
 def test_scorer_state_roundtrip(spark, tmp_path):
     scorer = LinearScorer(
         features=["dur", "service_num"], classes=["Normal", "DoS"], weights=[[0.1, 0.2], [-0.3, 0.4]], intercepts=[0.5, -0.5],
