@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -29,6 +29,7 @@ from flowsieve.operators.sampling import poisson_draw
 from flowsieve.session import durable, small_side
 
 FITS_AT_ONCE = 3
+CENTER_BYTES = 8 << 20
 
 
 def feature_vector(features: Sequence[str]) -> Column:
@@ -91,16 +92,108 @@ def _of_class(centers: DataFrame) -> DataFrame:
     return centers.groupBy(F.col("class").alias("_class")).agg(F.transform(listed, lambda c: c["centroid"]).alias("centers"))
 
 
+def _held(centers: DataFrame) -> dict[int, np.ndarray] | None:
+    """The centres of each class as a matrix, by cluster number; none if they are too many to be sent to every task."""
+    size = centers.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    if size["n"] * (size["d"] or 0) * 8 > CENTER_BYTES:
+        return None
+    found: dict[int, list] = {}
+    for row in centers.orderBy("class", "cluster").collect():
+        found.setdefault(row["class"], []).append(row["centroid"])
+    return {c: np.array(rows, dtype="float64") for c, rows in found.items()}
+
+
+def _closest(rows: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the first nearest centre, squared distance to it) of each row."""
+    best, gap = np.zeros(len(rows), dtype="int32"), np.full(len(rows), np.inf)
+    for at in range(0, len(rows), 1024):
+        some, low, own = rows[at:at + 1024], gap[at:at + 1024], best[at:at + 1024]
+        for k, center in enumerate(centers):
+            away = some - center
+            squared = np.einsum("ij,ij->i", away, away)
+            nearer = squared < low
+            own[nearer], low[nearer] = k, squared[nearer]
+    return best, gap
+
+
+def _by_class(pdf: pd.DataFrame, held: dict[int, np.ndarray]) -> Iterator[tuple]:
+    """(class, places of its rows, the rows, cluster, squared distance) for each class of a batch."""
+    classes = pdf["class"].to_numpy()
+    for c in np.unique(classes).tolist():
+        at = np.flatnonzero(classes == c)
+        rows = np.stack(pdf["unit"].iloc[at].to_numpy())
+        yield c, at, rows, *_closest(rows, held[c])
+
+
 def _assigned(units: DataFrame, centers: DataFrame) -> DataFrame:
     """``units`` with the nearest centre of their class and the squared distance to it; ``centers`` is a stored table."""
-    joined = units.join(_of_class(centers), F.col("class").eqNullSafe(F.col("_class")))
+    if (held := _held(centers)) is not None:
+
+        def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                cluster, gap = np.zeros(len(pdf), dtype="int32"), np.zeros(len(pdf))
+                for _, at, _, own, low in _by_class(pdf, held):
+                    cluster[at], gap[at] = own, low
+                yield pdf.assign(cluster=cluster, gap=gap)
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema.fields)
+        return units.mapInPandas(nearest, f"{kinds}, cluster int, gap double")
+    joined = units.join(_of_class(centers), F.col("class") == F.col("_class"))
     gaps = F.transform("centers", lambda c: V.squared_distance(F.col("unit"), c))
-    nearest = F.array_min("gaps")
+    nearest_gap = F.array_min("gaps")
     return joined.withColumn("gaps", gaps).select(
-        *units.columns, (F.array_position("gaps", nearest) - 1).cast("int").alias("cluster"), nearest.alias("gap")
+        *units.columns, (F.array_position("gaps", nearest_gap) - 1).cast("int").alias("cluster"), nearest_gap.alias("gap")
     )
 
 
+def _cluster_means(units: DataFrame, held: dict[int, np.ndarray]) -> DataFrame:
+    """(class, cluster, mean, gap, unit): the mean of the rows nearest to each centre, and the farthest of them with its distance."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row for each centre that a task meets rows of."""
+        found: dict[tuple, list] = {}
+        for pdf in frames:
+            for c, _, rows, own, low in _by_class(pdf, held):
+                for k in np.unique(own).tolist():
+                    inside = np.flatnonzero(own == k)
+                    gap = low[inside].max()
+                    far = (float(gap), max(rows[inside[low[inside] == gap]].tolist()))
+                    n, total, old = found.get((c, k), (0, 0.0, far))
+                    found[c, k] = [n + len(inside), total + rows[inside].sum(axis=0), max(old, far)]
+        if found:
+            yield pd.DataFrame(
+                [(c, k, n, total, *far) for (c, k), (n, total, far) in found.items()],
+                columns=["class", "cluster", "n", "total", "gap", "unit"],
+            )
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        mean = np.stack(rows["total"].to_numpy()).sum(axis=0) / rows["n"].sum()
+        gap, unit = max((g, u.tolist()) for g, u in zip(rows["gap"], rows["unit"], strict=True))
+        return pd.DataFrame({"class": rows["class"].iloc[:1], "cluster": rows["cluster"].iloc[:1], "mean": [mean], "gap": [gap], "unit": [unit]})
+
+    kept = "class long, cluster int"
+    parts = units.select("class", "unit").mapInPandas(sums, f"{kept}, n long, total array<double>, gap double, unit array<double>")
+    return parts.groupBy("class", "cluster").applyInPandas(added, f"{kept}, mean array<double>, gap double, unit array<double>")
+
+
+def _settled(units: DataFrame, held: dict[int, np.ndarray], max_rounds: int) -> dict[int, np.ndarray]:
+    """The centres after k-means steps; a step is one job that returns no more than the centres and a row for each."""
+    for _ in range(max_rounds):
+        now, far, full = {c: m.copy() for c, m in held.items()}, {}, {c: np.zeros(len(m), dtype=bool) for c, m in held.items()}
+        for r in _cluster_means(units, held).collect():
+            now[r["class"]][r["cluster"]], full[r["class"]][r["cluster"]] = r["mean"], True
+            far[r["class"]] = max(far.get(r["class"], (0.0, [])), (r["gap"], r["unit"]))
+        for c, has_rows in full.items():
+            # of several empty clusters the first moves, the others in later steps
+            if not has_rows.all() and c in far and far[c][0] > 0:
+                now[c][int(np.argmin(has_rows))] = far[c][1]
+        shift = max((((now[c] - m) ** 2).sum(axis=1).max() for c, m in held.items()), default=0.0)
+        held = now
+        if shift < 1e-20:
+            break
+    return held
+
+
 def _reduce_seeds(k: int, seed: int):
     """k of the weighted candidates of a class, each drawn in proportion to its weight and squared distance."""
 
@@ -161,15 +254,23 @@ def build_centroids(
 ) -> DataFrame:
     """(class, cluster, centroid): k-means on the normalised vectors of every class at once, k at most n.
 
-    One step is one job for all classes: rows meet the centres of their class as one
-    row of a table, broadcast only if it is small, and means are partial aggregates by
-    (class, cluster), so neither a class nor the number of classes is bounded by a task
-    or the driver. A centre that loses all rows moves to the row of its class that is
+    One step is one job for all classes: centres of up to ``CENTER_BYTES`` go to every task,
+    more of them meet the rows of their class as one row of a table; means are partial
+    aggregates by (class, cluster), so neither a class nor the number of classes is
+    bounded by a task or the driver. A centre that loses all rows moves to the row of its class that is
     farthest from its own. Steps end when no centre moves.
     """
-    units = df.select(F.col(class_col).alias("class"), V.unit(F.col(vector_col)).alias("unit")).dropna(subset=["unit"])
-    units = durable(units.withColumn("draw", F.xxhash64("unit", F.lit(seed))), "unit-vectors")
+    units = df.select(F.col(class_col).alias("name"), V.unit(F.col(vector_col)).alias("unit")).dropna(subset=["unit"])
+    # classes go by number, whatever their type and also where they are null
+    names = small_side(units.select("name").distinct().withColumn("class", F.monotonically_increasing_id()), "classes")
+    numbered = units.join(names.withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name")))
+    units = durable(numbered.select("class", "unit", F.xxhash64("unit", F.lit(seed)).alias("draw")), "unit-vectors")
     centers = durable(_seeds(units, k, seed, seed_rounds), "centers")
+    held = _held(centers)
+    if held is not None:
+        settled = _settled(units, held, max_rounds)
+        rows = [(c, m.tolist(), n) for c, centroids in settled.items() for n, m in enumerate(centroids)]
+        centers, max_rounds = df.sparkSession.createDataFrame(rows, _center_schema(units)), 0
     for _ in range(max_rounds):
         near = _assigned(units, centers)
         means = near.groupBy("class", "cluster").agg(
@@ -191,7 +292,8 @@ def build_centroids(
         centers = moved.drop("old")
         if not shift or shift < 1e-20:
             break
-    return centers.select("class", "cluster", "centroid")
+    named = centers.withColumnRenamed("class", "_number").join(names, F.col("_number") == F.col("class"))
+    return named.select(F.col("name").alias("class"), "cluster", "centroid")
 
 
 def fit_hybrid(scores: DataFrame, target: Column, ae: str = "ae_re", max_prob: str = "max_prob") -> HybridWeights:

@@ -133,6 +133,21 @@ def test_centroids_of_all_classes_at_once(spark):
     assert found == pytest.approx([0.0, 1.0, 2.0, 3.0], abs=0.05)
 
 
+def test_centroid_steps_store_no_table_while_centres_are_few(spark, monkeypatch):
+    """A step is one job; with too many centres for every task the tables of the other way give the same."""
+    rng = np.random.default_rng(12)
+    rows = [("ab"[i % 2], [float(x) for x in p]) for i, p in enumerate(rng.normal(size=(300, 3)))] + [(None, [1.0, 0.0, 0.0])] * 3
+    df = spark.createDataFrame(rows, "c string, v array<double>")
+    stored = []
+    monkeypatch.setattr(models, "durable", lambda frame, label, kept=models.durable: stored.append(label) or kept(frame, label))
+    few = {(r["class"], r["cluster"]): r["centroid"] for r in models.build_centroids(df, "v", "c", k=3, max_rounds=6, seed_rounds=1).collect()}
+    assert stored.count("centers") == 1
+    monkeypatch.setattr(models, "CENTER_BYTES", 0)
+    many = {(r["class"], r["cluster"]): r["centroid"] for r in models.build_centroids(df, "v", "c", k=3, max_rounds=6, seed_rounds=1).collect()}
+    assert few.keys() == many.keys() and len(few) == 7
+    assert all(few[key] == pytest.approx(many[key], abs=1e-9) for key in few)
+
+
 def test_neighbor_graph_finds_most_with_few_comparisons(spark):
     rng = np.random.default_rng(6)
     basis = rng.normal(size=(5, 24))
