@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -117,10 +118,14 @@ def number_rows(rows: DataFrame) -> DataFrame:
     return dense.unionByName(gaps).drop("_p", "_b", "_first", "_dense", "_before", "_path", "_block", "_order")
 
 
-def load_flow_csvs(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
+def load_flow_csvs(
+    spark: SparkSession, folder: str, files: DataFrame | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
     """Every flow CSV of a folder as one text table; one scan per distinct header.
 
     ``files`` (path) names the files where their names do not follow the usual pattern.
+    ``columns`` are those to go on with, all unless given: rows are stored to be numbered,
+    and of a very wide file the other columns are not. Every line is read either way.
     """
     # the reader takes a list of paths, so file names, and nothing else of the files, reach the driver
     listed = list_flow_files(spark, folder) if files is None else files
@@ -131,10 +136,12 @@ def load_flow_csvs(spark: SparkSession, folder: str, files: DataFrame | None = N
     for row in probe_headers(spark, paths).collect():
         has_header, names = header_names(row["first_line"])
         groups.setdefault((has_header, tuple(names)), []).extend(row["paths"])
-    parts = [
-        number_rows(read_text_csv(spark, paths, list(names), has_header, "UTF-8" if has_header else "ISO-8859-1"))
-        for (has_header, names), paths in sorted(groups.items())
-    ]
+    parts = []
+    for (has_header, names), paths in sorted(groups.items()):
+        rows = read_text_csv(spark, paths, list(names), has_header, "UTF-8" if has_header else "ISO-8859-1")
+        if columns is not None:
+            rows = rows.select(*[F.col(f"`{c}`") for c in columns if c in rows.columns], "source_file", "_path", "_block", "_order")
+        parts.append(number_rows(rows))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve import vocab
 from flowsieve.operators.normalize import normalize_flows
+from flowsieve.plans import io_queries
 from flowsieve.sources import alert_log, csv, first_lines, manifest
 from flowsieve.streaming import events, jobs
 
@@ -312,3 +313,27 @@ def test_empty_files_are_listed(spark, tmp_path):
     found = {r["finding"] for r in manifest.verify_manifest(actual, expected).collect()}
     assert found == {"Artifact size changed: nb15 empty.csv", "Artifact sha256 changed: nb15 empty.csv"}
     assert [r["srcip"] for r in csv.load_flow_csvs(spark, str(tmp_path)).collect()] == ["1.1.1.1"]
+
+
+def test_wanted_columns_of_wide_files_alone_are_stored(spark, tmp_path, monkeypatch):
+    extra = [f"c{k}" for k in range(300)]
+    lines = [",".join(["srcip", "attack_cat", *extra]), ",".join(["1.1.1.1", "DoS", *["0"] * 300]), "2.2.2.2", '"3.3.3.3",Normal,x']
+    lines += [",".join(["too", "long", *["0"] * 301]), ",".join(["4.4.4.4", "", *["0"] * 300])]
+    (tmp_path / "UNSW_a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "UNSW_b.csv").write_text("srcip,attack_cat\n5.5.5.5,Worms\n")
+    whole = csv.load_flow_csvs(spark, str(tmp_path)).select("srcip", "attack_cat", "source_file", "source_row").collect()
+    stored = []
+    monkeypatch.setattr(csv, "durable", lambda df, label, kept=csv.durable: stored.append(df.columns) or kept(df, label))
+    some = csv.load_flow_csvs(spark, str(tmp_path), columns=["srcip", "attack_cat", "c299"])
+    assert sorted(map(str, some.select("srcip", "attack_cat", "source_file", "source_row").collect())) == sorted(map(str, whole))
+    assert len(whole) == 5 and max(map(len, stored)) == 7
+    assert {r["srcip"]: r["c299"] for r in some.collect()}["1.1.1.1"] == "0"
+
+
+def test_lines_are_written_below_a_header_in_every_file(spark, tmp_path):
+    lines = spark.range(0, 40, 1, 4).selectExpr("concat(id, ',x') AS value")
+    io_queries._write_lines(lines, "id,attack_cat", str(tmp_path / "some"))
+    files = [f.read_text().splitlines() for f in (tmp_path / "some").glob("part-*")]
+    assert len(files) == 4 and all(f[0] == "id,attack_cat" and len(f) == 11 for f in files)
+    io_queries._write_lines(lines.where("value IS NULL"), "id,attack_cat", str(tmp_path / "none"))
+    assert [f.read_text() for f in (tmp_path / "none").glob("part-*")] == ["id,attack_cat\n"]
