@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import vectors as V
+from flowsieve.operators.neighbors import _matrix as matrix
 from flowsieve.session import durable
 
+LISTS_OF_TASK = 5_000
+LIST_ENTRIES = 1 << 21  # numbers held at once for the lists that are compared together
 PAIRS = "query_id long, ref_id long, distance double"
 
 
@@ -74,11 +77,65 @@ def _blocks(block: int, width: int, metric: str):
         ids = rows["id"].to_numpy()
         if not len(ids):
             return pd.DataFrame({"query_id": [], "ref_id": [], "distance": []})
-        return _closest(ids, _distances(np.stack(rows["vector"].to_numpy()), metric), width, ids[:, None] != ids[None, :])
+        return _closest(ids, _distances(matrix(rows["vector"], metric), metric), width, ids[:, None] != ids[None, :])
 
     return pairs
 
 
+def _local_joins(width: int, metric: str):
+    """Nearer pairs within each list; the rows of a task are sorted by list, and very many short lists are compared at once."""
+
+    def joins(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            rows = pd.concat([*held, pdf]) if held else pdf
+            # the last list may go on in the next batch
+            whole = int(np.searchsorted(rows["center"].to_numpy(), rows["center"].iloc[-1])) if len(rows) else 0
+            held = [rows.iloc[whole:]]
+            if whole:
+                yield within(rows.iloc[:whole])
+        if held and len(held[0]):
+            yield within(held[0])
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        center, ids = rows["center"].to_numpy(), rows["id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, center[1:] != center[:-1]])
+        sizes = np.diff(np.r_[starts, len(center)])
+        vectors, fresh, bound = matrix(rows["vector"], metric), rows["fresh"].to_numpy(dtype=bool), rows["bound"].to_numpy()
+        squares = (vectors**2).sum(axis=1)
+        most = int(sizes.max())
+        lists = max(1, LIST_ENTRIES // (most * max(most, vectors.shape[1])))
+        return pd.concat(
+            [
+                near(starts[at:at + lists], sizes[at:at + lists], ids, vectors, squares, fresh, bound)
+                for at in range(0, len(starts), lists)
+            ]
+        )
+
+    def near(starts, sizes, ids, vectors, squares, fresh, bound) -> pd.DataFrame:
+        most = int(sizes.max())
+        there = np.arange(most)[None, :] < sizes[:, None]
+        at = np.where(there, starts[:, None] + np.arange(most)[None, :], starts[:, None])
+        some = vectors[at]
+        distance = np.matmul(some, some.transpose(0, 2, 1))
+        if metric == "cosine":
+            distance = 1.0 - distance
+        else:
+            distance = np.sqrt(np.maximum(squares[at][:, :, None] + squares[at][:, None, :] - 2.0 * distance, 0.0))
+        new, own = fresh[at], ids[at]
+        allowed = (new[:, :, None] | new[:, None, :]) & (own[:, :, None] != own[:, None, :])
+        # only what beats the farthest entry of a list can enter it
+        allowed &= there[:, :, None] & there[:, None, :] & (distance < bound[at][:, :, None])
+        distance = np.round(distance, 12)
+        if most - 1 > width:
+            order = np.argsort(np.where(allowed, distance, np.inf), axis=2, kind="stable")
+            np.put_along_axis(allowed, order[:, :, width:], False, axis=2)
+        g, i, j = np.nonzero(allowed)
+        return pd.DataFrame({"query_id": own[g, i], "ref_id": own[g, j], "distance": distance[g, i, j]})
+
+    return joins
+
+
 def _best(pairs: DataFrame, width: int) -> DataFrame:
     """The closest ``width`` of every row; of the same pair the older entry."""
     one = pairs.groupBy("query_id", "ref_id").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
@@ -114,14 +171,17 @@ def neighbor_graph(
     distinct; rows without an id or a vector are left out.
     """
     width = width or k + k // 2
-    vector = V.unit(F.col(vector_col)) if metric == "cosine" else F.col(vector_col).cast("array<double>")
+    # single precision is moved as it is, at half the bytes, and computed with in double
+    single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     units = rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).dropna()
     units = durable(units, "graph-rows")
     shape = units.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     total, dims = shape["n"], shape["d"] or 0
     found, compared = [], 0
     for axis in np.random.default_rng(7).standard_normal((directions, dims)):
-        along = V.dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in axis]))
+        placed = V.unit(F.col("vector")) if metric == "cosine" else F.col("vector")
+        along = V.dot(placed, F.array(*[F.lit(float(x)) for x in axis]))
         laid = units.withColumn("along", along).repartitionByRange("along", "id").sortWithinPartitions("along", "id")
         found.append(laid.drop("along").mapInPandas(_blocks(block, width, metric), PAIRS))
         compared += total * min(block, total) // 2
@@ -130,16 +190,7 @@ def neighbor_graph(
         pairs = pairs.unionByName(more)
     graph = durable(_best(pairs.withColumn("fresh", F.lit(True)), width), "graph")
     changes: list[int] = []
-
-    def local_join(key: tuple, near: pd.DataFrame) -> pd.DataFrame:
-        near = near.sort_values("id")
-        ids, fresh = near["id"].to_numpy(), near["fresh"].to_numpy(dtype=bool)
-        distance = _distances(np.stack(near["vector"].to_numpy()), metric)
-        allowed = (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :])
-        # only what beats the farthest entry of a list can enter it
-        allowed &= distance < near["bound"].to_numpy()[:, None]
-        return _closest(ids, distance, width, allowed)
-
+    tasks = 1 + total // LISTS_OF_TASK
     for turn in range(max_rounds):
         forward = _sampled(graph, "query_id", "ref_id", sample, turn)
         backward = _sampled(graph, "ref_id", "query_id", sample, turn)
@@ -151,7 +202,8 @@ def neighbor_graph(
             F.when(F.count(F.lit(1)) == width, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound")
         )
         members = units.join(bound, "id").join(lists.withColumnRenamed("member", "id"), "id")
-        nearer = members.groupBy("center").applyInPandas(local_join, PAIRS).withColumn("fresh", F.lit(True))
+        laid = members.repartition(tasks, "center").sortWithinPartitions("center", "id")
+        nearer = laid.mapInPandas(_local_joins(width, metric), PAIRS).withColumn("fresh", F.lit(True))
         # what was joined in this round is no longer new
         joined = forward.where("fresh").select(F.col("center").alias("query_id"), F.col("member").alias("ref_id"), F.lit(True).alias("done"))
         old = graph.drop("rank").join(joined, ["query_id", "ref_id"], "left")
