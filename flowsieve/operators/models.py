@@ -75,7 +75,10 @@ def reconstruction_error(values: Column, directions: np.ndarray, center: Sequenc
 
     def error(rows: np.ndarray) -> np.ndarray:
         away = rows - middle
-        left = (away**2).sum(axis=1) - ((away @ axes) ** 2).sum(axis=1)
+        left = (away**2).sum(axis=1)
+        # sums along a row, not a matrix product, whose last digits depend on a row's place in its batch
+        for axis in axes.T:
+            left = left - (away * axis).sum(axis=1) ** 2
         return np.maximum(left, 0.0) / float(len(middle))
 
     return V.by_matrix(values, len(middle), error)

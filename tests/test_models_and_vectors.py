@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,29 @@ def test_neighbor_graph_finds_most_with_few_comparisons(spark):
     assert all(some[j] == pytest.approx(distance[5, j], abs=1e-9) for j in some)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_short_lists_are_compared_together(metric):
+    """Lists of any length that batches cut anywhere, against one at a time."""
+    rng = np.random.default_rng(9)
+    sizes = [1, 7, 2, 12, 1, 5, 9]
+    center = np.repeat(np.arange(7) * 3, sizes)
+    ids = np.concatenate([np.sort(rng.choice(40, n, replace=False)) for n in sizes])
+    vectors = rng.normal(size=(40, 5)).astype("float32")
+    rows = pd.DataFrame({"center": center, "id": ids, "vector": list(vectors[ids]), "fresh": rng.random(len(ids)) < 0.5, "bound": rng.uniform(0.5, 2.5, len(ids))})
+    cuts = [0, 3, 4, 20, 21, len(rows)]
+    found = pd.concat(graph._local_joins(4, metric)(rows.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)))
+    got = sorted((int(q), int(r), round(d, 9)) for q, r, d in zip(found["query_id"], found["ref_id"], found["distance"], strict=True))
+    x = vectors.astype("float64")
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+    distance = 1 - x @ x.T if metric == "cosine" else np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = []
+    for _, group in rows.groupby("center"):
+        for _, q in group.iterrows():
+            near = [(distance[q["id"], r["id"]], r["id"]) for _, r in group.iterrows() if r["id"] != q["id"] and (q["fresh"] or r["fresh"])]
+            want += [(q["id"], j, round(d, 9)) for d, j in sorted(p for p in near if p[0] < q["bound"])[:4]]
+    assert got == sorted(want)
+
+
 def test_neighbor_graph_of_small_tables(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, v array<double>")
     pairs = graph.neighbor_graph(df, "id", "v", k=3).pairs.collect()
@@ -253,6 +277,9 @@ def test_reconstruction_error_in_whole_batches(spark):
     away = points - 0.5
     assert [got[i] for i in range(50)] == pytest.approx(list(((away - away @ axes @ axes.T) ** 2).mean(axis=1)), abs=1e-12)
     assert got[90] is None and got[91] is None and got[92] is None and np.isnan(got[93])
+    # the same row gives the same number to the last bit wherever it lies
+    again = spark.createDataFrame([(i, rows[7][1]) for i in range(37)], "id long, v array<double>").coalesce(1)
+    assert {r["e"] for r in again.select(models.reconstruction_error(F.col("v"), axes, center).alias("e")).collect()} == {got[7]}
 
 
 def test_probabilities_from_weights_in_whole_batches(spark):
